@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import arc_converter, hilbert_shards, url_filter
+from . import arc_converter, decontaminate, hilbert_shards, near_dups, url_filter
 
 QUERIES = {
     "op1_hilbert_shards": hilbert_shards.op1_hilbert_shards,
     "op4_arc_to_warc": arc_converter.op4_arc_to_warc,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op9_near_dups": near_dups.op9_near_dups,
 }
-ORACLE_SQL = {"op4_arc_to_warc": arc_converter.SQL, "op7_url_filter": url_filter.SQL}
+ORACLE_SQL = {"op4_arc_to_warc": arc_converter.SQL, "op7_url_filter": url_filter.SQL, "op9_near_dups": near_dups.SQL}
