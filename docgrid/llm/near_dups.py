@@ -242,5 +242,6 @@ n AS (SELECT doc_id, len(s)::BIGINT AS n_shingles FROM s),
 x AS (SELECT doc_id, unnest(s) AS g FROM s),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n_shingles + nb.n_shingles - k)),
-r(doc_id, t) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.t = e.a)
-SELECT doc_id, n_shingles, min(t) AS component_id, doc_id = min(t) AS kept FROM r JOIN n USING (doc_id) GROUP BY ALL"""
+r(doc_id, t) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.t = e.a),
+m AS (SELECT doc_id, min(t) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, n.n_shingles, m.component_id, m.doc_id = m.component_id AS kept FROM m JOIN n ON n.doc_id = m.doc_id"""
