@@ -1,0 +1,23 @@
+"""Schemas that a PDF reader has to fill. No PDF library is part of this engine; layout operators start from these tables."""
+
+from __future__ import annotations
+
+BOX = "struct<l:double,b:double,r:double,t:double>"
+DOCUMENTS = "doc string, metadata map<string,string>, page_count int, is_tagged boolean"
+OUTLINE = "doc string, level int, title string, page int"
+PAGES = "doc string, page int, width double, height double, rotation int, label string"
+CHARS = f"doc string, page int, idx int, unicode int, char string, font string, size double, weight int, rotation int, fill bigint, stroke bigint, bbox {BOX}, tbbox {BOX}, origin struct<x:double,y:double>"
+PATHS = "doc string, page int, obj int, kind string, fill bigint, stroke bigint, width double, points array<struct<x:double,y:double,type:string>>"
+LINKS = f"doc string, page int, kind string, bbox {BOX}, target_page int, url string, char_lo int, char_hi int"
+
+
+def relevant(df, top_text: str):
+    """Pages that are no table of contents, list or index, by the text at their top."""
+    return df.where(f"not coalesce({top_text}, '') rlike 'Contents|List of |Index'")
+
+
+def outline(df):
+    """Outline items once a page and title, in reading order."""
+    from ..operators.sequence import best
+
+    return best(df, ["doc", "page", "title"], "level").orderBy("doc", "page", "level", "title")
