@@ -11,7 +11,7 @@ from ..functions.numbers import evaluate
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) without comments and with continued lines joined."""
     text = F.regexp_replace(F.regexp_replace("value", r"(?s)/\*.*?\*/|//[^\n]*", ""), r"\\\r?\n", " ")
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.h").text(path).select(F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("file"), text.alias("text"))
+    return spark.read.option("pathGlobFilter", "*.h").text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("file"), text.alias("text"))
 
 
 def defines(files: DataFrame) -> DataFrame:

@@ -246,7 +246,7 @@ def heading_texts(found: DataFrame, pattern: str = "", text_pattern: str = "") -
 
 def folder(spark: SparkSession, path: str) -> DataFrame:
     """(doc, version, chapter, number, html): HTML files in folders NAME-vVERSION."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(path, wholetext=True)
     at = F.col("_metadata.file_path")
     own = F.regexp_extract(at, r"/([^/]+)-v([^/]+)/([^/]+)\.html$", 1)
     stem = F.regexp_extract(at, r"/([^/]+)\.html$", 1)
