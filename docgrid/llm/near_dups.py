@@ -7,13 +7,14 @@ registers that agree, are larger or are smaller estimates the Jaccard similarity
 confirmed on the full sets.
 
 Groups of any size stay distributed. Equal sets are one class from the start. In a bucket, members are compared with
-one pivot, the links found are contracted to components, and only buckets that still hold several components are looked
-at again: with other pivots, and in the end in full, but only between different components, so that no link between
-different components is lost and no group is expanded into its pairs.
+one central pivot, the links found are contracted to components, and only buckets that still hold several components
+are looked at again, in blocks of bounded size: members of different components are compared by their registers within
+the block, at first each member's most similar partners are confirmed, and in the last turn all that may reach the
+threshold. So no link between different components is lost, and no group is expanded into its pairs.
 
 With bands of 5 of 220 registers, a pair at the threshold of 0.75 meets in at least one bucket with probability
 1 - (1 - 0.75**5)**44 > 0.99999; truncation only raises it. A pair is given up before the full check only if its
-estimate lies six standard deviations below the threshold.
+estimate lies MARGIN standard deviations below the threshold.
 
 Defined results: texts without words, and null texts, have the empty set and are linked with nothing; shorter texts
 than SHINGLE words have one shingle, their whole sequence; repeated rows and equal sets share a component; rows that
@@ -36,8 +37,11 @@ ROWS, BANDS = 5, 44
 REGISTERS = ROWS * BANDS
 #: Base of the registers' scale and rate of the exponential variates.
 BASE, RATE = 1.2, 20.0
-#: Rounds with one pivot a bucket before what is left is compared in full.
-PIVOT_ROUNDS = 3
+#: Turns: one pivot a bucket; then each member's BEST partners of other components; in the last turn, all of them.
+TURNS, BEST = 4, 2
+BLOCK = 512
+#: Standard deviations that an estimate may lie below the threshold before a pair is given up.
+MARGIN = 5.0
 _CHUNK = 1024
 
 
@@ -136,7 +140,7 @@ def _likely(pairs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 s = slice(at, at + 2048)
                 j = joint_estimate(a[s], b[s], *(col[c].to_numpy()[s].astype(float) for c in ("na", "nb")))
-                mask[s] = j + 6 * np.sqrt(np.maximum(j * (1 - j), 0.01) / REGISTERS) >= low
+                mask[s] = j + MARGIN * np.sqrt(np.maximum(j * (1 - j), 0.01) / REGISTERS) >= low
             yield batch.select(["a", "b"]).filter(pa.array(mask))
 
     return pairs.mapInArrow(keep, "a bigint, b bigint")
@@ -185,6 +189,72 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.select("rep", F.coalesce("root", "comp").alias("comp")), "labels")
 
 
+def _blocks(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of open buckets, dealt to the pairs (i, j) of blocks that have to be compared, as side 0 or 1.
+
+    A bucket's major component (its pivot's) is known to hold together, so its blocks are compared with the others'
+    only. Blocks have about BLOCK members, whatever the bucket's size.
+    """
+    rows = members.join(groups, "bucket")
+    minor = F.col("comp") != F.col("pc")
+    few, many = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("n_minor", "n_major"))
+    at = lambda n: F.pmod(F.xxhash64("rep", "bucket"), n).cast("int")
+    to = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+    within = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda y: to(F.least(F.col("x"), y), F.greatest(F.col("x"), y), F.when(F.col("x") <= y, 0).otherwise(1)))
+    across = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda y: to(F.col("x"), F.col("few") + y, F.lit(0)))
+    back = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda x: to(x, F.col("few") + F.col("x"), F.lit(1)))
+    rows = rows.withColumns({"few": few, "many": many}).withColumn("x", F.when(minor, at(F.col("few"))).otherwise(at(F.col("many"))))
+    rows = rows.select("bucket", "rep", "comp", "n", "registers", F.explode(F.when(minor, F.concat(within, across)).otherwise(back)).alias("to"))
+    return rows.select("bucket", "to.i", "to.j", "to.side", "rep", "comp", "n", "registers")
+
+
+def _block_pairs(blocks: DataFrame, all_pairs: bool) -> DataFrame:
+    """Pairs of different components within the blocks that may reach the threshold; unless all_pairs, each member's BEST."""
+
+    def compare(batches):
+        held: list[tuple] = []
+
+        def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+            """rows: (bucket, i, j, side, rep, comp, n, registers) of one pair of blocks."""
+            regs = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, REGISTERS)
+            n, comp = np.array([r[6] for r in rows], float), np.array([r[5] for r in rows])
+            side, self_pair = np.array([r[3] for r in rows]), rows[0][1] == rows[0][2]
+            out = []
+            for k in np.flatnonzero(side == 0).tolist():
+                other = np.arange(k + 1, len(rows)) if self_pair else np.flatnonzero(side == 1)
+                other = other[comp[other] != comp[k]]
+                other = other[100 * np.minimum(n[other], n[k]) >= THRESHOLD * np.maximum(n[other], n[k])]
+                if not len(other):
+                    continue
+                # Far pairs go by the plain count of equal registers before the likelihood is worked out.
+                same = (regs[other] == regs[k]).sum(axis=1)
+                other = other[same >= 0.55 * REGISTERS]
+                if not len(other):
+                    continue
+                j = joint_estimate(np.broadcast_to(regs[k], (len(other), REGISTERS)), regs[other], np.full(len(other), n[k]), n[other])
+                likely = j + MARGIN * np.sqrt(np.maximum(j * (1 - j), 0.01) / REGISTERS) >= THRESHOLD / 100
+                other, j = other[likely], j[likely]
+                if not all_pairs and len(other) > BEST:
+                    other = other[np.argsort(-j, kind="stable")[:BEST]]
+                out += [tuple(sorted((rows[k][4], rows[int(o)][4]))) for o in other]
+            return out
+
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:3] != row[:3]:
+                    found += pairs(held)
+                    held = []
+                held.append(row)
+            found = sorted(set(found))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        found = sorted(set(pairs(held))) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(compare, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row a row of docs."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -193,36 +263,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = written(sketched.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "reps")
     labels = reps.select("rep", F.col("rep").alias("comp")).distinct()
     rows = bucket_rows(reps)
-    crowded = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    crowded = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = written(rows.join(crowded, "bucket"), "buckets")
+    # A text from which many others were made shares more buckets than they share among each other: it makes the best pivot.
+    central = rows.groupBy("rep").agg(F.sum("size").alias("central"))
+    rows = written(rows.join(central, "rep"), "buckets")
     tested = None
-    for turn in range(PIVOT_ROUNDS + 1):
+    for turn in range(TURNS):
         members = rows.join(labels, "rep")
-        groups = members.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "comp")).alias("pivot")
-        )
-        # A bucket of two members has been tested in full in the first round.
-        groups = written(groups.where("lo < hi" + (" and n > 2" if turn else "")).select("bucket", F.col("pivot.rep").alias("p"), F.col("pivot.comp").alias("pc")), "groups")
+        pivot = F.max(F.struct("central", -F.col("rep"), "rep", "comp"))
+        groups = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot.alias("pivot"))
+        # A bucket of two members has been tested in full in the first turn.
+        groups = written(groups.where("lo < hi" + (" and members > 2" if turn else "")).select("bucket", "members", F.col("pivot.rep").alias("p"), F.col("pivot.comp").alias("pc")), "groups")
         if groups.isEmpty():
             break
-        if turn < PIVOT_ROUNDS:
+        if turn == 0:
             pairs = members.join(groups, "bucket").where("comp <> pc").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
-        else:  # whatever is left, between different components only
-            held = written(members.join(groups.select("bucket"), "bucket").select("bucket", "comp", "rep"), "held")
-            comps = held.select("bucket", "comp").distinct()
-            across = comps.join(comps.select("bucket", F.col("comp").alias("other")), "bucket").where("comp < other")
-            one = across.join(held, ["bucket", "comp"]).select("bucket", "other", F.col("rep").alias("p"))
-            pairs = one.join(held.select("bucket", F.col("comp").alias("other"), "rep"), ["bucket", "other"]).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
+        else:
+            own = members.join(groups.select("bucket", "pc"), "bucket")
+            sizes = own.groupBy("bucket", "pc").agg(F.count_if(F.col("comp") != F.col("pc")).alias("n_minor"), F.count_if(F.col("comp") == F.col("pc")).alias("n_major"))
+            known = reps.select("rep", "n", "registers").dropDuplicates(["rep"])
+            pairs = _block_pairs(_blocks(members.join(known, "rep"), sizes), all_pairs=turn == TURNS - 1)
         pairs = pairs.distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         links = confirmed(pairs, reps, docs)
         if not links.isEmpty():
             labels = _merged(labels, links)
-        if turn < PIVOT_ROUNDS:
-            new = written(rows.join(groups.select("bucket"), "bucket"), "buckets")
-            forget(rows)
-            rows = new
+        new = written(rows.join(groups.select("bucket"), "bucket", "left_semi"), "buckets")
+        forget(rows)
+        rows = new
     classes = reps.join(labels, "rep").select("set_id", "comp")
     found = sketched.join(classes, "set_id", "left")
     component = F.coalesce("comp", "doc_id")
