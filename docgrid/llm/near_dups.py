@@ -36,12 +36,15 @@ THRESHOLD = 75  # per cent
 ROWS, BANDS = 5, 44
 REGISTERS = ROWS * BANDS
 #: Base of the registers' scale and rate of the exponential variates.
-BASE, RATE = 1.2, 20.0
+#: A base near 1 makes registers of unrelated sets differ, so buckets do not fill by chance as the corpus grows.
+BASE, RATE = 1.001, 20.0
 #: Turns: one pivot a bucket; then each member's BEST partners of other components; in the last turn, all of them.
 TURNS, BEST = 4, 2
 BLOCK = 512
 #: Standard deviations that an estimate may lie below the threshold before a pair is given up.
 MARGIN = 5.0
+#: Equal low bytes of registers below which blocks give a pair up: as many deviations below what the threshold lets expect.
+EQUAL = REGISTERS * THRESHOLD / 100 - MARGIN * np.sqrt(REGISTERS * THRESHOLD * (100 - THRESHOLD)) / 100
 _CHUNK = 1024
 
 
@@ -59,7 +62,7 @@ _A, _B = _factors()
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
-    """The SetSketch of a set: uint8 registers."""
+    """The SetSketch of a set: uint16 registers."""
     low = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
     x = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
     for at in range(0, len(x), _CHUNK):
@@ -67,7 +70,18 @@ def registers(shingles: np.ndarray) -> np.ndarray:
         part += _B[:, None]
         np.minimum(low, part.min(axis=1), out=low)
     variate = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**32) / RATE
-    return np.clip(np.floor(1 - np.log(variate) / np.log(BASE)), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(1 - np.log(variate) / np.log(BASE)), 0, 65535).astype(np.uint16)
+
+
+def packed(regs: np.ndarray) -> bytes:
+    """Registers as bytes: the low ones first, then the high ones."""
+    return (regs & 255).astype(np.uint8).tobytes() + (regs >> 8).astype(np.uint8).tobytes()
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    """Rows of registers of a binary column made by packed()."""
+    planes = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2, REGISTERS)
+    return planes[:, 0] | planes[:, 1].astype(np.uint16) << 8
 
 
 def _p(x: np.ndarray) -> np.ndarray:
@@ -101,7 +115,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 found = shingle_set(text, words)
                 n.append(len(found))
                 ids.append(xxhash.xxh3_128_hexdigest(found.tobytes()) if len(found) else None)
-                regs.append(registers(found).tobytes() if len(found) else None)
+                regs.append(packed(registers(found)) if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "set_id", "registers"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -122,7 +136,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def bucket_rows(reps: DataFrame) -> DataFrame:
     """(bucket, rep): one row a band."""
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * ROWS + 1, F.lit(ROWS))))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, *(F.substring(F.col("registers"), i * ROWS + 1 + plane * REGISTERS, F.lit(ROWS)) for plane in (0, 1))))
     return reps.select(F.explode(keys).alias("bucket"), "rep")
 
 
@@ -135,7 +149,7 @@ def _likely(pairs: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            a, b = (np.frombuffer(b"".join(col[c].to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("ra", "rb"))
+            a, b = unpacked(col["ra"]), unpacked(col["rb"])
             mask = np.zeros(batch.num_rows, bool)
             for at in range(0, batch.num_rows, 2048):
                 s = slice(at, at + 2048)
@@ -204,18 +218,21 @@ def _blocks(members: DataFrame, groups: DataFrame) -> DataFrame:
     across = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda y: to(F.col("x"), F.col("few") + y, F.lit(0)))
     back = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda x: to(x, F.col("few") + F.col("x"), F.lit(1)))
     rows = rows.withColumns({"few": few, "many": many}).withColumn("x", F.when(minor, at(F.col("few"))).otherwise(at(F.col("many"))))
-    rows = rows.select("bucket", "rep", "comp", "n", "registers", F.explode(F.when(minor, F.concat(within, across)).otherwise(back)).alias("to"))
-    return rows.select("bucket", "to.i", "to.j", "to.side", "rep", "comp", "n", "registers")
+    rows = rows.select("bucket", "rep", "comp", "n", "low", F.explode(F.when(minor, F.concat(within, across)).otherwise(back)).alias("to"))
+    return rows.select("bucket", "to.i", "to.j", "to.side", "rep", "comp", "n", "low")
 
 
 def _block_pairs(blocks: DataFrame, all_pairs: bool) -> DataFrame:
-    """Pairs of different components within the blocks that may reach the threshold; unless all_pairs, each member's BEST."""
+    """Pairs of different components within the blocks that may reach the threshold; unless all_pairs, each member's BEST.
+
+    The low bytes of two registers are equal if the registers are, so their count rules no pair out that the registers would not.
+    """
 
     def compare(batches):
         held: list[tuple] = []
 
         def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-            """rows: (bucket, i, j, side, rep, comp, n, registers) of one pair of blocks."""
+            """rows: (bucket, i, j, side, rep, comp, n, low bytes of the registers) of one pair of blocks."""
             regs = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, REGISTERS)
             n, comp = np.array([r[6] for r in rows], float), np.array([r[5] for r in rows])
             side, self_pair = np.array([r[3] for r in rows]), rows[0][1] == rows[0][2]
@@ -226,16 +243,10 @@ def _block_pairs(blocks: DataFrame, all_pairs: bool) -> DataFrame:
                 other = other[100 * np.minimum(n[other], n[k]) >= THRESHOLD * np.maximum(n[other], n[k])]
                 if not len(other):
                     continue
-                # Far pairs go by the plain count of equal registers before the likelihood is worked out.
                 same = (regs[other] == regs[k]).sum(axis=1)
-                other = other[same >= 0.55 * REGISTERS]
-                if not len(other):
-                    continue
-                j = joint_estimate(np.broadcast_to(regs[k], (len(other), REGISTERS)), regs[other], np.full(len(other), n[k]), n[other])
-                likely = j + MARGIN * np.sqrt(np.maximum(j * (1 - j), 0.01) / REGISTERS) >= THRESHOLD / 100
-                other, j = other[likely], j[likely]
+                other, same = other[same >= EQUAL], same[same >= EQUAL]
                 if not all_pairs and len(other) > BEST:
-                    other = other[np.argsort(-j, kind="stable")[:BEST]]
+                    other = other[np.argsort(-same, kind="stable")[:BEST]]
                 out += [tuple(sorted((rows[k][4], rows[int(o)][4]))) for o in other]
             return out
 
@@ -282,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             own = members.join(groups.select("bucket", "pc"), "bucket")
             sizes = own.groupBy("bucket", "pc").agg(F.count_if(F.col("comp") != F.col("pc")).alias("n_minor"), F.count_if(F.col("comp") == F.col("pc")).alias("n_major"))
-            known = reps.select("rep", "n", "registers").dropDuplicates(["rep"])
+            known = reps.select("rep", "n", F.substring("registers", 1, REGISTERS).alias("low")).dropDuplicates(["rep"])
             pairs = _block_pairs(_blocks(members.join(known, "rep"), sizes), all_pairs=turn == TURNS - 1)
         pairs = pairs.distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
