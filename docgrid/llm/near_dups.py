@@ -7,7 +7,8 @@ registers that agree, are larger or are smaller estimates the Jaccard similarity
 confirmed on the full sets.
 
 Groups of any size stay distributed. Equal sets are one class from the start. In a bucket, members are compared with
-one central pivot, the links found are contracted to components, and only buckets that still hold several components
+one central pivot (of a member's pivots, with the one it shares the most buckets with, and with the others only where
+that has not brought them together), the links found are contracted to components, and only buckets that still hold several components
 are looked at again, in blocks of bounded size: members of different components are compared by their registers within
 the block, at first each member's most similar partners are confirmed, and in the last turn all that may reach the
 threshold. So no link between different components is lost, and no group is expanded into its pairs.
@@ -122,16 +123,10 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(sketch, "doc_id bigint, n_shingles bigint, set_id string, registers binary")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, shingles) of the wanted representatives."""
-
-    def build(batches):
-        words = WordHashes()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["rep", "shingles"])
-
+def whole_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, text) of the wanted representatives, equal rows once."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("binary").alias("text")).join(wanted, "rep", "left_semi")
-    return rows.mapInArrow(build, "rep bigint, shingles array<bigint>")
+    return written(rows.repartition("rep").dropDuplicates(["rep", "text"]), "texts")
 
 
 def bucket_rows(reps: DataFrame) -> DataFrame:
@@ -160,17 +155,33 @@ def _likely(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(keep, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _exact(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, ta, tb) that reach the threshold on the full sets of their texts."""
+
+    def keep(batches):
+        words, last, right = WordHashes(), None, None
+        for batch in batches:
+            mask = []
+            for left, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if right is None or text != last:  # rows come sorted by b
+                    last, right = text, shingle_set(text, words)
+                found = shingle_set(left, words)
+                common = len(np.intersect1d(found, right, assume_unique=True))
+                mask.append(100 * common >= THRESHOLD * (len(found) + len(right) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
+
+    return pairs.mapInArrow(keep, "a bigint, b bigint")
+
+
+def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of representatives that reach the threshold on their full sets."""
     left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
     sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
     likely = written(_likely(sized), "likely")
-    sets = written(full_sets(docs, likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct()).dropDuplicates(["rep"]), "sets")
-    both = likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = written(both.where(100 * common >= THRESHOLD * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
-    forget(sets)
+    both = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    links = written(_exact(both), "links")
+    forget(likely)
     return links
 
 
@@ -195,6 +206,12 @@ def connected(edges: DataFrame) -> DataFrame:
             return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    ends = pairs.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b")
+    return ends.where("ca <> cb").select("a", "b")
+
+
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (rep, comp) after the components at both ends of each link have become one."""
     ends = links.join(labels.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
@@ -279,28 +296,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A text from which many others were made shares more buckets than they share among each other: it makes the best pivot.
     central = rows.groupBy("rep").agg(F.sum("size").alias("central"))
     rows = written(rows.join(central, "rep"), "buckets")
+    texts = whole_texts(docs, central.select("rep"))
     tested = None
     for turn in range(TURNS):
         members = rows.join(labels, "rep")
         pivot = F.max(F.struct("central", -F.col("rep"), "rep", "comp"))
         groups = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot.alias("pivot"))
-        # A bucket of two members has been tested in full in the first turn.
+        # A bucket of two members has been settled in the first turn.
         groups = written(groups.where("lo < hi" + (" and members > 2" if turn else "")).select("bucket", "members", F.col("pivot.rep").alias("p"), F.col("pivot.comp").alias("pc")), "groups")
         if groups.isEmpty():
             break
         if turn == 0:
-            pairs = members.join(groups, "bucket").where("comp <> pc").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
+            # The pivot that shares the most buckets with a member comes first; the others only where components still differ.
+            shared = members.join(groups, "bucket").where("comp <> pc").groupBy("rep", "p").agg(F.count(F.lit(1)).alias("k"))
+            shared = written(shared, "shared")
+            best = shared.groupBy("rep").agg(F.max(F.struct("k", -F.col("p"), "p")).alias("best")).select("rep", F.col("best.p").alias("p"))
+            steps = [best, shared.select("rep", "p")]
         else:
             own = members.join(groups.select("bucket", "pc"), "bucket")
             sizes = own.groupBy("bucket", "pc").agg(F.count_if(F.col("comp") != F.col("pc")).alias("n_minor"), F.count_if(F.col("comp") == F.col("pc")).alias("n_major"))
             known = reps.select("rep", "n", F.substring("registers", 1, REGISTERS).alias("low")).dropDuplicates(["rep"])
-            pairs = _block_pairs(_blocks(members.join(known, "rep"), sizes), all_pairs=turn == TURNS - 1)
-        pairs = pairs.distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = confirmed(pairs, reps, docs)
-        if not links.isEmpty():
-            labels = _merged(labels, links)
+            steps = [_block_pairs(_blocks(members.join(known, "rep"), sizes), all_pairs=turn == TURNS - 1).toDF("rep", "p")]
+        for k, step in enumerate(steps):
+            pairs = step.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            if k:
+                pairs = _apart(pairs, labels)
+            pairs = written(pairs, "pairs")
+            tested = pairs if tested is None else tested.union(pairs)
+            links = confirmed(pairs, reps, texts)
+            if not links.isEmpty():
+                labels = _merged(labels, links)
         new = written(rows.join(groups.select("bucket"), "bucket", "left_semi"), "buckets")
         forget(rows)
         rows = new
