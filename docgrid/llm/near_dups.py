@@ -297,6 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     central = rows.groupBy("rep").agg(F.sum("size").alias("central"))
     rows = written(rows.join(central, "rep"), "buckets")
     texts = whole_texts(docs, central.select("rep"))
+    known = written(reps.select("rep", "n", "registers").join(central.select("rep"), "rep", "left_semi"), "known")
     tested = None
     for turn in range(TURNS):
         members = rows.join(labels, "rep")
@@ -315,8 +316,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             own = members.join(groups.select("bucket", "pc"), "bucket")
             sizes = own.groupBy("bucket", "pc").agg(F.count_if(F.col("comp") != F.col("pc")).alias("n_minor"), F.count_if(F.col("comp") == F.col("pc")).alias("n_major"))
-            known = reps.select("rep", "n", F.substring("registers", 1, REGISTERS).alias("low")).dropDuplicates(["rep"])
-            steps = [_block_pairs(_blocks(members.join(known, "rep"), sizes), all_pairs=turn == TURNS - 1).toDF("rep", "p")]
+            low = known.select("rep", "n", F.substring("registers", 1, REGISTERS).alias("low")).dropDuplicates(["rep"])
+            steps = [_block_pairs(_blocks(members.join(low, "rep"), sizes), all_pairs=turn == TURNS - 1).toDF("rep", "p")]
         for k, step in enumerate(steps):
             pairs = step.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
             if tested is not None:
@@ -325,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 pairs = _apart(pairs, labels)
             pairs = written(pairs, "pairs")
             tested = pairs if tested is None else tested.union(pairs)
-            links = confirmed(pairs, reps, texts)
+            links = confirmed(pairs, known, texts)
             if not links.isEmpty():
                 labels = _merged(labels, links)
         new = written(rows.join(groups.select("bucket"), "bucket", "left_semi"), "buckets")
