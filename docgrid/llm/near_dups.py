@@ -46,6 +46,8 @@ BLOCK = 512
 MARGIN = 5.0
 #: Equal low bytes of registers below which blocks give a pair up: as many deviations below what the threshold lets expect.
 EQUAL = REGISTERS * THRESHOLD / 100 - MARGIN * np.sqrt(REGISTERS * THRESHOLD * (100 - THRESHOLD)) / 100
+#: Ids that are broadcast at most (8 bytes each), to leave out other rows before a shuffle; more are joined by shuffle.
+FEW = 500_000
 _CHUNK = 1024
 
 
@@ -123,9 +125,14 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(sketch, "doc_id bigint, n_shingles bigint, set_id string, registers binary")
 
 
+def _only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose rep is wanted (a written table of one column)."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "rep", "left_semi")
+
+
 def whole_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, text) of the wanted representatives, equal rows once."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("binary").alias("text")).join(wanted, "rep", "left_semi")
+    rows = _only(docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("binary").alias("text")), wanted)
     return written(rows.repartition("rep").dropDuplicates(["rep", "text"]), "texts")
 
 
@@ -175,10 +182,13 @@ def _exact(pairs: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of representatives that reach the threshold on their full sets."""
+    ends = lambda of: written(of.select(F.col("a").alias("rep")).union(of.select("b")).distinct(), "ends")
+    reps = _only(reps, ends(pairs))
     left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
     sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
     likely = written(_likely(sized), "likely")
+    texts = _only(texts, ends(likely))
     both = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     links = written(_exact(both), "links")
     forget(likely)
@@ -296,8 +306,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A text from which many others were made shares more buckets than they share among each other: it makes the best pivot.
     central = rows.groupBy("rep").agg(F.sum("size").alias("central"))
     rows = written(rows.join(central, "rep"), "buckets")
-    texts = whole_texts(docs, central.select("rep"))
-    known = written(reps.select("rep", "n", "registers").join(central.select("rep"), "rep", "left_semi"), "known")
+    crowd = written(central.select("rep"), "crowd")
+    texts = whole_texts(docs, crowd)
+    known = written(_only(reps.select("rep", "n", "registers"), crowd), "known")
     tested = None
     for turn in range(TURNS):
         members = rows.join(labels, "rep")
