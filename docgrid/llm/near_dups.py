@@ -300,8 +300,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Equal sets are one class, named by its smallest id.
     reps = written(sketched.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "reps")
     labels = reps.select("rep", F.col("rep").alias("comp")).distinct()
-    rows = bucket_rows(reps)
-    crowded = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Both sides of the join read the same exchange: it has the same columns in each.
+    rows = bucket_rows(reps).repartition("bucket")
+    crowded = rows.groupBy("bucket").agg(F.count("rep").alias("size")).where("size > 1")
     rows = written(rows.join(crowded, "bucket"), "buckets")
     # A text from which many others were made shares more buckets than they share among each other: it makes the best pivot.
     central = rows.groupBy("rep").agg(F.sum("size").alias("central"))
