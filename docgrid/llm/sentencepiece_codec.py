@@ -290,7 +290,8 @@ def decode(df: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         codec = Codec(path)
         for batch in batches:
-            found = [None if ids is None else codec.decode(ids) for ids in batch.column(at).to_pylist()]
+            # Numbers become Python objects a row at a time: a whole batch of them would take hundreds of MB.
+            found = [codec.decode(ids.values.to_numpy().tolist()) if ids.is_valid else None for ids in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=names)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
