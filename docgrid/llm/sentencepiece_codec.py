@@ -33,7 +33,7 @@ MODEL = "piece_bpe_32k.model"
 TOKENIZERS = "/opt/tokenizers"
 DROPOUT, SEED, VARIANTS = 0.1, 10, 2
 #: Words of all variants that a worker remembers.
-CACHE = 1_000_000
+CACHE = 500_000
 #: Cut-outs of more characters go through the agenda one by one and are not remembered.
 LONG = 64
 #: Texts that are cut up at a time.
