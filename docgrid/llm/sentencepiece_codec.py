@@ -2,9 +2,10 @@
 
 The encoder runs SentencePiece's BPE over its vocabulary: an agenda holds the candidate merges of neighbouring symbols,
 best score first, the leftmost of equals first. With dropout, a candidate that comes up is skipped for good if a keyed
-hash of it (key: seed and variant; message: merged piece and position) falls below the dropout rate. The result varies
-with the seed and the variant, needs no random state, and repeats exactly on any executor. Every document gets one of
-VARIANTS variants by a keyed hash of its id, so the pieces of a word can be kept in a bounded cache by variant.
+hash of it (key: seed, document id and number of the cut-out in the text; message: merged piece and position) falls
+below the dropout rate. So each occurrence of a word is dealt its own pieces. The result needs no random state and
+repeats exactly on any executor. A bounded cache holds what no key changes: the pieces of a word without dropout, and
+the merges that lead to them. An occurrence none of whose merges is skipped has these pieces; any other is encoded anew.
 
 No piece of such vocabularies has a blank after a non-blank or a line break anywhere, so texts are cut there and each
 cut-out is encoded by itself; the constructor verifies that. Characters without a piece, and a literal U+2581 (which
@@ -20,6 +21,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +33,33 @@ from pyspark.sql import types as T
 
 MODEL = "piece_bpe_32k.model"
 TOKENIZERS = "/opt/tokenizers"
-DROPOUT, SEED, VARIANTS = 0.1, 10, 2
-#: Words of all variants that a worker remembers.
-CACHE = 500_000
+DROPOUT, SEED = 0.1, 10
+#: Words that a worker remembers.
+CACHE = 250_000
 #: Cut-outs of more characters go through the agenda one by one and are not remembered.
 LONG = 64
 #: Texts that are cut up at a time.
-GROUP = 256
+GROUP = 64
 SPACE = "▁"
 _CUT = re.compile(r"\n[^ \n]*| +[^ \n]*")
 _MASK = (1 << 64) - 1
+_PIECE, _POS, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+
+
+def _message(piece: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    return piece.astype(np.uint64) * np.uint64(_PIECE) + pos.astype(np.uint64) * np.uint64(_POS)
+
+
+def _hashed(message: np.ndarray, key) -> np.ndarray:
+    """Keyed hashes; key: one for all messages, or one for each."""
+    h = message ^ key
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(_MIX)
+    return h ^ (h >> np.uint64(29))
+
+
+def occurrence_keys(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Dropout keys of cut-outs, from the keys of their documents and their numbers in the text."""
+    return _hashed((numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(_PIECE), keys)
 
 
 class Codec:
@@ -89,8 +108,8 @@ class Codec:
             if gone[i] or gone[j] or after[i] != j or len(symbols[i]) + len(symbols[j]) != len(piece):
                 continue
             if key is not None:
-                h = ((ids[piece] * 0x9E3779B97F4A7C15 + i * 0xC2B2AE3D27D4EB4F) ^ key) & _MASK
-                h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & _MASK
+                h = ((ids[piece] * _PIECE + i * _POS) ^ key) & _MASK
+                h = ((h ^ (h >> 32)) * _MIX) & _MASK
                 if (h ^ (h >> 29)) < rate:
                     continue
             symbols[i] = piece
@@ -138,7 +157,13 @@ class Batch:
                 if left is not None and right is not None:
                     pairs[left << 20 | right] = i
         self.keys = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.merged = np.array([*(pairs[k] for k in self.keys.tolist()), 0], np.int64)
+        # A pair's place among the keys by its slot: behind the last if there is none, -1 where several keys share one.
+        slots = self._slot(self.keys)
+        self.place = np.full(1 << 20, len(self.keys), np.int32)
+        self.place[slots] = np.arange(len(self.keys))
+        self.place[np.bincount(slots, minlength=1 << 20) > 1] = -1
+        self.keys = np.append(self.keys, np.iinfo(np.int64).max)
         self.rank = rank
         self.chars = np.full(0x110000, -1, np.int64)
         for piece, i in codec.ids.items():
@@ -151,19 +176,26 @@ class Batch:
 
     _NONE = np.iinfo(np.int64).max
 
-    def _priority(self, left: np.ndarray, right: np.ndarray, pos: np.ndarray, key: int | None, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _slot(pair: np.ndarray) -> np.ndarray:
+        return ((pair.view(np.uint64) * np.uint64(_PIECE)) >> np.uint64(44)).view(np.int64)
+
+    def _priority(self, left: np.ndarray, right: np.ndarray, pos: np.ndarray, key: np.ndarray | None, rate: int) -> tuple[np.ndarray, np.ndarray]:
         """For neighbouring symbols: the piece they merge to (0 for none) and the candidate's place in the agenda."""
         pair = np.where((left < 0) | (right < 0), -1, left << 20 | right)
-        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-        valid = self.keys[at] == pair
-        piece = np.where(valid, self.merged[at], 0)
+        at = self.place[self._slot(pair)]
+        shared = np.flatnonzero(at < 0)
+        at[shared] = np.searchsorted(self.keys, pair[shared])
+        valid = np.flatnonzero(self.keys[at] == pair)
+        piece, prio = np.zeros(len(pair), np.int64), np.full(len(pair), self._NONE)
+        piece[valid] = self.merged[at[valid]]
         if key is not None:
-            h = (piece.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ np.uint64(key)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            valid &= (h ^ (h >> np.uint64(29))) >= np.uint64(rate)
-        return piece, np.where(valid, self.rank[piece] << 20 | pos, self._NONE)
+            valid = valid[_hashed(_message(piece[valid], pos[valid]), key[valid]) >= np.uint64(rate)]
+        prio[valid] = self.rank[piece[valid]] << 20 | pos[valid]
+        return piece, prio
 
-    def encode(self, texts: list[str], key: int | None, rate: int) -> list[bytes]:
+    def encode(self, texts: list[str], keys: np.ndarray | None, rate: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, their number by text, messages of the merges made, their number by text). keys: one a text, or None for no dropout."""
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         sym = self.chars[chars]
@@ -172,8 +204,10 @@ class Batch:
         same = np.zeros(len(sym), bool)
         same[:-1] = word[:-1] == word[1:]
         right = np.append(sym[1:], -1)
-        piece, prio = self._priority(sym, np.where(same, right, -1), pos, key, rate)
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        of = (lambda w: None) if keys is None else keys.__getitem__
+        piece, prio = self._priority(sym, np.where(same, right, -1), pos, of(word), rate)
+        done = [(word[:0], sym[:0], pos[:0])]
+        made = [(word[:0], piece[:0], pos[:0])]
         while len(sym):
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             sizes = np.diff(np.append(starts, len(sym)))
@@ -186,6 +220,8 @@ class Batch:
                     break
             at = np.flatnonzero(prio == best)
             sym[at] = piece[at]
+            if keys is None:
+                made.append((word[at], piece[at], pos[at]))
             stay = np.ones(len(sym), bool)
             stay[at + 1] = False
             moved = at - np.arange(len(at))  # where the merged symbols stand once their right halves are gone
@@ -194,47 +230,113 @@ class Batch:
             for i in (moved, moved[moved > 0] - 1):
                 nxt = np.minimum(i + 1, len(sym) - 1)
                 other = np.where((nxt > i) & (word[nxt] == word[i]), sym[nxt], -1)
-                piece[i], prio[i] = self._priority(sym[i], other, pos[i], key, rate)
-        if not done:
-            return []
+                piece[i], prio[i] = self._priority(sym[i], other, pos[i], of(word[i]), rate)
         word, sym, pos = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(word, kind="stable")
         word, sym, pos = word[order], sym[order], pos[order]
-        bounds = np.searchsorted(word, np.arange(len(texts) + 1)).tolist()
-        odd = set(word[sym < 0].tolist())
-        flat = sym.astype(np.int32).tobytes()
-        out = [flat[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]
-        for w in odd:  # characters without a piece, as bytes
-            ids = []
-            for s, p in zip(sym[bounds[w] : bounds[w + 1]].tolist(), pos[bounds[w] : bounds[w + 1]].tolist()):
-                ids += [s] if s >= 0 else [self.codec.bytes[c] for c in texts[w][p].encode()]
-            out[w] = np.array(ids, np.int32).tobytes()
-        return out
-
-
-class Words(dict):
-    """Cut-out -> ids (as int32 bytes) under one dropout key. Keys lack the blank before a word."""
-
-    def __init__(self, batch: Batch, key: int | None, dropout: float, room: int = CACHE // VARIANTS):
-        super().__init__()
+        odd = np.flatnonzero(sym < 0)
+        if len(odd):  # characters without a piece, as bytes
+            own = [[self.codec.bytes[c] for c in texts[w][p].encode()] for w, p in zip(word[odd].tolist(), pos[odd].tolist())]
+            sizes = np.ones(len(sym), np.int64)
+            sizes[odd] = [len(b) for b in own]
+            at = np.repeat(sym < 0, sizes)
+            word, sym = np.repeat(word, sizes), np.repeat(sym, sizes)
+            sym[at] = np.concatenate(own)
+        owner, piece, pos = (np.concatenate(x) for x in zip(*made))
+        order = np.argsort(owner, kind="stable")
+        return sym.astype(np.int32), np.bincount(word, minlength=len(texts)), _message(piece[order], pos[order]), np.bincount(owner, minlength=len(texts))
+
+
+class Runs:
+    """Rows of numbers of any length, behind one another; row 0 is empty."""
+
+    def __init__(self, kind):
+        self.flat, self.ends = np.zeros(1 << 12, kind), np.zeros(1 << 10, np.int64)
+        self.rows = 1
+
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        first, rows = int(self.ends[self.rows - 1]), self.rows + len(sizes)
+        for name, need in (("flat", first + len(flat)), ("ends", rows)):
+            old = getattr(self, name)
+            if need > len(old):
+                setattr(self, name, np.concatenate([old, np.zeros(max(len(old) // 2, need - len(old)), old.dtype)]))
+        self.flat[first : first + len(flat)] = flat
+        self.ends[self.rows : rows] = first + np.cumsum(sizes)
+        self.rows = rows
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the rows, their sizes)"""
+        first = self.ends[np.maximum(rows, 1) - 1]
+        sizes = self.ends[rows] - first
+        return self.flat[_spread(first, sizes)], sizes
+
+
+def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (sizes[0] numbers), first[1], ..."""
+    return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+
+
+class Words:
+    """Cut-outs by what no dropout key changes: their ids without dropout and the merges behind them. They lack the
+    blank before a word. key: of texts that come without keys of their own, None for no dropout."""
+
+    def __init__(self, batch: Batch, key: int | None, dropout: float, room: int = CACHE):
         self.batch, self.key, self.rate, self.room = batch, key, int(dropout * 2.0**64), room
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids, self.merges = Runs(np.int32), Runs(np.uint64)
+
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words.difference(self.at) if len(w) <= LONG]
+        if len(self.at) + len(new) > self.room:
+            self._clear()
+            new = [w for w in words if len(w) <= LONG]
+        ids, sizes, merges, made = self.batch.encode(list(map(_whole, new)), None, 0)
+        self.at.update(zip(new, range(self.ids.rows, self.ids.rows + len(new))))
+        self.ids.extend(ids, sizes)
+        self.merges.extend(merges, made)
+
+    def encode(self, texts: list[str], keys: np.ndarray | None = None) -> list[np.ndarray]:
+        """Ids of each text. keys: of the texts' documents; each occurrence of a cut-out then has its own key."""
         cuts = [_cut(t) for t in texts]
-        new = list(set().union(*cuts).difference(self))
-        if len(self) + len(new) > self.room:
-            self.clear()
-            new = list(set().union(*cuts))
-        short = [w for w in new if len(w) <= LONG]
-        self.update(zip(short, self.batch.encode([w if w[:1] == "\n" else " " + w for w in short], self.key, self.rate)))
-        codec, long = self.batch.codec, [w for w in new if len(w) > LONG]
-        for w in long:
-            symbols = [SPACE if c == " " else None if c == SPACE else c for c in (w if w[:1] == "\n" else " " + w)]
-            self[w] = np.array(codec.pieces(symbols, self.key, self.rate), np.int32).tobytes()
-        found = [np.frombuffer(b"".join(map(self.__getitem__, c)), np.int32) for c in cuts]
-        for w in long:
-            del self[w]
-        return found
+        self._learn(set().union(*cuts))
+        flat = [w for c in cuts for w in c]
+        counts = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        if keys is not None:
+            own = occurrence_keys(np.repeat(keys, counts), _spread(np.zeros(len(cuts), np.int64), counts))
+        else:
+            own = None if self.key is None else np.full(len(flat), self.key, np.uint64)
+        rows = np.fromiter(map(self.at.get, flat, repeat(0)), np.int64, len(flat))  # long ones are in row 0
+        parts = []
+        if own is not None:
+            messages, made = self.merges.take(rows)
+            skipped = _hashed(messages, np.repeat(own, made)) < np.uint64(self.rate)
+            anew = np.unique(np.repeat(np.arange(len(flat)), made)[skipped])
+            rows[anew] = 0
+            ids, sizes, _, _ = self.batch.encode([_whole(flat[i]) for i in anew.tolist()], own[anew], self.rate)
+            parts.append((anew, ids, sizes))
+        for i, w in enumerate(flat):
+            if len(w) > LONG:
+                symbols = [SPACE if c == " " else None if c == SPACE else c for c in _whole(w)]
+                ids = np.array(self.batch.codec.pieces(symbols, None if own is None else int(own[i]), self.rate), np.int32)
+                parts.append((np.array([i]), ids, np.array([len(ids)])))
+        ids, sizes = self.ids.take(rows)
+        kept = np.flatnonzero(rows)
+        parts.append((kept, ids, sizes[kept]))
+        for at, _, n in parts:
+            sizes[at] = n
+        ends = np.cumsum(sizes)
+        out = np.empty(int(sizes.sum()), np.int32)
+        for at, ids, n in parts:
+            out[_spread(ends[at] - n, n)] = ids
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
+        return [out[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def _whole(cut: str) -> str:
+    return cut if cut[:1] == "\n" else " " + cut
 
 
 def _cut(text: str) -> list[str]:
@@ -253,31 +355,31 @@ def model_path(path: str | None = None) -> str:
     return path or os.path.join(TOKENIZERS, MODEL)
 
 
-def variant_of(id_col: str, seed: int = SEED, variants: int = VARIANTS):
-    """The document's variant: a keyed hash of its id."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(variants)).cast("int")
+def variant_of(id_col: str, seed: int = SEED):
+    """The document's variant, which is its dropout key: a keyed hash of its id."""
+    return F.xxhash64(F.col(id_col), F.lit(seed))
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
-    """df with columns variant and ids (array<int>)."""
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """df with columns variant (bigint) and ids (array<int>)."""
     path = model_path(path)
     names = [*df.columns, "variant", "ids"]
     at = df.columns.index(text_col)
 
     def run(batches):
-        batch_codec = Batch(Codec(path))
-        words = [Words(batch_codec, dropout_key(seed, v) if dropout else None, dropout, CACHE // variants) for v in range(variants)]
-        for batch in batches:
-            found: list = [None] * batch.num_rows
-            texts, kinds = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            for first in range(0, batch.num_rows, GROUP):
-                for v in range(variants):
-                    rows = [i for i in range(first, min(first + GROUP, batch.num_rows)) if kinds[i] == v and texts[i] is not None]
-                    for i, ids in zip(rows, words[v].encode([texts[i] for i in rows]) if rows else []):
-                        found[i] = ids
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=names)
-
-    with_variant = df.withColumn("variant", variant_of(id_col, seed, variants))
+        words = Words(Batch(Codec(path)), None, dropout)
+        for whole in batches:
+            for first in range(0, whole.num_rows, GROUP):
+                batch = whole.slice(first, GROUP)
+                texts = batch.column(at).to_pylist()
+                rows = [i for i, t in enumerate(texts) if t is not None]
+                keys = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)[rows] if dropout else None
+                found: list = [None] * batch.num_rows
+                for i, ids in zip(rows, words.encode([texts[i] for i in rows], keys)):
+                    found[i] = ids
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=names)
+
+    with_variant = df.withColumn("variant", variant_of(id_col, seed))
     return with_variant.mapInArrow(run, T.StructType([*with_variant.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 

@@ -364,6 +364,23 @@ def test_codec_frames(spark, odd, none):
     assert sentencepiece_codec.digests(none).count() == 0
 
 
+def test_dropout_by_document_and_place(spark, codec):
+    n = 12
+    docs = spark.createDataFrame([(i, "documentation " * n) for i in range(40)], "doc_id bigint, text string")
+    rows = sentencepiece_codec.encode(docs).collect()
+    blank = sentencepiece_codec.SPACE
+    seen = set()
+    for r in rows:
+        key, wanted = np.array([r.variant]).view(np.uint64), []
+        for k, cut in enumerate(sentencepiece_codec._cut(r.text)):
+            own = int(sentencepiece_codec.occurrence_keys(key, np.array([k]))[0])
+            wanted.append(tuple(codec.pieces([blank, *cut], own, int(sentencepiece_codec.DROPOUT * 2.0**64))))
+        assert r.ids == [i for w in wanted for i in w]
+        seen |= set(wanted[:n])
+    # One word has more than the two segmentations of two fixed variants, also within one document.
+    assert len({tuple(r.ids) for r in rows}) > 30 and len(seen) > 10
+
+
 # --- the pipeline ---
 
 
