@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are taken in blocks of at most BLOCK_WORDS words, so what a task holds of them is bounded however large the
-benchmark is. For each block, a first pass over all documents counts in how many documents each of the block's n-grams
-occurs. Seeds are the rare ones (in at most RARE of all documents), and in any case each item's RAREST rarest, so an
-item that a third of the corpus has copied keeps its seeds. A second pass finds the seeds in each document, gathers
-hits near a common diagonal, and aligns the item with that stretch of the document by words. Substituted, inserted and
-dropped words lower the score without ending the alignment, so edited and paraphrased copies are found too.
+benchmark is. For each block, one pass over all documents finds its n-grams in each document, gathers hits near a
+common diagonal, and aligns the item with that stretch of the document by words. Substituted, inserted and dropped words
+lower the score without ending the alignment, so edited and paraphrased copies are found too. Every n-gram of an item is
+a seed, however many documents have it, so a document's verdict depends on no other document.
 
 Defined results: words are compared with A-Z lower-cased and punctuation at their ends taken off; null and empty texts
 and items match nothing; items shorter than SEED words are seeded by their whole sequence; repeated rows are each
@@ -25,9 +24,6 @@ from pyspark.sql import functions as F
 from ._shared import WordHashes, window_hashes
 
 SEED = 3
-#: An n-gram is rare if at most this share of the documents has it.
-RARE = 0.0005
-RAREST = 8
 BLOCK_WORDS = 1_000_000
 #: Hits whose diagonals differ by at most so many words belong together.
 BAND = 12
@@ -69,25 +65,21 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[float, int, int]:
 class Seeds:
     """The n-grams of a block of items, and where they stand."""
 
-    def __init__(self, items: list[tuple[int, bytes]], kept: np.ndarray | None = None):
+    def __init__(self, items: list[tuple[int, bytes]]):
         cache = WordHashes(ENDS)
         self.ids = [i for i, _ in items]
         self.words = [words_of(t, cache) for _, t in items]
         grams = [window_hashes(w, SEED) for w in self.words]
         self.keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]))
-        if kept is not None:
-            self.keys = self.keys[kept]
         # A table of the keys' low bits spares most n-grams the binary search.
         self.bits = max(12, int(len(self.keys)).bit_length() + 4)
         self.table = np.zeros(1 << self.bits, bool)
         self.table[(self.keys & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
         self.short = {len(w) for w in self.words if 0 < len(w) < SEED}
         self.where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        known = set(self.keys.tolist())
         for k, g in enumerate(grams):
             for at, h in enumerate(g.tolist()):
-                if h in known:
-                    self.where[h].append((k, at))
+                self.where[h].append((k, at))
 
     def found(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(keys, positions) of the seeds in a document."""
@@ -156,38 +148,12 @@ def blocks(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
     return (block(k) for k in range(count))
 
 
-def rare_seeds(docs: DataFrame, items: list[tuple[int, bytes]], total: int) -> Seeds:
-    """Seeds of a block, chosen by the number of documents that have each n-gram."""
-    every = Seeds(items)
-
-    def count(batches):
-        cache, held = WordHashes(ENDS), np.zeros(len(every.keys), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = np.unique(every.found(words_of(text, cache))[0])
-                held[np.searchsorted(every.keys, found)] += 1
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["seed", "n"])
-
-    # As many rows as the block has n-grams, at most.
-    counted = docs.select(F.col("text").cast("binary")).mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(len(every.keys), np.int64)
-    for row in counted:
-        n[row.seed] = row.n
-    kept = n <= max(2, RARE * total)
-    for words in every.words:
-        own = np.unique(np.searchsorted(every.keys, window_hashes(words, SEED)))
-        kept[own[np.lexsort((own, n[own]))][:RAREST]] = True
-    return Seeds(items, kept)
-
-
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, word_start, word_end), one row a document and item it copies."""
     docs = docs.select("doc_id", "text")
-    total = docs.count()
     out = None
     for items in blocks(benchmark):
-        seeds = rare_seeds(docs, items, total)
+        seeds = Seeds(items)
 
         def search(batches, seeds=seeds):
             cache = WordHashes(ENDS)

@@ -209,6 +209,22 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_edited_copies_of_a_popular_item(spark):
+    rng = np.random.default_rng(3)
+    items = [[f"w{i}_{k}" for k in range(n)] for i, n in enumerate((24, 32, 40, 48))]
+    rows, wanted = [], set()
+    for doc in range(400):
+        k = doc % 4
+        copy = [f"e{doc}_{j}" if rng.random() < 0.25 else x for j, x in enumerate(items[k])]
+        rows.append((doc, " ".join(["before", "it", *copy, "and", "after"])))
+        words = {x: j for j, x in enumerate(dict.fromkeys(items[k] + copy))}
+        if decontaminate.align(np.array([words[x] for x in items[k]]), np.array([words[x] for x in copy]))[0] >= decontaminate.COPIED:
+            wanted.add((doc, k))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    assert len(wanted) > 200 and {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()} == wanted
+
+
 # --- 6 ---
 
 CONV = "conv_id bigint, turn bigint, role string, text string"
