@@ -7,7 +7,8 @@ ordinary dictionary minus that with the toxic one. A document's score is a calib
 gain and its gain summed over all windows: gains are cross-fitted (dictionaries of one half measure the other), and a
 logistic curve is fitted to them.
 
-The classifier is fitted on at most SAMPLE labelled rows of each class, taken by the order of a hash; every row is
+The classifier is fitted on at most SAMPLE labelled rows of each class, taken by the order of a hash and weighted by the
+class's true count among the labelled rows, so the threshold means the same however many labels there are; every row is
 scored on its whole text. Labels, language, source and id are no inputs of a score.
 
 Defined results: null and empty texts have no windows and get the score of gain zero; training tables that lack one of
@@ -23,6 +24,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import xxhash
 import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +89,17 @@ def _telling(own: Counter, other: Counter, n_own: int, n_other: int) -> list[byt
     return [w for _, w in sorted(scored)]
 
 
+def _base_passages(ordinary: list[bytes]) -> list[bytes]:
+    """Windows of all the texts, of about BASE_SAMPLE bytes together: those with the least hashes."""
+    room, kept = BASE_SAMPLE, []
+    for w in sorted({w for t in ordinary for w in windows(t)}, key=xxhash.xxh64_intdigest):
+        if room <= 0:
+            break
+        kept.append(w)
+        room -= len(w)
+    return kept
+
+
 def train(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """(toxic, ordinary) dictionary contents."""
     seen = []
@@ -102,14 +115,7 @@ def train(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
         # Passages of telling words, as long as a window, for the trainer to choose segments from.
         samples = [b"".join(rng.sample(words, min(12, len(words)))) for _ in range(40 * min(len(words), 200))]
         parts.append((_trained(samples, CLASS_BYTES // 2) + b"".join(words)[-CLASS_BYTES // 2 :])[-CLASS_BYTES:])
-    room = BASE_SAMPLE
-    pieces = []
-    for t in ordinary:
-        if room <= 0:
-            break
-        pieces += windows(t)
-        room -= len(t)
-    base = _trained(pieces, BASE_BYTES)
+    base = _trained(_base_passages(ordinary), BASE_BYTES)
     size = max(map(len, parts))
     parts = [p.rjust(size, b"\0") for p in parts]
     for _ in range(MINED):
@@ -158,16 +164,21 @@ class Gains:
         return float(max(gains)), total / math.sqrt(n), total / n, -sum(g for g in gains if g < 0) / n
 
 
-def _logistic(rows: list[tuple[float, ...]], labels: list[int]) -> tuple[float, ...]:
-    """Weights of a logistic curve by Newton's method with a slight ridge; classes weighted by their counts."""
+def _logistic(rows: list[tuple[float, ...]], labels: list[int], counts: tuple[int, int] | None = None) -> tuple[float, ...]:
+    """Weights of a logistic curve by Newton's method with a slight ridge. counts: true counts of toxic and ordinary
+    rows, by which the rows of a class are weighted; without them, every row counts once."""
     import numpy as np
 
     x = np.column_stack([np.ones(len(rows)), np.array(rows)])
     y, w = np.array(labels, float), np.zeros(x.shape[1])
+    each = np.ones(len(y))
+    if counts:
+        each = np.where(y == 1, counts[0] / max(1, labels.count(1)), counts[1] / max(1, labels.count(0)))
+        each *= len(y) / each.sum()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + 0.01 * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(x.shape[1])
+        grad = x.T @ (each * (p - y)) + 0.01 * w
+        hess = (x * (each * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(x.shape[1])
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -175,7 +186,8 @@ def _logistic(rows: list[tuple[float, ...]], labels: list[int]) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes]) -> Fitted | None:
+def fit(toxic: list[bytes], ordinary: list[bytes], counts: tuple[int, int] | None = None) -> Fitted | None:
+    """counts: labelled rows of both classes of which the texts are a sample."""
     if not toxic or not ordinary:
         return None
     rows, labels = [], []
@@ -186,7 +198,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Fitted | None:
             for label, texts in ((1, halves[k][0]), (0, halves[k][1])):
                 rows += [_shaped(gains.of(t)) for t in texts]
                 labels += [label] * len(texts)
-    weights = _logistic(rows, labels) if len(set(labels)) == 2 else (-2.0, 0.4, 0.0, 0.0, 0.0)
+    weights = _logistic(rows, labels, counts) if len(set(labels)) == 2 else (-2.0, 0.4, 0.0, 0.0, 0.0)
     return (*train(toxic, ordinary), weights)
 
 
@@ -199,11 +211,22 @@ def probability(model: Fitted, gain: tuple[float, ...]) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out: int | None = 1) -> tuple[list[bytes], list[bytes]]:
-    """At most SAMPLE texts of each class; held_out: the remainder of crc32(doc_id) mod 3 that is never learnt from."""
+def _labelled(labels: DataFrame, held_out: int | None) -> DataFrame:
     rows = labels.where("toxic is not null and doc_id is not null")
     if held_out is not None:
         rows = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != held_out)
+    return rows
+
+
+def class_counts(labels: DataFrame, held_out: int | None = 1) -> tuple[int, int]:
+    """Labelled ids of both classes (toxic, ordinary), from which training_rows takes its sample."""
+    found = {r.toxic: r.n for r in _labelled(labels, held_out).select("doc_id", "toxic").distinct().groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return found.get(1, 0), found.get(0, 0)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, held_out: int | None = 1) -> tuple[list[bytes], list[bytes]]:
+    """At most SAMPLE texts of each class; held_out: the remainder of crc32(doc_id) mod 3 that is never learnt from."""
+    rows = _labelled(labels, held_out)
     out = []
     for label in (1, 0):
         ids = rows.where(F.col("toxic") == label).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
@@ -232,7 +255,7 @@ def scored(docs: DataFrame, model: Fitted | None) -> DataFrame:
 
 def fitted(spark: SparkSession, sf_dir: str) -> Fitted | None:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return fit(*training_rows(docs, labels))
+    return fit(*training_rows(docs, labels), class_counts(labels))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

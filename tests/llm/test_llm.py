@@ -289,6 +289,20 @@ def test_toxicity_held_out(spark, odd, none):
     assert all(r.score == 0 for r in toxicity.scored(odd, None).collect()) and toxicity.scored(none, None).count() == 0
 
 
+def test_sampled_classes_weigh_as_all():
+    rng = np.random.default_rng(4)
+    toxic, clean = [(float(x),) for x in rng.normal(2, 1, 400)], [(float(x),) for x in rng.normal(0, 1, 8000)]
+    whole = toxicity._logistic(toxic + clean, [1] * 400 + [0] * 8000)
+    part = toxicity._logistic(toxic + clean[:1000], [1] * 400 + [0] * 1000, (400, 8000))
+    assert max(abs(a - b) for a, b in zip(whole, part)) < 0.4
+
+
+def test_base_covers_every_text():
+    texts = [b" ".join(b"t%dw%d" % (i, k) for k in range(4000)) for i in range(100)]
+    passages = toxicity._base_passages(texts)
+    assert {w.split()[0].split(b"w")[0] for w in passages} == {b"t%d" % i for i in range(100)} and sum(map(len, passages)) < toxicity.BASE_SAMPLE + toxicity.WINDOW
+
+
 # --- 9 ---
 
 
