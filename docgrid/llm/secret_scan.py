@@ -31,6 +31,8 @@ RUN = r"[A-Za-z0-9+/=_\-]*[0-9][A-Za-z0-9+/=_\-]*"
 #: A word that may hold a secret: a long key-like run with a digit, or anything after an assignment in the word itself.
 CANDIDATE = r"(?=[A-Za-z0-9+/=_\-]*[0-9])[A-Za-z0-9+/=_\-]{14,}"
 NAMES = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth|credential|private[_\-]?key)"
+#: An assignment within a word; its value is group 3.
+ASSIGNED = NAMES + r"[\"']?\s*[:=]\s*[\"']?([^\s\"']{8,})"
 HASHES = r"(?i)(commit|sha-?\d*|md5|checksum|digest|etag|uuid|guid|build|revision|version|blob|card|account|phone|order|invoice|isbn|serial)"
 PATHS = r"(?i)(test|spec|example|sample|fixture|mock|docs?/|readme|vendor|\.lock|\.sum)"
 #: Words that do not occur in generated keys.
@@ -82,15 +84,25 @@ def candidates(text: Column) -> Column:
 
     def of_words(words: Column) -> Column:
         last = F.size(words) - 1
-        at = F.filter(F.sequence(F.lit(0), last), lambda i: F.get(words, i).rlike(CANDIDATE) | F.get(words, i).rlike(NAMES + r"[\"']?\s*[:=]\s*[\"']?[^\s\"']{8,}"))
+        at = F.filter(F.sequence(F.lit(0), last), lambda i: F.get(words, i).rlike(CANDIDATE) | F.get(words, i).rlike(ASSIGNED))
         prev = lambda i, k: F.when(i >= k, F.coalesce(F.get(words, i - k), F.lit(""))).otherwise("")
 
         def in_word(i: Column) -> Column:
             word = F.get(words, i)
-            # A value assigned within the word is the candidate; otherwise each long run is.
-            own = F.regexp_extract(word, NAMES + r"[\"']?\s*[:=]\s*[\"']?([^\s\"']{8,})", 3)
-            runs = F.when(own != "", F.array(own)).otherwise(F.regexp_extract_all(word, F.lit(f"({CANDIDATE})"), F.lit(1)))
-            return F.transform(runs, lambda r: F.struct(i.alias("word"), r.alias("text"), F.concat_ws(" ", prev(i, 2), prev(i, 1), F.split_part(word, r, F.lit(1))).alias("before")))
+            # Values assigned within the word, and each long run beside or within them.
+            values = F.regexp_extract_all(word, F.lit(ASSIGNED), F.lit(3))
+            runs = lambda c: F.regexp_extract_all(c, F.lit(f"({CANDIDATE})"), F.lit(1))
+            inner = F.flatten(F.transform(values, lambda v: F.filter(runs(v), lambda r: r != v)))
+            every = F.concat(values, inner, runs(F.regexp_replace(word, ASSIGNED, " ")))
+
+            def placed(r: Column) -> Column:
+                prefix = F.split_part(word, r, F.lit(1))
+                # What precedes a value in a word of several fields is its own field, not those before.
+                field = F.regexp_extract(prefix, r"[^,;&{}\[\]]*$", 0)
+                before = F.when(F.length(field) < F.length(prefix), field).otherwise(F.concat_ws(" ", prev(i, 2), prev(i, 1), prefix))
+                return F.struct(i.alias("word"), r.alias("text"), before.alias("before"))
+
+            return F.transform(every, placed)
 
         return F.when(last >= 0, F.flatten(F.transform(at, in_word))).otherwise(F.array().cast("array<struct<word:int,text:string,before:string>>"))
 
