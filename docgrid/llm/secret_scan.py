@@ -1,7 +1,7 @@
 """Secret scans [native]: candidates by pattern, false positives removed by a random forest.
 
 Candidates are runs of key-like characters with a digit in them, and values assigned to words such as `password` or
-`token`. Their features are DataFrame expressions: length, shares of character classes, transitions between classes,
+`token`, in the same word or, after a blank, as the word behind (eight characters or more). Their features are DataFrame expressions: length, shares of character classes, transitions between classes,
 entropy, coverage by a dictionary of words that secrets do not contain, marks in the path, and neighbouring words.
 A random forest, trained from labelled findings (at most SAMPLE rows), is emitted as Spark conditional expressions; a
 finding is a secret if the forest's mean vote reaches SECRET.
@@ -33,6 +33,9 @@ CANDIDATE = r"(?=[A-Za-z0-9+/=_\-]*[0-9])[A-Za-z0-9+/=_\-]{14,}"
 NAMES = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth|credential|private[_\-]?key)"
 #: An assignment within a word; its value is group 3.
 ASSIGNED = NAMES + r"[\"']?\s*[:=]\s*[\"']?([^\s\"']{8,})"
+#: The end of the words before a value that an assignment leaves open, and the value itself.
+OPEN = NAMES + r"[\"']?\s*[:=]\s*[\"']?$"
+VALUE = r"^[\"']?([^\s\"']{8,})"
 HASHES = r"(?i)(commit|sha-?\d*|md5|checksum|digest|etag|uuid|guid|build|revision|version|blob|card|account|phone|order|invoice|isbn|serial)"
 PATHS = r"(?i)(test|spec|example|sample|fixture|mock|docs?/|readme|vendor|\.lock|\.sum)"
 #: Words that do not occur in generated keys.
@@ -84,16 +87,20 @@ def candidates(text: Column) -> Column:
 
     def of_words(words: Column) -> Column:
         last = F.size(words) - 1
-        at = F.filter(F.sequence(F.lit(0), last), lambda i: F.get(words, i).rlike(CANDIDATE) | F.get(words, i).rlike(ASSIGNED))
+        opened = lambda i: F.get(words, i).rlike(VALUE) & F.concat_ws(" ", prev(i, 2), prev(i, 1)).rlike(OPEN)
         prev = lambda i, k: F.when(i >= k, F.coalesce(F.get(words, i - k), F.lit(""))).otherwise("")
 
+        at = F.filter(F.sequence(F.lit(0), last), lambda i: F.get(words, i).rlike(CANDIDATE) | F.get(words, i).rlike(ASSIGNED) | opened(i))
+
         def in_word(i: Column) -> Column:
             word = F.get(words, i)
             # Values assigned within the word, and each long run beside or within them.
             values = F.regexp_extract_all(word, F.lit(ASSIGNED), F.lit(3))
             runs = lambda c: F.regexp_extract_all(c, F.lit(f"({CANDIDATE})"), F.lit(1))
             inner = F.flatten(F.transform(values, lambda v: F.filter(runs(v), lambda r: r != v)))
-            every = F.concat(values, inner, runs(F.regexp_replace(word, ASSIGNED, " ")))
+            found = F.concat(values, inner, runs(F.regexp_replace(word, ASSIGNED, " ")))
+            behind = F.regexp_extract(word, VALUE, 1)
+            every = F.when(opened(i) & ~F.array_contains(found, behind), F.concat(F.array(behind), found)).otherwise(found)
 
             def placed(r: Column) -> Column:
                 prefix = F.split_part(word, r, F.lit(1))
