@@ -1,15 +1,23 @@
 """Toxicity: compression-distance classification.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Both begin with the same base, trained on
-ordinary text of all labels, so that a window of plain prose compresses alike with either; what differs is the part
-behind, trained on the passages that are telling for one class. The gain of a window is its compressed length with the
-ordinary dictionary minus that with the toxic one. A document's score is a calibrated function of its largest window
-gain and its gain summed over all windows: gains are cross-fitted (dictionaries of one half measure the other), and a
-logistic curve is fitted to them.
+Two zstandard dictionaries are trained, one on ordinary text and one on toxic text. The ordinary one is trained on all
+windows of the ordinary fitting texts. The toxic one consists of the same content and, before it, what the trainer makes
+of toxic text: of the words whose openings documents of that class hold far more often than chance lets them. So both
+know plain prose alike, and the toxic dictionary shortens a window only by what is telling. The gain of a window is its
+compressed length with the ordinary dictionary minus that with the toxic one.
 
-The classifier is fitted on at most SAMPLE labelled rows of each class, taken by the order of a hash and weighted by the
-class's true count among the labelled rows, so the threshold means the same however many labels there are; every row is
-scored on its whole text. Labels, language, source and id are no inputs of a score.
+Texts are coded before training and compressing: each byte of a word is followed by a byte that depends on the word up
+to there. A match in a dictionary can then only begin where a word begins in the same way, so the middle of an ordinary
+word is not shortened by a toxic word that has the same letters there.
+
+A document's score is a logistic function of how many of its windows reach the gains in REACHED, absolutely and as a
+share, of its largest gain and of its length. The function is calibrated on cross-fitted gains (dictionaries of one
+half measure the other).
+
+The classifier is fitted on at most SAMPLE labelled rows of each class, taken by the order of a hash. Copies among them
+are evidence once only (`distinct_texts`), and the classes are weighted by their true counts, so the threshold means the
+same however many labels there are. Every row is scored on its whole text. Labels, language, source and id are no inputs
+of a score.
 
 Defined results: null and empty texts have no windows and get the score of gain zero; training tables that lack one of
 the classes give the score 0 for all; repeated rows get equal scores; an empty table gives no rows; only id and text
@@ -19,10 +27,11 @@ are read, so other columns may have any name.
 from __future__ import annotations
 
 import math
-import random
 import re
 from collections import Counter
+from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard as zstd
@@ -31,107 +40,99 @@ from pyspark.sql import functions as F
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 3_000
-WINDOW = 160
-BASE_BYTES, CLASS_BYTES = 16 << 10, 6 << 10
-STRATEGY = zstd.STRATEGY_BTOPT
-#: Least log-likelihood ratio of a telling word.
-TELLING = 25.0
-#: Rounds in which ordinary words that resemble toxic ones are added to the base.
-MINED = 3
-MINED_BYTES = 6 << 10
-MINED_FROM = 20_000
+#: Words in a window; longer words are cut.
+WINDOW, LONGEST = 4, 64
+ORDINARY_BYTES, TOXIC_BYTES = 32 << 10, 4_000
+#: Bytes of a word that make its opening, and the least log-likelihood ratio of a telling one.
+OPENING, TELLING = 5, 20.0
+#: Gains, in bytes, from which a window counts; counts and shares above MOST add nothing.
+REACHED, MOST = (3, 4), 12.0
+#: Hashes that stand for a text among the fitting texts; it is a copy if half of them have been seen.
+SKETCH = 64
 TOXIC_FROM = 0.7
-#: Characters of the fitting texts from which the base is trained, at most.
-BASE_SAMPLE = 2_000_000
+#: Words whose code a worker remembers.
+CACHE = 100_000
 
 Fitted = tuple[bytes, bytes, tuple[float, ...]]
+_BREAK = re.compile(rb"[\s.,;:!?#*$%&|]+")
+
+
+def words(text: bytes) -> list[bytes]:
+    """The text's words, lower-cased (A-Z), in pieces of at most LONGEST bytes."""
+    found = [w for w in _BREAK.split(text.lower()) if w]
+    return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)] if any(len(w) > LONGEST for w in found) else found
+
+
+class Coded(dict):
+    """Word -> its code, a blank included: each byte is followed by one that depends on all bytes before it."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        out, state = bytearray(), 0
+        for c in word + b" ":
+            state = (state * 37 + c) & 0xFFFF
+            out.append(c)
+            out.append((state * 0x9E37 >> 8) & 255)
+        if len(self) >= CACHE:
+            self.clear()
+        found = self[word] = bytes(out)
+        return found
+
+
+def windows(text: bytes, codes: Coded) -> list[bytes]:
+    """The whole text in windows of WINDOW coded words."""
+    coded = [codes[w] for w in words(text)]
+    return [b"".join(coded[i : i + WINDOW]) for i in range(0, len(coded), WINDOW)]
+
+
+def distinct_texts(texts: Iterable[bytes]) -> list[bytes]:
+    """The texts without words and without near copies of earlier ones: a text whose copies fill a third of a corpus
+    must not make its own words telling."""
+    seen, kept = set(), []
+    for text in texts:
+        own = words(text)
+        sketch = sorted({xxhash.xxh64_intdigest(b" ".join(own[i : i + 3])) for i in range(max(1, len(own) - 2))})[:SKETCH]
+        if own and 2 * sum(h in seen for h in sketch) < len(sketch):
+            seen.update(sketch)
+            kept.append(text)
+    return kept
 
 
-def windows(text: bytes) -> list[bytes]:
-    """The whole text in pieces of at most WINDOW bytes, cut at blanks where there are any; lower-cased (A-Z)."""
-    text = b" " + b" ".join(text.lower().split()) + b" "
-    out, at = [], 0
-    while at < len(text) - 1:
-        end = at + WINDOW
-        if end < len(text):
-            blank = text.rfind(b" ", at + 1, end)
-            end = blank + 1 if blank > at else end
-        out.append(text[at:end])
-        at = end - 1 if end < len(text) and text[end - 1 : end] == b" " else end
-    return out
-
-
-def _trained(samples: list[bytes], size: int) -> bytes:
-    """The content of a zstandard dictionary trained on the samples, most useful parts last."""
-    if sum(map(len, samples)) < 4 * 1024:
-        return b"".join(samples)[-size:]
-    try:
-        made = zstd.train_dictionary(size, samples).as_bytes()
-    except zstd.ZstdError:
-        return b"".join(samples)[-size:]
-    # What precedes the content (magic, id, entropy tables, offsets) is of no use in a raw dictionary.
-    return made[zstd.dictionary_header_size(made) if hasattr(zstd, "dictionary_header_size") else 128 :]
-
+def _openings(text: bytes) -> set[bytes]:
+    return {(w + b" ")[:OPENING] for w in words(text)}
 
-def _telling(own: Counter, other: Counter, n_own: int, n_other: int) -> list[bytes]:
-    """Words that documents of one class have far more often than chance lets them, weakest first.
 
-    By the log-likelihood ratio of a word's document counts, with TELLING as least value.
-    """
-    share = n_own / max(1, n_own + n_other)
-    scored = []
-    for word, n in own.items():
-        m = other[word]
-        if n >= 3 and n > 2 * share * (n + m):
+def telling(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
+    """Openings of words that toxic documents have far more often than chance lets them: by the log-likelihood ratio of
+    their document counts."""
+    own, other = (Counter(o for t in texts for o in _openings(t)) for texts in (toxic, ordinary))
+    share = len(toxic) / max(1, len(toxic) + len(ordinary))
+    found = set()
+    for opening, n in own.items():
+        m = other[opening]
+        if n >= 3 and n > share * (n + m):
             ratio = 2 * (n * math.log(n / (share * (n + m))) + (m * math.log(m / ((1 - share) * (n + m))) if m else 0))
             if ratio >= TELLING:
-                scored.append((ratio, word))
-    return [w for _, w in sorted(scored)]
+                found.add(opening)
+    return found
 
 
-def _base_passages(ordinary: list[bytes]) -> list[bytes]:
-    """Windows of all the texts, of about BASE_SAMPLE bytes together: those with the least hashes."""
-    room, kept = BASE_SAMPLE, []
-    for w in sorted({w for t in ordinary for w in windows(t)}, key=xxhash.xxh64_intdigest):
-        if room <= 0:
-            break
-        kept.append(w)
-        room -= len(w)
-    return kept
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The content of a zstandard dictionary trained on the samples; of fewer samples than the trainer takes, all."""
+    try:
+        made = zstd.train_dictionary(size + 2048, samples, k=segment, d=8).as_bytes()
+    except zstd.ZstdError:
+        made = b"".join(dict.fromkeys(samples))
+    # What precedes the content (magic, id, entropy tables, offsets) is of no use in a raw dictionary.
+    return made[-size:]
 
 
 def train(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """(toxic, ordinary) dictionary contents."""
-    seen = []
-    for texts in (toxic, ordinary):
-        count = Counter()
-        for t in texts:
-            count.update(set(re.split(rb"[\s.,;:!?#*$%&|]+", t.lower())) - {b""})
-        seen.append(count)
-    parts = []
-    for a, b, n, m in ((*seen, len(toxic), len(ordinary)), (seen[1], seen[0], len(ordinary), len(toxic))):
-        words = [b" " + w + b" " for w in _telling(a, b, n, m)]
-        rng = random.Random(5)
-        # Passages of telling words, as long as a window, for the trainer to choose segments from.
-        samples = [b"".join(rng.sample(words, min(12, len(words)))) for _ in range(40 * min(len(words), 200))]
-        parts.append((_trained(samples, CLASS_BYTES // 2) + b"".join(words)[-CLASS_BYTES // 2 :])[-CLASS_BYTES:])
-    base = _trained(_base_passages(ordinary), BASE_BYTES)
-    size = max(map(len, parts))
-    parts = [p.rjust(size, b"\0") for p in parts]
-    for _ in range(MINED):
-        # Ordinary words that the toxic part would shorten go to the base, where both dictionaries know them.
-        gains = Gains(*(base + p for p in parts))
-        worth = [(n * g, w) for w, n in seen[1].most_common(MINED_FROM) if 3 * seen[0][w] * len(ordinary) <= 3 * n * len(toxic) * 2 and (g := gains.alone(w)) >= 2]
-        room, mined = MINED_BYTES, []
-        for _, w in sorted(worth, reverse=True):
-            room -= len(w) + 1
-            if room < 0:
-                break
-            mined.append(w)
-        if not mined:
-            break
-        base += b" " + b" ".join(reversed(mined)) + b" "
-    return tuple(base + p for p in parts)
+    codes, openings = Coded(), telling(toxic, ordinary)
+    plain = _trained([w for t in ordinary for w in windows(t, codes)], ORDINARY_BYTES, 64)
+    said = [codes[w] for t in toxic for w in words(t) if (w + b" ")[:OPENING] in openings]
+    own = _trained(said, TOXIC_BYTES, 24) if said else b""
+    return own + plain, plain
 
 
 class Gains:
@@ -141,34 +142,28 @@ class Gains:
         make = lambda content: zstd.ZstdCompressor(
             dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT),
             compression_params=zstd.ZstdCompressionParameters.from_level(
-                1, window_log=16, hash_log=17, chain_log=17, search_log=5, min_match=4, strategy=STRATEGY, write_content_size=0, write_checksum=0, write_dict_id=0
+                1, window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=3, strategy=zstd.STRATEGY_BTULTRA, write_content_size=0, write_checksum=0, write_dict_id=0
             ),
         )
-        self.toxic, self.ordinary = make(toxic), make(ordinary)
-        self.known = ordinary[BASE_BYTES // 2 : BASE_BYTES // 2 + 120]
-
-    def alone(self, word: bytes) -> int:
-        """The gain of one word behind text that both dictionaries know (a word alone would be stored as it is)."""
-        text = self.known + b" " + word + b" " + self.known[:24]
-        return len(self.ordinary.compress(text)) - len(self.toxic.compress(text))
-
-    def of(self, text: bytes | None) -> tuple[float, ...]:
-        """Largest gain of a window; summed gains by the windows' square root; mean gain; mean loss."""
-        if not text:
-            return 0.0, 0.0, 0.0, 0.0
+        self.toxic, self.ordinary, self.codes = make(toxic), make(ordinary), Coded()
+
+    def of(self, text: bytes | None) -> list[int]:
+        """The gain of each window."""
         a, b = self.ordinary.compress, self.toxic.compress
-        gains = [len(a(w)) - len(b(w)) for w in windows(text)]
-        n, total = len(gains), sum(gains)
-        if not n:
-            return 0.0, 0.0, 0.0, 0.0
-        return float(max(gains)), total / math.sqrt(n), total / n, -sum(g for g in gains if g < 0) / n
+        return [len(a(w)) - len(b(w)) for w in windows(text, self.codes)] if text else []
+
+
+def features(gains: list[int]) -> tuple[float, ...]:
+    """Windows that reach each of REACHED, as count and per cent; the largest gain; logarithm of the number of windows."""
+    if not gains:
+        return (0.0,) * (2 * len(REACHED) + 2)
+    n, counts = len(gains), [sum(g >= r for g in gains) for r in REACHED]
+    return (*(min(float(c), MOST) for c in counts), *(min(100 * c / n, MOST) for c in counts), min(max(float(max(gains)), 0.0), MOST), math.log(n))
 
 
 def _logistic(rows: list[tuple[float, ...]], labels: list[int], counts: tuple[int, int] | None = None) -> tuple[float, ...]:
     """Weights of a logistic curve by Newton's method with a slight ridge. counts: true counts of toxic and ordinary
     rows, by which the rows of a class are weighted; without them, every row counts once."""
-    import numpy as np
-
     x = np.column_stack([np.ones(len(rows)), np.array(rows)])
     y, w = np.array(labels, float), np.zeros(x.shape[1])
     each = np.ones(len(y))
@@ -188,6 +183,7 @@ def _logistic(rows: list[tuple[float, ...]], labels: list[int], counts: tuple[in
 
 def fit(toxic: list[bytes], ordinary: list[bytes], counts: tuple[int, int] | None = None) -> Fitted | None:
     """counts: labelled rows of both classes of which the texts are a sample."""
+    toxic, ordinary = distinct_texts(toxic), distinct_texts(ordinary)
     if not toxic or not ordinary:
         return None
     rows, labels = [], []
@@ -196,18 +192,14 @@ def fit(toxic: list[bytes], ordinary: list[bytes], counts: tuple[int, int] | Non
         if all(halves[1 - k]):
             gains = Gains(*train(*halves[1 - k]))
             for label, texts in ((1, halves[k][0]), (0, halves[k][1])):
-                rows += [_shaped(gains.of(t)) for t in texts]
+                rows += [features(gains.of(t)) for t in texts]
                 labels += [label] * len(texts)
-    weights = _logistic(rows, labels, counts) if len(set(labels)) == 2 else (-2.0, 0.4, 0.0, 0.0, 0.0)
+    weights = _logistic(rows, labels, counts) if len(set(labels)) == 2 else (-2.0, 0.4, *(0.0,) * (2 * len(REACHED) + 1))
     return (*train(toxic, ordinary), weights)
 
 
-def _shaped(gain: tuple[float, ...]) -> tuple[float, ...]:
-    return tuple(min(max(g, -20.0), 20.0) for g in gain)
-
-
-def probability(model: Fitted, gain: tuple[float, ...]) -> float:
-    z = model[2][0] + sum(w * g for w, g in zip(model[2][1:], _shaped(gain)))
+def probability(model: Fitted, gains: list[int]) -> float:
+    z = model[2][0] + sum(w * g for w, g in zip(model[2][1:], features(gains)))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -236,7 +228,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: int | None = 1)
 
 
 def scored(docs: DataFrame, model: Fitted | None) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, score, max_gain."""
+    """docs (doc_id, text) -> doc_id, score, max_gain (bytes that the toxic dictionary saves in the most telling window)."""
 
     def score(batches):
         gains = Gains(*model[:2]) if model else None
@@ -247,7 +239,7 @@ def scored(docs: DataFrame, model: Fitted | None) -> DataFrame:
                     found.append((0.0, 0.0))
                     continue
                 g = gains.of(text)
-                found.append((probability(model, g), g[0]))
+                found.append((probability(model, g), float(max(g, default=0))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "score", "max_gain"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(score, "doc_id bigint, score double, max_gain double")
@@ -259,7 +251,8 @@ def fitted(spark: SparkSession, sf_dir: str) -> Fitted | None:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents scored."""
+    """All documents scored; kept: what the pipeline's first stage keeps."""
     rows = scored(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), fitted(spark, sf_dir))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "max_gain")
+    toxic = F.col("score") >= TOXIC_FROM
+    return rows.select("doc_id", held.alias("held_out"), "score", toxic.cast("int").alias("predicted"), "max_gain", (~toxic).alias("kept"))

@@ -291,9 +291,12 @@ def test_urls(spark):
 
 
 def test_windows_cover_the_text():
-    for text in (b"", b"  ", b"one", b"a bc " * 200, b"x" * 1000):
-        own = toxicity.windows(text)
-        assert b" ".join(text.lower().split()) in b"".join(own).replace(b"  ", b" ") and all(len(w) <= toxicity.WINDOW for w in own)
+    codes = toxicity.Coded()
+    for text in (b"", b"  ", b"One, two", b"a bc " * 200, b"x" * 1000, "éa ñ\n!".encode()):
+        own = b"".join(toxicity.windows(text, codes))
+        assert own[::2].split() == toxicity.words(text) and b"".join(toxicity.words(text)) == b"".join(toxicity._BREAK.split(text.lower()))
+    # The second byte of a letter depends on the word's beginning, so only equal beginnings can match.
+    assert codes[b"scum"][:6] == codes[b"scuff"][:6] and codes[b"ascum"][2:10] != codes[b"scum"][:8]
 
 
 def test_toxicity_held_out(spark, odd, none):
@@ -314,10 +317,19 @@ def test_sampled_classes_weigh_as_all():
     assert max(abs(a - b) for a, b in zip(whole, part)) < 0.4
 
 
-def test_base_covers_every_text():
-    texts = [b" ".join(b"t%dw%d" % (i, k) for k in range(4000)) for i in range(100)]
-    passages = toxicity._base_passages(texts)
-    assert {w.split()[0].split(b"w")[0] for w in passages} == {b"t%d" % i for i in range(100)} and sum(map(len, passages)) < toxicity.BASE_SAMPLE + toxicity.WINDOW
+def test_copies_are_evidence_once():
+    rng = np.random.default_rng(2)
+    text = lambda n: b" ".join(b"w%d" % x for x in rng.integers(0, 5000, n))
+    base = text(200)
+    copies = [base.replace(b" ", b" c%d " % i, 1) for i in range(60)]
+    plain = [text(200) for _ in range(200)]
+    marked = [t + b" venomous" * 3 for t in (text(200) for _ in range(30))]
+    assert len(toxicity.distinct_texts(copies)) == 1 and toxicity.distinct_texts([b"", b" . "]) == []
+    few = toxicity.telling(toxicity.distinct_texts(copies + marked), plain)
+    assert b"venom" in few and not any((w + b" ")[:5] in few for w in base.split())
+    model = toxicity.fit(copies + marked, plain, (90, 200))
+    gains = toxicity.Gains(*model[:2])
+    assert toxicity.probability(model, gains.of(text(200) + b" venomous" * 3)) > 0.7 > toxicity.probability(model, gains.of(text(200)))
 
 
 # --- 9 ---
