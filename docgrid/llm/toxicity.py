@@ -27,7 +27,6 @@ are read, so other columns may have any name.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterable
 
@@ -40,8 +39,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 3_000
-#: Words in a window; longer words are cut.
-WINDOW, LONGEST = 4, 64
+#: Words in a window.
+WINDOW = 8
 ORDINARY_BYTES, TOXIC_BYTES = 32 << 10, 4_000
 #: Bytes of a word that make its opening, and the least log-likelihood ratio of a telling one.
 OPENING, TELLING = 5, 20.0
@@ -50,38 +49,43 @@ REACHED, MOST = (3, 4), 12.0
 #: Hashes that stand for a text among the fitting texts; it is a copy if half of them have been seen.
 SKETCH = 64
 TOXIC_FROM = 0.7
-#: Words whose code a worker remembers.
-CACHE = 100_000
 
 Fitted = tuple[bytes, bytes, tuple[float, ...]]
-_BREAK = re.compile(rb"[\s.,;:!?#*$%&|]+")
+#: A-Z lower-cased; what ends a word becomes a blank.
+_PLAIN = bytes(32 if c in b" \t\n\x0b\x0c\r.,;:!?#*$%&|" else c | 32 if 65 <= c <= 90 else c for c in range(256))
+#: Powers of 37 and of its inverse modulo 2**16, whose period is a divisor of 2**14.
+_POWERS, _INVERSES = (np.array([pow(37, sign * i, 1 << 16) for i in range(1 << 14)], np.uint16) for sign in (1, -1))
 
 
 def words(text: bytes) -> list[bytes]:
-    """The text's words, lower-cased (A-Z), in pieces of at most LONGEST bytes."""
-    found = [w for w in _BREAK.split(text.lower()) if w]
-    return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)] if any(len(w) > LONGEST for w in found) else found
+    """The text's words, lower-cased (A-Z)."""
+    return text.translate(_PLAIN).split()
 
 
-class Coded(dict):
-    """Word -> its code, a blank included: each byte is followed by one that depends on all bytes before it."""
+def coded(text: bytes) -> tuple[bytes, np.ndarray]:
+    """The code of the text's words, a blank behind each, and where in it words end.
 
-    def __missing__(self, word: bytes) -> bytes:
-        out, state = bytearray(), 0
-        for c in word + b" ":
-            state = (state * 37 + c) & 0xFFFF
-            out.append(c)
-            out.append((state * 0x9E37 >> 8) & 255)
-        if len(self) >= CACHE:
-            self.clear()
-        found = self[word] = bytes(out)
-        return found
+    Each byte is followed by bits of a polynomial hash of its word up to there: of differences of prefix sums.
+    """
+    plain = np.frombuffer(text.translate(_PLAIN) + b" ", np.uint8)
+    blank = plain == 32
+    plain = plain[~(blank & np.append(True, blank[:-1]))]
+    ends = np.flatnonzero(plain == 32) + 1
+    sums = np.cumsum(plain * np.resize(_INVERSES, len(plain)), dtype=np.uint16)
+    before = np.append(np.uint16(0), sums[ends[:-1] - 1])[: len(ends)]
+    state = (sums - np.repeat(before, np.diff(ends, prepend=0))) * np.resize(_POWERS, len(plain))
+    out = np.empty(2 * len(plain), np.uint8)
+    out[::2], out[1::2] = plain, state * np.uint16(0x9E37) >> np.uint16(8)
+    return out.tobytes(), 2 * ends
 
 
-def windows(text: bytes, codes: Coded) -> list[bytes]:
+def windows(text: bytes) -> list[bytes]:
     """The whole text in windows of WINDOW coded words."""
-    coded = [codes[w] for w in words(text)]
-    return [b"".join(coded[i : i + WINDOW]) for i in range(0, len(coded), WINDOW)]
+    code, ends = coded(text)
+    cuts = [0, *ends[WINDOW - 1 :: WINDOW].tolist()]
+    if len(code) > cuts[-1]:
+        cuts.append(len(code))
+    return [code[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def distinct_texts(texts: Iterable[bytes]) -> list[bytes]:
@@ -128,9 +132,9 @@ def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
 
 def train(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """(toxic, ordinary) dictionary contents."""
-    codes, openings = Coded(), telling(toxic, ordinary)
-    plain = _trained([w for t in ordinary for w in windows(t, codes)], ORDINARY_BYTES, 64)
-    said = [codes[w] for t in toxic for w in words(t) if (w + b" ")[:OPENING] in openings]
+    openings = telling(toxic, ordinary)
+    plain = _trained([w for t in ordinary for w in windows(t)], ORDINARY_BYTES, 64)
+    said = [coded(w)[0] for t in toxic for w in words(t) if (w + b" ")[:OPENING] in openings]
     own = _trained(said, TOXIC_BYTES, 24) if said else b""
     return own + plain, plain
 
@@ -142,15 +146,15 @@ class Gains:
         make = lambda content: zstd.ZstdCompressor(
             dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT),
             compression_params=zstd.ZstdCompressionParameters.from_level(
-                1, window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=3, strategy=zstd.STRATEGY_BTULTRA, write_content_size=0, write_checksum=0, write_dict_id=0
+                1, window_log=16, hash_log=16, chain_log=16, search_log=4, min_match=3, strategy=zstd.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0
             ),
         )
-        self.toxic, self.ordinary, self.codes = make(toxic), make(ordinary), Coded()
+        self.toxic, self.ordinary = make(toxic), make(ordinary)
 
     def of(self, text: bytes | None) -> list[int]:
         """The gain of each window."""
         a, b = self.ordinary.compress, self.toxic.compress
-        return [len(a(w)) - len(b(w)) for w in windows(text, self.codes)] if text else []
+        return [len(a(w)) - len(b(w)) for w in windows(text)] if text else []
 
 
 def features(gains: list[int]) -> tuple[float, ...]:
