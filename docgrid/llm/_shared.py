@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -85,3 +86,53 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for i in range(width):
         out = mixed(out + words[i : k - width + 1 + i])
     return out
+
+
+#: Bytes of text that are hashed at a time.
+PORTION = 1 << 20
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_PLACES = np.random.Generator(np.random.PCG64(17)).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of the texts, words of each text). A multilinear hash of a word's bytes, made for all words
+    at once, so nothing is remembered from text to text."""
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    held = np.flatnonzero(~_SPACE[data])
+    if not len(held):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    begins = np.flatnonzero(np.diff(held, prepend=-2) > 1)
+    lens = np.diff(begins, append=len(held))
+    place = np.arange(len(held)) - np.repeat(begins, lens)
+    factor = _PLACES[place & 4095]
+    if lens.max() > 4096:
+        factor *= (place >> 12).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    found = np.add.reduceat((data[held].astype(np.uint64) + np.uint64(1)) * factor, begins) + lens.astype(np.uint64)
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    return mixed(found), np.bincount(np.searchsorted(bounds, held[begins], "right"), minlength=len(texts))
+
+
+def portions(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in runs of about PORTION bytes."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= PORTION:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def window_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's runs of n words; of a shorter text, of its whole sequence as one."""
+    out = []
+    for run in portions(texts):
+        words, counts = word_hashes(run)
+        every = window_hashes(words, n)  # those that lie in one text are among them
+        at = 0
+        for k in counts.tolist():
+            out.append(np.unique(every[at : at + k - n + 1] if k >= n else window_hashes(words[at : at + k], n)))
+            at += k
+    return out

@@ -6,12 +6,15 @@ the larger ones of its parts. Bands of registers bring likely neighbours into on
 registers that agree, are larger or are smaller estimates the Jaccard similarity; what may reach the threshold is
 confirmed on the full sets.
 
-Groups of any size stay distributed. Equal sets are one class from the start. In a bucket, members are compared with
-one central pivot (of a member's pivots, with the one it shares the most buckets with, and with the others only where
-that has not brought them together), the links found are contracted to components, and only buckets that still hold several components
-are looked at again, in blocks of bounded size: members of different components are compared by their registers within
-the block, at first each member's most similar partners are confirmed, and in the last turn all that may reach the
-threshold. So no link between different components is lost, and no group is expanded into its pairs.
+Groups of any size stay distributed, and pairs never become rows. Equal sets are one class from the start. Members of a
+bucket are first compared with a central pivot (of a member's pivots, with the one it shares the most buckets with, then
+with the others), in stars of at most BLOCK members a task, and the links found are contracted to components. What is
+left are buckets that still hold several components. Their members are compared by registers, in blocks; this hands on
+the members that have a likely partner in another component, together with a spanning forest of who is near whom. Each
+cluster of that forest is dealt to cells of at most two blocks of members, such that any two meet in just one cell. A
+cell estimates its pairs by joint likelihood, best first, confirms them on the full sets, and passes over pairs that a
+link found before has already brought together. So no link between different components is lost, a member travels once
+a cell and not once a pair, and no group is expanded into its pairs.
 
 With bands of 5 of 220 registers, a pair at the threshold of 0.75 meets in at least one bucket with probability
 1 - (1 - 0.75**5)**44 > 0.99999; truncation only raises it. A pair is given up before the full check only if its
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, forget, window_hashes, written
+from ._shared import forget, portions, window_sets, written
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
@@ -39,9 +42,9 @@ REGISTERS = ROWS * BANDS
 #: Base of the registers' scale and rate of the exponential variates.
 #: A base near 1 makes registers of unrelated sets differ, so buckets do not fill by chance as the corpus grows.
 BASE, RATE = 1.001, 20.0
-#: Turns: one pivot a bucket; then each member's BEST partners of other components; in the last turn, all of them.
-TURNS, BEST = 4, 2
+#: Members of a block: of a star, of a bucket, of a cell's side.
 BLOCK = 512
+CELL = 256
 #: Standard deviations that an estimate may lie below the threshold before a pair is given up.
 MARGIN = 5.0
 #: Equal low bytes of registers below which blocks give a pair up: as many deviations below what the threshold lets expect.
@@ -51,9 +54,9 @@ FEW = 500_000
 _CHUNK = 1024
 
 
-def shingle_set(text: bytes | None, words: WordHashes, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the text's n-word shingles; A-Z lower-cased."""
-    return np.unique(window_hashes(words.of(text.lower().split()), n)) if text else np.zeros(0, np.uint64)
+def shingle_sets(texts: list[bytes | None], n: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's n-word shingles; A-Z lower-cased."""
+    return window_sets([(t or b"").lower() for t in texts], n)
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -111,14 +114,13 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_shingles, set_id (equal for equal sets), registers."""
 
     def sketch(batches):
-        words = WordHashes()
         for batch in batches:
             n, ids, regs = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingle_set(text, words)
-                n.append(len(found))
-                ids.append(xxhash.xxh3_128_hexdigest(found.tobytes()) if len(found) else None)
-                regs.append(packed(registers(found)) if len(found) else None)
+            for run in portions([t or b"" for t in batch.column(1).to_pylist()]):
+                for found in shingle_sets(run):
+                    n.append(len(found))
+                    ids.append(xxhash.xxh3_128_hexdigest(found.tobytes()) if len(found) else None)
+                    regs.append(packed(registers(found)) if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "set_id", "registers"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -142,61 +144,94 @@ def bucket_rows(reps: DataFrame) -> DataFrame:
     return reps.select(F.explode(keys).alias("bucket"), "rep")
 
 
-def _likely(pairs: DataFrame) -> DataFrame:
-    """The pairs whose joint estimate does not rule the threshold out."""
+class Joined(dict):
+    """Components that have been joined: each knows a smaller one, or itself."""
 
-    def keep(batches):
-        low = THRESHOLD / 100
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            a, b = unpacked(col["ra"]), unpacked(col["rb"])
-            mask = np.zeros(batch.num_rows, bool)
-            for at in range(0, batch.num_rows, 2048):
-                s = slice(at, at + 2048)
-                j = joint_estimate(a[s], b[s], *(col[c].to_numpy()[s].astype(float) for c in ("na", "nb")))
-                mask[s] = j + MARGIN * np.sqrt(np.maximum(j * (1 - j), 0.01) / REGISTERS) >= low
-            yield batch.select(["a", "b"]).filter(pa.array(mask))
+    def root(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
 
-    return pairs.mapInArrow(keep, "a bigint, b bigint")
+    def join(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        self[max(x, y)] = min(x, y)
 
 
-def _exact(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, ta, tb) that reach the threshold on the full sets of their texts."""
+def _pairs(sides: np.ndarray, within: bool, comps: np.ndarray, sizes: np.ndarray):
+    """For each member its partners in other components (as places) whose sizes allow the threshold."""
+    for k in range(len(sides)) if within else np.flatnonzero(sides == 0).tolist():
+        other = np.arange(k + 1, len(sides)) if within else np.flatnonzero(sides == 1)
+        other = other[comps[other] != comps[k]]
+        other = other[100 * np.minimum(sizes[other], sizes[k]) >= THRESHOLD * np.maximum(sizes[other], sizes[k])]
+        if len(other):
+            yield k, other
+
+
+def _by_cell(batches, width: int):
+    """Lists of rows with equal first `width` columns; rows come sorted by them."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][:width] != row[:width]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _links(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Links (a, b) that join the components of a cell's members; rows: (key, i, j, side, rep, comp, n, registers, text).
+
+    Pairs whose joint estimate does not rule the threshold out are confirmed on the full sets, the likeliest first,
+    unless links found before have joined their components.
+    """
+    sides, comps, sizes = (np.array([r[c] for r in rows]) for c in (3, 5, 6))
+    regs = unpacked(pa.array([r[7] for r in rows], pa.binary()))
+    likely, sizes = [], sizes.astype(float)
+    for k, other in _pairs(sides, rows[0][1] == rows[0][2], comps, sizes):
+        other = other[(regs[other] == regs[k]).sum(axis=1) >= EQUAL]
+        for part in np.array_split(other, 1 + len(other) // 1024):
+            if len(part):
+                j = joint_estimate(np.broadcast_to(regs[k], (len(part), REGISTERS)), regs[part], np.full(len(part), sizes[k]), sizes[part])
+                fit = j + MARGIN * np.sqrt(np.maximum(j * (1 - j), 0.01) / REGISTERS) >= THRESHOLD / 100
+                likely += [(-e, k, o) for e, o in zip(j[fit].tolist(), part[fit].tolist())]
+    wanted = sorted({x for _, k, o in likely for x in (k, o)})
+    sets = dict(zip(wanted, shingle_sets([rows[x][8] for x in wanted])))
+    joined, out = Joined(), []
+    for _, k, o in sorted(likely):
+        if joined.root(rows[k][5]) != joined.root(rows[o][5]):
+            a, b = sets[k], sets[o]
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * common >= THRESHOLD * (len(a) + len(b) - common):
+                joined.join(rows[k][5], rows[o][5])
+                out.append((rows[k][4], rows[o][4]))
+    return out
+
+
+def confirmed(cells: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components within each cell (key, i, j, side, rep); i = j: of all its members, else
+    of those of side 0 with those of side 1."""
+
+    def check(batches):
+        for rows in _by_cell(batches, 3):
+            found = _links(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    rows = cells.join(labels, "rep").join(known, "rep").select("key", "i", "j", "side", "rep", "comp", "n", "registers", "text")
+    return written(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(check, "a bigint, b bigint"), "links")
 
-    def keep(batches):
-        words, last, right = WordHashes(), None, None
-        for batch in batches:
-            mask = []
-            for left, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if right is None or text != last:  # rows come sorted by b
-                    last, right = text, shingle_set(text, words)
-                found = shingle_set(left, words)
-                common = len(np.intersect1d(found, right, assume_unique=True))
-                mask.append(100 * common >= THRESHOLD * (len(found) + len(right) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
-
-    return pairs.mapInArrow(keep, "a bigint, b bigint")
-
-
-def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of representatives that reach the threshold on their full sets."""
-    ends = lambda of: written(of.select(F.col("a").alias("rep")).union(of.select("b")).distinct(), "ends")
-    reps = _only(reps, ends(pairs))
-    left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-    right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-    sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
-    likely = written(_likely(sized), "likely")
-    texts = _only(texts, ends(likely))
-    both = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    links = written(_exact(both), "links")
-    forget(likely)
-    return links
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Cells of pivots p and the members rep to be compared with them, at most about BLOCK members a cell."""
+    sizes = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("k"))
+    cell = lambda rep, j, side: [F.col("p").alias("key"), F.lit(0).alias("i"), j.alias("j"), F.lit(side).alias("side"), F.col(rep).alias("rep")]
+    pivots = sizes.withColumn("j", F.explode(F.sequence(F.lit(1), "k"))).select(cell("p", F.col("j"), 0))
+    return pivots.union(pairs.join(sizes, "p").select(cell("rep", 1 + F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"), 1)))
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable over edges (a, b), for every node of an edge.
+    """(node, root): the smallest node reachable over edges (a, b), for every node of an edge that is not a root itself.
 
     Alternating large and small stars; each step is a grouped minimum and a join, so no component is gathered anywhere.
     """
@@ -216,14 +251,10 @@ def connected(edges: DataFrame) -> DataFrame:
             return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    ends = pairs.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b")
-    return ends.where("ca <> cb").select("a", "b")
-
-
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (rep, comp) after the components at both ends of each link have become one."""
+    if links.isEmpty():
+        return labels
     ends = links.join(labels.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
     roots = connected(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct())
     moved = labels.join(roots.withColumnRenamed("node", "comp"), "comp", "left")
@@ -249,48 +280,39 @@ def _blocks(members: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.select("bucket", "to.i", "to.j", "to.side", "rep", "comp", "n", "low")
 
 
-def _block_pairs(blocks: DataFrame, all_pairs: bool) -> DataFrame:
-    """Pairs of different components within the blocks that may reach the threshold; unless all_pairs, each member's BEST.
+def _near(blocks: DataFrame) -> DataFrame:
+    """(rep, comp, hub): members that have a likely partner in another component within their blocks, with a component
+    that these partners lead to.
 
     The low bytes of two registers are equal if the registers are, so their count rules no pair out that the registers would not.
     """
 
     def compare(batches):
-        held: list[tuple] = []
-
-        def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-            """rows: (bucket, i, j, side, rep, comp, n, low bytes of the registers) of one pair of blocks."""
+        for rows in _by_cell(batches, 3):
             regs = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, REGISTERS)
-            n, comp = np.array([r[6] for r in rows], float), np.array([r[5] for r in rows])
-            side, self_pair = np.array([r[3] for r in rows]), rows[0][1] == rows[0][2]
-            out = []
-            for k in np.flatnonzero(side == 0).tolist():
-                other = np.arange(k + 1, len(rows)) if self_pair else np.flatnonzero(side == 1)
-                other = other[comp[other] != comp[k]]
-                other = other[100 * np.minimum(n[other], n[k]) >= THRESHOLD * np.maximum(n[other], n[k])]
-                if not len(other):
-                    continue
-                same = (regs[other] == regs[k]).sum(axis=1)
-                other, same = other[same >= EQUAL], same[same >= EQUAL]
-                if not all_pairs and len(other) > BEST:
-                    other = other[np.argsort(-same, kind="stable")[:BEST]]
-                out += [tuple(sorted((rows[k][4], rows[int(o)][4]))) for o in other]
-            return out
-
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][:3] != row[:3]:
-                    found += pairs(held)
-                    held = []
-                held.append(row)
-            found = sorted(set(found))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        found = sorted(set(pairs(held))) if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            sides, comps, sizes = (np.array([r[c] for r in rows]) for c in (3, 5, 6))
+            joined, near = Joined(), np.zeros(len(rows), bool)
+            for k, other in _pairs(sides, rows[0][1] == rows[0][2], comps, sizes):
+                other = other[(regs[other] == regs[k]).sum(axis=1) >= EQUAL]
+                if len(other):
+                    near[k] = near[other] = True
+                    for comp in set(comps[other].tolist()):
+                        joined.join(int(comps[k]), comp)
+            found = [(rows[k][4], rows[k][5], joined.root(rows[k][5])) for k in np.flatnonzero(near).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(3)], names=["rep", "comp", "hub"])
 
     dealt = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(compare, "a bigint, b bigint")
+    return dealt.mapInArrow(compare, "rep bigint, comp bigint, hub bigint")
+
+
+def _cells(near: DataFrame) -> DataFrame:
+    """Cells in which any two members of a cluster meet just once, with at most about CELL members a side."""
+    roots = connected(near.select(F.col("comp").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct())
+    members = near.select("rep", "comp").distinct().join(roots.withColumnRenamed("node", "comp"), "comp", "left")
+    members = members.select(F.coalesce("root", "comp").alias("root"), "rep").distinct()
+    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("k"))
+    rows = members.join(sizes, "root").withColumn("x", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return rows.select(F.col("root").alias("key"), F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).cast("int").alias("side"), "rep")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,44 +328,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(rows.join(crowded, "bucket"), "buckets")
     # A text from which many others were made shares more buckets than they share among each other: it makes the best pivot.
     central = rows.groupBy("rep").agg(F.sum("size").alias("central"))
-    rows = written(rows.join(central, "rep"), "buckets")
     crowd = written(central.select("rep"), "crowd")
     texts = whole_texts(docs, crowd)
-    known = written(_only(reps.select("rep", "n", "registers"), crowd), "known")
-    tested = None
-    for turn in range(TURNS):
-        members = rows.join(labels, "rep")
-        pivot = F.max(F.struct("central", -F.col("rep"), "rep", "comp"))
-        groups = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot.alias("pivot"))
-        # A bucket of two members has been settled in the first turn.
-        groups = written(groups.where("lo < hi" + (" and members > 2" if turn else "")).select("bucket", "members", F.col("pivot.rep").alias("p"), F.col("pivot.comp").alias("pc")), "groups")
-        if groups.isEmpty():
-            break
-        if turn == 0:
-            # The pivot that shares the most buckets with a member comes first; the others only where components still differ.
-            shared = members.join(groups, "bucket").where("comp <> pc").groupBy("rep", "p").agg(F.count(F.lit(1)).alias("k"))
-            shared = written(shared, "shared")
-            best = shared.groupBy("rep").agg(F.max(F.struct("k", -F.col("p"), "p")).alias("best")).select("rep", F.col("best.p").alias("p"))
-            steps = [best, shared.select("rep", "p")]
-        else:
-            own = members.join(groups.select("bucket", "pc"), "bucket")
-            sizes = own.groupBy("bucket", "pc").agg(F.count_if(F.col("comp") != F.col("pc")).alias("n_minor"), F.count_if(F.col("comp") == F.col("pc")).alias("n_major"))
-            low = known.select("rep", "n", F.substring("registers", 1, REGISTERS).alias("low")).dropDuplicates(["rep"])
-            steps = [_block_pairs(_blocks(members.join(low, "rep"), sizes), all_pairs=turn == TURNS - 1).toDF("rep", "p")]
-        for k, step in enumerate(steps):
-            pairs = step.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            if k:
-                pairs = _apart(pairs, labels)
-            pairs = written(pairs, "pairs")
-            tested = pairs if tested is None else tested.union(pairs)
-            links = confirmed(pairs, known, texts)
-            if not links.isEmpty():
-                labels = _merged(labels, links)
-        new = written(rows.join(groups.select("bucket"), "bucket", "left_semi"), "buckets")
-        forget(rows)
-        rows = new
+    known = written(_only(reps.select("rep", "n", "registers"), crowd).join(texts, "rep"), "known")
+    pivot = F.max(F.struct("central", -F.col("rep"), "rep")).alias("pivot")
+    pivots = rows.join(central, "rep").groupBy("bucket").agg(pivot).select("bucket", F.col("pivot.rep").alias("p"))
+    # The pivot that shares the most buckets with a member comes first; the others only where components still differ.
+    shared = written(rows.join(pivots, "bucket").where("rep <> p").groupBy("rep", "p").agg(F.count(F.lit(1)).alias("k")), "shared")
+    best = shared.groupBy("rep").agg(F.max(F.struct("k", -F.col("p"), "p")).alias("best")).select("rep", F.col("best.p").alias("p"))
+    for first in (True, False):
+        pairs = best if first else shared.select("rep", "p").join(best, ["rep", "p"], "left_anti").join(labels, "rep").join(labels.toDF("p", "pc"), "p").where("comp <> pc").select("rep", "p")
+        labels = _merged(labels, confirmed(_stars(pairs), labels, known))
+    members = rows.join(labels, "rep")
+    groups = members.join(pivots.join(labels.toDF("p", "pc"), "p"), "bucket").groupBy("bucket", "pc").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if(F.col("comp") != F.col("pc")).alias("n_minor"), F.count_if(F.col("comp") == F.col("pc")).alias("n_major"))
+    # A bucket of two members has been settled by its pivot.
+    groups = written(groups.where("lo < hi and n_minor + n_major > 2").select("bucket", "pc", "n_minor", "n_major"), "groups")
+    low = known.select("rep", "n", F.substring("registers", 1, REGISTERS).alias("low")).dropDuplicates(["rep"])
+    near = written(_near(_blocks(members.join(low, "rep"), groups)).distinct(), "near")
+    if not near.isEmpty():
+        labels = _merged(labels, confirmed(_cells(near), labels, known))
+    for done in (rows, crowd, texts, known, shared, groups, near):
+        forget(done)
     classes = reps.join(labels, "rep").select("set_id", "comp")
     found = sketched.join(classes, "set_id", "left")
     component = F.coalesce("comp", "doc_id")

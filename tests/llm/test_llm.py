@@ -390,6 +390,35 @@ def test_estimate_and_merge():
         assert (near_dups.registers(np.union1d(a, b)) == np.maximum(ra, rb)).all()
 
 
+@given(st.lists(st.text(alphabet="aAb \t\n\x0b\x1cé", max_size=40), max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_shingle_sets(texts):
+    texts = [t.encode() for t in texts] + [b"x" * 9000 + b" y", b"x" * 9000 + b" y", b"x" * 9001 + b" y", b"x" * 4096 + b"z" + b"x" * 4904 + b" y"]
+    sets = near_dups.shingle_sets(texts)
+    plain = []
+    for t in texts:
+        w = t.lower().split()
+        plain.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    assert [len(s) for s in sets] == [len(p) for p in plain]
+    assert all((set(a.tolist()) == set(b.tolist())) == (p == q) for a, p in zip(sets, plain) for b, q in zip(sets, plain))
+
+
+def test_near_dups_between_large_components(spark):
+    """Two groups of copies that are near each other, with few links between single members of them."""
+    base = [f"w{i}" for i in range(200)]
+    far = base[:150] + [f"u{i}" for i in range(50)]
+    rng = np.random.default_rng(3)
+    rows = []
+    for g, words_ in enumerate((base, far)):
+        for i in range(90):
+            w = list(words_)
+            w[int(rng.integers(0, 200))] = f"v{rng.integers(0, 50)}"
+            rows.append((g * 1000 + i, " ".join(w)))
+    rows += [(5000, " ".join(base[:176] + [f"u{i}" for i in range(26, 50)])), (5001, " ".join(base[:160] + [f"u{i}" for i in range(10, 50)]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_components(rows)
+
+
 # --- 10 ---
 
 
