@@ -13,7 +13,8 @@ stands for the blank in pieces), become byte pieces, so decoding gives back exac
 
 Defined results: a null text has null ids and decodes to null; an empty text has no ids; equal texts under equal ids
 have equal pieces; an empty table gives no rows; columns beside id and text are kept by the operator's frame methods
-under their own names, but may not be called `ids`, `variant` or `decoded`.
+under their own names, but one that is called as an added column (`ids`, `variant`, `decoded`, those in DIGEST) gives way
+to it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import zlib
 from itertools import repeat
 
 import numpy as np
@@ -35,7 +37,7 @@ MODEL = "piece_bpe_32k.model"
 TOKENIZERS = "/opt/tokenizers"
 DROPOUT, SEED = 0.1, 10
 #: Words that a worker remembers.
-CACHE = 250_000
+CACHE = 150_000
 #: Cut-outs of more characters go through the agenda one by one and are not remembered.
 LONG = 64
 #: Texts that are cut up at a time.
@@ -360,24 +362,41 @@ def variant_of(id_col: str, seed: int = SEED):
     return F.xxhash64(F.col(id_col), F.lit(seed))
 
 
+class Encoder:
+    """Texts of Arrow batches to ids, GROUP texts at a time; made once a task."""
+
+    def __init__(self, path: str | None, dropout: float):
+        self.words = Words(Batch(Codec(model_path(path))), None, dropout)
+        self.codec, self.dropout = self.words.batch.codec, dropout
+
+    def of(self, batch: pa.RecordBatch, at: int) -> tuple[list[str | None], list[np.ndarray | None]]:
+        """(texts in column number `at`, their ids); the last column holds the variants."""
+        texts = batch.column(at).to_pylist()
+        rows = [i for i, t in enumerate(texts) if t is not None]
+        keys = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)[rows] if self.dropout else None
+        found: list = [None] * batch.num_rows
+        for i, ids in zip(rows, self.words.encode([texts[i] for i in rows], keys)):
+            found[i] = ids
+        return texts, found
+
+
+def _groups(batches):
+    for whole in batches:
+        for first in range(0, whole.num_rows, GROUP):
+            yield whole.slice(first, GROUP)
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """df with columns variant (bigint) and ids (array<int>)."""
-    path = model_path(path)
+    df = df.drop("variant", "ids")
     names = [*df.columns, "variant", "ids"]
     at = df.columns.index(text_col)
 
     def run(batches):
-        words = Words(Batch(Codec(path)), None, dropout)
-        for whole in batches:
-            for first in range(0, whole.num_rows, GROUP):
-                batch = whole.slice(first, GROUP)
-                texts = batch.column(at).to_pylist()
-                rows = [i for i, t in enumerate(texts) if t is not None]
-                keys = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)[rows] if dropout else None
-                found: list = [None] * batch.num_rows
-                for i, ids in zip(rows, words.encode([texts[i] for i in rows], keys)):
-                    found[i] = ids
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=names)
+        encoder = Encoder(path, dropout)
+        for batch in _groups(batches):
+            _, found = encoder.of(batch, at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=names)
 
     with_variant = df.withColumn("variant", variant_of(id_col, seed))
     return with_variant.mapInArrow(run, T.StructType([*with_variant.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
@@ -385,7 +404,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 def decode(df: DataFrame, path: str | None = None) -> DataFrame:
     """df with column decoded, the text of column ids."""
-    path = model_path(path)
+    path, df = model_path(path), df.drop("decoded")
     names = [*df.columns, "decoded"]
     at = df.columns.index("ids")
 
@@ -399,14 +418,30 @@ def decode(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, variant, number of pieces, hash of the ids, CRC of the decoded text, and whether it is the text."""
-    done = decode(encode(docs.select("doc_id", "text")))
-    return done.select(
-        "doc_id", "variant", F.size("ids").cast("bigint").alias("n_pieces"), F.hex(F.xxhash64("ids")).alias("ids_hash"), F.crc32(F.col("decoded").cast("binary")).alias("text_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless")
-    )
+DIGEST = "n_pieces bigint, ids_hash string, text_crc32 bigint, lossless boolean"
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """docs without the text, with variant, number of pieces, hash of the ids, CRC of the decoded text, and whether it
+    is the text. Ids are decoded where they are made, so neither they nor the texts leave the worker."""
+    fields = [x.split(" ")[0] for x in DIGEST.split(", ")]
+    others = [c for c in docs.columns if c not in (text_col, "variant", *fields)]
+
+    def run(batches):
+        encoder = Encoder(path, dropout)
+        for batch in _groups(batches):
+            texts, found = encoder.of(batch, 0)
+            out = []
+            for text, ids in zip(texts, found):
+                back = None if ids is None else encoder.codec.decode(ids.tolist())
+                out.append((None, None, None, text is None) if ids is None else (len(ids), xxhash.xxh64_hexdigest(ids.tobytes()), zlib.crc32(back.encode()), back == text))
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[*others, "variant", *fields])
+
+    rows = docs.select(F.col(text_col).cast("string"), *others).withColumn("variant", variant_of(id_col, seed))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], *T.StructType.fromDDL(DIGEST).fields]))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with dropout and decoded again."""
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -456,6 +456,14 @@ def test_codec_frames(spark, odd, none):
     ids = lambda seed: [r.ids for r in sentencepiece_codec.encode(odd.where("doc_id = 5"), seed=seed, dropout=0.5).collect()]
     assert ids(1) == ids(1) and len({tuple(ids(s)[0]) for s in range(4)}) > 1
     assert sentencepiece_codec.digests(none).count() == 0
+    # Other columns stay; one with the name of an added column gives way.
+    more = odd.withColumns({"variant": F.lit("x"), "ids": F.lit(1), "n_pieces": F.lit(0)})
+    wide = sentencepiece_codec.digests(more)
+    assert wide.columns == ["doc_id", "lang", "source", "n_chars", "score", "rep", "ids", "variant", "n_pieces", "ids_hash", "text_crc32", "lossless"]
+    key = lambda r: (r.doc_id, r.variant, r.n_pieces, r.ids_hash, r.text_crc32, r.lossless)
+    assert sorted(str(key(r)) for r in wide.collect()) == sorted(str(key(r)) for r in rows)
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(more)).collect()
+    assert len(back) == len(ODD) and all(r.decoded == r.text for r in back)
 
 
 def test_dropout_by_document_and_place(spark, codec):
