@@ -37,7 +37,7 @@ MODEL = "piece_bpe_32k.model"
 TOKENIZERS = "/opt/tokenizers"
 DROPOUT, SEED = 0.1, 10
 #: Words that a worker remembers.
-CACHE = 150_000
+CACHE = 300_000
 #: Cut-outs of more characters go through the agenda one by one and are not remembered.
 LONG = 64
 #: Texts that are cut up at a time.
