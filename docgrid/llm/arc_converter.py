@@ -6,13 +6,15 @@ location, offset and file name). The parser reads each header line by its file's
 number of bytes as the block, and synthesises an equivalent WARC record: identifier (a name-based UUID of URI, date
 and digest), ISO timestamp, record type, content type, and block and payload digests.
 
-Archives are written by Spark's text writer with the WARC record separator as line separator: files hold complete
-records back to back, and parsing follows the declared lengths only, so payloads may hold any bytes, separators too.
+Archives hold one gzip member a record, as WARC files usually do, and begin with a warcinfo record; files are cut at
+FILE_BYTES. They are put together by the tasks and written by Spark's text writer, one row a file. Parsing takes any
+number of gzip members and follows the declared lengths only, so payloads may hold any bytes, separators too.
 Records with equal payloads of at least MIN_REVISIT bytes are written once; the others become revisit records.
 
 Defined results: a null html is an empty payload; a null or blank url becomes `urn:page:<id>` in the archive; payloads
-under MIN_REVISIT bytes, and repeated rows with the same page_id, are all responses; an empty table gives no rows;
-other columns are not read. A truncated or malformed archive raises ValueError naming the offset.
+under MIN_REVISIT bytes, rows without a page_id, and rows that repeat the smallest page_id with its payload, are
+responses; a page_id that stands on rows with different payloads is judged for each payload by itself; an empty table
+gives no rows; other columns are not read. A truncated or malformed archive raises ValueError naming the offset.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from ._shared import new_path
 MIN_REVISIT = 100
 #: Bytes after which a new ARC segment, with its own version record, is begun.
 SEGMENT_BYTES = 8 << 20
-#: Records in one archive file at most; readers hold one file at a time.
-FILE_RECORDS = 2_000
+#: Compressed bytes after which an archive file ends; readers hold one file at a time.
+FILE_BYTES = 16 << 20
 FIELDS = {
     1: ["url", "ip", "date", "type", "length"],
     2: ["url", "ip", "date", "type", "status", "checksum", "location", "offset", "filename", "length"],
@@ -46,6 +48,9 @@ TITLES = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 END = b"\r\n\r\n"
+#: Written where no address is known.
+NO_IP = ("0.0.0.0", "-", "")
+INFO = b"software: docgrid\r\nformat: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n"
 
 
 def arc_start(version: int, name: str, date: str) -> bytes:
@@ -110,11 +115,13 @@ def convert(head: dict) -> dict:
     http, payload = http_parts(head["block"])
     digest = hashlib.sha256(payload).hexdigest()
     kind = "warcinfo" if head["filedesc"] else "response" if http else "resource"
+    name = f"{head['url']} {head['date']} {hashlib.sha256(head['block']).hexdigest()}"
     return {
-        "record_id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, head['url'] + ' ' + head['date'] + ' ' + digest)}>",
+        "record_id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>",
         "type": kind,
         "uri": head["url"],
         "date": iso_date(head["date"]),
+        "ip": None if head["ip"] in NO_IP else head["ip"],
         "content_type": "application/http; msgtype=response" if http else head["type"],
         "http": http,
         "payload": payload,
@@ -132,6 +139,7 @@ def warc_record(rec: dict, refers_to: dict | None = None) -> bytes:
         f"WARC-Record-ID: {rec['record_id']}",
         f"WARC-Date: {rec['date']}",
         *([f"WARC-Target-URI: {rec['uri']}"] if rec["type"] != "warcinfo" else []),
+        *([f"WARC-IP-Address: {rec['ip']}"] if rec.get("ip") else []),
         *([f"WARC-Refers-To: {refers_to['record_id']}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers_to else []),
         f"WARC-Payload-Digest: sha256:{rec['digest']}",
         f"WARC-Block-Digest: {sha1(block)}",
@@ -141,6 +149,32 @@ def warc_record(rec: dict, refers_to: dict | None = None) -> bytes:
     return "\r\n".join(lines).encode("utf-8", "surrogateescape") + END + block
 
 
+def info_record(name: str, date: str) -> bytes:
+    """The warcinfo record that opens a WARC file."""
+    return warc_record({"record_id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "type": "warcinfo", "date": date, "content_type": "application/warc-fields", "http": b"", "payload": INFO, "digest": hashlib.sha256(INFO).hexdigest()})
+
+
+def member(data: bytes) -> bytes:
+    """One gzip member."""
+    made = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return made.compress(data) + made.flush()
+
+
+def members(data: bytes) -> bytes:
+    """What the gzip members of a file hold together."""
+    out, rest = [], data
+    while rest:
+        made = zlib.decompressobj(31)
+        try:
+            out.append(made.decompress(rest))
+        except zlib.error as e:
+            raise ValueError(f"gzip: no member at {len(data) - len(rest)}") from e
+        if not made.eof:
+            raise ValueError(f"gzip: the member at {len(data) - len(rest)} has no end")
+        rest = made.unused_data
+    return b"".join(out)
+
+
 def parse_warc(data: bytes) -> Iterator[dict]:
     """Header fields (lower-cased names) and block of each record of an archive."""
     at = 0
@@ -175,9 +209,9 @@ def arc_segments(pages: DataFrame) -> DataFrame:
         empty = True
         for batch in batches:
             for i, url, html in zip(*(c.to_pylist() for c in batch.columns)):
-                payload = html or b""
-                block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {i}\r\n\r\n".encode() + payload
-                uri = quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url and url.strip() else f"urn:page:{i}"
+                payload, page = html or b"", "" if i is None else f"X-Page-Id: {i}\r\n"
+                block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{page}\r\n".encode() + payload
+                uri = quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url and url.strip() else f"urn:page:{"none" if i is None else i}"
                 at += out.write(arc_record(version, uri, date, "text/html", block, at, f"segment-{names}.arc"))
                 empty = False
                 if at >= SEGMENT_BYTES:
@@ -190,7 +224,7 @@ def arc_segments(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.col("html").cast("binary").alias("html")).mapInArrow(write, "arc binary")
 
 
-RECORD = "page_id bigint, record_id string, type string, uri string, date string, content_type string, http binary, payload binary, digest string"
+RECORD = "page_id bigint, record_id string, type string, uri string, date string, ip string, content_type string, http binary, payload binary, digest string"
 
 
 def converted(arcs: DataFrame) -> DataFrame:
@@ -213,27 +247,39 @@ def converted(arcs: DataFrame) -> DataFrame:
 
 
 def revisits(records: DataFrame) -> DataFrame:
-    """(page_id, ref_page, ref_id) of the records that repeat the payload of one with a smaller page_id.
+    """(record_id, digest, ref_id) of the records that repeat the payload of one with a smaller page_id.
 
     Only digests move, and each task hands on one row a digest, so a payload that a third of the pages share costs no more than another.
     """
-    light = records.where(F.length("payload") >= MIN_REVISIT).select("page_id", "record_id", "digest")
+    light = records.where(F.length("payload") >= MIN_REVISIT).where("page_id is not null").select("page_id", "record_id", "digest")
     first = light.groupBy("digest").agg(F.min(F.struct("page_id", "record_id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return light.join(first, "digest").where("page_id > first.page_id").select("page_id", F.col("first.page_id").alias("ref_page"), F.col("first.record_id").alias("ref_id")).distinct()
+    return light.join(first, "digest").where("page_id > first.page_id").select("record_id", "digest", F.col("first.record_id").alias("ref_id")).distinct()
 
 
 def write_archives(records: DataFrame, links: DataFrame, path: str) -> None:
+    """WARC files of the records; links: of those that become revisits."""
+
     def render(batches):
+        out, size, files = [], 0, 0
+        start = uuid.uuid4().hex  # of this attempt of the task; a file's name in its warcinfo record only
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                ref = {"record_id": row["ref_id"]} if row["ref_id"] else None
-                out.append(warc_record(row, ref))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-
-    whole = records.join(links, "page_id", "left").mapInArrow(render, "value binary")
-    # The cast keeps the bytes as they are; Spark's writer adds the separator after each record.
-    whole.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+            for at in range(0, batch.num_rows, 64):
+                for row in batch.slice(at, 64).to_pylist():
+                    if not out:
+                        out.append(member(info_record(f"{start}-{files}", row["date"]) + END))
+                    ref = {"record_id": row["ref_id"]} if row["ref_id"] else None
+                    out.append(member(warc_record(row, ref) + END))
+                    size += len(out[-1])
+                    if size >= FILE_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["value"])
+                        out, size, files = [], 0, files + 1
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["value"])
+
+    whole = records.join(links, ["record_id", "digest"], "left").mapInArrow(render, "value binary")
+    # The cast keeps the bytes as they are. Spark's writer ends each row, so each file, by the separator: an empty gzip member.
+    end = member(b"").decode("latin-1")
+    whole.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", end).option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -247,14 +293,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows = []
-                for rec in parse_warc(zlib.decompress(data.as_py(), 31)):
+                for rec in parse_warc(members(data.as_py())):
+                    if rec["warc-type"] == "warcinfo":
+                        continue
                     http, payload = http_parts(rec["block"])
                     declared = rec["warc-payload-digest"].removeprefix("sha256:")
                     found = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", http)
                     n = int(re.search(rb"\r\nContent-Length: (\d+)\r\n", http)[1])
                     if rec["warc-type"] != "revisit" and (hashlib.sha256(payload).hexdigest() != declared or n != len(payload)):
                         raise ValueError(f"WARC: {rec['warc-record-id']} does not have its declared payload")
-                    rows.append((int(found[1]), rec["warc-type"], rec["warc-record-id"], rec.get("warc-refers-to"), n, declared))
+                    rows.append((int(found[1]) if found else None, rec["warc-type"], rec["warc-record-id"], rec.get("warc-refers-to"), n, declared))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), fields)] if rows else [pa.array([], t.type) for t in fields], schema=fields)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")

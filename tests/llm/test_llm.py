@@ -193,6 +193,43 @@ def test_odd_pages(spark):
     assert arc_converter.archived(pages.limit(0)).count() == 0
 
 
+def test_pages_by_brute_force(spark):
+    """Repeated ids with one and with other payloads, null ids, hot payloads, payloads that look like archives."""
+    rows = [(1, "x" * 100), (5, "x" * 100), (5, "y" * 150), (None, "x" * 100), (None, "z" * 200), (None, "z" * 200), (1, "x" * 100), (7, "y" * 150), (8, "y" * 99), (9, "y" * 99), (6, None), (4, "WARC/1.1\r\n\r\n\r\n" * 9), (3, "WARC/1.1\r\n\r\n\r\n" * 9), (-2, "é" * 50), (2, "é" * 50)]
+    rows += [(100 + i, "hot" * 50) for i in range(60)]
+    first = {}
+    for i, html in rows:
+        if i is not None:
+            first[html] = min(i, first.get(html, i))
+    wanted = []
+    for i, html in rows:
+        data = (html or "").encode()
+        again = i is not None and len(data) >= arc_converter.MIN_REVISIT and i > first[html]
+        wanted.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first[html] if again else None))
+    pages = spark.createDataFrame([(i, "http://h/", html, 1, "n") for i, html in rows], "page_id bigint, url string, html string, record_id int, digest string")
+    got = [tuple(r) for r in arc_converter.archived(pages).drop("record_id").collect()]
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+
+
+def test_archive_files(spark, tmp_path, monkeypatch):
+    """Files are cut by bytes, begin with a warcinfo record, hold a gzip member a record, and keep addresses."""
+    monkeypatch.setattr(arc_converter, "FILE_BYTES", 2000)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"{i} text " * 40) for i in range(50)], "page_id bigint, url string, html string").coalesce(1)
+    records = arc_converter.converted(arc_converter.arc_segments(pages))
+    arc_converter.write_archives(records, arc_converter.revisits(records), str(tmp_path / "w"))
+    files = [f.read_bytes() for f in (tmp_path / "w").glob("part-*")]
+    assert len(files) > 2 and all(len(f) < 4000 for f in files)
+    for f in files:
+        found = list(arc_converter.parse_warc(arc_converter.members(f)))
+        assert found[0]["warc-type"] == "warcinfo" and found[0]["block"] == arc_converter.INFO
+        assert all(r["warc-ip-address"] == "192.0.2.1" for r in found[1:])
+        assert f.count(b"\x1f\x8b\x08") >= len(found) + 1
+        for bad in (f[:-30], f + b"abc"):
+            with pytest.raises(ValueError):
+                arc_converter.members(bad)
+    assert arc_converter.read_archives(spark, str(tmp_path / "w")).count() == 50
+
+
 # --- 5 ---
 
 
