@@ -1,15 +1,18 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are taken in blocks of at most BLOCK_WORDS words, so what a task holds of them is bounded however large the
-benchmark is. For each block, one pass over all documents finds its n-grams in each document, gathers hits near a
-common diagonal, and aligns the item with that stretch of the document by words. Substituted, inserted and dropped words
-lower the score without ending the alignment, so edited and paraphrased copies are found too. Every n-gram of an item is
-a seed, however many documents have it, so a document's verdict depends on no other document.
+benchmark is. For each block, one pass over all documents joins its n-grams with those of each document, gathers hits
+near a common diagonal, and aligns the item with that stretch of the document by words. Substituted, inserted and
+dropped words lower the score without ending the alignment, so edited and paraphrased copies are found too. Every n-gram
+of an item is a seed, however many documents have it, so a document's verdict depends on no other document, and one hit
+is enough. A stretch is left unaligned only if it holds too few of the item's words to reach COPIED, so what is lost are
+copies in which no SEED words of the item follow one another.
 
 Defined results: words are compared with A-Z lower-cased and punctuation at their ends taken off; null and empty texts
 and items match nothing; items shorter than SEED words are seeded by their whole sequence; repeated rows are each
 reported; if a document holds an item several times, its best alignment (the earliest of equals) is reported; other
-columns of the documents are kept by clean() and not read by matches().
+columns of the documents are kept by clean() and not read by matches(); rows without a doc_id share one, so clean() drops
+all of them if one of them copies an item.
 """
 
 from __future__ import annotations
@@ -104,21 +107,22 @@ class Seeds:
         out = []
         for k, hits in lines.items():
             item = self.words[k]
-            need = 1 if len(item) < 3 * SEED else 2
             ordered, best = sorted(hits), (0.0, 0, 0)
             at = 0
             while at < len(ordered):
                 end = at + 1
                 while end < len(ordered) and ordered[end][0] - ordered[end - 1][0] <= BAND:
                     end += 1
-                if len({p for _, p in ordered[at:end]}) >= need:
-                    lo, hi = max(0, ordered[at][0] - BAND), min(len(words), ordered[end - 1][0] + len(item) + BAND)
-                    for a in self._stretches(ordered[at:end], lo, hi, len(item), len(words)):
-                        score, x, y = align(item, words[a[0] : a[1]])
-                        if score > best[0]:
-                            best = (score, a[0] + x, a[0] + y)
-                        if score == 1:
-                            break
+                lo, hi = max(0, ordered[at][0] - BAND), min(len(words), ordered[end - 1][0] + len(item) + BAND)
+                for a, b in self._stretches(lo, hi, len(item)):
+                    # Each word of the item that is matched adds at most MATCH.
+                    if MATCH * np.isin(item, words[a:b]).sum() < COPIED * MATCH * len(item):
+                        continue
+                    score, x, y = align(item, words[a:b])
+                    if score > best[0]:
+                        best = (score, a + x, a + y)
+                    if score == 1:
+                        break
                 if best[0] == 1:
                     break
                 at = end
@@ -127,7 +131,7 @@ class Seeds:
         return out
 
     @staticmethod
-    def _stretches(hits, lo, hi, n, size):
+    def _stretches(lo, hi, n):
         """The stretch that a run of neighbouring diagonals spans, in overlapping parts if it is long."""
         width = 4 * n + 4 * BAND
         if hi - lo <= width:
@@ -172,7 +176,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that copy no test item, with all their columns."""
     hit = matches(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,6 +233,36 @@ def test_archive_files(spark, tmp_path, monkeypatch):
 # --- 5 ---
 
 
+def test_matches_by_alignment_of_all_pairs(spark, texts):
+    """All documents against all items; edited copies too. Recall must be whole where three words stay together."""
+    rng = np.random.default_rng(6)
+    items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet' order by item_id").fetchall()
+    docs = [(i, t) for i, t, _ in texts][:60] + [(None, None), (9000, "")]
+    for k, (_, text) in enumerate(items):
+        w = text.split()
+        for place in rng.choice(len(w), len(w) // 3 if k % 2 else len(w) // 4, replace=False):
+            w[place] = ["edit", "", f"{w[place]} more"][int(rng.integers(0, 3))]
+        docs.append((10_000 + k, " ".join(["and"] * int(rng.integers(0, 40)) + w + ["then"] * 9)))
+        docs.append((20_000 + k, " ".join(("x" if p % 5 == 0 else v) for p, v in enumerate(text.split()))))
+    cache = WordHashes(decontaminate.ENDS)
+    item_words = [(i, decontaminate.words_of(t.encode(), cache)) for i, t in items]
+    doc_words = [(i, decontaminate.words_of(t and t.encode(), cache)) for i, t in docs]
+    runs = lambda a: {tuple(a[p : p + 3]) for p in range(len(a) - 2)}
+    wanted, seedless = set(), set()
+    for i, item in item_words:
+        for d, doc in doc_words:
+            if len(doc) and decontaminate.align(item, doc)[0] >= decontaminate.COPIED:
+                (wanted if runs(item.tolist()) & runs(doc.tolist()) else seedless).add((d, i))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(frame, bench).collect()}
+    assert got == wanted and len(wanted) >= 0.9 * len(wanted | seedless) and len(wanted) > 60
+    left = decontaminate.clean(frame, bench)
+    assert {r.doc_id for r in left.collect()} == {i for i, _ in docs} - {i for i, _ in wanted}
+    nulls = spark.createDataFrame([(None, items[0][1], 1), (1, "x", 2)], "doc_id bigint, text string, _hit int")
+    assert [tuple(r) for r in decontaminate.clean(nulls, bench).collect()] == [(1, "x", 2)]
+
+
 def brute_align(item, part):
     h = [[0] * (len(part) + 1) for _ in range(len(item) + 1)]
     for i in range(1, len(item) + 1):
