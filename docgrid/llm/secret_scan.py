@@ -39,7 +39,7 @@ VALUE = r"^[\"']?([^\s\"']{8,})"
 HASHES = r"(?i)(commit|sha-?\d*|md5|checksum|digest|etag|uuid|guid|build|revision|version|blob|card|account|phone|order|invoice|isbn|serial)"
 PATHS = r"(?i)(test|spec|example|sample|fixture|mock|docs?/|readme|vendor|\.lock|\.sum)"
 #: Words that do not occur in generated keys.
-DICTIONARY = "example sample placeholder changeme dummy your insert redacted foobar lorem ipsum test version release build image file document section chapter table figure page index config default user name host local server client public static content main module package license apache copyright national university international department customer product service account number street january february monday".split()
+DICTIONARY = "example sample placeholder changeme dummy your insert redacted foobar lorem ipsum test version release build image file document section chapter table figure page index config default user name host local server client public static content main module package license apache copyright national university international department customer product service account number street january february monday required string undefined value null none true false field change reset forgot enter getenv process environ settings option input request response password passwort secret token login username example".split()
 FEATURES = ["length", "digits", "uppers", "lowers", "transitions", "entropy", "coverage", "hex_only", "digits_only", "repeats", "path_mark", "named", "assigned", "hashed", "prefixed"]
 
 
@@ -183,6 +183,11 @@ def labelled_findings(spark: SparkSession, rows: int = SAMPLE) -> DataFrame:
     spoken = pick("sha1 ", "commit ", "md5: ", "checksum=", "uuid: ", "build ", "card ", "version=", "etag: ", "order no ")
     word = F.concat(pick("version", "release", "document", "image", "section", "customer"), pick("version", "number", "page", "table", "chapter"), F.substring(F.regexp_replace("h", "[a-f]", ""), 1, 4))
     digits = F.substring(F.concat(F.regexp_replace("s", "[a-f]", ""), F.regexp_replace("h", "[a-f]", ""), F.lit("4929")), 1, 16)
+    # Values that people make up or fill in behind an open assignment.
+    opened = pick("password = ", "password: ", "secret = ", "the token: ", 'pwd= "', "auth credential: ", "passwd = ", "api_key = ")
+    letters_only = F.substring(F.translate("s", "0123456789", "ghijkmnprs"), 1, 14)
+    punctuated = F.concat(F.initcap(F.substring(F.regexp_replace("h", "[0-9]", ""), 1, 4)), pick("&", "!", "#", "?"), F.substring("s", 3, 5), pick("!", "$", "%", "*"))
+    said = pick("required", "undefined", "getenv('SECRET')", "process.env.TOKEN", "settings.password", "request.token", "string", "changeme", "yourpassword", "example.com/login", "forgot-password", "resettoken")
     kinds = [
         (F.concat(F.lit("AKIA"), F.substring(letters, 1, 16)), pick("", "key ", "the ", "aws ", "is and ", "of "), 1),
         (F.when(F.col("id") % 24 < 12, F.col("s")).otherwise(F.upper("s")), names, 1),
@@ -196,12 +201,20 @@ def labelled_findings(spark: SparkSession, rows: int = SAMPLE) -> DataFrame:
         (F.concat(F.repeat(F.substring("h", 1, 1), 18), F.lit("1")), names, 0),
         (F.concat_ws("-", F.substring("h", 1, 8), F.substring("h", 9, 4), F.substring("h", 13, 4), F.substring("h", 17, 12)), spoken, 0),
         (F.concat(F.substring(F.regexp_replace("h", "[0-9]", ""), 1, 9), F.substring("h", 1, 3), F.lit("/page1/item")), plain, 0),
+        (letters_only, opened, 1),
+        (punctuated, opened, 1),
+        (said, opened, 0),
+        # The same as the third kind, but in places where such values are made up.
+        (F.substring("h", 1, 18), names, 0),
     ]
+    in_tests = len(kinds) - 1
     text, before, label = kinds[0][0], kinds[0][1], F.lit(kinds[0][2])
     for k, (t, b, y) in enumerate(kinds[1:], 1):
         this = F.col("id") % len(kinds) == k
         text, before, label = F.when(this, t).otherwise(text), F.when(this, b).otherwise(before), F.when(this, y).otherwise(label)
-    return base.select(text.alias("text"), before.alias("before"), pick("src/app", "source3", "src0", "web/pages").alias("path"), label.alias("label"))
+    made_up = (F.col("id") % len(kinds) == in_tests) | ((label == 0) & (F.pmod(F.xxhash64("s"), F.lit(3)) == 0))
+    path = F.when(made_up, pick("tests/data", "docs/readme", "vendor/lib", "examples/login", "spec/fixtures")).otherwise(pick("src/app", "source3", "src0", "web/pages"))
+    return base.select(text.alias("text"), before.alias("before"), path.alias("path"), label.alias("label"))
 
 
 def trained(findings: DataFrame) -> list:
