@@ -21,7 +21,7 @@ of a score.
 
 Defined results: null and empty texts have no windows and get the score of gain zero; training tables that lack one of
 the classes give the score 0 for all; repeated rows get equal scores; an empty table gives no rows; only id and text
-are read, so other columns may have any name.
+are read, so other columns may have any name; clean() keeps them.
 """
 
 from __future__ import annotations
@@ -249,6 +249,20 @@ def scored(docs: DataFrame, model: Fitted | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(score, "doc_id bigint, score double, max_gain double")
 
 
+def clean(docs: DataFrame, model: Fitted | None) -> DataFrame:
+    """The documents that score below TOXIC_FROM, with all their columns. Each row is judged by itself, so nothing is
+    shuffled; without a model all stay."""
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        gains = Gains(*model[:2])
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array([probability(model, gains.of(t)) < TOXIC_FROM for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema) if model else docs
+
+
 def fitted(spark: SparkSession, sf_dir: str) -> Fitted | None:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return fit(*training_rows(docs, labels), class_counts(labels))

@@ -623,6 +623,54 @@ def test_pipeline(spark, odd, none):
     assert p.run(spark, SF).count() > 0
 
 
+def test_pipeline_stages_by_brute_force(spark, texts):
+    """What each stage keeps and changes, by plain loops over the rows."""
+    import corpus_pipeline as p
+
+    stages = dict(p.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("_hit", F.col("doc_id") % 3)
+    rows = {r.doc_id: r for r in docs.collect()}
+    larger = SF.replace("0.001", "0.01")  # with enough labelled rows for a verdict
+    model = toxicity.fitted(spark, larger)
+    gains = toxicity.Gains(*model[:2])
+    more = spark.read.parquet(f"{larger}/documents.parquet").withColumn("score", F.col("doc_id") % 3)
+    every = {r.doc_id: r for r in more.collect()}
+    toxic = {i for i, r in every.items() if r.text and toxicity.probability(model, gains.of(r.text.encode())) >= toxicity.TOXIC_FROM}
+    left = {r.doc_id: r for r in stages["toxicity"](spark, more, larger).collect()}
+    assert left == {i: r for i, r in every.items() if i not in toxic} and toxic
+    items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet' order by item_id").fetchall()
+    cache = WordHashes(decontaminate.ENDS)
+    item_words = [decontaminate.words_of(t.encode(), cache) for _, t in items]
+    some = docs.where("doc_id < 60").unionByName(docs.limit(1).selectExpr("bigint(9999) doc_id", f"'{items[0][1]} and more' text", "lang", "source", "n_chars", "_hit"))
+    copied = set()
+    for r in some.collect():
+        words_ = decontaminate.words_of(r.text and r.text.encode(), cache)
+        if len(words_) and any(decontaminate.align(w, words_)[0] >= decontaminate.COPIED for w in item_words):
+            copied.add(r.doc_id)
+    assert {r.doc_id for r in stages["decontamination"](spark, some, SF).collect()} == {r.doc_id for r in some.collect()} - copied and 9999 in copied
+    trees = secret_scan.trained(secret_scan.labelled_findings(spark))
+
+    def voted(f):
+        def leaf(node):
+            while isinstance(node, tuple):
+                node = node[2] if f[node[0]] <= node[1] else node[3]
+            return node
+
+        return sum(leaf(t) for t in trees) / len(trees)
+
+    changed = stages["secrets"](spark, docs, SF)
+    after = {r.doc_id: r for r in changed.collect()}
+    assert changed.columns == docs.columns and len(after) == len(rows)
+    for i, r in rows.items():
+        secrets = {v for _, v, b in brute_candidates(r.text) if voted(brute_features(v, b, r.source)) >= secret_scan.SECRET}
+        wanted = r.text
+        for v in sorted(secrets, key=len, reverse=True):
+            wanted = wanted.replace(v, secret_scan.MARK)
+        assert after[i].text == wanted and after[i].n_chars == (None if wanted is None else len(wanted))
+    pieces = stages["sentencepiece"](spark, docs, SF).collect()
+    assert len(pieces) == len(rows) and all(r.lossless and r.lang == rows[r.doc_id].lang and (r.text_crc32 == zlib.crc32(rows[r.doc_id].text.encode()) if rows[r.doc_id].text is not None else r.text_crc32 is None) for r in pieces)
+
+
 def test_shared_dir(spark):
     from docgrid.llm._shared import shared_dir
 
