@@ -3,7 +3,8 @@ benchmark items go, secrets are redacted, and what is left is encoded to pieces.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows to the shared folder and
 reads them again as the next one's docs. Rows with a null id or text, repeated rows and extra columns pass every stage
-under the rules its operator states; an empty table gives an empty result.
+under the rules its operator states; an empty table gives an empty result. The last stage puts digests of the pieces in
+place of the text and keeps the other columns.
 """
 
 from __future__ import annotations
@@ -15,23 +16,16 @@ from docgrid.llm import decontaminate, near_dups, secret_scan, sentencepiece_cod
 from docgrid.llm._shared import written
 
 
-def _matched(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs with or without the ids (one column), whatever docs' columns are called."""
-    name = "_matched_id"
-    ids = ids.toDF(name).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[name]), how)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The classifier is fitted on the labelled rows of the whole corpus; documents at or over its threshold go."""
-    scored = toxicity.scored(docs.select("doc_id", "text"), toxicity.fitted(spark, sf_dir))
-    return _matched(docs, scored.where(F.col("score") >= toxicity.TOXIC_FROM).select("doc_id"), "left_anti")
+    return toxicity.clean(docs, toxicity.fitted(spark, sf_dir))
 
 
 def drop_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component, the document with the smallest id stays, once; documents without words stay."""
-    found = near_dups.near_duplicates(docs)
-    kept = _matched(docs, found.where("not kept").select("doc_id"), "left_anti")
+    name = "_dropped_id"  # whatever docs' columns are called, this one is only joined on
+    dropped = near_dups.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped[name]), "left_anti")
     # Rows with the id of the kept one: equal rows stay once.
     return kept.dropDuplicates(["doc_id", "text"])
 
@@ -55,7 +49,7 @@ STAGES = [
     ("secrets", redact_secrets),
     ("sentencepiece", encode_pieces),
 ]
-#: Likelihoods, alignments and forests are beyond SQL; tests compare the stages with brute force.
+#: Likelihoods, alignments and forests are beyond SQL; tests compare each stage's rows with plain loops.
 ORACLE_SQL = None
 
 
