@@ -156,22 +156,25 @@ def info_record(name: str, date: str) -> bytes:
 
 def member(data: bytes) -> bytes:
     """One gzip member."""
-    made = zlib.compressobj(6, zlib.DEFLATED, 31)
+    made = zlib.compressobj(4, zlib.DEFLATED, 31)
     return made.compress(data) + made.flush()
 
 
 def members(data: bytes) -> bytes:
-    """What the gzip members of a file hold together."""
-    out, rest = [], data
-    while rest:
-        made = zlib.decompressobj(31)
-        try:
-            out.append(made.decompress(rest))
-        except zlib.error as e:
-            raise ValueError(f"gzip: no member at {len(data) - len(rest)}") from e
-        if not made.eof:
-            raise ValueError(f"gzip: the member at {len(data) - len(rest)} has no end")
-        rest = made.unused_data
+    """What the gzip members of a file hold together. Read in small pieces, as what follows a member is copied."""
+    out, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        start, made = at, zlib.decompressobj(31)
+        while not made.eof:
+            piece = view[at : at + 4096]
+            if not piece:
+                raise ValueError(f"gzip: the member at {start} has no end")
+            try:
+                out.append(made.decompress(piece))
+            except zlib.error as e:
+                raise ValueError(f"gzip: no member at {start}") from e
+            at += len(piece)
+        at -= len(made.unused_data)
     return b"".join(out)
 
 
