@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,14 +100,3 @@ def agreeing(a: Column, b: Column) -> Column:
     """Names agree if one holds the other, or all tokens of one are tokens of the other."""
     ta, tb = F.split(a, "_"), F.split(b, "_")
     return F.contains(a, b) | F.contains(b, a) | (F.size(F.array_except(ta, tb)) == 0) | (F.size(F.array_except(tb, ta)) == 0)
-
-
-def python_rules(text: str, **subs: str) -> str:
-    """The same rules outside Spark, for parsers that run in Python workers."""
-    for tag in TAGS:
-        rule = subs.get(tag, "*")
-        text = re.sub(f"</?{tag}>", "", text) if rule == "*" else re.sub(f"<{tag}>(.*?)</{tag}>", rule.replace("$1", r"\1"), text)
-    for pattern, value in subs.items():
-        if pattern not in TAGS:
-            text = re.sub(pattern, value.replace("$1", r"\1"), text)
-    return text

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import written
 from .sequence import ordered
 from .spatial import bounded
 
@@ -33,14 +34,23 @@ def gaps(df: DataFrame, keys: list[str], lo: str, hi: str, tie: str) -> DataFram
     return df.withColumn("since", reached).where(F.col("since") < F.col(lo)).select(*keys, "since", F.col(lo).alias("until"))
 
 
-def appended(rows: DataFrame, table: list[str], y: str) -> DataFrame:
-    """Tables one below the other: each row number is moved down by the rows of the tables before.
+def appended(rows: DataFrame, table: list[str], y: str, within: list[str] | None = None) -> DataFrame:
+    """Tables one below the other: each row number is moved down by the rows of the tables before, in the order of the
+    table's columns. within: what the tables belong to (a document); without it, all tables are one sequence.
 
-    Only one count a table goes through the window that sums them up.
+    Only one count a table is summed up: per document, or else first within ranges of tables and then over the ranges.
     """
-    counts = rows.groupBy(*table).agg((F.max(y) + 1).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(*table).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(counts.select(*table, before.alias("_before")), table).withColumn(y, (F.col(y) + F.col("_before")).cast("bigint")).drop("_before")
+    counts = rows.groupBy(*(within or []), *table).agg((F.max(y) + 1).alias("_n"))
+    since = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if within:
+        counts = counts.withColumn("_before", since(ordered(within, *table)))
+    else:
+        counts = written(counts.repartitionByRange(*table).withColumn("_part", F.spark_partition_id()))
+        parts = counts.groupBy("_part").agg(F.sum("_n").alias("_n")).withColumn("_one", F.lit(1))
+        parts = parts.select("_part", since(ordered(["_one"], "_part")).alias("_base"))  # one row a range
+        counts = counts.withColumn("_own", since(ordered(["_part"], *table))).join(parts, "_part").withColumn("_before", F.col("_own") + F.col("_base"))
+    moved = rows.join(counts.select(*(within or []), *table, "_before"), [*(within or []), *table])
+    return moved.withColumn(y, (F.col(y) + F.col("_before")).cast("bigint")).drop("_before")
 
 
 def header_rows(cells: DataFrame, table: list[str], y: str, threshold: float) -> DataFrame:
@@ -108,24 +118,24 @@ def merged_lines(df: DataFrame, keys: list[str], schema: str, rtol: float = 0.25
 
 
 def repaired_borders(df: DataFrame, keys: list[str], schema: str) -> DataFrame:
-    """Cells (y, x, l, b, r, t: border widths) after neighbours have been made to agree, row by row from the bottom.
+    """Places (y up, x, l, b, r, t: border widths) whose open borders are closed where only one of both sides looks like a span.
 
-    A border that only one of two neighbours has is given to both.
+    An open top is closed, for both neighbours, if the place is closed on its right but the place above is not closed on
+    both sides, or the other way round; an open right side likewise by the tops and the place on the right. Beyond the
+    grid, places count as open but for the side that faces away. Each change counts for the places after it, row by row.
     """
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.copy()
-        for c in "lbrt":
-            p[c] = p[c].astype(float)
-        where = {(y, x): i for i, y, x in zip(p.index, p.y, p.x)}
-        for y, x in sorted(where):
-            i = where[y, x]
-            for mine, theirs, other in (("r", "l", (y, x + 1)), ("t", "b", (y + 1, x))):
-                if other in where:
-                    j = where[other]
-                    width = max(p.at[i, mine], p.at[j, theirs])
-                    p.at[i, mine] = p.at[j, theirs] = width
-        return p
+        grid = {(y, x): {s: float(v) for s, v in zip("lbrt", sides)} for y, x, *sides in zip(p.y, p.x, p.l, p.b, p.r, p.t)}
+        for y, x in sorted(grid):
+            here = grid[y, x]
+            above = grid.get((y + 1, x), {"l": 0, "b": 1, "r": 0, "t": 0})
+            right = grid.get((y, x + 1), {"l": 0, "b": 0, "r": 1, "t": 0})
+            if not here["t"] and bool(here["r"]) != bool(above["l"] and above["r"]):
+                here["t"] = above["b"] = 1.0
+            if not here["r"] and bool(here["t"]) != bool(right["b"] and right["t"]):
+                here["r"] = right["l"] = 1.0
+        return p.assign(**{s: [grid[q][s] for q in zip(p.y, p.x)] for s in "lbrt"})
 
     return _folded(df, keys, fold, schema)
 

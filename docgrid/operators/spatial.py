@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if its rows, counted first, are no more than this.
-BROADCAST_ROWS = 200_000
+from ..functions.geometry import intersects
 
+#: A side is broadcast only if the optimizer's estimate of its size in bytes, which errs upwards, is no more than this.
+BROADCAST_BYTES = 64 << 20
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def bounded(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if it is small enough; as it is otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if estimated_bytes(df) <= size else df
 
 
 def range_join(points: DataFrame, boxes: DataFrame, x: str, y: str, keys: list[str] | None = None, cell: float = 16.0) -> DataFrame:
@@ -27,18 +34,38 @@ def range_join(points: DataFrame, boxes: DataFrame, x: str, y: str, keys: list[s
 
 
 def pattern_join(df: DataFrame, patterns: DataFrame, text: str, pattern: str, how: str = "inner", anchored: bool = False) -> DataFrame:
-    """Rows of df with the patterns found in them. Patterns are distinct and few (their number is checked)."""
+    """Rows of df with the patterns found in them. Patterns are distinct and few (their size is checked)."""
     few = bounded(patterns)
     form = f"concat('^(?:', {pattern}, ')')" if anchored else pattern
     return df.join(few, F.expr(f"{text} rlike {form}"), how)
 
 
+def box_join(left: DataFrame, right: DataFrame, keys: list[str] | None = None, cell: float = 64.0, names: tuple[str, str] = ("box", "other")) -> DataFrame:
+    """Pairs of closed boxes (columns of structs l, b, r, t) that share a point.
+
+    Boxes are repeated for the grid cells that they touch; a pair is kept in the cell of its common lower left corner only.
+    """
+    keys, (a, o) = keys or [], names
+
+    def tiled(df: DataFrame, box: str) -> DataFrame:
+        span = lambda lo, hi: F.sequence(F.floor(F.col(f"{box}.{lo}") / cell), F.floor(F.col(f"{box}.{hi}") / cell))
+        return df.withColumn("_cx", F.explode(span("l", "r"))).withColumn("_cy", F.explode(span("b", "t")))
+
+    met = tiled(left, a).join(tiled(right, o), [*keys, "_cx", "_cy"])
+    corner = lambda k: F.floor(F.greatest(F.col(f"{a}.{k}"), F.col(f"{o}.{k}")) / cell)
+    return met.where(intersects(F.col(a), F.col(o)) & (corner("l") == F.col("_cx")) & (corner("b") == F.col("_cy"))).drop("_cx", "_cy")
+
+
 def prefix_join(df: DataFrame, prefixes: DataFrame, text: str, prefix: str, how: str = "inner") -> DataFrame:
-    """Rows with the prefixes they start with, as an equi-join for each length that occurs."""
-    lengths = [r[0] for r in prefixes.select(F.length(prefix).alias("n")).distinct().collect()]
-    cut = df.withColumn("_cut", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"))).where(F.length(text) >= F.col("_cut")) if lengths else df.withColumn("_cut", F.lit(0))
-    joined = cut.join(prefixes, F.expr(f"left({text}, _cut)") == F.col(prefix), how)
-    return joined.where(F.length(prefix) == F.col("_cut")).drop("_cut")
+    """Rows with the prefixes they start with, for any kind of join.
+
+    Texts are cut at each length that occurs among the prefixes and joined on the cut; the lengths are one aggregated row.
+    """
+    lengths = prefixes.agg(F.collect_set(F.length(prefix)).alias("_lengths")).withColumn("_one", F.lit(1))
+    texts = df.select(text).where(F.col(text).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    cut = texts.join(F.broadcast(lengths), "_one").select(text, F.explode("_lengths").alias("_n")).where(F.length(text) >= F.col("_n"))
+    hits = cut.withColumn("_cut", F.expr(f"left(`{text}`, _n)")).join(prefixes, F.col("_cut") == F.col(prefix)).drop("_cut", "_n")
+    return df.join(hits, text, how)
 
 
 def ranked_join(df: DataFrame, *candidates: tuple[DataFrame, Column], keys: list[str], order: list | None = None) -> DataFrame:

@@ -215,7 +215,7 @@ def _(t, spark):
 def _(t, spark):
     r, n, c = t("region"), t("nation"), t("customer")
     up = n.join(r, C("n_regionkey") == C("r_regionkey")).select(C("n_name").alias("child"), C("r_name").alias("parent")).union(c.join(n, C("c_nationkey") == C("n_nationkey")).select("c_name", "n_name"))
-    return graph.closure(up, "child", "parent", depth=4).join(r, C("ancestor") == C("r_name"), "left_semi").groupBy("ancestor").agg(one().alias("descendants"))
+    return graph.closure(up, "child", "parent").join(r, C("ancestor") == C("r_name"), "left_semi").groupBy("ancestor").agg(one().alias("descendants"))
 
 
 @query("q65_set_ops", "(SELECT 'both' AS kind, c_custkey FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0 INTERSECT SELECT o_custkey FROM orders)) UNION ALL (SELECT 'only', c_custkey FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM orders)) UNION ALL (SELECT 'any', c_custkey FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 9000 UNION SELECT o_custkey FROM orders WHERE o_totalprice > 200000))")

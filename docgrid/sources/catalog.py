@@ -16,11 +16,11 @@ def remote(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def local(spark: SparkSession, path: str) -> DataFrame:
-    """A stored catalog; a missing one is empty."""
+    """A catalog that store() wrote, one row a line; a missing one is empty."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
         return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA).json(path, multiLine=True)
+    return spark.read.schema(SCHEMA).json(path)
 
 
 def with_filename(df: DataFrame) -> DataFrame:

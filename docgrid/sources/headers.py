@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import evaluate
+from ..functions.numbers import evaluate_uint64
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +39,10 @@ def pointers(files: DataFrame) -> DataFrame:
 
 
 def values(macros: DataFrame) -> DataFrame:
-    """(file, name, number): macros that are constant expressions, evaluated with the file's other macros. One file is one group."""
+    """(file, name, number): macros that are constant expressions, as unsigned 64-bit numbers, evaluated with the file's
+    other macros. One file is one group."""
+    from decimal import Decimal
+
     import pandas as pd
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
@@ -47,9 +50,9 @@ def values(macros: DataFrame) -> DataFrame:
         out = []
         for name, text in names.items():
             try:
-                out.append((p.file.iloc[0], name, evaluate(text, names)))
+                out.append((p.file.iloc[0], name, Decimal(evaluate_uint64(text, names))))
             except (ValueError, ZeroDivisionError):
                 continue
         return pd.DataFrame(out, columns=["file", "name", "number"])
 
-    return macros.groupBy("file").applyInPandas(fold, "file string, name string, number bigint")
+    return macros.groupBy("file").applyInPandas(fold, "file string, name string, number decimal(20,0)")

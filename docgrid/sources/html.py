@@ -137,19 +137,20 @@ def parse(html: str | None) -> list[dict]:
 def dense_grid(cells: list[dict]) -> tuple[list[list[int | None]], int]:
     """Numbers of the cells that cover each place of the table, and the number of header rows.
 
-    The first row's spans give the width. Each cell goes to the first free column of its row and covers all it spans,
-    clipped to the grid.
+    The first row's spans give the width. Each column remembers the row down to which it is taken; a cell goes to the
+    first column of its row that is free, or, in a full row, on the last cell's place, clipped to the grid.
     """
     width = sum(c["colspan"] for c in cells if c["y"] == cells[0]["y"])
     height = max(c["y"] + c["rowspan"] for c in cells)
     grid: list[list[int | None]] = [[None] * width for _ in range(height)]
-    at = 0
-    for k, c in enumerate(cells):
-        free = [x for x in range(width) if grid[c["y"]][x] is None]
-        at = free[0] if free else at
-        for y in range(c["y"], min(height, c["y"] + c["rowspan"])):
-            for x in range(at, min(width, at + c["colspan"])):
-                grid[y][x] = k
+    taken, left = [0] * width, 0
+    for number, cell in enumerate(cells):
+        top, bottom = cell["y"], min(height, cell["y"] + cell["rowspan"])
+        left = next((x for x, until in enumerate(taken) if until <= top), left)
+        columns = slice(left, left + cell["colspan"])
+        for row in grid[top:bottom]:
+            row[columns] = [number] * len(row[columns])
+        taken[columns] = [max(until, bottom) for until in taken[columns]]
     return grid, max((c["y"] + 1 for c in cells if c["head"]), default=0)
 
 
