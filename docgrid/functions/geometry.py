@@ -126,3 +126,58 @@ def edges(a: Column) -> Column:
     """The four sides of a box as an array of structs (side, x0, y0, x1, y1)."""
     side = lambda n, x0, y0, x1, y1: F.struct(F.lit(n).alias("side"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
     return F.array(side("left", a["l"], a["b"], a["l"], a["t"]), side("right", a["r"], a["b"], a["r"], a["t"]), side("bottom", a["l"], a["b"], a["r"], a["b"]), side("top", a["l"], a["t"], a["r"], a["t"]))
+
+
+def specialised(x0: Column, y0: Column, x1: Column, y1: Column, absolute: float = 1e-9) -> Column:
+    """A line as struct (kind, at, lo, hi): where an upright or level line stands and its ends in order; null for others."""
+    kind = direction(x0, y0, x1, y1, absolute)
+    upright, level = kind == "vertical", kind == "horizontal"
+    of = lambda v, h: F.when(upright, v).when(level, h)
+    return F.when(upright | level, F.struct(kind.alias("kind"), of((x0 + x1) / 2, (y0 + y1) / 2).alias("at"), of(F.least(y0, y1), F.least(x0, x1)).alias("lo"), of(F.greatest(y0, y1), F.greatest(x0, x1)).alias("hi")))
+
+
+def rotated(a: Column, degrees: int) -> Column:
+    """A box turned about the origin by quarter turns, counter-clockwise, its corners in order."""
+    turns = degrees // 90 % 4
+    if degrees % 90:
+        raise ValueError("boxes are turned by quarters only")
+    if turns == 0:
+        return a
+    if turns == 2:
+        return box(-a["l"], -a["b"], -a["r"], -a["t"])
+    sign = 1 if turns == 1 else -1
+    return box(-sign * a["b"], sign * a["l"], -sign * a["t"], sign * a["r"])
+
+
+def rounded(a: Column, digits: int = 0) -> Column:
+    return F.struct(*[F.round(a[k], digits).alias(k) for k in "lbrt"])
+
+
+def colour_class(packed: Column, classes: dict[int, str]) -> Column:
+    """The name of a packed colour, `unknown` for others."""
+    out = F.lit("unknown")
+    for value, name in classes.items():
+        out = F.when(packed == F.lit(value), name).otherwise(out)
+    return out
+
+
+def char_style(font: Column, origin: Column, line_origin: Column, height: Column, linked: Column, upright: Column | None = None) -> Column:
+    """Array of the styles of a glyph: b, i, u, sup, sub. On lines that run upwards (upright), scripts shift the other way."""
+    shift = origin - line_origin if upright is None else F.when(upright, line_origin - origin).otherwise(origin - line_origin)
+    script = script_style(shift, F.lit(0.0), height)
+    marks = [F.when(font.contains("Bold"), "b"), F.when(font.rlike("Italic|Oblique"), "i"), F.when(linked, "u"), F.when(script == "super", "sup").when(script == "sub", "sub")]
+    return F.array_compact(F.array(*marks))
+
+
+def ruling_lines(a: Column, thin: float) -> Column:
+    """Lines that a filled box draws, as array of structs (side, x0, y0, x1, y1): one through the middle of a thin box, the
+    four edges of another."""
+    x, y = midpoint(a)
+    line = lambda name, x0, y0, x1, y1: F.array(F.struct(F.lit(name).alias("side"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))
+    narrow, low = a["r"] - a["l"] <= thin, a["t"] - a["b"] <= thin
+    return F.when(low & (~narrow | (a["r"] - a["l"] >= a["t"] - a["b"])), line("level", a["l"], y, a["r"], y)).when(narrow, line("upright", x, a["b"], x, a["t"])).otherwise(edges(a))
+
+
+def mean_origin(x: Column, y: Column) -> tuple[Column, Column]:
+    """Aggregates: the mean origin of a group of glyphs."""
+    return F.avg(x), F.avg(y)

@@ -50,3 +50,16 @@ def coverage(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
 def fingerprint(*cols: Column) -> Column:
     """Aggregate: a canonical digest of a group's rows, whatever their order."""
     return F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct(*cols)))), 256)
+
+
+def named_sources(rows: DataFrame, keys: list[str], name: str, source: str) -> DataFrame:
+    """(keys, names: map from each name to the sources that use it, joined by plus signs), of keys with several names."""
+    each = rows.groupBy(*keys, name).agg(F.array_join(F.sort_array(F.collect_set(source)), "+").alias("_s"))
+    wide = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(name, "_s"))).alias("_p")).where("size(_p) > 1")
+    return wide.select(*keys, F.map_from_entries("_p").alias("names"))
+
+
+def mixed(rows: DataFrame, keys: list[str], value: str, label: str) -> DataFrame:
+    """Keys that stand under several values, with the values in order, joined by hyphens: (keys, label)."""
+    found = rows.groupBy(*keys).agg(F.sort_array(F.collect_set(value)).alias("_v")).where("size(_v) > 1")
+    return found.select(*keys, F.array_join(F.transform("_v", lambda v: v.cast("string")), "-").alias(label))

@@ -49,9 +49,9 @@ def deduplicated(df: DataFrame, device: str, *tree: str) -> DataFrame:
     return prints.groupBy("print").agg(F.min(device).alias(device), F.sort_array(F.collect_list(device)).alias("compatible")).drop("print")
 
 
-def struct_offsets(members: DataFrame, type_col: str, order: str, size: Column) -> DataFrame:
+def struct_offsets(members: DataFrame, type_col: str, order: list[str], size: Column) -> DataFrame:
     """Byte offset of each member of a C structure; reserved members take room like any other."""
-    return members.withColumn("byte_offset", running_offset(size, ordered([type_col], order)))
+    return members.withColumn("byte_offset", running_offset(size, ordered([type_col], *order)))
 
 
 def folded(channels: DataFrame, device: str, address: str, is_parent: Column, name: str) -> DataFrame:

@@ -96,25 +96,166 @@ def styled(runs_of: list[tuple[str, frozenset[str]]]) -> str:
     return "".join(out)
 
 
+def paths(nodes: DataFrame, most: int = 32) -> DataFrame:
+    """Nodes with path: the places (ord) of their ancestors and their own. Ascending paths are pre-order; descending ones
+    are the reverse traversal, in which the last leaf comes first and children come before their parents."""
+    level = nodes.where("parent is null").withColumn("path", F.array(F.col("ord").cast("int")))
+    found = level
+    for _ in range(most):
+        up = level.select("doc", F.col("node").alias("parent"), F.col("path").alias("_up"))
+        level = nodes.join(up, ["doc", "parent"]).select(*nodes.columns, F.concat("_up", F.array(F.col("ord").cast("int"))).alias("path"))
+        if level.isEmpty():
+            return found
+        found = found.unionByName(level)
+    raise ValueError(f"trees are deeper than {most} levels")
+
+
+def reverse_order(pathed: DataFrame) -> DataFrame:
+    """Column reverse: the place of each node in the reverse traversal of its document."""
+    return pathed.withColumn("reverse", F.row_number().over(Window.partitionBy("doc").orderBy(F.col("path").desc())) - 1)
+
+
+def stripped(values: Column, unwanted) -> Column:
+    """An array without the unwanted values at both its ends."""
+    flags = F.transform(values, lambda v: ~F.coalesce(unwanted(v), F.lit(False)))
+    first, last = F.array_position(flags, True), F.size(values) - F.array_position(F.reverse(flags), True) + 1
+    return F.when(first > 0, F.slice(values, first.cast("int"), (last - first + 1).cast("int"))).otherwise(F.slice(values, 1, 0))
+
+
+def page_markers(pathed: DataFrame) -> DataFrame:
+    """(doc, page, node): the first leaf of each page, which carries the page's mark. Nodes need path and page."""
+    inner = pathed.select("doc", F.col("parent").alias("node")).where("node is not null").distinct()
+    return pathed.join(inner, ["doc", "node"], "left_anti").groupBy("doc", "page").agg(F.min_by("node", "path").alias("node"))
+
+
+def relative_x(nodes: DataFrame) -> DataFrame:
+    """x relative to its area's left (column area_x): list items by the left of their first character (column left)."""
+    return nodes.withColumn("x", F.when(F.col("name").startswith("list"), F.floor("left").cast("double")).otherwise(F.col("x")) - F.col("area_x"))
+
+
+def merged_areas(nodes: DataFrame, em: float) -> DataFrame:
+    """Areas of a document's pages as one tree: parents of the areas' top nodes are set.
+
+    nodes: (doc, area, ord, node, parent, name, x, italic), nodes numbered in pre-order, x relative to the area. What an
+    area holds before its first heading goes on where the document ended: list items below the nearest ancestor of the
+    end that stands between one and four em to their left, or is a heading; slanted paragraphs behind a note into the
+    note; the rest below the nearest heading. The first heading becomes a child of the document and takes what follows.
+    The end is the last heading, list item or note, or else the last node. One document is one group.
+    """
+    columns = list(nodes.columns)
+    schema = ", ".join(f"{c} {t}" for c, t in nodes.dtypes)
+    marks = ("head", "list", "note")
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["area", "node"], kind="stable")
+        parent = {int(n): None if pd.isna(q) else int(q) for n, q in zip(p.node, p.parent)}
+        name, x = dict(zip(p.node.astype(int), p["name"])), dict(zip(p.node.astype(int), p.x.astype(float)))
+        italic = dict(zip(p.node.astype(int), p.italic.astype(bool)))
+        below: dict = {}
+        for n, q in parent.items():
+            below.setdefault(q, []).append(n)
+
+        def whole(n: int) -> list[int]:
+            return [n, *(m for c in below.get(n, []) if parent[c] == n for m in whole(c))]
+
+        end = None
+        tops = {area: [n for n, q in zip(g.node.astype(int), g.parent) if pd.isna(q)] for area, g in p.groupby("area", sort=True)}
+
+        def ancestor(fits) -> int | None:
+            n = end
+            while n is not None and not fits(n):
+                n = parent[n]
+            return n
+
+        seen: list[int] = []
+        for area in sorted(tops):
+            heading = None
+            for n in tops[area]:
+                if heading is not None:
+                    parent[n] = heading
+                elif name[n].startswith("head"):
+                    heading, parent[n] = n, None
+                elif name[n].startswith("list"):
+                    parent[n] = ancestor(lambda c, n=n: name[c].startswith("head") or -4 * em < x[c] - x[n] < -em)
+                elif name[n] == "para" and italic[n] and end is not None and name[end] == "note":
+                    parent[n] = end
+                else:
+                    parent[n] = ancestor(lambda c: name[c].startswith("head"))
+                seen += whole(n)
+                end = next((m for m in reversed(seen) if name[m].startswith(marks)), seen[-1])
+        return p.assign(parent=[parent[int(n)] for n in p.node]).astype({"parent": "Int64"})[columns]
+
+    return nodes.groupBy("doc").applyInPandas(fold, schema)
+
+
+def printed(pathed: DataFrame) -> DataFrame:
+    """(doc, text): the tree as indented lines, for looking at."""
+    line = F.concat(F.repeat(F.lit("  "), F.size("path") - 1), "name", F.coalesce(F.concat(F.lit(": "), "text"), F.lit("")))
+    return pathed.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", line.alias("l")))), lambda s: s["l"]), "\n").alias("text"))
+
+
+def normalised(lines: DataFrame, *rules) -> DataFrame:
+    """Rules (DataFrame to DataFrame) applied one after the other; without any, the usual ones: kinds of lines, depths of
+    headings, and the heading that each line stands under."""
+    usual = (
+        lambda d: d.withColumn("name", line_kind(F.col("text"))),
+        lambda d: d.withColumn("depth", F.when(F.col("name") == "heading", heading_depth(F.col("text")))),
+        lambda d: sections(d, ["doc"], "ord"),
+    )
+    for rule in rules or usual:
+        lines = lines.transform(rule)
+    return lines
+
+
+#: Elements of node kinds; lists are wrapped by serialised().
+TAGS = {"heading": "h{depth}", "para": "p", "note": "div", "caption": "p", "listb": "li", "lists": "li", "lista": "li", "listn": "li"}
+LISTS = {"listb": "ul", "lists": "ul", "lista": 'ol type="a"', "listn": "ol"}
+
+
 def serialised(nodes: DataFrame) -> DataFrame:
-    """(doc, html): each document's tree as HTML. One document is one group."""
-    tags = {"heading": "h{depth}", "para": "p", "listb": "li", "lists": "li", "lista": "li", "listn": "li", "note": "div", "caption": "p"}
+    """(doc, html): each document's tree as HTML. One document is one group.
+
+    Nodes may have a column runs (array of structs text, styles), which is written in place of the text with nested tags,
+    and a column html (a table's cells, as tables.as_html() makes them), which is written as it is. Neighbouring list
+    items of one kind are wrapped by one list.
+    """
+    for name, kind in (("runs", "array<struct<text:string,styles:array<string>>>"), ("html", "string")):
+        if name not in nodes.columns:
+            nodes = nodes.withColumn(name, F.lit(None).cast(kind))
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
         children: dict = {}
         for r in p.sort_values("ord", kind="stable").itertuples():
             children.setdefault(None if pd.isna(r.parent) else r.parent, []).append(r)
+
+        def framed(rows: list) -> list:
+            """Nodes with the strings that open and close lists around them."""
+            out, open_ = [], None
+            for r in [*rows, None]:
+                kind = LISTS.get(r.name_) if r is not None else None
+                if kind != open_:
+                    out += [f"</{open_.split(' ')[0]}>"] if open_ else []
+                    out += [f"<{kind}>"] if kind else []
+                    open_ = kind
+                if r is not None:
+                    out.append(r)
+            return out
+
         out: list[str] = []
-        stack = list(reversed(children.get(None, [])))
+        stack = framed(children.get(None, []))[::-1]
         while stack:
             x = stack.pop()
             if isinstance(x, str):
                 out.append(x)
                 continue
-            tag = tags.get(x.name_, "div").format(depth=min(6, max(1, int(x.depth or 2) if not pd.isna(x.depth) else 2)))
-            out.append(f"<{tag}>{_html.escape(x.text or '', quote=False)}")
+            if isinstance(x.html, str):
+                out.append(x.html)
+                continue
+            tag = TAGS.get(x.name_, "div").format(depth=min(6, max(1, int(x.depth or 2) if not pd.isna(x.depth) else 2)))
+            inner = styled([(r["text"] or "", frozenset(r["styles"])) for r in x.runs]) if x.runs is not None and len(x.runs) else _html.escape(x.text or "", quote=False)
+            out.append(f"<{tag}>{inner}")
             stack.append(f"</{tag}>")
-            stack += reversed(children.get(x.node, []))
+            stack += framed(children.get(x.node, []))[::-1]
         return pd.DataFrame({"doc": [p.doc.iloc[0]], "html": ["<html><body>" + "".join(out) + "</body></html>"]})
 
     return nodes.withColumnRenamed("name", "name_").groupBy("doc").applyInPandas(fold, "doc bigint, html string")

@@ -20,6 +20,18 @@ def defines(files: DataFrame) -> DataFrame:
     return lines.select("file", F.regexp_extract("d", r"^(\w+)", 1).alias("name"), F.trim(F.regexp_replace("d", r"^\w+", "")).alias("value"))
 
 
+def structures(files: DataFrame) -> DataFrame:
+    """(file, type, ord, member_type, name, count): members of `typedef struct { ... } NAME;`; count is 0 for single members."""
+    body = r"(typedef\s+struct\s*\w*\s*\{[^{}]*\}\s*\w+\s*;)"
+    found = files.select("file", F.explode(F.regexp_extract_all("text", F.lit(body), F.lit(1))).alias("s"))
+    lines = F.filter(F.transform(F.split(F.regexp_extract("s", r"\{([^{}]*)\}", 1), ";"), lambda m: F.trim(F.regexp_replace(F.regexp_replace(m, r"\b(__IOM?|__I|__O|volatile|const|struct)\b", " "), r"\s+", " "))), lambda m: m != "")
+    rows = found.select("file", F.regexp_extract("s", r"\}\s*(\w+)\s*;", 1).alias("type"), F.posexplode(lines).alias("ord", "m"))
+    pattern = r"^(\w+) (\w+)(?: ?\[ ?(\w+) ?\])?$"
+    size = F.regexp_extract("m", pattern, 3)
+    count = F.when(size.rlike("^0[xX]"), F.conv(F.substring(size, F.lit(3), F.length(size)), 16, 10)).when(size == "", "0").otherwise(size)
+    return rows.where(F.col("m").rlike(pattern)).select("file", "type", "ord", F.regexp_extract("m", pattern, 1).alias("member_type"), F.regexp_extract("m", pattern, 2).alias("name"), count.try_cast("int").alias("count"))
+
+
 def conditionals(text: Column, prefix: str) -> Column:
     """Names tested by `defined(...)` that begin with the prefix."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"defined\s*\(?\s*({prefix}\w*)"), F.lit(1)))

@@ -245,6 +245,22 @@ def heading_texts(found: DataFrame, pattern: str = "", text_pattern: str = "") -
     return grouped.join(heads, ["doc", "heading"], "left").withColumn("title", F.coalesce("title", F.lit("-1"))).where(F.col("title").rlike(f"(?i){pattern}"))
 
 
+def tables(found: DataFrame, pattern: str) -> DataFrame:
+    """Items that are tables whose caption (the caption item before them) matches, with it as column caption."""
+    w = Window.partitionBy("doc").orderBy("item")
+    before = F.lag(F.when(F.col("type").isin("caption", "text"), F.col("text"))).over(w)
+    return found.withColumn("caption", before).where("type = 'table'").where(F.coalesce(F.col("caption"), F.lit("")).rlike(f"(?i){pattern}"))
+
+
+def only(found: DataFrame, docs: DataFrame, doc: str, exempt: Column | None = None) -> DataFrame:
+    """The rows of found, which fails at run time if a document has not exactly one; documents for which exempt holds may
+    have none. docs: (doc, and what exempt reads)."""
+    counted = docs.join(found.groupBy(F.col(doc)).agg(F.count(F.lit(1)).alias("_n")), doc, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    fine = (F.col("_n") == 1) | (F.coalesce(exempt, F.lit(False)) & (F.col("_n") == 0) if exempt is not None else F.lit(False))
+    checked = F.assert_true(fine, F.concat(F.lit("not exactly one for "), F.col(doc).cast("string")))
+    return found.join(counted.where(checked.isNull()).select(doc), doc, "left_semi")
+
+
 def folder(spark: SparkSession, path: str) -> DataFrame:
     """(doc, version, chapter, number, html): HTML files in folders NAME-vVERSION."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(path, wholetext=True)
