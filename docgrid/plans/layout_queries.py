@@ -13,6 +13,15 @@ _RECTS = [(1, 0.0, 0.0, 10.0, 0.05), (2, 5.0, 0.02, 20.0, 0.1), (3, 30.0, 0.0, 5
 _R = "r(id, l, b, r, t) AS (VALUES " + ", ".join(f"({i}, {l:.1f}::DOUBLE, {b}::DOUBLE, {r:.1f}::DOUBLE, {t}::DOUBLE)" for i, l, b, r, t in _RECTS) + ")"
 
 
+#: A box for each line of an order; id tells them apart.
+_BOXED = "r AS (SELECT l_orderkey, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_quantity AS l, l_linenumber::DOUBLE AS b, l_quantity + l_partkey % 7 AS r, (l_linenumber + l_suppkey % 3)::DOUBLE AS t FROM lineitem)"
+
+
+def _boxed(t):
+    ident = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return t("lineitem").select("l_orderkey", ident.alias("id"), g.box(C("l_quantity"), C("l_linenumber").cast("double"), C("l_quantity") + C("l_partkey") % 7, (C("l_linenumber") + C("l_suppkey") % 3).cast("double")).alias("box"))
+
+
 def _rects(spark):
     return spark.createDataFrame(_RECTS, "id int, l double, b double, r double, t double")
 
@@ -32,10 +41,10 @@ def _(t, spark):
     return x.groupBy("l_orderkey").agg(g.box_union(C("box")).alias("u")).select("l_orderkey", "u.*")
 
 
-@query("q29_overlap_quirk_vs_exact", f"WITH {_R} SELECT x.id AS i, y.id AS j, (y.l BETWEEN x.l AND x.r AND y.b BETWEEN x.b AND x.t) OR (y.r BETWEEN x.l AND x.r AND y.t BETWEEN x.b AND x.t) AS compat, x.l <= y.r AND y.l <= x.r AND x.b <= y.t AND y.b <= x.t AS exact FROM r x JOIN r y ON x.id <> y.id")
+@query("q29_overlap_quirk_vs_exact", f"WITH {_BOXED} SELECT x.id AS i, y.id AS j, x.l_orderkey AS doc, (y.l BETWEEN x.l AND x.r AND y.b BETWEEN x.b AND x.t) OR (y.r BETWEEN x.l AND x.r AND y.t BETWEEN x.b AND x.t) AS compat, x.l <= y.r AND y.l <= x.r AND x.b <= y.t AND y.b <= x.t AS exact FROM r x JOIN r y ON x.l_orderkey = y.l_orderkey AND x.id <> y.id")
 def _(t, spark):
-    r = _rects(spark).select("id", F.struct("l", "b", "r", "t").alias("box"))
-    return r.alias("x").join(r.alias("y"), F.expr("x.id <> y.id")).select(C("x.id").alias("i"), C("y.id").alias("j"), g.overlaps_corner(C("x.box"), C("y.box")).alias("compat"), g.intersects(C("x.box"), C("y.box")).alias("exact"))
+    r = _boxed(t)
+    return r.alias("x").join(r.alias("y"), F.expr("x.l_orderkey = y.l_orderkey and x.id <> y.id")).select(C("x.id").alias("i"), C("y.id").alias("j"), C("x.l_orderkey").alias("doc"), g.overlaps_corner(C("x.box"), C("y.box")).alias("compat"), g.intersects(C("x.box"), C("y.box")).alias("exact"))
 
 
 @query("q30_affine_map", f"SELECT {_LSQL}, 2.0 * l_quantity + 3.0 * l_linenumber + 5.0 AS x, -1.0 * l_quantity + 4.0 * l_linenumber + 7.0 AS y FROM lineitem".replace("2.0", "2::DOUBLE").replace("3.0", "3::DOUBLE").replace("5.0", "5::DOUBLE").replace("-1.0", "-1::DOUBLE").replace("4.0", "4::DOUBLE").replace("7.0", "7::DOUBLE"))
@@ -116,9 +125,9 @@ def _(t, spark):
     return t("part").select("p_partkey", g.superscript(F.concat("p_name", C("p_size").cast("string"))).alias("name"))
 
 
-@query("q78_charlines_index", "SELECT user_id, round(value, 1)::DOUBLE AS y, string_agg(event_id, ',' ORDER BY ts, event_id) AS ids FROM events WHERE abs(value * 10 - floor(value * 10) - 0.5) > 0.01 GROUP BY ALL")
+@query("q78_charlines_index", "SELECT user_id, floor(value * 10 + 0.5) / 10 AS y, string_agg(event_id, ',' ORDER BY ts, event_id) AS ids FROM events GROUP BY ALL")
 def _(t, spark):
-    e = t("events").where(F.abs(C("value") * 10 - F.floor(C("value") * 10) - 0.5) > 0.01)
+    e = t("events").withColumn("value", F.floor(C("value") * 10 + 0.5) / 10)
     return layout.char_lines(e, ["user_id"], "value", ["ts", "event_id"], "event_id").select("user_id", "y", F.array_join("chars", ",").alias("ids"))
 
 
@@ -153,14 +162,14 @@ def _(t, spark):
     return x.select("l_orderkey", F.when(3 * C("a") >= 2 * C("n"), "table").otherwise("figure").alias("kind"))
 
 
-@query("q84_edges_explode", f"WITH {_R} SELECT id, 'left' AS side, l AS x0, b AS y0, l AS x1, t AS y1 FROM r UNION ALL SELECT id, 'right', r, b, r, t FROM r UNION ALL SELECT id, 'bottom', l, b, r, b FROM r UNION ALL SELECT id, 'top', l, t, r, t FROM r")
+@query("q84_edges_explode", f"WITH {_BOXED} SELECT id, 'left' AS side, l AS x0, b AS y0, l AS x1, t AS y1 FROM r UNION ALL SELECT id, 'right', r, b, r, t FROM r UNION ALL SELECT id, 'bottom', l, b, r, b FROM r UNION ALL SELECT id, 'top', l, t, r, t FROM r")
 def _(t, spark):
-    return _rects(spark).select("id", F.explode(g.edges(F.struct("l", "b", "r", "t"))).alias("e")).select("id", "e.*")
+    return _boxed(t).select("id", F.explode(g.edges(C("box"))).alias("e")).select("id", "e.*")
 
 
-@query("q85_missing_lines", "WITH v AS (SELECT DISTINCT l_suppkey AS k, l_linenumber AS v FROM lineitem), n AS (SELECT k, v, lead(v) OVER (PARTITION BY k ORDER BY v) AS nx FROM v) SELECT n.k, (n.v + nx) // 2 AS line FROM n WHERE nx IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v w WHERE w.k = n.k AND w.v = (n.v + nx) // 2)")
+@query("q85_missing_lines", "WITH v AS (SELECT DISTINCT l_partkey AS k, l_quantity::INT AS v FROM lineitem), n AS (SELECT k, v, lead(v) OVER (PARTITION BY k ORDER BY v) AS nx FROM v) SELECT n.k, (n.v + nx) // 2 AS line FROM n WHERE nx IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v w WHERE w.k = n.k AND w.v = (n.v + nx) // 2)")
 def _(t, spark):
-    v = t("lineitem").select(C("l_suppkey").alias("k"), C("l_linenumber").alias("v")).distinct()
+    v = t("lineitem").select(C("l_partkey").alias("k"), C("l_quantity").cast("int").alias("v")).distinct()
     mid = v.withColumn("nx", F.lead("v").over(sequence.ordered(["k"], "v"))).where("nx is not null").select("k", F.expr("(v + nx) div 2").cast("int").alias("line"))
     return mid.join(v.withColumnRenamed("v", "line"), ["k", "line"], "left_anti")
 

@@ -59,8 +59,8 @@ def _(t, spark):
 
 @query("q42_struct_offsets", "SELECT l_orderkey, l_linenumber, l_partkey, coalesce(sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM lineitem")
 def _(t, spark):
-    w = sequence.ordered(["l_orderkey"], "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", sequence.running_offset(C("l_quantity").cast("bigint"), w).alias("byte_offset"))
+    found = memmap.struct_offsets(t("lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], C("l_quantity").cast("bigint"))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "byte_offset")
 
 
 @query("q43_register_expand", "SELECT p_partkey, 'R' || ((o - p_size * 16) // 4) AS register, o AS byte_offset FROM (SELECT p_partkey, p_size, unnest(generate_series(p_size * 16, p_size * 16 + (p_partkey % 5) * 4, 4)) AS o FROM part)")
@@ -81,7 +81,8 @@ _PATTERNS = [(1, "^Brand", 1), (2, "^Brand#1", 2), (3, "^Brand#1.", 3), (4, "#2$
 @query("q45_best_match_rank", "WITH p(id, pat, n) AS (VALUES " + ", ".join(map(str, _PATTERNS)) + ") SELECT p_partkey, id FROM part JOIN p ON regexp_matches(p_brand, pat) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY n DESC, id) = 1")
 def _(t, spark):
     p = spark.createDataFrame(_PATTERNS, "id int, pat string, n int")
-    return sequence.best(spatial.pattern_join(t("part"), p, "p_brand", "pat"), ["p_partkey"], C("n").desc(), "id").select("p_partkey", "id")
+    met = spatial.pattern_join(t("part").select("p_partkey", "p_brand"), p.withColumn("filters", F.array_repeat(L("f"), C("n"))), "p_brand", "pat")
+    return memmap.best_match(met, ["p_partkey"], "filters").groupBy("p_partkey").agg(F.min("id").alias("id"))
 
 
 _PREFIXES = ["Customer#", "Customer#00000", "Customer#0000001", "Customer#00000002", "Customer#0000003"]
@@ -95,8 +96,8 @@ def _(t, spark):
 
 @query("q47_device_tree_dedup", "WITH o AS (SELECT l_orderkey, string_agg(CAST(l_suppkey % 5 AS VARCHAR) || l_returnflag, ',' ORDER BY CAST(l_suppkey % 5 AS VARCHAR) || l_returnflag) AS tree FROM lineitem GROUP BY 1) SELECT min(l_orderkey) AS device, count(*)::BIGINT AS compatible FROM o GROUP BY tree")
 def _(t, spark):
-    x = t("lineitem").groupBy("l_orderkey").agg(evaluate.fingerprint(C("l_suppkey") % 5, C("l_returnflag")).alias("tree"))
-    return x.groupBy("tree").agg(F.min("l_orderkey").alias("device"), one().alias("compatible")).drop("tree")
+    rows = t("lineitem").select(C("l_orderkey").alias("device"), (C("l_suppkey") % 5).alias("s"), "l_returnflag")
+    return memmap.deduplicated(rows, "device", "s", "l_returnflag").select("device", F.size("compatible").cast("bigint").alias("compatible"))
 
 
 @query("q48_bitfield_coalesce", "SELECT l_orderkey, l_returnflag, min(l_linenumber)::BIGINT AS position, (max(l_linenumber) + 1 - min(l_linenumber))::BIGINT AS width FROM lineitem GROUP BY ALL")
@@ -148,15 +149,15 @@ def _(t, spark):
     return t("part").groupBy("p_type").agg(one().alias("n")).where("n >= 10")
 
 
-@query("q55_coverage_anti", "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+@query("q55_coverage_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def _(t, spark):
-    return evaluate.coverage(t("customer").select("c_custkey"), t("orders").select(C("o_custkey").alias("c_custkey")), "c_custkey")
+    return evaluate.coverage(t("customer").select("c_custkey"), t("orders").where("o_orderstatus = 'P'").select(C("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("q56_prefix_identifiers", "WITH a AS (SELECT DISTINCT n, left(c_name, n) AS id FROM customer, generate_series(15, 18) g(n) WHERE c_custkey % 2 = 0), b AS (SELECT DISTINCT n, left(c_name, n) AS id FROM customer, generate_series(15, 18) g(n) WHERE c_custkey % 3 = 0) SELECT n::INT AS n, side, count(*)::BIGINT AS c FROM (SELECT a.n, 'removed' AS side FROM a ANTI JOIN b USING (n, id) UNION ALL SELECT b.n, 'added' FROM b ANTI JOIN a USING (n, id) UNION ALL SELECT a.n, 'both' FROM a SEMI JOIN b USING (n, id)) GROUP BY ALL")
+@query("q56_prefix_identifiers", "WITH a AS (SELECT DISTINCT n, left(c_name, n) AS id FROM customer, generate_series(15, 18) g(n) WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')), b AS (SELECT DISTINCT n, left(c_name, n) AS id FROM customer, generate_series(15, 18) g(n) WHERE c_mktsegment IN ('FURNITURE', 'AUTOMOBILE', 'HOUSEHOLD')) SELECT n::INT AS n, side, count(*)::BIGINT AS c FROM (SELECT a.n, 'removed' AS side FROM a ANTI JOIN b USING (n, id) UNION ALL SELECT b.n, 'added' FROM b ANTI JOIN a USING (n, id) UNION ALL SELECT a.n, 'both' FROM a SEMI JOIN b USING (n, id)) GROUP BY ALL")
 def _(t, spark):
-    cut = lambda k: t("customer").where(f"c_custkey % {k} = 0").select("c_name", F.explode(F.sequence(L(15), L(18))).alias("n")).select("n", F.expr("left(c_name, n)").alias("id"))
-    return evaluate.two_way(cut(2), cut(3), ["n", "id"]).groupBy("n", "side").agg(one().alias("c"))
+    cut = lambda *own: t("customer").where(C("c_mktsegment").isin("HOUSEHOLD", *own)).select("c_name", F.explode(F.sequence(L(15), L(18))).alias("n")).select("n", F.expr("left(c_name, n)").alias("id"))
+    return evaluate.two_way(cut("BUILDING", "MACHINERY"), cut("FURNITURE", "AUTOMOBILE"), ["n", "id"]).groupBy("n", "side").agg(one().alias("c"))
 
 
 @query("q57_two_way_diff", "WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P'), l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linenumber = 3) SELECT k, CASE WHEN l.k IS NULL THEN 'removed' WHEN o.k IS NULL THEN 'added' ELSE 'both' END AS side FROM o FULL JOIN l USING (k)")
@@ -169,11 +170,16 @@ def _(t, spark):
     """Documents that hold every token of an item: joined on each item's least frequent token, then tested in full."""
     tokens = lambda c: F.array_distinct(F.split(c, " "))
     items = t("benchmark").select("item_id", tokens("text").alias("w"))
-    docs = t("documents").select("doc_id", tokens("text").alias("dw"))
-    words = docs.select(F.explode("dw").alias("t")).groupBy("t").agg(one().alias("n"))
-    rare = sequence.best(items.select("item_id", F.explode("w").alias("t")).join(words, "t", "left"), ["item_id"], F.coalesce("n", L(0)), "t").select("item_id", "t")
-    met = docs.select("doc_id", "dw", F.explode("dw").alias("t")).join(spatial.bounded(rare), "t").join(spatial.bounded(items), "item_id")
-    return met.where(F.size(F.array_except("w", "dw")) == 0).select("doc_id", "item_id")
+    pairs = items.select("item_id", F.explode("w").alias("t"))
+    # Only ids and tokens are exploded, and of them only those of an item get beyond the scan.
+    words = t("documents").select("doc_id", F.explode(tokens("text")).alias("t"))
+    small = spatial.estimated_bytes(t("benchmark")) <= spatial.BROADCAST_BYTES
+    hint = F.broadcast if small else lambda d: d
+    counts = words.join(hint(pairs.select("t").distinct()), "t", "left_semi").groupBy("t").agg(one().alias("n"))
+    rare = sequence.best(pairs.join(counts, "t", "left"), ["item_id"], F.coalesce("n", L(0)), "t").select("item_id", "t")
+    met = words.join(hint(rare), "t").groupBy("doc_id").agg(F.collect_list("item_id").alias("i"))  # at most one row an item
+    texts = t("documents").select("doc_id", tokens("text").alias("dw")).join(met, "doc_id").select("doc_id", "dw", F.explode("i").alias("item_id"))
+    return texts.join(hint(items), "item_id").where(F.size(F.array_except("w", "dw")) == 0).select("doc_id", "item_id")
 
 
 @query("q59_package_eval_ratio", "SELECT c_mktsegment AS segment, count(*)::BIGINT AS n, sum((o_orderstatus = 'F')::INT)::BIGINT AS correct, round(100.0 * sum((o_orderstatus = 'F')::INT) / count(*), 3)::DOUBLE AS pct FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
@@ -261,10 +267,10 @@ def _(t, spark):
     return x.select("l_orderkey", "byte_offset", "bit", F.concat("l_returnflag", C("bit").cast("string")).alias("field"))
 
 
-@query("q99_lastwins_union", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS v FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+@query("q99_lastwins_union", "SELECT o_orderkey, CASE WHEN o_orderpriority < '3' THEN 'new' ELSE 'old' END AS v FROM orders WHERE o_orderstatus <> 'F' OR o_orderpriority < '3'")
 def _(t, spark):
     o = t("orders")
-    a, b = o.where("o_orderkey % 2 = 0").select("o_orderkey", L(1).alias("k"), L("old").alias("v")), o.where("o_orderkey % 3 = 0").select("o_orderkey", L(2), L("new"))
+    a, b = o.where("o_orderstatus <> 'F'").select("o_orderkey", L(1).alias("k"), L("old").alias("v")), o.where("o_orderpriority < '3'").select("o_orderkey", L(2), L("new"))
     return a.union(b).groupBy("o_orderkey").agg(F.max_by("v", "k").alias("v"))
 
 
@@ -332,7 +338,7 @@ def _(t, spark):
 
 @query("q112_index_last_wins", "SELECT l_partkey, arg_max(l_suppkey, (l_shipdate, l_orderkey, l_linenumber, l_suppkey)) AS last_supplier FROM lineitem GROUP BY 1")
 def _(t, spark):
-    return t("lineitem").groupBy("l_partkey").agg(F.max_by("l_suppkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")).alias("last_supplier"))
+    return graph.last_wins(t("lineitem"), ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"], "l_suppkey").select("l_partkey", C("l_suppkey").alias("last_supplier"))
 
 
 @query("q113_ratio_totals", "WITH g AS (SELECT l_suppkey, count(DISTINCT l_returnflag) AS f, sum(l_quantity::BIGINT) AS q FROM lineitem GROUP BY 1) SELECT count(*)::BIGINT AS n, min(q)::BIGINT AS lo, max(q)::BIGINT AS hi, sum(q)::BIGINT AS total, round(100.0 * sum((f >= 2)::INT) / count(*), 1)::DOUBLE AS pct FROM g")

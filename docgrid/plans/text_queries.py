@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers, rules
-from ..operators import sequence, spatial
-from ..sources import html
+from ..operators import sequence, spatial, tree
+from ..sources import catalog, html, pdf
 from .registry import query
 
 C, L = F.col, F.lit
@@ -59,7 +59,7 @@ def _(t, spark):
 
 
 def _status_table(t):
-    cells = t("lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(L(1))).na.fill(0).orderBy("l_returnflag")
+    cells = t("lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(L(1))).na.fill(0)
     one = cells.agg(F.sort_array(F.collect_list(F.struct("l_returnflag", "F", "O"))).alias("r"))
     line = lambda s: F.concat(L("<tr><td>"), s["l_returnflag"], L("</td><td>"), s["F"], L("</td><td>"), s["O"], L("</td></tr>"))
     return one.select(L(1).alias("id"), F.concat(L("<table><tr><th rowspan=2>Flag</th><th colspan=2>Status</th></tr><tr><th>F</th><th>O</th></tr>"), F.array_join(F.transform("r", line), ""), L("</table>")).alias("html"))
@@ -162,9 +162,9 @@ def _(t, spark):
     return t("part").select("p_partkey", F.explode(rules.fan_out(F.concat(L("CH"), "p_partkey"), "CH")).alias("name"))
 
 
-@query("q68_slugify", "SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(substr(text, 1, 40), '[^ -~]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents")
+@query("q68_slugify", "SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(text, '[^ -~]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents")
 def _(t, spark):
-    return t("documents").select("doc_id", rules.slug(F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "")).alias("slug"))
+    return t("documents").select("doc_id", rules.slug(F.regexp_replace("text", "[^ -~]", "")).alias("slug"))
 
 
 @query("q75_grid_dense", "SELECT r_regionkey::BIGINT AS doc, x::BIGINT AS x, y::BIGINT AS y FROM (SELECT n_regionkey AS r_regionkey, count(*) AS n FROM nation GROUP BY 1) r, generate_series(0, 2) g(x), generate_series(0, 100) h(y) WHERE y < n + 2")
@@ -183,9 +183,9 @@ def _(t, spark):
     return t("pages").select("page_id", F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"), F.nullif(F.regexp_extract("url", r"/(\d+)", 1), L("")).cast("bigint").alias("number"))
 
 
-@query("q90_relevance_filter", "SELECT doc_id FROM documents WHERE NOT regexp_matches(substr(text, 1, 200), 'Licensed|The and|mail')")
+@query("q90_relevance_filter", "SELECT doc_id FROM documents WHERE NOT regexp_matches(coalesce(text, ''), 'Contents|List of |Index')")
 def _(t, spark):
-    return t("documents").where(~F.substring("text", 1, 200).rlike("Licensed|The and|mail")).select("doc_id")
+    return pdf.relevant(t("documents"), "text").select("doc_id")
 
 
 @query("q91_page_ranges", "SELECT p_partkey, unnest(generate_series(p_size - 1, p_size + 1)) AS page FROM part WHERE p_size < 10 UNION ALL SELECT p_partkey, unnest(generate_series(p_size - 1, 11)) FROM part WHERE p_size >= 10 AND p_size <= 12")
@@ -195,15 +195,9 @@ def _(t, spark):
     return t("part").withColumn("r", text).where("r is not null").select("p_partkey", F.explode(F.sequence(a.cast("bigint") - 1, F.coalesce(b.cast("bigint"), L(12)) - 1)).alias("page"))
 
 
-_KINDS = [("heading", r"^\d+(\.\d+)* "), ("list", r"^(•|-|\d+\.|[a-z]\)) "), ("note", "^(Note|Caution|Warning)"), ("table", r"\|"), ("shout", "[#*$%&]{3}")]
-
-
-@query("q92_caption_type_class", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, kind, count(*)::BIGINT AS n FROM (SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{k}'" for k, p in _KINDS) + " ELSE 'para' END AS kind FROM l) GROUP BY ALL")
+@query("q92_caption_type_class", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, kind, count(*)::BIGINT AS n FROM (SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{k}'" for k, p in tree.KINDS) + " ELSE 'para' END AS kind FROM l) GROUP BY ALL")
 def _(t, spark):
-    kind = L("para")
-    for name, pattern in reversed(_KINDS):
-        kind = F.when(C("line").rlike(pattern), name).otherwise(kind)
-    return t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).groupBy("doc_id", kind.alias("kind")).agg(F.count(L(1)).alias("n"))
+    return t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).groupBy("doc_id", tree.line_kind(C("line")).alias("kind")).agg(F.count(L(1)).alias("n"))
 
 
 @query("q96_first_section_mentions", "WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), f AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: regexp_matches(x, '[A-Z]h\\w+')), true) AS k FROM d) SELECT doc_id, (k - 1)::BIGINT AS section, array_to_string(list_sort(list_distinct(regexp_extract_all(l[k], '[A-Z]h\\w+'))), ',') AS names FROM f WHERE k > 0")
@@ -227,6 +221,6 @@ def _(t, spark):
 
 @query("q105_filename_derivation", "SELECT page_id, left(regexp_extract(url, '/([a-z]{2}/\\d+)', 1), 2) AS short, replace(regexp_extract(url, '/([a-z]{2}/\\d+)', 1), '/', '_') || '-v' || replace(replace(CAST(page_id % 7 AS VARCHAR) || '.0', '.0', ''), '.', '_') || '.pdf' AS filename FROM pages")
 def _(t, spark):
-    title = F.regexp_extract("url", r"/([a-z]{2}/\d+)", 1)
-    version = F.concat((C("page_id") % 7).cast("string"), L(".0"))
-    return t("pages").select("page_id", F.left(title, L(2)).alias("short"), F.concat(F.replace(title, L("/"), L("_")), L("-v"), F.replace(F.replace(version, L(".0"), L("")), L("."), L("_")), L(".pdf")).alias("filename"))
+    title = F.replace(F.regexp_extract("url", r"/([a-z]{2}/\d+)", 1), L("/"), L("_"))
+    named = catalog.with_filename(t("pages").select("page_id", title.alias("title"), F.concat((C("page_id") % 7).cast("string"), L(".0")).alias("version")))
+    return named.select("page_id", C("short_type").alias("short"), "filename")
