@@ -26,7 +26,7 @@ def replaced(text: Column, **subs: str) -> Column:
 
 def listify(text: Column, pattern: str = SPLITTERS) -> Column:
     """Split, trim, and drop empty parts."""
-    return F.filter(F.transform(F.split(text, pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def contextual(text: Column, context: Column, rules: list[tuple[str, str, str]]) -> Column:

@@ -104,7 +104,7 @@ def packages(df: DataFrame, domain: str) -> DataFrame:
     """
     last = F.element_at(F.split(F.col(domain), ":"), -1)
     devices = F.regexp_extract(domain, r":(STM32.*?):", 1)
-    listed = F.array_join(F.transform(F.filter(F.transform(F.split(devices, " |,|/|<br>"), F.trim), lambda d: d != ""), lambda d: F.replace(d, F.lit("x"), F.lit("."))), "|")
+    listed = F.array_join(F.transform(F.filter(F.transform(F.split(devices, " |,|/|<br>"), lambda x: F.trim(x)), lambda d: d != ""), lambda d: F.replace(d, F.lit("x"), F.lit("."))), "|")
     parts = F.split(repaired_package(last), r"\+")
     rows = df.withColumns({"_p": parts, "_d": listed})
     filters = F.concat(F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))), F.when(F.col("_d") != "", F.array("_d")).otherwise(F.array().cast("array<string>")))

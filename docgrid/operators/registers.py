@@ -155,7 +155,7 @@ def boundary_rows(df: DataFrame, names: str, addresses: str, bus: str, sections:
     """Rows of a memory boundary table: (name, lo, hi, bus, sections), one a name; rows that refer to no section go."""
     ends = F.transform(F.split(F.regexp_replace(addresses, r"\s+", ""), "-"), from_hex)
     refs = F.regexp_extract_all(sections, F.lit(r"Section\s+(\d+(?:\.\d+)*)"), F.lit(1))
-    rows = df.select(F.explode(F.filter(F.transform(F.split(names, r" |,|/|<br>"), F.trim), lambda n: n != "")).alias("name"), F.array_min(ends).alias("lo"), F.array_max(ends).alias("hi"), F.col(bus).alias("bus"), refs.alias("sections"))
+    rows = df.select(F.explode(F.filter(F.transform(F.split(names, r" |,|/|<br>"), lambda x: F.trim(x)), lambda n: n != "")).alias("name"), F.array_min(ends).alias("lo"), F.array_max(ends).alias("hi"), F.col(bus).alias("bus"), refs.alias("sections"))
     return rows.where("size(sections) > 0 and lo is not null")
 
 

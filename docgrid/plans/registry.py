@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import layout_queries, relational_queries, text_queries  # noqa: E402, F401
+from . import extraction_queries, layout_queries, relational_queries, text_queries  # noqa: E402, F401

@@ -21,6 +21,7 @@ def one(spark, **cols):
 
 def test_rules(spark):
     r = one(spark, a=rules.replaced(L("<b>x</b> <sup>2</sup>"), sup="^$1", x="y"), b=rules.listify(L("a, b/c<br>d,,")), c=rules.wildcard_regex(L("STM+x")), d=rules.fan_out(L("CH12"), "CH"), e=rules.slug(L("Été: A-B")))
+    assert one(spark, x=rules.listify(L("x0, a1,  b2/c3"))).x == ["x0", "a1", "b2", "c3"]
     assert r.a == "y ^2" and r.b == ["a", "b", "c", "d"] and r.c == "stm[srqp]." and r.d == ["CH1", "CH2"] and r.e == "t_a_b"
 
 
