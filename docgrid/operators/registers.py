@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,8 +186,10 @@ def flattened(members: DataFrame, keys: list[str]) -> DataFrame:
     types = dict(members.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "type string, ord int, name string, byte_offset bigint, size int"])
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        own = {t: list(zip(g.member_type, g["name"], g["count"].astype(int))) for t, g in p.sort_values("ord", kind="stable").groupby("type", sort=False)}
+    def fold(group: pa.Table) -> pa.Table:
+        own: dict[str, list] = {}
+        for m in sorted(group.to_pylist(), key=lambda m: m["ord"]):
+            own.setdefault(m["type"], []).append((m["member_type"], m["name"], m["count"]))
         sizes: dict[str, int] = {}
 
         def size(kind: str, within: tuple = ()) -> int:
@@ -204,18 +206,18 @@ def flattened(members: DataFrame, keys: list[str]) -> DataFrame:
                 each = size(k)
                 for i in range(max(1, n)):
                     label = f"{prefix}{name}.{i}" if n else prefix + name
-                    if k in BUILTINS:
-                        if not name.upper().startswith("RESERVED"):
-                            yield label, at, each
-                    else:
+                    if k not in BUILTINS:
                         yield from walk(k, f"{label}." if n else prefix, at)
+                    elif not name.upper().startswith("RESERVED"):
+                        yield label, at, each
                     at += each
 
-        head = {k: p[k].iloc[0] for k in keys}
-        found = [{**head, "type": t, "ord": i, "name": n, "byte_offset": at, "size": s} for t in own for i, (n, at, s) in enumerate(walk(t, "", 0)) if size(t)]
-        return pd.DataFrame(found, columns=[*keys, "type", "ord", "name", "byte_offset", "size"])
+        found = [(t, i, n, at, s) for t in own if size(t) for i, (n, at, s) in enumerate(walk(t, "", 0))]
+        columns = [pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 5, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32()))]
+        same = [pa.array([group.column(k)[0].as_py()] * len(found), group.schema.field(k).type) for k in keys]
+        return pa.table([*same, *columns], names=[*keys, "type", "ord", "name", "byte_offset", "size"])
 
-    return members.groupBy(*keys).applyInPandas(fold, schema)
+    return members.groupBy(*keys).applyInArrow(fold, schema)
 
 
 def matched_fields(registers: DataFrame, macros: DataFrame, keys: list[str]) -> DataFrame:

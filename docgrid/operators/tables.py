@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +11,21 @@ from .sequence import ordered, running_key, runs
 CELL = "y int, x int, rowspan int, colspan int, head boolean, text string"
 
 
-def _starts(part: pd.DataFrame) -> list[int]:
+def _starts(part: list[dict]) -> list[int]:
     """Columns where header cells begin, and the table's width as the last."""
-    width = int((part.x + part.colspan).max())
-    return [*sorted({0, *part.x[part["head"]].astype(int)}), width]
+    return [*sorted({0, *(c["x"] for c in part if c["head"])}), max(c["x"] + c["colspan"] for c in part)]
+
+
+def _moved(cells: list[dict], old: list[int], new: list[int]) -> list[dict]:
+    """Cells on new column groups; a cell that reaches its group's end reaches the new end."""
+    if old == new:
+        return cells
+
+    def place(x: int, end: bool) -> int:
+        k = max(i for i, s in enumerate(old) if s < x or (s == x and not end))
+        return new[k + 1] if end and x == old[k + 1] else new[k] + x - old[k]
+
+    return [c | {"x": (left := place(c["x"], False)), "colspan": place(c["x"] + c["colspan"], True) - left} for c in cells]
 
 
 def appended_below(cells: DataFrame, keys: list[str], part: str, headers: bool = True) -> DataFrame:
@@ -28,39 +39,32 @@ def appended_below(cells: DataFrame, keys: list[str], part: str, headers: bool =
     types = dict(cells.dtypes)
     names = [c.split(" ")[0] for c in CELL.split(", ")]
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        done: list[list[pd.DataFrame]] = []
+    def fold(group: pa.Table) -> pa.Table:
+        parts: dict = {}
+        for c in sorted(group.to_pylist(), key=lambda c: (c[part], c["y"], c["x"])):
+            parts.setdefault(c[part], []).append(c)
+        done: list[list[dict]] = []
         starts: list[int] = []
-        for _, one in p.sort_values([part, "y", "x"], kind="stable").groupby(part, sort=True):
+        for one in parts.values():
             own = _starts(one)
             if not done or headers and len(own) != len(starts):
-                done.append([one])
+                done.append(one)
                 starts = own
                 continue
             if headers:
                 widths = [max(b - a, d - c) for a, b, c, d in zip(starts, starts[1:], own, own[1:])]
                 new = [sum(widths[:k]) for k in range(len(widths) + 1)]
-                done[-1] = [_moved(x, starts, new) for x in done[-1]]
-                one, starts = _moved(one[~one["head"]], own, new), new
-            if len(one):
-                top = int(max((x.y + x.rowspan).max() for x in done[-1]))
-                done[-1].append(one.assign(y=one.y - int(one.y.min()) + top))
-        return pd.concat([x.assign(table=k) for k, xs in enumerate(done) for x in xs])[[*keys, "table", *names]]
+                done[-1] = _moved(done[-1], starts, new)
+                one, starts = _moved([c for c in one if not c["head"]], own, new), new
+            if one:
+                down = max(c["y"] + c["rowspan"] for c in done[-1]) - min(c["y"] for c in one)
+                done[-1] = done[-1] + [c | {"y": c["y"] + down} for c in one]
+        rows = [c | {"table": k} for k, cs in enumerate(done) for c in cs]
+        fields = [*(group.schema.field(k) for k in keys), pa.field("table", pa.int32()), *(group.schema.field(n) for n in names)]
+        return pa.Table.from_pylist([{f.name: r[f.name] for f in fields} for r in rows], schema=pa.schema(fields))
 
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "table int", CELL])
-    return cells.groupBy(*keys).applyInPandas(fold, schema)
-
-
-def _moved(cells: pd.DataFrame, old: list[int], new: list[int]) -> pd.DataFrame:
-    """Cells on new column groups."""
-
-    def place(x: int, end: bool) -> int:
-        k = max(i for i, s in enumerate(old) if s < x or (s == x and not end))
-        return new[k + 1] if end and x == old[k + 1] else new[k] + x - old[k]
-
-    left = [place(int(x), False) for x in cells.x]
-    right = [place(int(x + w), True) for x, w in zip(cells.x, cells.colspan)]
-    return cells.assign(x=left, colspan=[r - lo for r, lo in zip(right, left)])
+    return cells.groupBy(*keys).applyInArrow(fold, schema)
 
 
 def appended_beside(cells: DataFrame, keys: list[str], part: str) -> DataFrame:

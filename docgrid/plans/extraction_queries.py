@@ -176,11 +176,11 @@ def _(t, spark):
     return registers.matched_fields(own, macros, ["p_partkey"])
 
 
-@query("q137_flattened_structs", "WITH m AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS ord, l_partkey, CASE WHEN l_returnflag = 'A' THEN 4 ELSE 2 END AS size, l_suppkey % 3 AS n FROM lineitem), s AS (SELECT *, coalesce(sum(size * greatest(n, 1)) OVER (PARTITION BY l_orderkey ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM m) SELECT l_orderkey, CASE WHEN n = 0 THEN 'M' || l_partkey ELSE 'M' || l_partkey || '.' || i END AS name, (base + i * size)::BIGINT AS byte_offset, size::INT AS size FROM s, LATERAL (SELECT unnest(generate_series(0, greatest(n, 1) - 1)) AS i)")
+@query("q137_flattened_structs", "WITH m AS (SELECT l_suppkey, l_orderkey, row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS ord, l_partkey, CASE WHEN l_returnflag = 'A' THEN 4 ELSE 2 END AS size, l_partkey % 3 AS n FROM lineitem), s AS (SELECT *, coalesce(sum(size * greatest(n, 1)) OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM m) SELECT l_suppkey, 'T' || l_orderkey AS type, CASE WHEN n = 0 THEN 'M' || l_partkey ELSE 'M' || l_partkey || '.' || i END AS name, (base + i * size)::BIGINT AS byte_offset, size::INT AS size FROM s, LATERAL (SELECT unnest(generate_series(0, greatest(n, 1) - 1)) AS i)")
 def _(t, spark):
-    ord_ = F.row_number().over(sequence.ordered(["l_orderkey"], "l_linenumber", "l_partkey", "l_suppkey")) - 1
-    members = t("lineitem").select("l_orderkey", L("T").alias("type"), ord_.alias("ord"), F.when(C("l_returnflag") == "A", "uint32_t").otherwise("uint16_t").alias("member_type"), F.concat(L("M"), "l_partkey").alias("name"), (C("l_suppkey") % 3).cast("int").alias("count"))
-    return registers.flattened(members, ["l_orderkey"]).select("l_orderkey", "name", "byte_offset", "size")
+    ord_ = F.row_number().over(sequence.ordered(["l_suppkey", "l_orderkey"], "l_linenumber", "l_partkey")) - 1
+    members = t("lineitem").select("l_suppkey", F.concat(L("T"), "l_orderkey").alias("type"), ord_.alias("ord"), F.when(C("l_returnflag") == "A", "uint32_t").otherwise("uint16_t").alias("member_type"), F.concat(L("M"), "l_partkey").alias("name"), (C("l_partkey") % 3).cast("int").alias("count"))
+    return registers.flattened(members, ["l_suppkey"]).select("l_suppkey", "type", "name", "byte_offset", "size")
 
 
 @query("q138_interrupt_tables", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL WHEN starts_with(p_brand, 'Brand#1') THEN 'V:Device=brand#1' WHEN p_size % 2 = 0 THEN NULL ELSE 'W' END AS tab FROM part")
