@@ -15,8 +15,9 @@ The template writes a turn as `### Role: text </turn>` and a line break. In role
 escaped by a backslash, so no text can hold a control string and unescaping gives back every text.
 
 Defined results: null roles and texts are empty; turns are ordered by turn, role and text (nulls first); repeated rows
-are turns of their own; a conversation longer than the limit is one sequence, whole; rows without conv_id form a
-conversation with a null id; an empty table gives no rows; other columns are not read.
+are turns of their own; a conversation longer than the limit is one sequence, whole; rows without conv_id belong to no
+other row: each is a conversation with a null id, so they never gather in one task; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -122,7 +123,8 @@ class Tree:
 def sequences(turns: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """Prefix-tree sequences of the turns (conv_id, turn, role, text)."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    talks = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    talks = turns.groupBy("conv_id", alone.alias("alone")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     path = F.array_join(F.transform("turns", lambda t: F.lpad(F.hex(F.xxhash64(t["role"], t["text"])), 16, "0")), "")
     talks = talks.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), path.alias("path"))
     # The id splits what is equal in all turns, so a conversation that many repeat does not stay in one partition.
@@ -198,9 +200,9 @@ def op6_chat_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-e AS (SELECT *, text AS t, length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) AS et, length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) AS er FROM c)
+e AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, text AS t, length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) AS et, length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) AS er FROM c)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
   coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(4 + er + 2 + et + 9)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id"""
+FROM e GROUP BY conv_id, alone"""

@@ -93,19 +93,24 @@ def curve_index(cells: list[Column], bits: int = BITS) -> Column:
 def hilbert_shards(
     df: DataFrame, id_col: str, dims: dict[str, Column], extra: dict[str, Column] | None = None, ties: list[str] | None = None, shards: int = SHARDS, bits: int = BITS
 ) -> DataFrame:
-    """id_col, the extra columns, curve, shard (0 to shards-1, counts at most one apart) and slot (its place in the shard)."""
-    extra = extra or {}
+    """id_col, the extra columns, curve, shard (0 to shards-1, counts at most one apart) and slot (its place in the shard).
+
+    Extra columns may have any name; one called curve, shard or slot, or as id_col, gives way to the operator's own.
+    """
+    extra = {n: c for n, c in (extra or {}).items() if n not in (id_col, "curve", "shard", "slot")}
+    inner = {n: f"_c{k}" for k, n in enumerate([id_col, *extra])}  # under names of its own, whatever the columns are called
     cells = quantised(df, dims, bits)
-    keyed = df.select(F.col(id_col), *[c.alias(n) for n, c in extra.items()], curve_index(list(cells.values()), bits).alias("curve"))
-    order = ["curve", id_col, *(ties or [])]
-    placed = written(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "hilbert")
-    part, at = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    keyed = df.select(F.col(id_col).alias("_c0"), *[c.alias(inner[n]) for n, c in extra.items()], curve_index(list(cells.values()), bits).alias("_curve"))
+    order = ["_curve", "_c0", *(inner[n] for n in ties or [])]
+    placed = written(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "hilbert")
+    part, at = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     # One row a partition: a window over these few rows turns counts into offsets.
-    counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    ahead = counts.select("part", F.expr("coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0)").alias("ahead"), F.expr("sum(n) over ()").alias("total"))
-    ranked = placed.withColumn("part", part).join(F.broadcast(ahead), "part").withColumn("rank", F.col("ahead") + at)
-    shard = F.expr(f"rank * {shards} div total")
-    return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", F.expr(f"rank - (shard * total + {shards - 1}) div {shards}")).select(id_col, *extra, "curve", "shard", "slot")
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = counts.select("_part", F.expr("coalesce(sum(n) over (order by _part rows between unbounded preceding and 1 preceding), 0)").alias("_ahead"), F.expr("sum(n) over ()").alias("_total"))
+    ranked = placed.withColumn("_part", part).join(F.broadcast(ahead), "_part").withColumn("_rank", F.col("_ahead") + at)
+    ranked = ranked.withColumn("_shard", F.expr(f"_rank * {shards} div _total").cast("int"))
+    slot = F.expr(f"_rank - (_shard * _total + {shards - 1}) div {shards}")
+    return ranked.select(*[F.col(c).alias(n) for n, c in inner.items()], F.col("_curve").alias("curve"), F.col("_shard").alias("shard"), slot.alias("slot"))
 
 
 def document_size(text: Column) -> Column:

@@ -5,7 +5,7 @@ themselves. Spark ships the file to every executor, whose workers memory-map it,
 search, and compare the stored full string on every hit, so a colliding digest never blocks a page.
 
 Listed strings are hosts (which cover their subdomains) or a host followed by a path (which covers that page alone).
-A list has at most MAX_ENTRIES entries, so the shipped file is bounded; split larger lists over several arrays.
+A file holds at most MAX_ENTRIES strings; a longer list becomes several files of successive digests, and all are probed.
 
 Defined results: a null url, or one without `://`, has an empty host and path and is allowed; an empty table gives
 no rows; repeated rows are each judged; other columns are not read.
@@ -13,7 +13,9 @@ no rows; repeated rows are each judged; other columns are not read.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: At about 40 bytes a string, a file of under 2.5 GB a machine.
+#: Strings in one file: at about 40 bytes a string, under 2.5 GB.
 MAX_ENTRIES = 50_000_000
 #: (verdict, host, path): the longest rule that fits a url decides.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -62,13 +64,17 @@ class DigestArray:
         self.strings = np.memmap(path, dtype=np.uint8, mode="r", offset=16 + 16 * n, shape=(end,)) if end else np.zeros(0, np.uint8)
 
     @staticmethod
-    def build(strings: Iterable[str], path: str, digest=xxhash.xxh64_intdigest) -> None:
+    def build(strings: Iterable[str], path: str, digest=xxhash.xxh64_intdigest) -> list[str]:
+        """Write the array, in files of at most MAX_ENTRIES strings; returns their paths (one at least)."""
         found = sorted((digest(s), s) for s in {x.encode() for x in strings})
-        if len(found) > MAX_ENTRIES:
-            raise ValueError(f"{len(found)} entries; a digest array holds at most {MAX_ENTRIES}")
-        offsets = np.cumsum([0, *(len(s) for _, s in found)], dtype=np.uint64)
-        with open(path, "wb") as out:
-            out.write(np.array([len(found)], np.uint64).tobytes() + np.array([d for d, _ in found], np.uint64).tobytes() + offsets.tobytes() + b"".join(s for _, s in found))
+        paths = []
+        for part, at in enumerate(range(0, max(1, len(found)), MAX_ENTRIES)):
+            own = found[at : at + MAX_ENTRIES]
+            paths.append(f"{path}.{part}" if part else path)
+            offsets = np.cumsum([0, *(len(s) for _, s in own)], dtype=np.uint64)
+            with open(paths[-1], "wb") as out:
+                out.write(np.array([len(own)], np.uint64).tobytes() + np.array([d for d, _ in own], np.uint64).tobytes() + offsets.tobytes() + b"".join(s for _, s in own))
+        return paths
 
     def contains(self, keys: list[bytes], digest=xxhash.xxh64_intdigest) -> np.ndarray:
         probes = np.fromiter(map(digest, keys), dtype=np.uint64, count=len(keys))
@@ -92,21 +98,22 @@ def covering(host: str, path: str) -> list[bytes]:
     return [k.encode() for k in ([*keys, host + path] if path else keys)]
 
 
-def shipped(spark: SparkSession, strings: Iterable[str]) -> str:
-    """Build the array on the driver and hand it to all executors; returns the file's name."""
-    name = f"urls-{uuid.uuid4().hex}.digests"
-    path = os.path.join(tempfile.mkdtemp(), name)
-    DigestArray.build(strings, path)
-    spark.sparkContext.addFile(path)
-    return name
+def shipped(spark: SparkSession, strings: Iterable[str]) -> list[str]:
+    """Build the array on the driver and hand it to all executors; returns the files' names."""
+    folder = tempfile.mkdtemp()  # executors fetch the files from here for as long as the driver runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    paths = DigestArray.build(strings, os.path.join(folder, f"urls-{uuid.uuid4().hex}.digests"))
+    for path in paths:
+        spark.sparkContext.addFile(path)
+    return [os.path.basename(path) for path in paths]
 
 
-def blocked(df: DataFrame, array: str, host: str = "host", path: str = "path", out: str = "listed") -> DataFrame:
+def blocked(df: DataFrame, array: list[str], host: str = "host", path: str = "path", out: str = "listed") -> DataFrame:
     """df with a boolean column: whether the array lists the host, a domain above it, or the page."""
     names = df.columns
 
     def probe(batches):
-        listed = DigestArray(SparkFiles.get(array))
+        listed = [DigestArray(SparkFiles.get(name)) for name in array]
         for batch in batches:
             hosts, paths = batch.column(names.index(host)).to_pylist(), batch.column(names.index(path)).to_pylist()
             keys, owner = [], []
@@ -115,13 +122,14 @@ def blocked(df: DataFrame, array: str, host: str = "host", path: str = "path", o
                 keys += found
                 owner += [i] * len(found)
             hit = np.zeros(len(hosts), bool)
-            hit[np.asarray(owner, dtype=np.int64)[listed.contains(keys)]] = True
+            for one in listed:
+                hit[np.asarray(owner, dtype=np.int64)[one.contains(keys)]] = True
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*names, out])
 
     return df.mapInArrow(probe, T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType())]))
 
 
-def judged(pages: DataFrame, array: str, rules=RULES) -> DataFrame:
+def judged(pages: DataFrame, array: list[str], rules=RULES) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)

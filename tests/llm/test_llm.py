@@ -84,6 +84,15 @@ def test_shards(spark, odd, none):
     assert shards(none).count() == 0
 
 
+def test_shards_with_clashing_names(spark):
+    names = ["rank", "part", "place", "ahead", "total", "_c0", "shard", "n"]
+    df = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 7).alias("size"), *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    found = hilbert_shards.hilbert_shards(df, "doc_id", {"size": F.col("size")}, {n: F.col(n) for n in names}, shards=4)
+    assert found.columns == ["doc_id", *(n for n in names if n != "shard"), "curve", "shard", "slot"]
+    got = found.collect()
+    assert len(got) == 40 and all(r[n] == k for r in got for k, n in enumerate(names) if n != "shard") and Counter(r["shard"] for r in got) == {k: 10 for k in range(4)}
+
+
 # --- 2 ---
 
 
@@ -388,6 +397,22 @@ def test_trie(spark):
     assert chat_trie.read_back(chat_trie.sequences(spark.createDataFrame([], CONV))).count() == 0
 
 
+def test_turns_without_a_conversation(spark):
+    turns = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "a")], "conv_id bigint, turn bigint, role string, text string")
+    got = chat_trie.read_back(chat_trie.sequences(turns)).collect()
+    assert sorted((str(r.conv_id), r.n_turns, r.loss_chars) for r in got) == [("1", 1, 0), ("None", 1, 0), ("None", 1, 0), ("None", 1, 1)]
+
+
+def test_long_url_lists(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_ENTRIES", 4)
+    listed = [f"h{i}.example.net" for i in range(11)]
+    names = url_filter.shipped(spark, listed)
+    assert len(names) == 3
+    df = spark.createDataFrame([(h, "/x") for h in [*listed, "no.example.net", "www.h3.example.net"]], "host string, path string")
+    got = {r.host: r.listed for r in url_filter.blocked(df, names).collect()}
+    assert got == dict.fromkeys([*listed, "www.h3.example.net"], True) | {"no.example.net": False}
+
+
 # --- 7 ---
 
 
