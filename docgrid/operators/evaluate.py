@@ -63,3 +63,44 @@ def mixed(rows: DataFrame, keys: list[str], value: str, label: str) -> DataFrame
     """Keys that stand under several values, with the values in order, joined by hyphens: (keys, label)."""
     found = rows.groupBy(*keys).agg(F.sort_array(F.collect_set(value)).alias("_v")).where("size(_v) > 1")
     return found.select(*keys, F.array_join(F.transform("_v", lambda v: v.cast("string")), "-").alias(label))
+
+
+def index_by_source(df: DataFrame, keys: list[str], source: str, sources: list[str], value: str, order: list[str]) -> DataFrame:
+    """One row a key with a column of values for each source; of several values, the one that comes last in order."""
+    return df.groupBy(*keys).pivot(source, sources).agg(F.max_by(value, F.struct(*order)))
+
+
+def whitelisted(differences: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Differences without those whose two names, in either order, are listed as equivalent."""
+    both = lambda df, x, y: df.withColumns({"_a": F.least(F.col(x), F.col(y)), "_b": F.greatest(F.col(x), F.col(y))})
+    listed = both(pairs.toDF("_x", "_y"), "_x", "_y").select("_a", "_b").distinct()
+    return both(differences, a, b).join(listed, ["_a", "_b"], "left_anti").drop("_a", "_b")
+
+
+def totals(df: DataFrame, keys: list[str], ours: str, theirs: str, wrong: str) -> DataFrame:
+    """(keys, all, correct, wrong, pct): pairs of counts summed up; all is the greater of both sides, correct what is not wrong."""
+    whole = F.sum(F.greatest(ours, theirs))
+    right = F.sum(F.greatest(F.greatest(ours, theirs) - F.col(wrong), F.lit(0)))
+    return df.groupBy(*keys).agg(whole.alias("all"), right.alias("correct"), F.sum(wrong).alias("wrong"), F.round(100 * right / whole, 3).alias("pct"))
+
+
+def driver_signals(signals: DataFrame, drivers: DataFrame, keys: list[str], signal: str, driver: str) -> tuple[DataFrame, DataFrame]:
+    """Signals that start with one of their key's drivers, and the others, which are ignored.
+
+    Signals are cut at each underscore and at their end, and joined on the cut, so no driver meets a signal it does not begin.
+    """
+    cuts = F.transform(F.sequence(F.lit(1), F.length(signal)), lambda n: F.substring(F.col(signal), F.lit(1), n))
+    rows = signals.select(*keys, signal).distinct().withColumn("_cut", F.explode(cuts))
+    kept = rows.join(drivers.select(*keys, F.col(driver).alias("_cut")).distinct(), [*keys, "_cut"], "left_semi").select(*keys, signal).distinct()
+    return signals.join(kept, [*keys, signal], "left_semi"), signals.join(kept, [*keys, signal], "left_anti")
+
+
+def driver_names(df: DataFrame, keys: list[str], driver: str, instances: str, renames: dict[str, str], dropped: list[str]) -> DataFrame:
+    """(keys, driver): drivers under their other names and with their instances, without the dropped ones; I2S as such, where any has an instance of it."""
+    name = F.col(driver)
+    for old, new in renames.items():
+        name = F.when(F.col(driver) == old, new).otherwise(name)
+    rows = df.withColumn("_n", F.upper(name)).select(*keys, "_n", F.explode_outer(instances).alias("_i"))
+    rows = rows.withColumn("driver", F.concat("_n", F.coalesce("_i", F.lit("")))).where(~F.col("driver").isin(*dropped))
+    any_i2s = rows.where("driver like 'I2S%'").select(*keys).distinct().withColumn("driver", F.lit("I2S"))
+    return rows.select(*keys, "driver").unionByName(any_i2s).distinct()

@@ -174,3 +174,107 @@ def captioned(captions: DataFrame, graphics: DataFrame, keys: list[str]) -> Data
     met = captions.join(graphics, keys).where("top <= y and gl < r and l < gr")
     near = met.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "cap").orderBy(F.col("y") - F.col("top"), "graphic"))).where("_k = 1")
     return near.withColumn("_g", F.row_number().over(Window.partitionBy(*keys, "graphic").orderBy(F.col("y") - F.col("top"), "cap"))).where("_g = 1").drop("_k", "_g")
+
+
+def prepared_chars(chars: DataFrame) -> DataFrame:
+    """Characters without carriage returns, control characters and the registered sign, with soft hyphens and private
+    bullets replaced, and the octant (0 to 7) that their line runs in."""
+    code = F.col("unicode")
+    char = F.when(code == 2, "-").when(code.isin(61623, 61664), "•").otherwise(F.col("char"))
+    kept = chars.where(~((code < 32) & ~code.isin(2, 10) | (code == 174)))
+    return kept.withColumns({"char": char, "octant": F.pmod(F.floor((F.col("rotation") + 22.5) / 45), F.lit(8)).cast("int")})
+
+
+def built_lines(chars: DataFrame, keys: list[str], rtol: float = 0.25) -> DataFrame:
+    """(keys, octant, line, chars, text) of prepared characters (x, origin, height): rows of equal rounded origin are
+    merged while their origins lie close to each other; characters in order of x, line breaks last; blank lines go."""
+    rows = chars.groupBy(*keys, "octant", F.round("origin", 1).alias("origin")).agg(F.max("height").alias("height"), F.min("x").alias("x"), F.collect_list(F.struct(F.when(F.col("char") == "\n", 1).otherwise(0).alias("last"), "x", "idx", "char")).alias("c"))
+    types = dict(chars.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "octant int, origin double, height double, x double"])
+    numbered = merged_lines(rows.select(*keys, "octant", "origin", F.col("height").cast("double").alias("height"), F.col("x").cast("double").alias("x")), [*keys, "octant"], schema, rtol)
+    met = rows.select(*keys, "octant", "origin", "c").join(numbered.select(*keys, "octant", "origin", "line"), [*keys, "octant", "origin"])
+    lines = met.groupBy(*keys, "octant", "line").agg(F.sort_array(F.flatten(F.collect_list("c"))).alias("c"))
+    text = F.array_join(F.transform("c", lambda s: s["char"]), "")
+    return lines.select(*keys, "octant", "line", F.size("c").alias("chars"), text.alias("text")).where(F.trim(F.regexp_replace("text", r"\s", "")) != "")
+
+
+def columns_of_text(chars: DataFrame, pages: DataFrame, keys: list[str], band: float = 0.02) -> DataFrame:
+    """(keys, columns): two where text stands on both sides of the middle of a page but none across it. pages: (keys, width)."""
+    middle, half = F.col("width") / 2, F.col("width") * band / 2
+    sides = chars.join(pages.select(*keys, "width"), keys).groupBy(*keys).agg(F.max(F.col("r") < middle).alias("left"), F.max(F.col("l") > middle).alias("right"), F.max((F.col("l") < middle + half) & (F.col("r") > middle - half)).alias("across"))
+    return pages.select(*keys).distinct().join(sides, keys, "left").select(*keys, F.when(F.col("left") & F.col("right") & ~F.col("across"), 2).otherwise(1).alias("columns"))
+
+
+def graphic_clusters(boxes: DataFrame, keys: list[str], tie: str, atol: float = 0.0) -> DataFrame:
+    """Boxes (struct box) in clusters of two levels, region by height and subregion by width: (..., region, subregion)."""
+    from .sequence import merged_intervals
+
+    flat = boxes.withColumns({"_b": F.col("box.b"), "_t": F.col("box.t"), "_l": F.col("box.l"), "_r": F.col("box.r")})
+    by_height = merged_intervals(flat, keys, "_b", "_t", tie, atol, out="region")
+    return merged_intervals(by_height, [*keys, "region"], "_l", "_r", tie, atol, out="subregion").drop("_b", "_t", "_l", "_r")
+
+
+def split_around(areas: DataFrame, objects: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """Areas (keys, lo, hi) cut by the objects (keys, olo, ohi) in them: (keys, kind, lo, hi), what the objects leave of an
+    area if it is at least so high, as text, and the merged objects."""
+    from .sequence import merged_intervals
+
+    own = objects.withColumn("_id", F.xxhash64(*keys, "olo", "ohi"))
+    merged = merged_intervals(own, keys, "olo", "ohi", "_id", out="_region").groupBy(*keys, "_region").agg(F.min("olo").alias("lo"), F.max("ohi").alias("hi")).drop("_region")
+    ends = areas.select(*keys, F.col("lo").alias("_since"), F.col("hi").alias("_until")).join(merged, keys, "left")
+    w = ordered(keys, "lo")
+    spans = ends.withColumns({"_from": F.coalesce(F.lag("hi").over(w), F.col("_since")), "_last": F.lead("lo").over(w).isNull()})
+    before = spans.select(*keys, F.col("_from").alias("lo"), F.coalesce("lo", "_until").alias("hi"))
+    after = spans.where("_last and hi is not null").select(*keys, F.col("hi").alias("lo"), F.col("_until").alias("hi"))
+    text = before.unionByName(after).where(F.col("hi") - F.col("lo") >= least).select(*keys, F.lit("text").alias("kind"), "lo", "hi")
+    return text.unionByName(merged.select(*keys, F.lit("object").alias("kind"), "lo", "hi"))
+
+
+def side_by_side(captions: DataFrame, keys: list[str], y: str, x: str, width: str) -> DataFrame:
+    """Captions of one row (equal y) with the part of the page's width that each may take: (..., left, right), cut half way
+    between one caption and the next."""
+    w = ordered([*keys, y], x)
+    return captions.withColumns({"left": F.coalesce((F.lag(x).over(w) + F.col(x)) / 2, F.lit(0.0)), "right": F.coalesce((F.lead(x).over(w) + F.col(x)) / 2, F.col(width))})
+
+
+def graphic_class(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, class): `figure` with an image or mostly other shapes, `table` where most lines are stroked or two thirds of
+    the points are corners. paths: (keys, kind: image, line or other, stroked, corners, points)."""
+    lines = F.count_if((F.col("kind") == "line") & F.col("stroked"))
+    found = paths.groupBy(*keys).agg(F.max(F.col("kind") == "image").alias("_i"), (2 * lines > F.count(F.lit(1))).alias("_s"), (3 * F.sum("corners") >= 2 * F.sum("points")).alias("_c"))
+    return found.select(*keys, F.when(F.col("_i"), "figure").when(F.col("_s") | F.col("_c"), "table").otherwise("figure").alias("class"))
+
+
+def cell_borders(cells: DataFrame, lines: DataFrame, keys: list[str], cell: list[str], near: float) -> DataFrame:
+    """Border widths of cells (keys, cell, l, b, r, t): on each side that of the first line (by ord) that spans the middle
+    of the side and lies at most near from it, 0 without one. lines: (keys, ord, direction, at, lo, hi, width)."""
+    middle = {"l": ("vertical", "b", "t"), "r": ("vertical", "b", "t"), "b": ("horizontal", "l", "r"), "t": ("horizontal", "l", "r")}
+    each = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(d).alias("direction"), F.col(s).alias("place"), ((F.col(x) + F.col(y)) / 2).alias("middle")) for s, (d, x, y) in middle.items()])
+    sides = cells.select(*keys, *cell, F.explode(each).alias("s")).select(*keys, *cell, "s.*")
+    # Lines and sides meet in cells of the grid that the tolerance makes along the lines' direction of shift.
+    step = F.lit(max(near, 1e-9) * 2)
+    placed = sides.withColumn("_g", F.explode(F.sequence(F.floor((F.col("place") - near) / step), F.floor((F.col("place") + near) / step))))
+    ruled = lines.withColumn("_g", F.floor(F.col("at") / step))
+    met = placed.join(ruled, [*keys, "direction", "_g"]).where((F.abs(F.col("at") - F.col("place")) <= near) & F.col("middle").between(F.col("lo"), F.col("hi")))
+    widths = met.groupBy(*keys, *cell).pivot("side", list("lbrt")).agg(F.min_by("width", "ord"))
+    return cells.select(*keys, *cell).distinct().join(widths, [*keys, *cell], "left").na.fill(0, list("lbrt"))
+
+
+def header_by_lines(cells: DataFrame, lines: DataFrame, table: list[str], y: str, threshold: float = 0.33) -> DataFrame:
+    """(table, y, header): rows above the lowest of the thick lines (at least nine tenths of the widest) that follow the
+    top, if their share of bold cells exceeds the threshold; tables without such lines by their bold cells alone, down to
+    the first row that is not bold. lines: (table, below: the row that a line stands under, -1 for the top; width)."""
+    widest = F.max("width").over(Window.partitionBy(*table))
+    thick = lines.withColumn("_w", widest).where((F.col("width") >= 0.9 * F.col("_w")) & (F.col("below") >= 0)).groupBy(*table).agg(F.min("below").alias("_end"))
+    share = cells.groupBy(*table, y).agg((F.avg(F.col("bold").cast("int")) > threshold).alias("_bold"))
+    last = F.min(F.when(~F.col("_bold"), F.col(y))).over(Window.partitionBy(*table))
+    rows = share.withColumn("_plain", last).join(thick, table, "left")
+    by_bold = F.col("_bold") & (F.col("_plain").isNull() | (F.col(y) < F.col("_plain")))
+    return rows.select(*table, y, F.when(F.col("_end").isNotNull(), (F.col(y) <= F.col("_end")) & F.col("_bold")).otherwise(by_bold).alias("header"))
+
+
+def object_linked(chars: DataFrame, links: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """(keys, index, target): characters (x, y: their middle) within the box of a link (l, b, r, t, target, ord); of several, the last."""
+    from .spatial import range_join
+
+    return range_join(chars, links, "x", "y", keys).groupBy(*keys, index).agg(F.max_by("target", "ord").alias("target"))

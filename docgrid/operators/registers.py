@@ -260,3 +260,52 @@ def device_map(rows: DataFrame, instances: DataFrame, keys: list[str]) -> DataFr
     linked = linked_types(instances, rows.select("type", "section").distinct())
     met = fields.join(linked.select("name", "address", "type", "section"), ["type", "section"])
     return met.select(*keys, F.col("name").alias("instance"), "type", "register", (F.col("address") + F.col("byte_offset")).alias("address"), "field", "position", "width")
+
+
+def pin_rows(rows: DataFrame, keys: list[str], repairs: dict[str, str] | None = None) -> DataFrame:
+    """Rows of a pin table (keys, name, type, structure, functions, positions: map package -> places) one a package and
+    place: (keys, package, position, name, type, structure, functions). Footnote marks and what follows a blank or a
+    bracket go from names; `-` stands for no place."""
+    name = F.regexp_replace(F.regexp_replace(F.col("name"), r"\(\d+\)", ""), r"[ (\[].*$", "")
+    for wrong, right in (repairs or {}).items():
+        name = F.when(name == wrong, right).otherwise(name)
+    listed = F.filter(F.transform(F.split("functions", r"[ ,]+|<br>"), lambda f: F.trim(f)), lambda f: ~f.isin("", "-"))
+    out = rows.select(*keys, name.alias("name"), F.nullif(F.trim("type"), F.lit("-")).alias("type"), F.nullif(F.trim("structure"), F.lit("-")).alias("structure"), listed.alias("functions"), F.explode("positions").alias("package", "_p"))
+    out = out.withColumn("position", F.explode(F.filter(F.split(F.regexp_replace("_p", r"\(\d+\)", ""), r"[ ,]+|<br>"), lambda p: ~p.isin("", "-"))))
+    return out.select(*keys, "package", "position", "name", "type", "structure", "functions")
+
+
+def vector_tables(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of interrupt tables (keys, caption, position, name) as (keys, table, position, names in order): the table is
+    named by what its caption says of cores, devices or categories, `VectorTable` otherwise; only numbered positions count."""
+    caption = F.col("caption")
+    core, categories = F.regexp_extract(caption, r"(?i)cortex.?(m\d\+?)", 1), F.regexp_extract_all(caption, F.lit(r"(?i)categor(?:y|ies) (\d)"), F.lit(1))
+    devices = F.flatten(F.transform(F.regexp_extract_all(caption, F.lit(r"(STM32[\w/]+)"), F.lit(1)), device_patterns))
+    table = F.concat(F.lit("VectorTable"), F.when(core != "", F.concat(F.lit(":Core="), F.lower(core))).otherwise(""), F.when(F.size(devices) > 0, F.concat(F.lit(":Device="), F.array_join(devices, "|"))).otherwise(""), F.when(F.size(categories) > 0, F.concat(F.lit(":Categories="), F.array_join(categories, ","))).otherwise(""))
+    kept = rows.where(F.col("position").rlike(r"^\s*\d+\s*$")).withColumns({"table": table, "position": F.trim("position").cast("int")})
+    return kept.groupBy(*keys, "table", "position").agg(F.sort_array(F.collect_set("name")).alias("names"))
+
+
+def device_family(heading: Column) -> Column:
+    """`STM32F4` and the like, from a document's first heading; empty if it names none."""
+    return F.regexp_extract(heading, r"STM32\w\w", 0)
+
+
+def without_duplicates(peripherals: DataFrame, keys: list[str], name: str, address: str) -> DataFrame:
+    """Peripherals without the `_COMMON` ones at the address of another, and without a shared one (OPAMP) beside its numbered parts."""
+    at = peripherals.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, address)))
+    numbered = F.max(F.col(name).rlike(r"^OPAMP\d")).over(Window.partitionBy(*keys))
+    kept = at.withColumn("_o", numbered).where(~(F.col(name).endswith("_COMMON") & (F.col("_n") > 1)) & ~((F.col(name) == "OPAMP") & F.col("_o")))
+    return kept.drop("_n", "_o")
+
+
+def selected_packages(devices: DataFrame, packages: DataFrame, keys: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
+    """For each device (keys, package) the longest of its document's packages (keys, name, filters: patterns that the device
+    must hold) that fits, by name, by a part of it, or by another name of it. Filters must all hold."""
+    other = F.col("package")
+    for old, new in (aliases or {}).items():
+        other = F.when(F.col("package").startswith(old), F.concat(F.lit(new), F.substring("package", F.lit(len(old) + 1), F.length("package")))).otherwise(other)
+    met = devices.withColumn("_other", other).join(packages, keys)
+    level = F.when(F.col("package") == F.col("name"), 0).when(F.contains("package", "name"), 1).when(F.col("_other") == F.col("name"), 2)
+    met = met.withColumn("level", level).where(F.col("level").isNotNull() & F.forall(F.coalesce("filters", F.array().cast("array<string>")), lambda f: F.regexp_like(F.col("device"), F.concat(F.lit("(?i)"), f))))
+    return best(met, [*keys, "device"], "level", F.length("name").desc(), "name").drop("_other")

@@ -69,3 +69,14 @@ def segments(df: DataFrame, keys: list[str], by: str, x: str, y: str) -> DataFra
 def best(df: DataFrame, keys: list[str], *by) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("_rank", F.row_number().over(ordered(keys, *by))).where("_rank = 1").drop("_rank")
+
+
+def title_chain(df: DataFrame, keys: list[str], order: str, level: str, title: str, most: int = 6) -> DataFrame:
+    """Outline items with the titles of the items above them and their own, from the outermost: (..., chain)."""
+    w = ordered(keys, order)
+    # The last item of a level counts only if no item of an outer level has come since.
+    last = [running_key(F.when(F.col(level) == k, F.struct(F.col(order).alias("at"), F.col(title).alias("t"))), w) for k in range(most)]
+    chain = F.array(*[F.when(F.col(level) >= k, F.struct(F.lit(k).alias("k"), c["at"].alias("at"), c["t"].alias("t"))) for k, c in enumerate(last)])
+    df = df.withColumn("_c", F.filter(chain, lambda s: s.isNotNull() & s["at"].isNotNull()))
+    fresh = F.filter("_c", lambda s: F.forall(F.filter(F.col("_c"), lambda o: o["k"] < s["k"]), lambda o: o["at"] <= s["at"]))
+    return df.withColumn("chain", F.transform(fresh, lambda s: s["t"])).drop("_c")

@@ -77,3 +77,10 @@ def ranked_join(df: DataFrame, *candidates: tuple[DataFrame, Column], keys: list
     from .sequence import best
 
     return best(found, keys, "level", *(order or []))
+
+
+def assigned(df: DataFrame, prefixes: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Each key with the longest prefix it starts with, so that a shorter one never takes what a longer one has."""
+    from .sequence import best
+
+    return best(prefix_join(df, prefixes, key, prefix), [key], F.length(prefix).desc(), prefix)

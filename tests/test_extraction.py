@@ -5,8 +5,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from docgrid.functions import geometry
-from docgrid.operators import evaluate, graph, products, registers, search, tables, tree
-from docgrid.sources import devices, headers, html
+from docgrid.operators import evaluate, graph, layout, products, registers, search, sequence, spatial, tables, tree
+from docgrid.sources import catalog, devices, headers, html
 
 C, L = F.col, F.lit
 CELLS = f"doc int, part int, {tables.CELL}"
@@ -236,3 +236,78 @@ def test_graph_store(spark, tmp_path):
     assert not (tmp_path / "g").exists()
     n = graph.namespaced(g.withColumn("family", L("f4")), "family").first()
     assert (n.subject, n.object, n.ns) == ("f4:a", "f4:b", "f4")
+
+
+def test_lines_and_columns(spark):
+    text = [("a", 0.0, 100.0, 0), ("b", 5.0, 100.04, 0), ("c", 9.0, 101.0, 0), ("\r", 9.5, 100.0, 0), ("x", 2.0, 50.0, 90), (" ", 0.0, 10.0, 0)]
+    d = spark.createDataFrame([(1, i, c, ord(c), x, o, 10.0, r) for i, (c, x, o, r) in enumerate(text)] + [(1, 9, "", 61623, 12.0, 100.0, 10.0, 0)], "page int, idx int, char string, unicode int, x double, origin double, height double, rotation int")
+    got = layout.built_lines(layout.prepared_chars(d), ["page"])
+    assert rows(got.select("octant", "text")) == [(0, "abc•"), (2, "x")]
+    pages = spark.createDataFrame([(1, 100.0), (2, 100.0), (3, 100.0)], "page int, width double")
+    c = spark.createDataFrame([(1, 0.0, 40.0), (1, 60.0, 90.0), (2, 0.0, 40.0), (2, 45.0, 55.0), (2, 60.0, 70.0)], "page int, l double, r double")
+    assert rows(layout.columns_of_text(c, pages, ["page"])) == [(1, 2), (2, 1), (3, 1)]
+
+
+def test_graphics(spark):
+    box = lambda l, b, r, t: F.struct(L(float(l)).alias("l"), L(float(b)).alias("b"), L(float(r)).alias("r"), L(float(t)).alias("t"))  # noqa: E731, E741
+    b = spark.range(4).select(L(1).alias("page"), C("id"), F.when(C("id") == 0, box(0, 0, 10, 10)).when(C("id") == 1, box(5, 5, 20, 15)).when(C("id") == 2, box(50, 8, 60, 12)).otherwise(box(0, 40, 5, 50)).alias("box"))
+    got = {r.id: (r.region, r.subregion) for r in layout.graphic_clusters(b, ["page"], "id").collect()}
+    assert got[0] == got[1] != got[2] and got[2][0] == got[0][0] != got[3][0]
+    a = spark.createDataFrame([(1, 0.0, 100.0), (2, 0.0, 50.0)], "page int, lo double, hi double")
+    o = spark.createDataFrame([(1, 20.0, 40.0), (1, 35.0, 60.0), (1, 63.0, 95.0)], "page int, olo double, ohi double")
+    assert rows(layout.split_around(a, o, ["page"], 4.0)) == [(1, "object", 20.0, 60.0), (1, "object", 63.0, 95.0), (1, "text", 0.0, 20.0), (1, "text", 95.0, 100.0), (2, "text", 0.0, 50.0)]
+    cap = spark.createDataFrame([(1, 5, 10.0, 100.0), (1, 5, 60.0, 100.0), (1, 9, 10.0, 100.0)], "page int, y int, x double, width double")
+    assert rows(layout.side_by_side(cap, ["page"], "y", "x", "width").select("y", "left", "right")) == [(5, 0.0, 35.0), (5, 35.0, 100.0), (9, 0.0, 100.0)]
+    p = spark.createDataFrame([(1, "line", True, 2, 2), (1, "line", True, 0, 2), (2, "image", False, 0, 1), (2, "line", True, 2, 2), (3, "other", False, 1, 9), (4, "other", False, 4, 5)], "g int, kind string, stroked boolean, corners int, points int")
+    assert rows(layout.graphic_class(p, ["g"])) == [(1, "table"), (2, "figure"), (3, "figure"), (4, "table")]
+
+
+def test_borders_and_headers(spark):
+    cells = spark.createDataFrame([(1, 0, 0.0, 0.0, 10.0, 5.0), (1, 1, 10.0, 0.0, 20.0, 5.0)], "tab int, cell int, l double, b double, r double, t double")
+    lines = spark.createDataFrame([(1, 0, "vertical", 10.2, 0.0, 5.0, 2.0), (1, 1, "vertical", 9.9, 0.0, 5.0, 7.0), (1, 2, "horizontal", 5.0, 0.0, 9.0, 1.0), (1, 3, "vertical", 20.0, 4.0, 5.0, 3.0)], "tab int, ord int, direction string, at double, lo double, hi double, width double")
+    assert rows(layout.cell_borders(cells, lines, ["tab"], ["cell"], 0.5).select("cell", "l", "b", "r", "t")) == [(0, 0.0, 0.0, 2.0, 1.0), (1, 2.0, 0.0, 0.0, 0.0)]
+    c = spark.createDataFrame([(t, y, y in bold) for t, bold in ((1, (0, 1, 3)), (2, (0,))) for y in range(4) for _ in range(2)], "tab int, y int, bold boolean")
+    ln = spark.createDataFrame([(1, -1, 2.0), (1, 1, 1.9), (1, 2, 0.5)], "tab int, below int, width double")
+    assert {(r.tab, r.y) for r in layout.header_by_lines(c, ln, ["tab"], "y").collect() if r.header} == {(1, 0), (1, 1), (2, 0)}
+    ch = spark.createDataFrame([(1, 5, 3.0, 3.0), (1, 6, 30.0, 3.0)], "page int, idx int, x double, y double")
+    lk = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 9.0, 7, 0), (1, 2.0, 2.0, 9.0, 9.0, 8, 1)], "page int, l double, b double, r double, t double, target int, ord int")
+    assert rows(layout.object_linked(ch, lk, ["page"], "idx")) == [(1, 5, 8)]
+
+
+def test_title_chains(spark):
+    d = spark.createDataFrame([(1, i, lv, t) for i, (lv, t) in enumerate([(0, "A"), (1, "a"), (2, "x"), (1, "b"), (0, "B"), (2, "y")])], "doc int, ord int, level int, title string")
+    assert [r.chain for r in sequence.title_chain(d, ["doc"], "ord", "level", "title").orderBy("ord").collect()] == [["A"], ["A", "a"], ["A", "a", "x"], ["A", "b"], ["B"], ["B", "y"]]
+
+
+def test_sources_and_drivers(spark, tmp_path):
+    d = spark.createDataFrame([("stm32f407",), ("stm32f401",)], "dev string")
+    p = spark.createDataFrame([("stm32f4",), ("stm32f407",)], "pre string")
+    assert rows(spatial.assigned(d, p, "dev", "pre")) == [("stm32f401", "stm32f4"), ("stm32f407", "stm32f407")]
+    i = spark.createDataFrame([("d", "rm", "x", 1), ("d", "rm", "a", 2), ("d", "hd", "h", 1)], "dev string, source string, file string, at int")
+    assert rows(evaluate.index_by_source(i, ["dev"], "source", ["hd", "cm", "rm"], "file", ["at"])) == [("d", "h", None, "a")]
+    w = evaluate.whitelisted(spark.createDataFrame([("A", "B"), ("C", "D")], "x string, y string"), spark.createDataFrame([("B", "A")], "p string, q string"), "x", "y")
+    assert rows(w) == [("C", "D")]
+    t = evaluate.totals(spark.createDataFrame([("f", 10, 8, 1), ("f", 2, 4, 9)], "fam string, a int, b int, wrong int"), ["fam"], "a", "b", "wrong").first()
+    assert (t["all"], t.correct, t.wrong, t.pct) == (14, 9, 10, 64.286)
+    s = spark.createDataFrame([(1, "USART1_TX"), (1, "FOO_X")], "k int, signal string")
+    dr = spark.createDataFrame([(1, "usart", ["1", "2"]), (1, "i2s", ["3"]), (1, "rcc", None), (1, "crc", None)], "k int, driver string, inst array<string>")
+    names = evaluate.driver_names(dr, ["k"], "driver", "inst", {"rcc": "sys"}, ["CRC"])
+    assert rows(names.select("driver")) == [("I2S",), ("I2S3",), ("SYS",), ("USART1",), ("USART2",)]
+    kept, ignored = evaluate.driver_signals(s, names, ["k"], "signal", "driver")
+    assert rows(kept) == [(1, "USART1_TX")] and rows(ignored) == [(1, "FOO_X")]
+    (tmp_path / "r.json").write_text('{"rows": [{"title": "DS1", "version": "1.0"},\n {"title": "RM2", "version": "2.0"}]}')
+    assert rows(catalog.remote(spark, str(tmp_path / "r.json")).select("title", "version")) == [("DS1", "1.0"), ("RM2", "2.0")]
+
+
+def test_pins_vectors_packages(spark):
+    d = spark.createDataFrame([(1, "PA0(2)", "I/O", "-", "ADC_IN0, WKUP", {"LQFP48": "10", "BGA": "-"}), (1, "PC13 (osc)", "I/O", "FT", "-", {"LQFP48": "2, 3"})], "doc int, name string, type string, structure string, functions string, positions map<string,string>")
+    assert rows(registers.pin_rows(d, ["doc"], {"PC13": "PC13X"}).select("package", "position", "name", "structure", F.array_join("functions", "+").alias("f"))) == sorted([("LQFP48", "10", "PA0", None, "ADC_IN0+WKUP"), ("LQFP48", "2", "PC13X", "FT", ""), ("LQFP48", "3", "PC13X", "FT", "")], key=repr)
+    v = spark.createDataFrame([(1, "Vector table", "0", "WWDG"), (1, "Vector table", "0", "IWDG"), (1, "Vector table", "-", "NMI"), (1, "Vectors for STM32F405xx (Cortex-M4)", "7", "X"), (1, "Vectors, category 3 devices", "1", "Y")], "doc int, caption string, position string, name string")
+    got = {(r.table, r.position): r.names for r in registers.vector_tables(v, ["doc"]).collect()}
+    assert got == {("VectorTable", 0): ["IWDG", "WWDG"], ("VectorTable:Core=m4:Device=STM32F405..", 7): ["X"], ("VectorTable:Categories=3", 1): ["Y"]}
+    assert one(spark, f=registers.device_family(L("STM32F405xx datasheet"))).f == "STM32F4"
+    p = spark.createDataFrame([(1, "ADC12_COMMON", 5), (1, "ADC1", 5), (1, "ADC3_COMMON", 9), (1, "OPAMP", 7), (1, "OPAMP1", 7)], "dev int, name string, addr int")
+    assert rows(registers.without_duplicates(p, ["dev"], "name", "addr").select("name")) == [("ADC1",), ("ADC3_COMMON",), ("OPAMP1",)]
+    dev = spark.createDataFrame([(1, "stm32f405rg", "LQFP64"), (1, "stm32f415rg", "LQFP64"), (1, "x", "VFQFPN48")], "doc int, device string, package string")
+    pk = spark.createDataFrame([(1, "LQFP64", ["f405"]), (1, "LQFP", None), (1, "UFQFPN48", None)], "doc int, name string, filters array<string>")
+    assert rows(registers.selected_packages(dev, pk, ["doc"], {"VFQFPN": "UFQFPN"}).select("device", "name", "level")) == [("stm32f405rg", "LQFP64", 0), ("stm32f415rg", "LQFP", 1), ("x", "UFQFPN48", 2)]
