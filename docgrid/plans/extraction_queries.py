@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import evaluate, graph, products, registers, search, sequence, spatial, tables, tree
+from ..operators import evaluate, graph, layout, products, registers, search, sequence, spatial, tables, tree
 from ..sources import catalog, html
 from .registry import query
 
@@ -268,3 +268,111 @@ def _(t, spark):
     devices = t("part").select("p_partkey", L("f1").alias("family"), name.alias("name"), F.when(C("p_partkey") % 2 == 0, "4").otherwise("8").alias("size"), L("c").alias("pin"), L("").alias("variant"))
     defines = t("part").select(F.explode(F.array(F.concat(L("STM32F1"), name, L("x6")), F.concat(L("STM32F1"), name, L("xB")))).alias("define")).distinct()
     return registers.device_define(devices, defines).select("p_partkey", "define")
+
+
+@query("q151_title_chains", f"WITH n AS ({_NODES}), l AS (SELECT *, CASE event_type WHEN 'signup' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS lv FROM n), a AS (SELECT *, last_value(CASE WHEN lv = 0 THEN ord END IGNORE NULLS) OVER w AS a0, last_value(CASE WHEN lv = 1 THEN ord END IGNORE NULLS) OVER w AS a1, last_value(CASE WHEN lv = 0 THEN event_id END IGNORE NULLS) OVER w AS e0, last_value(CASE WHEN lv = 1 THEN event_id END IGNORE NULLS) OVER w AS e1 FROM l WINDOW w AS (PARTITION BY doc ORDER BY ord ROWS UNBOUNDED PRECEDING)) SELECT event_id, concat_ws('/', e0, CASE WHEN lv >= 1 AND a1 IS NOT NULL AND (a0 IS NULL OR a0 < a1) THEN e1 END, CASE WHEN lv = 2 THEN event_id END) AS chain FROM a")
+def _(t, spark):
+    nodes = _event_nodes(t).withColumn("level", F.when(C("event_type") == "signup", 0).when(C("event_type") == "click", 1).otherwise(2)).withColumn("title", C("event_id").cast("string"))
+    return sequence.title_chain(nodes, ["doc"], "ord", "level", "title", 3).select("event_id", F.array_join("chain", "/").alias("chain"))
+
+
+@query("q152_assigned_prefixes", "WITH p(x) AS (VALUES ('NATION_1'), ('NATION_'), ('NATION_2'), ('NATION_10')) SELECT n_name, x AS prefix FROM nation JOIN p ON starts_with(n_name, x) QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY length(x) DESC, x) = 1")
+def _(t, spark):
+    p = spark.createDataFrame([("NATION_1",), ("NATION_",), ("NATION_2",), ("NATION_10",)], "prefix string")
+    return spatial.assigned(t("nation").select("n_name"), p, "n_name", "prefix")
+
+
+@query("q153_prefix_outer", "WITH p(x) AS (VALUES ('NATION_1'), ('NATION_2')) SELECT n_nationkey, x AS prefix FROM nation LEFT JOIN p ON starts_with(n_name, x)")
+def _(t, spark):
+    p = spark.createDataFrame([("NATION_1",), ("NATION_2",)], "prefix string")
+    return spatial.prefix_join(t("nation"), p, "n_name", "prefix", "left").select("n_nationkey", "prefix")
+
+
+@query("q154_index_by_source", "SELECT l_orderkey, arg_max(l_partkey, (l_shipdate, l_partkey)) FILTER (WHERE l_returnflag = 'A') AS a, arg_max(l_partkey, (l_shipdate, l_partkey)) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1")
+def _(t, spark):
+    wide = evaluate.index_by_source(t("lineitem").where("l_returnflag in ('A', 'R')"), ["l_orderkey"], "l_returnflag", ["A", "R"], "l_partkey", ["l_shipdate", "l_partkey"])
+    return wide.select("l_orderkey", C("A").alias("a"), C("R").alias("r"))
+
+
+@query("q155_totals", "SELECT l_shipmode_ AS line, sum(greatest(a, b))::BIGINT AS n, sum(greatest(greatest(a, b) - w, 0))::BIGINT AS correct, sum(w)::BIGINT AS wrong FROM (SELECT l_linenumber AS l_shipmode_, l_quantity::BIGINT AS a, (l_partkey % 50) AS b, l_suppkey % 9 AS w FROM lineitem) GROUP BY 1")
+def _(t, spark):
+    rows = t("lineitem").select(C("l_linenumber").alias("line"), C("l_quantity").cast("bigint").alias("a"), (C("l_partkey") % 50).alias("b"), (C("l_suppkey") % 9).alias("w"))
+    return evaluate.totals(rows, ["line"], "a", "b", "w").select("line", C("all").alias("n"), "correct", "wrong")
+
+
+@query("q156_whitelisted_pairs", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT ((l_returnflag = 'A' AND l_linestatus = 'F') OR (l_returnflag = 'N' AND l_linestatus = 'O'))")
+def _(t, spark):
+    pairs = spark.createDataFrame([("F", "A"), ("N", "O")], "x string, y string")
+    return evaluate.whitelisted(t("lineitem"), pairs, "l_returnflag", "l_linestatus").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("q157_driver_signals", "SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN 'kept' ELSE 'ignored' END AS kind FROM customer")
+def _(t, spark):
+    signals = t("customer").select("c_custkey", "c_nationkey", F.concat("c_mktsegment", L("_"), "c_custkey").alias("signal"))
+    drivers = t("nation").select(C("n_nationkey").alias("c_nationkey"), F.explode(F.array(L("BUILD"), L("FURNITURE_"))).alias("driver"))
+    kept, ignored = evaluate.driver_signals(signals, drivers, ["c_nationkey"], "signal", "driver")
+    return kept.select("c_custkey", L("kept").alias("kind")).union(ignored.select("c_custkey", L("ignored")))
+
+
+@query("q158_pin_rows", "SELECT p_partkey, v.package, v.position, 'P' || p_size AS name, p_type AS type FROM part, LATERAL (VALUES ('BGA', 'A' || p_size), ('LQFP', CAST(p_size AS VARCHAR)), ('LQFP', CAST(p_size + 1 AS VARCHAR))) v(package, position)")
+def _(t, spark):
+    size = C("p_size").cast("string")
+    places = F.create_map(L("BGA"), F.concat(L("A"), size), L("LQFP"), F.concat(size, L("(1), "), (C("p_size") + 1).cast("string")), L("WLCSP"), L("-"))
+    rows = t("part").select("p_partkey", F.concat(L("P"), size, L("(3)")).alias("name"), C("p_type").alias("type"), L("-").alias("structure"), L("-").alias("functions"), places.alias("positions"))
+    return registers.pin_rows(rows, ["p_partkey"]).select("p_partkey", "package", "position", "name", "type")
+
+
+@query("q159_vector_tables", "SELECT l_suppkey, CASE WHEN l_returnflag = 'A' THEN 'VectorTable:Core=m4' ELSE 'VectorTable' END AS tab, l_linenumber AS position, string_agg(DISTINCT 'V' || l_partkey % 5, ',' ORDER BY 'V' || l_partkey % 5) AS names FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL")
+def _(t, spark):
+    rows = t("lineitem").select("l_suppkey", F.when(C("l_returnflag") == "A", "Vectors (Cortex-M4)").otherwise("Vectors").alias("caption"), F.when(C("l_returnflag") == "N", "-").otherwise(C("l_linenumber").cast("string")).alias("position"), F.concat(L("V"), C("l_partkey") % 5).alias("name"))
+    return registers.vector_tables(rows, ["l_suppkey"]).select("l_suppkey", C("table").alias("tab"), "position", F.array_join("names", ",").alias("names"))
+
+
+@query("q160_graphic_clusters", f"WITH r AS (SELECT {_KSQL}, {_BOX} FROM lineitem), a AS (SELECT *, max(t) OVER (PARTITION BY l_orderkey ORDER BY b, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r), y AS (SELECT *, sum(CASE WHEN m IS NULL OR m < b THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY b, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS region FROM a), c AS (SELECT *, max(r) OVER (PARTITION BY l_orderkey, region ORDER BY l, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM y) SELECT {_KSQL}, region::BIGINT AS region, (sum(CASE WHEN n IS NULL OR n < l THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey, region ORDER BY l, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING))::BIGINT AS subregion FROM c")
+def _(t, spark):
+    rows = t("lineitem").select(*_KEY, F.struct("l_partkey", "l_suppkey").alias("tie"), _box().alias("box"))
+    return layout.graphic_clusters(rows, ["l_orderkey"], "tie").select(*_KEY, "region", "subregion")
+
+
+@query("q161_captions_side_by_side", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce((lag(l_partkey) OVER w + l_partkey) / 2.0, 0)::DOUBLE AS \"left\" FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_suppkey)")
+def _(t, spark):
+    rows = t("lineitem").select(*_KEY, (C("l_partkey") + 0.0).alias("part"), L(1).alias("y"), L(1e6).alias("width"), F.struct("l_partkey", "l_linenumber", "l_suppkey").alias("tie"))
+    w = sequence.ordered(["l_orderkey"], "tie")
+    # Equal places are told apart by the rest of the key, as the query's SQL does.
+    placed = rows.withColumn("x", C("part") + F.row_number().over(w) * 1e-9)
+    return layout.side_by_side(placed, ["l_orderkey"], "y", "x", "width").select(*_KEY, F.round("left", 3).alias("left"))
+
+
+@query("q162_graphic_classes", "SELECT l_orderkey, CASE WHEN max((l_returnflag = 'R')::INT) = 1 THEN 'figure' WHEN 2 * sum((l_returnflag = 'A' AND l_linestatus = 'F')::INT) > count(*) OR 3 * sum(l_linenumber) >= 2 * sum(l_quantity) THEN 'table' ELSE 'figure' END AS class FROM lineitem GROUP BY 1")
+def _(t, spark):
+    kind = F.when(C("l_returnflag") == "R", "image").when(C("l_returnflag") == "A", "line").otherwise("other")
+    paths = t("lineitem").select("l_orderkey", kind.alias("kind"), (C("l_linestatus") == "F").alias("stroked"), C("l_linenumber").alias("corners"), C("l_quantity").alias("points"))
+    return layout.graphic_class(paths, ["l_orderkey"])
+
+
+@query("q163_cell_borders", "WITH b(ord, pos, lo, hi, width) AS (VALUES (0, 10.0, 0.0, 4.0, 2.0), (1, 11.0, 2.0, 9.0, 3.0), (2, 30.0, 0.0, 9.0, 1.0)) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce((SELECT arg_min(width, ord) FROM b WHERE abs(pos - l_quantity) <= 1 AND l_linenumber + 0.5 BETWEEN lo AND hi), 0)::DOUBLE AS l FROM lineitem")
+def _(t, spark):
+    cells = t("lineitem").select(L(1).alias("tab"), *_KEY, C("l_quantity").alias("l"), C("l_linenumber").cast("double").alias("b"), (C("l_quantity") + 100).alias("r"), (C("l_linenumber") + 1).cast("double").alias("t"))
+    lines = spark.createDataFrame([(1, 0, "vertical", 10.0, 0.0, 4.0, 2.0), (1, 1, "vertical", 11.0, 2.0, 9.0, 3.0), (1, 2, "vertical", 30.0, 0.0, 9.0, 1.0)], "tab int, ord int, direction string, at double, lo double, hi double, width double")
+    return layout.cell_borders(cells, lines, ["tab"], _KEY, 1.0).select(*_KEY, "l")
+
+
+@query("q164_selected_packages", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'LQFP' || p_size ELSE 'LQFP' END AS name FROM part")
+def _(t, spark):
+    devices = t("part").select("p_partkey", F.concat(L("dev"), C("p_size") % 2).alias("device"), F.concat(L("LQFP"), "p_size").alias("package"))
+    packages = t("part").select("p_partkey", F.explode(F.array(F.struct(F.concat(L("LQFP"), "p_size").alias("name"), F.array(L("DEV0")).alias("filters")), F.struct(L("LQFP").alias("name"), F.array().cast("array<string>").alias("filters")))).alias("p")).select("p_partkey", "p.*")
+    return registers.selected_packages(devices, packages, ["p_partkey"]).select("p_partkey", "name")
+
+
+@query("q165_object_links", "WITH k(id, l, r) AS (VALUES (1, 0.0, 100.0), (2, 50.0, 150.0)) SELECT event_id, arg_max(id, id) AS target FROM events JOIN k ON value BETWEEN l AND r GROUP BY 1")
+def _(t, spark):
+    chars = t("events").select(L(1).alias("page"), "event_id", C("value").alias("x"), L(1.0).alias("y"))
+    links = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 2.0, 1, 1), (1, 50.0, 0.0, 150.0, 2.0, 2, 2)], "page int, l double, b double, r double, t double, target int, ord int")
+    return layout.object_linked(chars, links, ["page"], "event_id").select("event_id", "target")
+
+
+@query("q166_split_around", "WITH o AS (SELECT l_orderkey AS k, l_quantity AS lo, l_quantity + l_linenumber AS hi FROM lineitem), m AS (SELECT *, max(hi) OVER (PARTITION BY k ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM o), i AS (SELECT *, sum(CASE WHEN p IS NULL OR p < lo THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM m), z AS (SELECT k, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY k, g), s AS (SELECT k, lag(hi) OVER (PARTITION BY k ORDER BY lo) AS prev, lo, hi, lead(lo) OVER (PARTITION BY k ORDER BY lo) AS nxt FROM z) SELECT k, count(*)::BIGINT AS n, sum(h)::DOUBLE AS height FROM (SELECT k, lo - coalesce(prev, 0) AS h FROM s UNION ALL SELECT k, 60 - hi FROM s WHERE nxt IS NULL) WHERE h >= 3 GROUP BY 1")
+def _(t, spark):
+    objects = t("lineitem").select(C("l_orderkey").alias("k"), C("l_quantity").alias("olo"), (C("l_quantity") + C("l_linenumber")).alias("ohi"))
+    areas = objects.select("k").distinct().select("k", L(0.0).alias("lo"), L(60.0).alias("hi"))
+    return layout.split_around(areas, objects, ["k"], 3.0).where("kind = 'text'").groupBy("k").agg(one().alias("n"), F.sum(C("hi") - C("lo")).alias("height"))
