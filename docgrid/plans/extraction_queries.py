@@ -350,11 +350,11 @@ def _(t, spark):
     return layout.graphic_class(paths, ["l_orderkey"])
 
 
-@query("q163_cell_borders", "WITH b(ord, pos, lo, hi, width) AS (VALUES (0, 10.0, 0.0, 4.0, 2.0), (1, 11.0, 2.0, 9.0, 3.0), (2, 30.0, 0.0, 9.0, 1.0)) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce((SELECT arg_min(width, ord) FROM b WHERE abs(pos - l_quantity) <= 1 AND l_linenumber + 0.5 BETWEEN lo AND hi), 0)::DOUBLE AS l FROM lineitem")
+@query("q163_cell_borders", "WITH b(ord, pos, lo, hi, width) AS (VALUES (0, 10.0, 0.0, 4.0, 2.0), (1, 11.0, 2.0, 9.0, 3.0), (2, 30.0, 0.0, 9.0, 1.0)) SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, coalesce((SELECT arg_min(width, ord) FROM b WHERE abs(pos - l_quantity) <= 1 AND l_linenumber + 0.5 BETWEEN lo AND hi), 0)::DOUBLE AS l FROM lineitem")
 def _(t, spark):
-    cells = t("lineitem").select(L(1).alias("tab"), *_KEY, C("l_quantity").alias("l"), C("l_linenumber").cast("double").alias("b"), (C("l_quantity") + 100).alias("r"), (C("l_linenumber") + 1).cast("double").alias("t"))
+    cells = t("lineitem").select(L(1).alias("tab"), *_KEY, "l_quantity", C("l_quantity").alias("l"), C("l_linenumber").cast("double").alias("b"), (C("l_quantity") + 100).alias("r"), (C("l_linenumber") + 1).cast("double").alias("t"))
     lines = spark.createDataFrame([(1, 0, "vertical", 10.0, 0.0, 4.0, 2.0), (1, 1, "vertical", 11.0, 2.0, 9.0, 3.0), (1, 2, "vertical", 30.0, 0.0, 9.0, 1.0)], "tab int, ord int, direction string, at double, lo double, hi double, width double")
-    return layout.cell_borders(cells, lines, ["tab"], _KEY, 1.0).select(*_KEY, "l")
+    return layout.cell_borders(cells, lines, ["tab"], [*_KEY, "l_quantity"], 1.0).select(*_KEY, "l_quantity", "l")
 
 
 @query("q164_selected_packages", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'LQFP' || p_size ELSE 'LQFP' END AS name FROM part")
