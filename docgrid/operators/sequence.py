@@ -80,3 +80,33 @@ def title_chain(df: DataFrame, keys: list[str], order: str, level: str, title: s
     df = df.withColumn("_c", F.filter(chain, lambda s: s.isNotNull() & s["at"].isNotNull()))
     fresh = F.filter("_c", lambda s: F.forall(F.filter(F.col("_c"), lambda o: o["k"] < s["k"]), lambda o: o["at"] <= s["at"]))
     return df.withColumn("chain", F.transform(fresh, lambda s: s["t"])).drop("_c")
+
+
+def split_islands(df: DataFrame, keys: list[str], bucket: str, by: list[str], value: str, differs, out: str = "island") -> DataFrame:
+    """Runs as of runs() and gap_clusters(), for keys with more rows than one task should hold.
+
+    bucket: a column that never falls along the order (a day of a time stamp). Rows are numbered within a key's bucket;
+    one row a bucket then carries the count, and the last value, over to the next. differs(previous, value): whether a new
+    run begins; a null before begins one too.
+    """
+    previous = F.lag(F.struct(F.col(value).alias("v"))).over(ordered([*keys, bucket], *by))
+    begins = lambda p, v: F.when(p.isNull() | F.coalesce(differs(p, v), F.lit(False)), 1).otherwise(0)
+    rows = df.withColumn("_p", previous).withColumn("_new", F.when(F.col("_p").isNull(), 0).otherwise(begins(F.col("_p.v"), F.col(value))))
+    rows = rows.withColumn("_own", F.sum("_new").over(ordered([*keys, bucket], *by).rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.struct(*by)
+    held = rows.groupBy(*keys, bucket).agg(F.max("_own").alias("_n"), F.min_by(F.struct(F.col(value).alias("v")), at).alias("_first"), F.max_by(F.struct(F.col(value).alias("v")), at).alias("_last"))
+    w = ordered(keys, bucket)
+    start = F.when(F.col("_before").isNull(), 1).otherwise(begins(F.col("_before.v"), F.col("_first.v")))
+    held = held.withColumn("_before", F.lag("_last").over(w)).withColumn("_start", start)
+    base = F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*keys, bucket, base.alias("_base"))
+    return rows.join(held, [*keys, bucket]).withColumn(out, F.col("_base") + F.col("_own")).drop("_p", "_new", "_own", "_base")
+
+
+def split_asof(df: DataFrame, keys: list[str], bucket: str, by: list[str], is_parent: Column, parent: Column, out: str = "parent") -> DataFrame:
+    """asof_parent() for keys with more rows than one task should hold: see split_islands()."""
+    rows = df.withColumn(out, asof_parent(is_parent, parent, ordered([*keys, bucket], *by)))
+    last = F.max_by(F.when(is_parent, parent), F.when(is_parent & parent.isNotNull(), F.struct(*by)))
+    held = df.groupBy(*keys, bucket).agg(last.alias("_last"))
+    carried = F.last("_last", ignorenulls=True).over(ordered(keys, bucket).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.join(held.select(*keys, bucket, carried.alias("_carried")), [*keys, bucket]).withColumn(out, F.coalesce(out, "_carried")).drop("_carried")

@@ -376,3 +376,23 @@ def _(t, spark):
     objects = t("lineitem").select(C("l_orderkey").alias("k"), C("l_quantity").alias("olo"), (C("l_quantity") + C("l_linenumber")).alias("ohi"))
     areas = objects.select("k").distinct().select("k", L(0.0).alias("lo"), L(60.0).alias("hi"))
     return layout.split_around(areas, objects, ["k"], 3.0).where("kind = 'text'").groupBy("k").agg(one().alias("n"), F.sum(C("hi") - C("lo")).alias("height"))
+
+
+@query("q167_heading_texts", "SELECT r_regionkey::BIGINT AS doc, '-1' AS title, 'above' AS texts FROM region UNION ALL SELECT n_regionkey::BIGINT, r_name || ' 1', string_agg(n_name, '|' ORDER BY n_nationkey) FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL UNION ALL SELECT r_regionkey::BIGINT, r_name || ' 2', 'x|y' FROM region")
+def _(t, spark):
+    rows = t("nation").join(t("region"), C("n_regionkey") == C("r_regionkey")).groupBy("r_regionkey", "r_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: F.concat(L("<p>"), s["n_name"], L("</p>"))), "").alias("n"))
+    pages = rows.select("r_regionkey", F.concat(L("<p>above</p><h1>"), "r_name", L(" 1</h1>"), "n", L("<h2>"), "r_name", L(" 2</h2><p>x</p><table><tr><td>1</td></tr></table><p><b>y</b></p>")).alias("html"))
+    return html.heading_texts(html.items(pages, "r_regionkey", "html")).select("doc", "title", F.array_join("texts", "|").alias("texts"))
+
+
+@query("q168_items_by_type", "SELECT 'heading' AS type, count(*)::BIGINT AS n, sum(length(c_name))::BIGINT AS chars FROM customer UNION ALL SELECT 'text', 2 * count(*), sum(length(c_mktsegment) + length(CAST(c_custkey AS VARCHAR)))::BIGINT FROM customer UNION ALL SELECT 'table', count(*), 0 FROM customer")
+def _(t, spark):
+    pages = t("customer").select("c_custkey", F.concat(L("<h1>"), "c_name", L("</h1><p><i>"), "c_mktsegment", L("</i></p><ul><li>"), "c_custkey", L("</li></ul><table><tr><td>1</td></tr></table>")).alias("html"))
+    found = html.items(pages, "c_custkey", "html").groupBy("type").agg(one().alias("n"), F.sum(F.when(C("type") != "table", F.length("text")).otherwise(0)).alias("chars"))
+    return found
+
+
+@query("q169_asof_by_day", "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS parent FROM events")
+def _(t, spark):
+    days = t("events").withColumn("day", F.to_date("ts"))
+    return sequence.split_asof(days, ["user_id"], "day", ["ts", "event_id"], C("event_type") == "signup", C("event_id")).select("event_id", "parent")

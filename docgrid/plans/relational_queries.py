@@ -44,7 +44,8 @@ def _(t, spark):
 
 @query("q39_island_lists", "WITH e AS (SELECT *, lag(event_type) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, k::BIGINT AS island, min(event_type) AS type, count(*)::BIGINT AS n FROM i GROUP BY user_id, k")
 def _(t, spark):
-    return sequence.runs(t("events"), ["user_id"], ["ts", "event_id"], "event_type").groupBy("user_id", C("island")).agg(F.min("event_type").alias("type"), one().alias("n"))
+    days = t("events").withColumn("day", F.to_date("ts"))  # a user's events are no one task's
+    return sequence.split_islands(days, ["user_id"], "day", ["ts", "event_id"], "event_type", lambda p, v: p != v).groupBy("user_id", C("island")).agg(F.min("event_type").alias("type"), one().alias("n"))
 
 
 @query("q40_lookahead_5", "SELECT event_id, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS purchase FROM events")

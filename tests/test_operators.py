@@ -1,5 +1,6 @@
 """Operators that no query over the tables reaches."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from conftest import rows
@@ -282,3 +283,26 @@ def test_streaming_ingest(spark, tmp_path):
 def test_sequence_segments(spark):
     p = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 1.0, 0.0), (1, 2, 1.0, 2.0)], "k int, i int, x double, y double")
     assert rows(sequence.segments(p, ["k"], "i", "x", "y").select("x", "y", "x1", "y1")) == [(0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 1.0, 2.0)]
+
+
+def test_split_windows_equal_whole_ones(spark):
+    rng = np.random.default_rng(5)
+    data = [(int(rng.integers(0, 3)), int(i // 7), int(i), None if rng.random() < 0.1 else str(rng.integers(0, 2)), float(rng.integers(0, 9) + i * 3)) for i in range(300)]
+    d = spark.createDataFrame(data, "k int, bucket int, i int, v string, at double")
+    whole = {r.i: r.island for r in sequence.runs(d, ["k"], ["i"], "v").collect()}
+    assert {r.i: r.island for r in sequence.split_islands(d, ["k"], "bucket", ["i"], "v", lambda p, v: p != v).collect()} == whole
+    gaps = {r.i: r.cluster for r in sequence.gap_clusters(d, ["k"], ["i"], C("at"), 9.0).collect()}
+    assert {r.i: r.cluster for r in sequence.split_islands(d, ["k"], "bucket", ["i"], "at", lambda p, v: v - p >= 9.0, out="cluster").collect()} == gaps
+    parents = {r.i: r.p for r in d.select("i", sequence.asof_parent(C("v") == "1", C("i"), sequence.ordered(["k"], "i")).alias("p")).collect()}
+    assert {r.i: r.parent for r in sequence.split_asof(d, ["k"], "bucket", ["i"], C("v") == "1", C("i")).collect()} == parents
+
+
+def test_small_helpers(spark):
+    r = one(spark, a=rules.renumbered(L("ADC12_IN3"), r"^(ADC\d+_IN)(\d+)()$", lambda n: n + 1), b=rules.renumbered(L("x"), r"^(ADC)(\d+)()$", lambda n: n))
+    assert (r.a, r.b) == ("ADC12_IN4", "x") and html.unescaped("a&amp;b&lt;") == "a&b<"
+    r = one(spark, a=evaluate.percent(L(1), L(3)), b=evaluate.percent(L(1), L(0)))
+    assert (r.a, r.b) == (33.3, None)
+    n = spark.createDataFrame([(1, 5, None, "b"), (1, 6, None, "a"), (1, 7, 5, "c")], "doc int, node int, parent int, name string")
+    assert rows(tree.sorted_levels(n, C("name")).select("node", "ord")) == [(5, 1), (6, 0), (7, 0)]
+    t = spark.createDataFrame([(1, 0, 3), (1, 1, None), (1, 2, 4)], "doc int, ord int, number int")
+    assert rows(tree.table_numbers(t, ["doc"], "ord").select("ord", "number")) == [(0, 3), (1, 3), (2, 4)]
