@@ -183,10 +183,9 @@ def linear_offset(formula: Column, x: Column) -> Column:
     number = lambda t: F.when(t.rlike("^0[xX]"), from_hex(t)).otherwise(t.cast("bigint"))
 
     def value(t: Column) -> Column:
-        factor = F.regexp_replace(t, r"\*?x\*?", "")
         # The x of a hexadecimal prefix is no variable.
         variable = F.regexp_replace(t, "0[xX][0-9A-Fa-f]+", "").contains("x")
         plain = F.regexp_replace(F.regexp_replace(t, r"^x\*|\*x$", ""), r"^x$", "1")
-        return F.when(variable, x * number(plain)).otherwise(number(t)) if factor is not None else number(t)
+        return F.when(variable, x * number(plain)).otherwise(number(t))
 
     return F.aggregate(terms, F.lit(0).cast("bigint"), lambda a, t: a + F.coalesce(value(t), F.lit(0)))

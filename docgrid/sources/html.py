@@ -65,8 +65,9 @@ class _Items(HTMLParser):
             self.begin(tag)
             table, found = self.tables[-1], dict(attrs)
             table["y"] = max(table["y"], 0)
-            span = lambda k: min(max(1, int(found[k])), 1000) if (found.get(k) or "").strip().isdigit() else 1
-            table["cells"].append({"y": table["y"], "colspan": span("colspan"), "rowspan": span("rowspan"), "head": tag == "th", "html": ""})
+            # The HTML standard clamps spans to these limits.
+            span = lambda k, most: min(max(1, int(found[k])), most) if (found.get(k) or "").strip().isdigit() else 1
+            table["cells"].append({"y": table["y"], "colspan": span("colspan", 1000), "rowspan": span("rowspan", 65534), "head": tag == "th", "html": ""})
         elif self.buffer is not None and self.kind in ("th", "td") and tag != "span":
             self._inline(tag)
         elif tag in BLOCKS:
