@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but ASCII white space; bytes.split() uses the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries of a worker's word cache; a full cache is emptied, so memory stays bounded on any corpus.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -91,6 +91,13 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def pieces(batches, rows: int = 256) -> Iterator:
+    """Arrow batches in slices, so that only so many rows at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 #: Bytes of text that are hashed at a time.
 PORTION = 1 << 20
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))

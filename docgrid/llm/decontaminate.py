@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, window_hashes
+from ._shared import WordHashes, pieces, window_hashes
 
 SEED = 3
 BLOCK_WORDS = 1_000_000
@@ -161,7 +161,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def search(batches, seeds=seeds):
             cache = WordHashes(ENDS)
-            for batch in batches:
+            for batch in pieces(batches, 1024):
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     rows += [(doc, seeds.ids[k], s, a, b) for k, s, a, b in seeds.matches(words_of(text, cache))]
@@ -181,7 +181,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def keep(batches, seeds=seeds):
             cache = WordHashes(ENDS)
-            for batch in batches:
+            for batch in pieces(batches):
                 texts = batch.column(at).cast(pa.binary()).to_pylist()
                 yield batch.filter(pa.array([not seeds.matches(words_of(t, cache)) for t in texts], pa.bool_()))
 

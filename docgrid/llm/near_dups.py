@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import forget, portions, window_sets, written
+from ._shared import forget, pieces, portions, window_sets, written
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
@@ -114,7 +114,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_shingles, set_id (equal for equal sets), registers."""
 
     def sketch(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1024):
             n, ids, regs = [], [], []
             for run in portions([t or b"" for t in batch.column(1).to_pylist()]):
                 for found in shingle_sets(run):
@@ -170,7 +170,7 @@ def _pairs(sides: np.ndarray, within: bool, comps: np.ndarray, sizes: np.ndarray
 def _by_cell(batches, width: int):
     """Lists of rows with equal first `width` columns; rows come sorted by them."""
     held: list[tuple] = []
-    for batch in batches:
+    for batch in pieces(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if held and held[0][:width] != row[:width]:
                 yield held

@@ -37,6 +37,8 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import pieces
+
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 3_000
 #: Words in a window.
@@ -236,7 +238,7 @@ def scored(docs: DataFrame, model: Fitted | None) -> DataFrame:
 
     def score(batches):
         gains = Gains(*model[:2]) if model else None
-        for batch in batches:
+        for batch in pieces(batches, 1024):
             found = []
             for text in batch.column(1).to_pylist():
                 if gains is None:
@@ -256,7 +258,7 @@ def clean(docs: DataFrame, model: Fitted | None) -> DataFrame:
 
     def keep(batches):
         gains = Gains(*model[:2])
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([probability(model, gains.of(t)) < TOXIC_FROM for t in texts], pa.bool_()))
 
