@@ -44,9 +44,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Delete the files under a table made by written(); its rows must no longer be needed."""
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
-        if "/docgrid-" in name:
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        removed(df.sparkSession, name)
+
+
+def removed(spark: SparkSession, name: str) -> None:
+    """Delete a folder made by new_path()."""
+    if "/docgrid-" in name:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:
