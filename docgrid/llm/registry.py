@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arc_converter, chat_trie, decontaminate, hilbert_shards, merkle_manifest, near_dups, quality_rules, secret_scan, sentencepiece_codec, token_planes, toxicity, url_filter
+from . import arc_converter, chat_trie, collocations, decontaminate, hilbert_shards, merkle_manifest, near_dups, quality_rules, secret_scan, sentencepiece_codec, token_planes, toxicity, url_filter
 
 QUERIES = {
     "op1_hilbert_shards": hilbert_shards.op1_hilbert_shards,
@@ -17,5 +17,13 @@ QUERIES = {
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
     "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
     "op12_token_planes": token_planes.op12_token_planes,
+    "op13_collocations": collocations.op13_collocations,
+}
+ORACLE_SQL = {
+    "op4_arc_to_warc": arc_converter.SQL,
+    "op6_chat_trie": chat_trie.SQL,
+    "op7_url_filter": url_filter.SQL,
+    "op9_near_dups": near_dups.SQL,
+    "op11_merkle_manifest": merkle_manifest.SQL,
+    "op13_collocations": collocations.SQL,
 }
-ORACLE_SQL = {"op6_chat_trie": chat_trie.SQL, "op4_arc_to_warc": arc_converter.SQL, "op7_url_filter": url_filter.SQL, "op9_near_dups": near_dups.SQL, "op11_merkle_manifest": merkle_manifest.SQL}
