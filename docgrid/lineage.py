@@ -20,8 +20,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/docgrid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/docgrid-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, with a folder for each value of the columns `by`, if any."""
+    path = new_path(df.sparkSession)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files under a table made by written(); its rows must no longer be needed."""
+    spark = df.sparkSession
+    for name in {m[0] for f in df.inputFiles() if (m := re.match(r".*/docgrid-[0-9a-f]{32}(?=/)", f))}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import written
+from ..lineage import forget, written
 
 
 def edges(*parts: tuple[DataFrame, str, str, str]) -> DataFrame:
@@ -35,8 +35,9 @@ def closure(df: DataFrame, child: str, parent: str) -> DataFrame:
     size = found.count()
     while True:
         longer = found.join(found.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("_next")), "ancestor").select("descendant", F.col("_next").alias("ancestor"))
-        found = written(found.union(longer).distinct())
+        shorter, found = found, written(found.union(longer).distinct())
         before, size = size, found.count()
+        forget(shorter)
         if size == before:
             return found
 

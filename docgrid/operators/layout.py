@@ -23,12 +23,12 @@ def char_lines(chars: DataFrame, keys: list[str], y: str, order: list[str], valu
 
 
 def linked(chars: DataFrame, links: DataFrame, index: str) -> DataFrame:
-    """Characters with the link whose half-open index range [lo, hi) holds them; of several, the last. Ranges and characters
-    meet in cells of the index, so none is compared with all."""
+    """Characters with the link whose half-open index range [lo, hi) holds them; of several, the last. Ranges of any
+    length and characters meet in nested cells of the index, so none is compared with all."""
     from .spatial import range_join
 
     spans = links.where("lo < hi").select("url", "ord", F.col("lo").alias("l"), (F.col("hi") - 1).alias("r"), F.lit(0).alias("b"), F.lit(0).alias("t"))
-    return range_join(chars.withColumn("_y", F.lit(0)), spans, index, "_y", cell=256.0).groupBy(index).agg(F.max_by("url", "ord").alias("url"))
+    return range_join(chars.withColumn("_y", F.lit(0)), spans, index, "_y").groupBy(index).agg(F.max_by("url", "ord").alias("url"))
 
 
 def gaps(df: DataFrame, keys: list[str], lo: str, hi: str, tie: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import from_hex, linear_offset
-from .sequence import best
+from ..lineage import written
+from .recursion import recursive, same
+from .sequence import best, running_offset
 from .spatial import ranked_join
 
 #: Substitutions that clean the cells of register tables, in the order they apply.
@@ -177,47 +178,51 @@ def device_define(devices: DataFrame, defines: DataFrame) -> DataFrame:
     return best(met, devices.columns, "_rank", F.expr("left(define, _least)"), "define").select(*devices.columns, "define")
 
 
+def type_sizes(members: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, type, size): bytes of each structure, those within it included. Unknown and cyclic types raise ValueError.
+
+    Each structure is followed down to all it holds, with how often it holds it; sizes are sums over what is found.
+    """
+    m = members.withColumns({"_n": F.greatest("count", F.lit(1)).cast("bigint"), "_own": _builtin("member_type")})
+    inner = m.where("_own is null").groupBy(*keys, "type", "member_type").agg(F.sum("_n").alias("_n"))
+    start = m.select(*keys, F.col("type").alias("_root"), "type", F.lit(1).cast("bigint").alias("_times"), F.array("type").alias("_seen")).distinct()
+    below = recursive(start, inner, f"{same(keys)} AND t.type = e.type AND NOT array_contains(slice(t._seen, 1, size(t._seen) - 1), t.type)", type="e.member_type", _times="t._times * e._n", _seen="concat(t._seen, array(e.member_type))")
+    below = written(below)
+    known = m.groupBy(*keys, "type").agg(F.coalesce(F.sum(F.col("_n") * F.col("_own")), F.lit(0)).cast("bigint").alias("_bytes"))
+    cyclic = below.where("array_contains(slice(_seen, 1, size(_seen) - 1), type)")
+    wrong = cyclic.select("type").union(below.join(known, [below[k].eqNullSafe(known[k]) for k in [*keys, "type"]], "left_anti").select("type")).first()
+    if wrong:
+        raise ValueError(f"unknown type {wrong.type}")
+    found = below.alias("b").join(known.alias("k"), [F.col(f"b.{c}").eqNullSafe(F.col(f"k.{c}")) for c in [*keys, "type"]])
+    return found.groupBy(*[F.col(f"b.{k}").alias(k) for k in keys], F.col("_root").alias("type")).agg(F.sum(F.col("_times") * F.col("_bytes")).alias("size"))
+
+
+def _builtin(kind: str) -> Column:
+    return F.create_map(*[F.lit(x) for pair in BUILTINS.items() for x in pair])[F.col(kind)]
+
+
 def flattened(members: DataFrame, keys: list[str]) -> DataFrame:
     """Members of C structures with those of the structures within them: (keys, type, ord, name, byte_offset, size).
 
     members: (keys, type, ord, member_type, name, count; 0 for a single member). Arrays are one row an element, `name.index`;
-    reserved members take room and give no row. Unknown types raise ValueError. One header is one group.
+    reserved members take room and give no row. Unknown types raise ValueError. Offsets are prefix sums within a type;
+    what lies in the structures within it is found by a recursive query, however deep.
     """
-    types = dict(members.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "type string, ord int, name string, byte_offset bigint, size int"])
-
-    def fold(group: pa.Table) -> pa.Table:
-        own: dict[str, list] = {}
-        for m in sorted(group.to_pylist(), key=lambda m: m["ord"]):
-            own.setdefault(m["type"], []).append((m["member_type"], m["name"], m["count"]))
-        sizes: dict[str, int] = {}
-
-        def size(kind: str, within: tuple = ()) -> int:
-            if kind in BUILTINS:
-                return BUILTINS[kind]
-            if kind not in own or kind in within:
-                raise ValueError(f"unknown type {kind}")
-            if kind not in sizes:
-                sizes[kind] = sum(size(k, (*within, kind)) * max(1, n) for k, _, n in own[kind])
-            return sizes[kind]
-
-        def walk(kind: str, prefix: str, at: int):
-            for k, name, n in own[kind]:
-                each = size(k)
-                for i in range(max(1, n)):
-                    label = f"{prefix}{name}.{i}" if n else prefix + name
-                    if k not in BUILTINS:
-                        yield from walk(k, f"{label}." if n else prefix, at)
-                    elif not name.upper().startswith("RESERVED"):
-                        yield label, at, each
-                    at += each
-
-        found = [(t, i, n, at, s) for t in own if size(t) for i, (n, at, s) in enumerate(walk(t, "", 0))]
-        columns = [pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 5, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32()))]
-        same = [pa.array([group.column(k)[0].as_py()] * len(found), group.schema.field(k).type) for k in keys]
-        return pa.table([*same, *columns], names=[*keys, "type", "ord", "name", "byte_offset", "size"])
-
-    return members.groupBy(*keys).applyInArrow(fold, schema)
+    sizes = type_sizes(members, keys).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("type").alias("_kind"), F.col("size").alias("_whole"))
+    m = members.withColumns({"_n": F.greatest("count", F.lit(1)).cast("bigint"), "_own": _builtin("member_type")})
+    m = m.join(sizes, [*(F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.col("member_type") == F.col("_kind")], "left").withColumn("_each", F.coalesce("_own", "_whole").cast("bigint"))
+    m = m.withColumn("_at", running_offset(F.col("_n") * F.col("_each"), Window.partitionBy(*keys, "type").orderBy("ord")))
+    each = m.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+    each = each.select(*keys, "type", "ord", "name", "member_type", "_own", F.col("_i").cast("int").alias("_i"), F.when(F.col("count") > 0, F.concat("name", F.lit("."), "_i")).alias("_label"), (F.col("_at") + F.col("_i") * F.col("_each")).alias("_at"))
+    each = written(each)
+    start = each.select(*keys, F.col("type").alias("_root"), "type", F.lit(0).cast("bigint").alias("_base"), F.lit("").alias("_prefix"), F.array().cast("array<int>").alias("_place")).distinct()
+    step = {"type": "e.member_type", "_base": "t._base + e._at", "_prefix": "concat(t._prefix, coalesce(concat(e._label, '.'), ''))", "_place": "concat(t._place, array(e.ord, e._i))"}
+    within = recursive(start, each.where("_own is null"), f"{same(keys)} AND t.type = e.type", **step)
+    leaves = each.where("_own is not null and not startswith(upper(name), 'RESERVED')")
+    met = within.alias("w").join(leaves.alias("l"), [F.col(f"w.{k}").eqNullSafe(F.col(f"l.{k}")) for k in [*keys, "type"]])
+    found = met.select(*[F.col(f"w.{k}").alias(k) for k in keys], F.col("_root").alias("type"), F.concat("_prefix", F.coalesce("_label", "name")).alias("name"), (F.col("_base") + F.col("_at")).alias("byte_offset"), F.col("_own").cast("int").alias("size"), F.concat("_place", F.array("ord", "_i")).alias("_place"))
+    ord_ = F.row_number().over(Window.partitionBy(*keys, "type").orderBy("_place")) - 1
+    return found.withColumn("ord", ord_).select(*keys, "type", "ord", "name", "byte_offset", "size")
 
 
 def matched_fields(registers: DataFrame, macros: DataFrame, keys: list[str]) -> DataFrame:

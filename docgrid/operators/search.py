@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import written
+from .spatial import bounded
+
+#: What words are made of.
+LETTER = r"\p{L}\p{N}_"
+
 
 def _lines(chars: DataFrame, keys: list[str]) -> DataFrame:
     return chars.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "char"))).alias("c")).select(*keys, F.transform("c", lambda s: s["idx"]).alias("at"), F.array_join(F.transform("c", lambda s: s["char"]), "").alias("t"))
@@ -15,14 +21,53 @@ def found_words(chars: DataFrame, keys: list[str], word: str, case_sensitive: bo
 
     chars: (keys, idx, char), one character a row. Places do not overlap and are counted from 0.
     """
-    t, w = (F.col("t"), F.lit(word)) if case_sensitive else (F.lower("t"), F.lower(F.lit(word)))
     size = len(word)
-    page = _lines(chars, keys).withColumns({"_t": t, "_n": F.length("t")}).where(F.contains("_t", w) & F.lit(size > 0))
-    letter = lambda place: F.substring(F.col("_t"), place, F.lit(1)).rlike(r"[\p{L}\p{N}_]")
-    starts = F.filter(F.sequence(F.lit(1), F.col("_n")), lambda i: (F.substring(F.col("_t"), i, F.lit(size)) == w) & ~((i > 1) & letter(i - 1)) & ~letter(i + size))
-    apart = F.aggregate(starts, F.array().cast("array<int>"), lambda a, i: F.when((F.size(a) == 0) | (i >= F.element_at(a, -1) + size), F.concat(a, F.array(i))).otherwise(a))
-    hits = page.select(*keys, "at", F.posexplode(apart).alias("hit", "_i"))
-    return hits.select(*keys, "hit", F.element_at("at", F.col("_i")).alias("first"), F.element_at("at", F.col("_i") + size - 1).alias("last"))
+    if not size:
+        return _lines(chars, keys).select(*keys, F.lit(0).alias("hit"), F.get("at", F.lit(0)).alias("first"), F.get("at", F.lit(0)).alias("last")).limit(0)
+    quoted = "".join(c if c.isalnum() or c.isspace() else "\\" + c for c in word)
+    form = ("" if case_sensitive else "(?iu)") + f"(?<![{LETTER}]){quoted}(?![{LETTER}])"
+    # What lies between the places, with its end: a running sum along the page, so the work is linear in its length.
+    parts = _lines(chars, keys).select(*keys, "at", F.posexplode(F.split("t", form, -1)).alias("hit", "_part"), F.size(F.split("t", form, -1)).alias("_n"))
+    end = F.sum(F.length("_part")).over(Window.partitionBy(*keys).orderBy("hit")) + F.col("hit") * size
+    hits = parts.withColumn("_i", end.cast("int")).where("hit < _n - 1")
+    return hits.select(*keys, "hit", F.get("at", F.col("_i")).alias("first"), F.get("at", F.col("_i") + size - 1).alias("last"))
+
+
+def words_of(text: Column, case_sensitive: bool = True) -> Column:
+    """The words of a text, in order: runs of letters, digits and underscores."""
+    return F.regexp_extract_all(text if case_sensitive else F.lower(text), F.lit(f"[{LETTER}]+"), F.lit(0))
+
+
+def found_phrases(docs: DataFrame, phrases: DataFrame, doc: str, text: str, phrase: str, case_sensitive: bool = True) -> DataFrame:
+    """(doc, phrase, word): every place of a dictionary's phrases in the texts, counted in words from 0; places may overlap.
+
+    A phrase is found where its words follow one another as whole words, whatever signs and blanks stand between them.
+    Each phrase is looked up by its rarest word: the words of the texts are joined with these by equality, neighbours are
+    compared at once, and only for the places that are left are all the words of the phrase compared. So the work grows
+    with the texts and with what is found, not with the phrases times the texts, and the dictionary may have any size.
+    Null texts, and phrases without a word, are found nowhere; rows of one doc and text are told once.
+    """
+    listed = phrases.select(F.col(phrase).alias("_phrase"), words_of(F.col(phrase), case_sensitive).alias("_words")).where("size(_words) > 0").distinct()
+    listed = written(listed)
+    texts = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).where("_text is not null")
+    held = texts.select("_doc", "_text", words_of(F.col("_text"), case_sensitive).alias("_held"))
+    known = listed.select(F.explode("_words").alias("_word")).distinct()
+    often = held.select(F.explode("_held").alias("_word")).join(bounded(known), "_word", "left_semi").groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    places = listed.select("_phrase", "_words", F.posexplode("_words").alias("_at", "_word")).join(often, "_word")
+    # A phrase with a word that no text has is found nowhere.
+    key = places.groupBy("_phrase").agg(F.min_by(F.struct("_word", "_at", "_words"), F.struct("_n", "_at")).alias("k"), F.count(F.lit(1)).alias("_found")).where("_found = size(k._words)")
+    around = lambda words, at: [F.get(words, at - 1), F.get(words, at + 1)]
+    key = written(key.select("_phrase", "k.*").select("*", *[c.alias(n) for c, n in zip(around(F.col("_words"), F.col("_at")), ("_left", "_right"))]))
+    own = held.select("_doc", "_text", F.posexplode("_held").alias("_pos", "_word"), "_held")
+    own = own.select("_doc", F.xxhash64("_text").alias("_print"), "_pos", "_word", *[c.alias(n) for c, n in zip(around(F.col("_held"), F.col("_pos")), ("_before", "_after"))])
+    near = "(_left is null or _left <=> _before) and (_right is null or _right <=> _after)"
+    maybe = own.join(bounded(key), "_word").where(near).select("_doc", "_print", "_phrase", "_words", (F.col("_pos") - F.col("_at")).alias("word")).where("word >= 0")
+    sure = maybe.where("size(_words) <= 2").select("_doc", "_phrase", "word")
+    # The words are fetched once for each text with a place still open, and compared there.
+    texts_of = held.select("_doc", F.xxhash64("_text").alias("_print"), "_held").withColumnRenamed("_doc", "_d").withColumnRenamed("_print", "_p").distinct()
+    open_ = maybe.where("size(_words) > 2").distinct()
+    checked = open_.join(texts_of, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_print") == F.col("_p"))).where(F.slice("_held", F.col("word") + 1, F.size("_words")) == F.col("_words"))
+    return sure.unionByName(checked.select("_doc", "_phrase", "word")).distinct().select(F.col("_doc").alias(doc), F.col("_phrase").alias(phrase), "word")
 
 
 def text_in_boxes(chars: DataFrame, boxes: DataFrame, keys: list[str], box: list[str], most: int = 100) -> DataFrame:

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import intersects
+from ..lineage import written
 
 #: A side is broadcast only if the optimizer's estimate of its size in bytes, which errs upwards, is no more than this.
 BROADCAST_BYTES = 64 << 20
+#: Nested cells: the finest are so wide, those of each level STEP times as wide as those below, and the last level is one cell.
+FINEST, STEP, LEVELS = 2.0**-10, 4.0, 31
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -21,39 +24,202 @@ def bounded(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= size else df
 
 
-def range_join(points: DataFrame, boxes: DataFrame, x: str, y: str, keys: list[str] | None = None, cell: float = 16.0) -> DataFrame:
-    """Points within closed boxes (columns l, b, r, t): an equi-join on keys and grid cells, then the exact test.
+def cell_level(width: Column, finest: float) -> Column:
+    """The level of nested cells at which an interval is no wider than a cell; LEVELS, where all is one cell, if none is so wide."""
+    return F.size(F.filter(F.array(*[F.lit(finest * STEP**k) for k in range(LEVELS)]), lambda size: size < width))
 
-    Boxes are repeated for each cell along x that they touch, so no pair outside a common cell is ever formed.
+
+def cell_of(x: Column, level: Column, finest: float) -> Column:
+    return F.when(level == LEVELS, F.lit(0)).otherwise(F.floor(x.cast("double") / (finest * F.pow(F.lit(STEP), level))))
+
+
+def _levelled(df: DataFrame, l: Column, b: Column, r: Column, t: Column, finest: float) -> DataFrame:
+    wide = lambda lo, hi: cell_level(F.abs(hi.cast("double") - lo.cast("double")), finest)
+    return df.withColumn("_own", F.struct(wide(l, r).alias("x"), wide(b, t).alias("y")))
+
+
+def _levels(df: DataFrame) -> Column:
+    """The pairs of levels that occur as one array, fetched by a job: (LEVELS + 1) ** 2 at most."""
+    pairs = [F.struct(F.lit(r.x).alias("x"), F.lit(r.y).alias("y")) for r in df.select("_own.x", "_own.y").distinct().collect()]
+    return F.array(*pairs) if pairs else F.array().cast("array<struct<x:int,y:int>>")
+
+
+def _cut(df: DataFrame, lo: Column, hi: Column, level: Column, name: str, finest: float) -> DataFrame:
+    """df for each cell of the level that the interval touches: two at most, as it is no wider than a cell."""
+    ends = [cell_of(F.least(lo, hi), level, finest), cell_of(F.greatest(lo, hi), level, finest)]
+    return df.withColumn(name, F.explode(F.sequence(*ends)))
+
+
+def _split_heavy(left: DataFrame, right: DataFrame, on: list[str], most: int | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides, with keys of more than `most` rows on either side dealt to a grid of tasks: each row of one side meets
+    each row of the other in one of them, and none gathers more than about `most` rows a side."""
+    if most is None:
+        return left, right, on
+    count = lambda df, n: df.groupBy(*on).agg(F.count(F.lit(1)).alias(n))
+    parts = lambda n: F.ceil(F.col(n) / most).cast("int")
+    heavy = count(left, "_nl").join(count(right, "_nr"), on).where((F.col("_nl") > most) | (F.col("_nr") > most)).select(*on, parts("_nl").alias("_nl"), parts("_nr").alias("_nr"))
+    heavy = written(heavy)  # at most one row for each `most` rows of a side
+
+    def dealt(df: DataFrame, own: str, other: str, i: str, j: str) -> DataFrame:
+        found = df.join(bounded(heavy), on, "left").withColumn(i, F.pmod(F.xxhash64(*df.columns), F.coalesce(own, F.lit(1))).cast("int"))
+        return found.withColumn(j, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("_nl", "_nr")
+
+    return dealt(left, "_nl", "_nr", "_i", "_j"), dealt(right, "_nr", "_nl", "_j", "_i"), [*on, "_i", "_j"]
+
+
+def range_join(points: DataFrame, boxes: DataFrame, x: str, y: str, keys: list[str] | None = None, cell: float = FINEST, most: int | None = None) -> DataFrame:
+    """Points within closed boxes (columns l, b, r, t) of any widths: an equi-join on keys and nested cells, then the exact test.
+
+    A box lies in at most four cells of its own level, whatever its width; a point probes one cell for each level that the
+    boxes have. Boxes with a null corner or with l > r or b > t hold nothing. cell: the finest cells' width; most: rows of
+    a cell (of either side) above which it is dealt to several tasks.
     """
     keys = keys or []
-    tiled = boxes.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("l") / cell), F.floor(F.col("r") / cell))))
-    placed = points.withColumn("_cell", F.floor(F.col(x) / cell))
+    side = _levelled(boxes.where("l <= r and b <= t"), F.col("l"), F.col("b"), F.col("r"), F.col("t"), cell)
+    tiled = _cut(_cut(side, F.col("l"), F.col("r"), F.col("_own.x"), "_cx", cell), F.col("b"), F.col("t"), F.col("_own.y"), "_cy", cell)
+    placed = points.withColumn("_own", F.explode(_levels(side)))
+    placed = placed.withColumn("_cx", cell_of(F.col(x), F.col("_own.x"), cell)).withColumn("_cy", cell_of(F.col(y), F.col("_own.y"), cell))
+    placed, tiled, on = _split_heavy(placed, tiled, [*keys, "_own", "_cx", "_cy"], most)
     hit = F.col(x).between(F.col("l"), F.col("r")) & F.col(y).between(F.col("b"), F.col("t"))
-    return placed.join(tiled, [*keys, "_cell"]).where(hit).drop("_cell")
+    return placed.join(tiled, on).where(hit).drop("_own", "_cx", "_cy", "_i", "_j")
+
+
+def outside(points: DataFrame, boxes: DataFrame, x: str, y: str, keys: list[str] | None = None, cell: float = FINEST) -> DataFrame:
+    """Points that lie in no box. Whether one does depends on its place (and keys) only, so places are looked up once each."""
+    on = [*(keys or []), x, y]
+    inside = range_join(points.select(*on).distinct(), boxes, x, y, keys, cell).select(*on).distinct()
+    inside = inside.select([F.col(c).alias(f"_{k}") for k, c in enumerate(on)])
+    same = [points[c].eqNullSafe(inside[f"_{k}"]) for k, c in enumerate(on)]
+    return points.join(inside, same, "left_anti")
+
+
+#: What is taken out of a pattern, in this order, before its literal runs are read off; each leaves a gap. What may be
+#: missing from a match, or may stand for more than itself, is no literal.
+_NO_LITERALS = [
+    r"\\[QE]|\\[xupPcN0-9].*",  # quoted stretches and numbered characters: nothing behind them is read
+    r"\\.[*+?{]?",  # classes, and escaped signs
+    r"\[\^?\]?[^\]]*\][*+?{]?",
+    r"[^)\]}](?:[*?]|\{)",  # a character that need not occur
+    r"\{[^}]*\}|[0-9,]*\}",
+    r"[.^$()+*?{}\[\]]",
+]
+#: Patterns with alternatives, inline flags, look-around or an optional group have no literals that are sure to occur.
+_UNSURE = r"\||\(\?|\)[*?{]|&&|\[[^\]]*\["
+#: Longest literals that the index holds.
+GRAM = 4
+
+
+def literal_runs(pattern: Column, ignore_case: bool = False) -> Column:
+    """Runs of characters that every match of a regular expression must hold, longest first; empty if none is sure."""
+    bare = pattern = F.replace(pattern, F.lit("(?:"), F.lit("("))
+    for part in _NO_LITERALS:
+        bare = F.regexp_replace(bare, part, "\0")
+    runs = F.filter(F.split(F.lower(bare) if ignore_case else bare, "\0"), lambda r: r != "")
+    none = F.array().cast("array<string>")
+    # Letters outside ASCII may be equal without case although their lower case is not.
+    sure = ~pattern.rlike(_UNSURE) & (F.lit(not ignore_case) | ~pattern.rlike(r"[^\x00-\x7F]"))
+    return F.when(sure, F.array_sort(F.array_distinct(runs), lambda x, y: F.length(y) - F.length(x))).otherwise(none)
+
+
+def _grams(text: Column, n: Column) -> Column:
+    """Distinct runs of n characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))
+
+
+def pattern_hits(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, anchored: bool = False, ignore_case: bool = False, gram: int = GRAM) -> DataFrame:
+    """Distinct pairs of texts and the patterns (regular expressions) found in them.
+
+    The literals that a match must hold make an index: of each pattern the rarest run of `gram` characters (shorter ones
+    for patterns with no longer literal), counted over the texts; texts meet patterns by such a run and only then is the
+    expression tried. Patterns without a sure literal are kept apart, in one row, and tried on every text.
+    """
+    both = texts.select(text).where(F.col(text).isNotNull()).distinct()
+    known = patterns.select(pattern).where(F.col(pattern).isNotNull()).distinct()
+    known = written(known.withColumn("_run", F.get(literal_runs(F.col(pattern), ignore_case), F.lit(0))).withColumn("_all", literal_runs(F.col(pattern), ignore_case)))
+    form = f"concat('{'(?i)' * ignore_case}{'^' * anchored}(?:', `{pattern}`, ')')"
+    out = None
+    indexed = known.where("_run is not null").withColumn("_n", F.least(F.length("_run"), F.lit(gram)))
+    if not indexed.isEmpty():
+        keys = indexed.select(pattern, "_n", F.explode(F.flatten(F.transform(F.filter("_all", lambda r: F.length(r) >= F.col("_n")), lambda r: _grams(r, F.col("_n"))))).alias("_gram"))
+        lengths = [r._n for r in indexed.select("_n").distinct().collect()]  # at most `gram` numbers
+        cut = both.select(text, F.explode(F.array(*map(F.lit, lengths))).alias("_n")).where(F.length(text) >= F.col("_n"))
+        held = cut.select(text, F.explode(_grams(F.lower(text) if ignore_case else F.col(text), F.col("_n"))).alias("_gram"))
+        # Texts that hold each run; runs of patterns that no text holds stay, and find nothing.
+        often = held.join(bounded(keys.select("_gram").distinct()), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
+        rare = keys.join(often, "_gram", "left").groupBy(pattern).agg(F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), "_gram")).alias("_gram"))
+        out = held.join(bounded(written(rare)), "_gram").where(F.expr(f"`{text}` rlike {form}")).select(text, pattern)
+    apart = known.where("_run is null")
+    if out is None or not apart.isEmpty():
+        one = F.broadcast(apart.agg(F.collect_list(pattern).alias("_all")).withColumn("_one", F.lit(1)))
+        tried = both.withColumn("_one", F.lit(1)).join(one, "_one").select(text, F.explode("_all").alias(pattern)).where(F.expr(f"`{text}` rlike {form}"))
+        out = tried if out is None else out.unionByName(tried)
+    return out
+
+
+def pattern_join(df: DataFrame, patterns: DataFrame, text: str, pattern: str, how: str = "inner", anchored: bool = False, ignore_case: bool = False) -> DataFrame:
+    """Rows of df with the patterns found in them, through the index of pattern_hits(). how: inner, left, left_semi or left_anti."""
+    hits = pattern_hits(df, patterns, text, pattern, anchored, ignore_case)
+    if how in ("left_semi", "left_anti"):
+        return df.join(hits.select(text).distinct(), text, how)
+    columns = [c for c in patterns.columns if c != pattern]
+    return df.join(hits.join(patterns, pattern).select(text, *columns, pattern), text, how).select(*df.columns, *patterns.columns)
+
+
+def exclusive(df: DataFrame, patterns: DataFrame, text: str, pattern: str, order: list, anchored: bool = False, ignore_case: bool = False) -> DataFrame:
+    """Each text with the first pattern, in order, that it matches: patterns take their texts in turn and what one has
+    taken is gone for those behind it. Texts that no pattern matches are left out."""
+    from .sequence import best
 
+    hits = pattern_hits(df, patterns, text, pattern, anchored, ignore_case).join(patterns, pattern)
+    return best(hits, [text], *order, pattern).select(text, *patterns.columns)
 
-def pattern_join(df: DataFrame, patterns: DataFrame, text: str, pattern: str, how: str = "inner", anchored: bool = False) -> DataFrame:
-    """Rows of df with the patterns found in them. Patterns are distinct and few (their size is checked)."""
-    few = bounded(patterns)
-    form = f"concat('^(?:', {pattern}, ')')" if anchored else pattern
-    return df.join(few, F.expr(f"{text} rlike {form}"), how)
 
+def file_patterns(files: DataFrame, stem: str) -> tuple[DataFrame, list[Column]]:
+    """(files with their pattern of device names, the order in which they take devices): longer names first, then fewer
+    wildcards, then those whose wildcards begin earlier, then by name; wildcards at the end count for nothing."""
+    name = F.regexp_replace(stem, "x+$", "")
+    # What stands for what in the names of description files.
+    form = F.replace(F.replace(F.replace(name, F.lit("x"), F.lit(".")), F.lit("_CM"), F.lit(".*?@m")), F.lit("...A"), F.lit(".....A"))
+    order = [F.length("_name").desc(), F.length("_name") - F.length(F.replace("_name", F.lit("x"), F.lit(""))), F.greatest(F.instr("_name", "x") - 1, F.lit(0)), F.col("_name")]
+    return files.withColumn("_name", name).withColumn("pattern", form), order
 
-def box_join(left: DataFrame, right: DataFrame, keys: list[str] | None = None, cell: float = 64.0, names: tuple[str, str] = ("box", "other")) -> DataFrame:
-    """Pairs of closed boxes (columns of structs l, b, r, t) that share a point.
 
-    Boxes are repeated for the grid cells that they touch; a pair is kept in the cell of its common lower left corner only.
-    """
-    keys, (a, o) = keys or [], names
+def devices_of_files(devices: DataFrame, files: DataFrame, device: str, stem: str) -> DataFrame:
+    """(device, stem): each device with the file that describes it, by names with wildcards, whatever their case."""
+    named, order = file_patterns(files.select(stem).distinct(), stem)
+    # Names that differ in trailing wildcards only share a pattern; the first of them has the devices.
+    from .sequence import best
+
+    first = best(named, ["pattern"], *order, stem)
+    return exclusive(devices, first, device, "pattern", order, anchored=True, ignore_case=True).select(device, stem)
+
 
-    def tiled(df: DataFrame, box: str) -> DataFrame:
-        span = lambda lo, hi: F.sequence(F.floor(F.col(f"{box}.{lo}") / cell), F.floor(F.col(f"{box}.{hi}") / cell))
-        return df.withColumn("_cx", F.explode(span("l", "r"))).withColumn("_cy", F.explode(span("b", "t")))
+def box_join(left: DataFrame, right: DataFrame, keys: list[str] | None = None, cell: float = FINEST, names: tuple[str, str] = ("box", "other"), most: int | None = None) -> DataFrame:
+    """Pairs of closed boxes (columns of structs l, b, r, t) of any widths that share a point.
 
-    met = tiled(left, a).join(tiled(right, o), [*keys, "_cx", "_cy"])
-    corner = lambda k: F.floor(F.greatest(F.col(f"{a}.{k}"), F.col(f"{o}.{k}")) / cell)
-    return met.where(intersects(F.col(a), F.col(o)) & (corner("l") == F.col("_cx")) & (corner("b") == F.col("_cy"))).drop("_cx", "_cy")
+    Along each axis the wider one of a pair owns the level at which they meet (the left one if they are of one level): it is
+    cut into the at most two cells that it touches there, the other one into the at most two that it touches. So a box
+    becomes at most four rows for each pair of levels of the other side, and many narrow boxes never gather in the wide cell
+    of a wide one. A pair is kept in the cell of its common lower left corner only. Null corners meet nothing.
+    """
+    keys, (a, o) = keys or [], names
+    corners = lambda df, box: _levelled(df.where(" and ".join(f"{box}.{c} is not null" for c in "lbrt")), *[F.col(f"{box}.{c}") for c in "lbrt"], cell)
+    boxes, others = corners(left, a), corners(right, o)
+
+    def tiled(df: DataFrame, box: str, levels: Column, is_left: bool) -> DataFrame:
+        def meet(axis):
+            own, other = F.col(f"_own.{axis}"), lambda p: p[axis]
+            owns = (lambda p: own >= other(p)) if is_left else (lambda p: other(p) >= own)
+            return lambda p: (F.greatest(own, other(p)).alias(axis), owns(p).alias(f"left_{axis}"))
+
+        places = F.array_distinct(F.transform(levels, lambda p: F.struct(*meet("x")(p), *meet("y")(p))))
+        at = df.withColumn("_at", F.explode(places)).drop("_own")
+        at = _cut(at, F.col(f"{box}.l"), F.col(f"{box}.r"), F.col("_at.x"), "_cx", cell)
+        return _cut(at, F.col(f"{box}.b"), F.col(f"{box}.t"), F.col("_at.y"), "_cy", cell)
+
+    x, y, on = _split_heavy(tiled(boxes, a, _levels(others), True), tiled(others, o, _levels(boxes), False), [*keys, "_at", "_cx", "_cy"], most)
+    corner = lambda k, axis: cell_of(F.greatest(F.col(f"{a}.{k}"), F.col(f"{o}.{k}")), F.col(f"_at.{axis}"), cell)
+    return x.join(y, on).where(intersects(F.col(a), F.col(o)) & (corner("l", "x") == F.col("_cx")) & (corner("b", "y") == F.col("_cy"))).drop("_at", "_cx", "_cy", "_i", "_j")
 
 
 def prefix_join(df: DataFrame, prefixes: DataFrame, text: str, prefix: str, how: str = "inner") -> DataFrame:

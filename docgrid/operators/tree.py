@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import written
+from .recursion import recursive
 from .sequence import ordered, running_key, runs
 
 #: Kinds of lines by the first pattern that fits.
@@ -73,12 +75,9 @@ def sorted_levels(nodes: DataFrame, key: Column) -> DataFrame:
 
 def at_depth(nodes: DataFrame, most: int) -> DataFrame:
     """Nodes at most so many levels below the roots, with their level."""
-    level = nodes.where("parent is null").withColumn("level", F.lit(0))
-    found = level
-    for k in range(1, most + 1):
-        level = nodes.join(level.select("doc", F.col("node").alias("parent")), ["doc", "parent"]).select(*nodes.columns, F.lit(k).alias("level"))
-        found = found.unionByName(level)
-    return found
+    start = nodes.where("parent is null").withColumn("level", F.lit(0))
+    step = {c: f"e.`{c}`" for c in nodes.columns} | {"level": "t.level + 1"}
+    return recursive(start, nodes, f"t.doc = e.doc AND t.node = e.parent AND t.level < {most}", most + 1, **step)
 
 
 def styled(runs_of: list[tuple[str, frozenset[str]]]) -> str:
@@ -96,18 +95,19 @@ def styled(runs_of: list[tuple[str, frozenset[str]]]) -> str:
     return "".join(out)
 
 
-def paths(nodes: DataFrame, most: int = 32) -> DataFrame:
+def paths(nodes: DataFrame, most: int = 500) -> DataFrame:
     """Nodes with path: the places (ord) of their ancestors and their own. Ascending paths are pre-order; descending ones
-    are the reverse traversal, in which the last leaf comes first and children come before their parents."""
-    level = nodes.where("parent is null").withColumn("path", F.array(F.col("ord").cast("int")))
-    found = level
-    for _ in range(most):
-        up = level.select("doc", F.col("node").alias("parent"), F.col("path").alias("_up"))
-        level = nodes.join(up, ["doc", "parent"]).select(*nodes.columns, F.concat("_up", F.array(F.col("ord").cast("int"))).alias("path"))
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
-    raise ValueError(f"trees are deeper than {most} levels")
+    are the reverse traversal, in which the last leaf comes first and children come before their parents.
+
+    Nodes under no root, those of a cycle among them, are left out. Trees of more than `most` levels below their roots
+    raise ValueError.
+    """
+    start = nodes.where("parent is null").withColumn("path", F.array(F.col("ord").cast("int")))
+    step = {c: f"e.`{c}`" for c in nodes.columns} | {"path": "concat(t.path, array(CAST(e.ord AS INT)))"}
+    found = written(recursive(start, nodes, f"t.doc = e.doc AND t.node = e.parent AND size(t.path) <= {most + 1}", most + 2, **step))
+    if not found.where(F.size("path") > most + 1).isEmpty():
+        raise ValueError(f"trees are deeper than {most} levels")
+    return found
 
 
 def reverse_order(pathed: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import lineage
 from ..functions import geometry as g
-from ..operators import evaluate, graph, layout, products, registers, search, sequence, spatial, tables, tree
+from ..operators import evaluate, graph, layout, products, rebuild, registers, search, sequence, spatial, subtrees, tables, tree
 from ..sources import catalog, html
 from .registry import query
 
@@ -396,3 +397,76 @@ def _(t, spark):
 def _(t, spark):
     days = t("events").withColumn("day", F.to_date("ts"))
     return sequence.split_asof(days, ["user_id"], "day", ["ts", "event_id"], C("event_type") == "signup", C("event_id")).select("event_id", "parent")
+
+
+_STEM = "'Customer#00000' || CASE p_partkey % 4 WHEN 0 THEN lpad({0}, 4, '0') WHEN 1 THEN left(lpad({0}, 4, '0'), 3) || 'x' WHEN 2 THEN left(lpad({0}, 4, '0'), 2) || 'x' || right({0}, 1) ELSE 'x' || right(lpad({0}, 4, '0'), 3) END"
+
+
+@query("q172_exclusive_patterns", f"WITH f AS (SELECT DISTINCT {_STEM.format('(p_partkey % 10000)::VARCHAR')} AS stem FROM part), n AS (SELECT stem, regexp_replace(stem, 'x+$', '') AS name FROM f), p AS (SELECT name, min(stem) AS stem FROM n GROUP BY 1) SELECT c_name AS device, stem FROM customer JOIN p ON c_name LIKE replace(name, 'x', '_') || '%' QUALIFY row_number() OVER (PARTITION BY c_name ORDER BY length(name) DESC, length(name) - length(replace(name, 'x', '')), greatest(strpos(name, 'x') - 1, 0), name) = 1")
+def _(t, spark):
+    files = t("part").select(F.expr(_STEM.format("string(p_partkey % 10000)")).alias("stem"))
+    return spatial.devices_of_files(t("customer").select(F.lower("c_name").alias("low"), C("c_name").alias("device")), files, "device", "stem")
+
+
+def _event_tree(events):
+    """Users, their kinds of events, and the hundreds of values of these, as nodes by path; n counts the events of a leaf."""
+    e = events.select(C("user_id").alias("doc"), "event_type", F.floor(C("value") / 100).cast("string").alias("k"))
+    kind = F.concat(L("u/"), "event_type")
+    leaves = e.groupBy("doc", kind.alias("parent"), "k").agg(one().alias("n")).select("doc", F.concat("parent", L("/"), "k").alias("node"), "parent", C("k").alias("label"), "n")
+    kinds = e.select("doc", kind.alias("node"), L("u").alias("parent"), C("event_type").alias("label"), L(0).cast("bigint").alias("n")).distinct()
+    return leaves.union(kinds).union(e.select("doc", L("u").alias("node"), L(None).cast("string").alias("parent"), L("u").alias("label"), L(0).cast("bigint").alias("n")).distinct())
+
+
+_TREES = "WITH e AS (SELECT user_id AS doc, event_type AS ty, floor(value / 100)::BIGINT::VARCHAR AS k FROM events), f AS (SELECT DISTINCT * FROM e), t AS (SELECT doc, ty, ty || '(' || string_agg(k, ',' ORDER BY k) || ')' AS canon, count(*) + 1 AS size FROM f GROUP BY 1, 2), u AS (SELECT doc, 'u(' || string_agg(canon, ';' ORDER BY canon) || ')' AS canon, sum(size) + 1 AS size FROM t GROUP BY 1), n AS (SELECT f.doc, 'u/' || f.ty || '/' || k AS node, k AS canon, 1 AS size, t.canon AS up FROM f JOIN t ON f.doc = t.doc AND f.ty = t.ty UNION ALL SELECT t.doc, 'u/' || ty, t.canon, t.size, u.canon FROM t JOIN u ON t.doc = u.doc UNION ALL SELECT doc, 'u', canon, size, NULL FROM u)"
+
+
+@query("q173_equal_subtrees", f"{_TREES}, m AS (SELECT canon, count(*) AS copies, max(size) AS size, min((doc, node)) AS first FROM n GROUP BY 1 HAVING count(*) > 1), o AS (SELECT canon FROM n GROUP BY 1 HAVING count(DISTINCT coalesce(up, '')) = 1 AND max(up) IN (SELECT canon FROM m)) SELECT size::BIGINT AS size, copies::BIGINT AS copies, first[1] AS doc, first[2] AS node FROM m WHERE canon NOT IN (SELECT canon FROM o)")
+def _(t, spark):
+    digested = subtrees.digests(_event_tree(t("events")), [C("label")])
+    return subtrees.equal_subtrees(digested).select("size", "copies", "doc", "node")
+
+
+_HALF = "SELECT user_id AS doc, 'u/' || event_type AS ty, 'u/' || event_type || '/' || floor(value / 100)::BIGINT AS node, count(*) AS n FROM events WHERE hour(ts) {0} 12 GROUP BY ALL"
+
+
+def _side(half):
+    return f"(SELECT doc, node, ty AS parent, n FROM {half} UNION ALL SELECT DISTINCT doc, ty, 'u', 0 FROM {half} UNION ALL SELECT DISTINCT doc, 'u', NULL, 0 FROM {half})"
+
+
+@query("q174_tree_difference", f"WITH a AS ({_HALF.format('<')}), b AS ({_HALF.format('>=')}), l AS {_side('a')}, r AS {_side('b')}, d AS (SELECT coalesce(l.doc, r.doc) AS doc, coalesce(l.parent, r.parent) AS parent, l.node AS l_node, r.node AS r_node, l.n AS ln, r.n AS rn FROM l FULL JOIN r ON l.doc = r.doc AND l.node = r.node), k AS (SELECT doc, l_node AS node FROM d WHERE l_node IS NOT NULL AND r_node IS NOT NULL) SELECT doc, l_node, r_node, CASE WHEN l_node IS NULL THEN 'added' WHEN r_node IS NULL THEN 'removed' ELSE 'changed' END AS what FROM d WHERE (l_node IS NULL OR r_node IS NULL OR ln <> rn) AND (parent IS NULL OR EXISTS (SELECT 1 FROM k WHERE k.doc = d.doc AND k.node = d.parent))")
+def _(t, spark):
+    halves = [_event_tree(t("events").where(F.hour("ts") < 12)), _event_tree(t("events").where(F.hour("ts") >= 12))]
+    return subtrees.difference(*halves, "label", [C("label"), C("n")])
+
+
+_WORDS = "regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+')"
+
+
+@query("q175_found_phrases", f"WITH d AS (SELECT doc_id, {_WORDS.format('lower(text)')} AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT DISTINCT lower(text) AS phrase FROM benchmark UNION SELECT array_to_string(w[2:4], ' ') FROM d WHERE len(w) >= 4), q AS (SELECT phrase, array_to_string({_WORDS.format('phrase')}, ' ') AS f FROM p), t AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS j FROM d) SELECT doc_id, phrase, len(string_split(left(j, strpos(j, ' ' || f || ' ')), ' ')) - 2 AS word FROM t JOIN q ON contains(j, ' ' || f || ' ')")
+def _(t, spark):
+    docs = t("documents").select("doc_id", F.lower("text").alias("text"))
+    openings = docs.select(search.words_of(C("text")).alias("w")).where("size(w) >= 4").select(F.array_join(F.slice("w", 2, 3), " ").alias("phrase"))
+    phrases = t("benchmark").select(F.lower("text").alias("phrase")).union(openings).distinct()
+    return search.found_phrases(docs, phrases, "doc_id", "text", "phrase").groupBy("doc_id", "phrase").agg(F.min("word").cast("bigint").alias("word"))
+
+
+def _hosts(pages):
+    """Of each page its host and links, and of each host its pages: two stages."""
+    host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
+    links = F.size(F.regexp_extract_all("html", L("(?i)<a "), L(0)))
+    return [
+        rebuild.Stage("pages", "page_id", lambda d: d.select("page_id", host.alias("host"), links.alias("links"), F.length("html").alias("size"))),
+        rebuild.Stage("hosts", "host", lambda d: d.groupBy("host").agg(one().alias("pages"), F.sum("links").alias("links"), F.max("size").cast("bigint").alias("longest"))),
+    ]
+
+
+@query("q176_incremental_rebuild", "SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, count(*)::BIGINT AS pages, sum(len(regexp_extract_all(html, '(?i)<a ')))::BIGINT AS links, max(length(html))::BIGINT AS longest FROM pages GROUP BY 1")
+def _(t, spark):
+    """Built from an earlier state of the table (its last page missing, its first one different, one more page) and then brought up to date."""
+    pages, root = t("pages"), lineage.new_path(spark)
+    ends = F.broadcast(pages.agg(F.min("page_id").alias("_first"), F.max("page_id").alias("_last")).withColumn("_one", L(1)))
+    earlier = pages.withColumn("_one", L(1)).join(ends, "_one").where("page_id < _last").withColumn("html", F.when(C("page_id") == C("_first"), "<a >").otherwise(C("html")))
+    gone = earlier.where("page_id = _first").withColumns({"page_id": L(-1).cast("bigint"), "url": L("http://gone.example/")})
+    rebuild.rebuilt(earlier.unionByName(gone).select(*pages.columns), root, _hosts(pages))
+    found, _ = rebuild.rebuilt(pages, root, _hosts(pages))
+    return found.select("host", "pages", "links", "longest")

@@ -151,9 +151,7 @@ def _(t, spark):
 
 @query("q82_objects_minus_covered", f"WITH {_R} SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem ANTI JOIN r ON l_quantity BETWEEN l AND r AND l_discount BETWEEN b AND t")
 def _(t, spark):
-    x = t("lineitem").withColumn("_k", F.monotonically_increasing_id())
-    near = spatial.bounded(_rects(spark))
-    return x.join(near, F.expr("l_quantity between l and r and l_discount between b and t"), "left_anti").select(*_LINE).distinct()
+    return spatial.outside(t("lineitem"), _rects(spark), "l_quantity", "l_discount").select(*_LINE).distinct()
 
 
 @query("q83_majority_class", "SELECT l_orderkey, CASE WHEN 3 * sum((l_quantity > 25)::INT) >= 2 * count(*) THEN 'table' ELSE 'figure' END AS kind FROM lineitem GROUP BY 1")
@@ -176,8 +174,8 @@ def _(t, spark):
 
 @query("q86_border_lookup", "WITH l(lo, hi, width, ord) AS (VALUES (0, 20, 1, 1), (10, 40, 3, 2), (30, 60, 2, 3)) SELECT event_id, arg_min(width, ord) AS width FROM events JOIN l ON value BETWEEN lo AND hi GROUP BY 1")
 def _(t, spark):
-    lines = spark.createDataFrame([(0.0, 20.0, 1, 1), (10.0, 40.0, 3, 2), (30.0, 60.0, 2, 3)], "l double, r double, width int, ord int")
-    hit = t("events").join(spatial.bounded(lines), C("value").between(C("l"), C("r")))
+    lines = spark.createDataFrame([(0.0, 0.0, 20.0, 0.0, 1, 1), (10.0, 0.0, 40.0, 0.0, 3, 2), (30.0, 0.0, 60.0, 0.0, 2, 3)], "l double, b double, r double, t double, width int, ord int")
+    hit = spatial.range_join(t("events").withColumn("_y", L(0)), lines, "value", "_y")
     return hit.groupBy("event_id").agg(F.min_by("width", "ord").alias("width"))
 
 
@@ -195,3 +193,31 @@ def _(t, spark):
 @query("q89_left_aligned", "SELECT l_orderkey, bool_or(l_discount + 0.02 < l_tax) AS left_aligned FROM lineitem GROUP BY 1")
 def _(t, spark):
     return t("lineitem").groupBy("l_orderkey").agg(F.bool_or(C("l_discount") + 0.02 < C("l_tax")).alias("left_aligned"))
+
+
+#: Widths of 1 to 1,000,000, by the zeros at the end of a number.
+_POWER = "CASE " + " ".join(f"WHEN {{0}} % {10**k} = 0 THEN {10**k}" for k in range(6, 0, -1)) + " ELSE 1 END"
+
+
+def _width(of):
+    return F.expr(_POWER.format(of)).cast("double")
+
+
+@query("q170_nested_ranges", f"WITH i AS (SELECT o_orderkey, o_totalprice AS l, o_totalprice + {_POWER.format('o_orderkey')} AS r FROM orders) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_orderkey FROM lineitem JOIN i ON l_extendedprice BETWEEN l AND r")
+def _(t, spark):
+    spans = t("orders").select("o_orderkey", C("o_totalprice").alias("l"), (C("o_totalprice") + _width("o_orderkey")).alias("r"), L(0).alias("b"), L(0).alias("t"))
+    lines = t("lineitem").select(*_LINE, "l_extendedprice", L(0).alias("_y"))
+    return spatial.range_join(lines, spans, "l_extendedprice", "_y", most=200_000).select(*_LINE, "o_orderkey")
+
+
+_SIDES = "l_extendedprice AS l, l_tax AS b, l_extendedprice + {0} AS r, l_tax + 0.03125 * (l_partkey % 4) AS t"
+
+
+@query("q171_nested_boxes", f"WITH x AS (SELECT l_suppkey, l_orderkey AS i, l_linenumber AS li, l_partkey AS pi, {_SIDES.format(_POWER.format('l_partkey'))} FROM lineitem WHERE l_returnflag = 'R'), y AS (SELECT l_suppkey, l_orderkey AS j, l_linenumber AS lj, l_partkey AS pj, {_SIDES.format(_POWER.format('l_orderkey'))} FROM lineitem WHERE l_returnflag = 'A') SELECT x.l_suppkey, i, li, pi, j, lj, pj FROM x JOIN y ON x.l_suppkey = y.l_suppkey AND x.l <= y.r AND y.l <= x.r AND x.b <= y.t AND y.b <= x.t")
+def _(t, spark):
+    def side(flag, width, names, box):
+        sides = [c.cast("double") for c in (C("l_extendedprice"), C("l_tax"), C("l_extendedprice") + _width(width), C("l_tax") + 0.03125 * (C("l_partkey") % 4))]
+        return t("lineitem").where(C("l_returnflag") == flag).select("l_suppkey", *[C(c).alias(n) for c, n in zip(("l_orderkey", "l_linenumber", "l_partkey"), names)], g.box(*sides).alias(box))
+
+    found = spatial.box_join(side("R", "l_partkey", ("i", "li", "pi"), "box"), side("A", "l_orderkey", ("j", "lj", "pj"), "other"), ["l_suppkey"])
+    return found.select("l_suppkey", "i", "li", "pi", "j", "lj", "pj")
