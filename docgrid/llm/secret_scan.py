@@ -82,8 +82,51 @@ def features(text: Column, before: Column, path: Column) -> Column:
     return F.struct(*[values[f].cast("double").alias(f) for f in FEATURES])
 
 
+#: A candidate: its word's number, itself, what precedes it, and where in the word it begins.
+FOUND = "array<struct<word:int,text:string,before:string,at:int>>"
+
+
+def _places(text: Column, pattern: str) -> Column:
+    """Array of structs (hit, gap, at): the matches of a pattern in order, the stretch before each and where that begins;
+    the last has an empty match. Every place is that of the match itself, however often its characters stand elsewhere."""
+    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    gaps = F.split(text, pattern, -1)
+
+    def walk(both: Column) -> Column:
+        gap, hit = (lambda k: F.get(both["gaps"], k)), (lambda k: F.coalesce(F.get(both["hits"], k), F.lit("")))
+        begin = lambda k: F.aggregate(F.slice(both["gaps"], 1, k), F.lit(0), lambda n, g: n + F.length(g)) + F.aggregate(F.slice(both["hits"], 1, k), F.lit(0), lambda n, g: n + F.length(g))
+        return F.transform(F.sequence(F.lit(0), F.size(both["gaps"]) - 1), lambda k: F.struct(hit(k).alias("hit"), gap(k).alias("gap"), begin(k).alias("at")))
+
+    return let(F.struct(hits.alias("hits"), gaps.alias("gaps")), walk)
+
+
+def _runs(text: Column, base: Column) -> Column:
+    """Array of structs (text, at): the long runs of a stretch that begins at base."""
+    found = F.filter(_places(text, CANDIDATE), lambda p: p["hit"] != "")
+    return F.transform(found, lambda p: F.struct(p["hit"].alias("text"), (base + p["at"] + F.length(p["gap"])).alias("at")))
+
+
+def in_word(word: Column, opened: Column) -> Column:
+    """Array of structs (text, at): the values assigned within a word, each long run beside or within them, and, behind
+    an assignment that the words before leave open, the word itself without its quote."""
+
+    def of_match(p: Column) -> Column:
+        value = F.regexp_extract(p["hit"], ASSIGNED, 3)
+        at = p["at"] + F.length(p["gap"]) + F.length(p["hit"]) - F.length(value)
+        inner = F.when(value.rlike(CANDIDATE), F.filter(_runs(value, at), lambda r: r["text"] != value)).otherwise(F.array().cast("array<struct<text:string,at:int>>"))
+        beside = F.when(p["gap"].rlike(CANDIDATE), _runs(p["gap"], p["at"])).otherwise(F.array().cast("array<struct<text:string,at:int>>"))
+        own = F.when(p["hit"] != "", F.array(F.struct(value.alias("text"), at.alias("at")))).otherwise(F.array().cast("array<struct<text:string,at:int>>"))
+        return F.concat(own, inner, beside)
+
+    found = F.when(word.rlike(ASSIGNED), F.flatten(F.transform(_places(word, ASSIGNED), of_match))).otherwise(_runs(word, F.lit(0)))
+    behind = F.regexp_extract(word, VALUE, 1)
+    first = F.struct(behind.alias("text"), F.when(F.substring(word, 1, 1).isin('"', "'"), 1).otherwise(0).alias("at"))
+    return let(found, lambda every: F.when(opened & (behind != "") & ~F.array_contains(every, first), F.concat(F.array(first), every)).otherwise(every))
+
+
 def candidates(text: Column) -> Column:
-    """Array of structs (word, text, before): the candidates of a text, the number of their word, and what precedes them."""
+    """Array of structs (word, text, before, at): the candidates of a text, the number of their word, what precedes them,
+    and where they begin in the word."""
 
     def of_words(words: Column) -> Column:
         last = F.size(words) - 1
@@ -92,29 +135,22 @@ def candidates(text: Column) -> Column:
 
         at = F.filter(F.sequence(F.lit(0), last), lambda i: F.get(words, i).rlike(CANDIDATE) | F.get(words, i).rlike(ASSIGNED) | opened(i))
 
-        def in_word(i: Column) -> Column:
+        def of_word(i: Column) -> Column:
             word = F.get(words, i)
-            # Values assigned within the word, and each long run beside or within them.
-            values = F.regexp_extract_all(word, F.lit(ASSIGNED), F.lit(3))
-            runs = lambda c: F.regexp_extract_all(c, F.lit(f"({CANDIDATE})"), F.lit(1))
-            inner = F.flatten(F.transform(values, lambda v: F.filter(runs(v), lambda r: r != v)))
-            found = F.concat(values, inner, runs(F.regexp_replace(word, ASSIGNED, " ")))
-            behind = F.regexp_extract(word, VALUE, 1)
-            every = F.when(opened(i) & ~F.array_contains(found, behind), F.concat(F.array(behind), found)).otherwise(found)
 
             def placed(r: Column) -> Column:
-                prefix = F.split_part(word, r, F.lit(1))
+                prefix = F.substring(word, F.lit(1), r["at"])
                 # What precedes a value in a word of several fields is its own field, not those before.
                 field = F.regexp_extract(prefix, r"[^,;&{}\[\]]*$", 0)
                 before = F.when(F.length(field) < F.length(prefix), field).otherwise(F.concat_ws(" ", prev(i, 2), prev(i, 1), prefix))
-                return F.struct(i.alias("word"), r.alias("text"), before.alias("before"))
+                return F.struct(i.alias("word"), r["text"].alias("text"), before.alias("before"), r["at"].alias("at"))
 
-            return F.transform(every, placed)
+            return F.transform(in_word(word, opened(i)), placed)
 
-        return F.when(last >= 0, F.flatten(F.transform(at, in_word))).otherwise(F.array().cast("array<struct<word:int,text:string,before:string>>"))
+        return F.when(last >= 0, F.flatten(F.transform(at, of_word))).otherwise(F.array().cast(FOUND))
 
     some = text.rlike(CANDIDATE) | text.rlike(NAMES + r"[\"']?\s*[:=]")
-    return F.when(some, let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of_words)).otherwise(F.array().cast("array<struct<word:int,text:string,before:string>>"))
+    return F.when(some, let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of_words)).otherwise(F.array().cast(FOUND))
 
 
 # --- the forest ---
@@ -225,9 +261,9 @@ def trained(findings: DataFrame) -> list:
 
 
 def scanned(text: Column, path: Column, trees: list) -> Column:
-    """Array of structs (word, text, score) of a text's candidates."""
+    """Array of structs (word, text, at, score) of a text's candidates."""
     return F.transform(
-        candidates(text), lambda c: let(features(c["text"], c["before"], path), lambda f: F.struct(c["word"].alias("word"), c["text"].alias("text"), vote(trees, f).alias("score")))
+        candidates(text), lambda c: let(features(c["text"], c["before"], path), lambda f: F.struct(c["word"].alias("word"), c["text"].alias("text"), c["at"].alias("at"), vote(trees, f).alias("score")))
     )
 
 
@@ -237,12 +273,33 @@ def findings(docs: DataFrame, trees: list, path: str = "source") -> DataFrame:
     return rows.select("doc_id", F.col("c.word").cast("bigint").alias("word_no"), F.length("c.text").cast("bigint").alias("length"), F.sha2("c.text", 256).alias("fingerprint"), F.col("c.score").alias("score"), (F.col("c.score") >= SECRET).alias("is_secret"))
 
 
+def _marked(text: Column, secrets: Column) -> Column:
+    """text with MARK in place of each of the secrets (structs word, at, text), where they stand and nowhere else."""
+
+    def in_place(word: Column, own: Column) -> Column:
+        step = lambda s: F.struct(s["at"].alias("at"), (s["at"] + F.length(s["text"])).alias("end"))
+        spans = F.array_sort(F.transform(own, step))
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("end"))
+        # Secrets that overlap become one mark.
+        merged = F.aggregate(
+            spans, start,
+            lambda a, s: F.when((s["at"] >= a["end"]) | (a["end"] == 0), F.struct(F.concat(a["out"], F.substring(word, a["end"] + 1, F.greatest(s["at"] - a["end"], F.lit(0))), F.lit(MARK)).alias("out"), s["end"].alias("end")))
+            .otherwise(F.struct(a["out"].alias("out"), F.greatest(a["end"], s["end"]).alias("end"))),
+            lambda a: F.concat(a["out"], F.substring(word, a["end"] + 1, F.length(word))),
+        )
+        return F.when(F.size(own) > 0, merged).otherwise(word)
+
+    def rebuilt(both: Column) -> Column:
+        marked = F.transform(both["words"], lambda w, k: in_place(w, F.filter(secrets, lambda s: s["word"] == k)))
+        return F.array_join(F.zip_with(both["gaps"], marked, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), F.split(text, WORD, -1).alias("gaps")), rebuilt)
+
+
 def redacted(docs: DataFrame, trees: list, path: str = "source") -> DataFrame:
-    """docs with each secret in the text replaced by MARK."""
-    secrets = F.transform(F.filter(F.col("_found"), lambda c: c["score"] >= SECRET), lambda c: c["text"])
-    # Longest first, so that no secret is cut by a shorter one within it.
-    ordered = F.array_sort(F.array_distinct(secrets), lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.size(secrets) > 0, F.aggregate(ordered, F.col("text"), lambda t, s: F.replace(t, s, F.lit(MARK)))).otherwise(F.col("text"))
+    """docs with each secret in the text replaced by MARK where it was found."""
+    secrets = F.filter(F.col("_found"), lambda c: c["score"] >= SECRET)
+    text = F.when(F.size(secrets) > 0, _marked(F.col("text"), secrets)).otherwise(F.col("text"))
     out = docs.withColumn("_found", scanned(F.col("text"), F.col(path), trees)).withColumn("text", text).drop("_found")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
