@@ -8,6 +8,7 @@ from .. import lineage
 from ..functions import geometry as g
 from ..operators import evaluate, graph, layout, products, rebuild, registers, search, sequence, spatial, subtrees, tables, tree
 from ..sources import catalog, html
+from ..streaming import versions
 from .registry import query
 
 C, L = F.col, F.lit
@@ -470,3 +471,15 @@ def _(t, spark):
     rebuild.rebuilt(earlier.unionByName(gone).select(*pages.columns), root, _hosts(pages))
     found, _ = rebuild.rebuilt(pages, root, _hosts(pages))
     return found.select("host", "pages", "links", "longest")
+
+
+@query("q177_streamed_versions", "SELECT o_custkey, arg_max(o_orderkey, (o_orderkey % 12, o_orderkey % 7, o_orderkey)) AS latest FROM orders GROUP BY 1")
+def _(t, spark):
+    """The orders arrive in three batches by their keys' hash; each customer's latest is kept by the state."""
+    root = lineage.new_path(spark)
+    rows = t("orders").select(C("o_custkey").cast("string").alias("title"), F.concat(L("v"), C("o_orderkey") % 12, L("."), C("o_orderkey") % 7, L("."), "o_orderkey").alias("version"))
+    rows.repartition(3, F.xxhash64("version")).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    versions.start(versions.changes(stream, "title", C("version")), f"{root}/changes", f"{root}/state").awaitTermination()
+    found = versions.current(spark.read.schema(f"{versions.CHANGES}, batch bigint").parquet(f"{root}/changes"))
+    return found.select(C("doc").cast("bigint").alias("o_custkey"), F.element_at(F.split("version", r"\."), -1).cast("bigint").alias("latest"))

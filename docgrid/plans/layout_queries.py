@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import layout, sequence, spatial
+from ..operators import clustered, layout, sequence, spatial
 from .registry import query
 
 C, L = F.col, F.lit
@@ -221,3 +221,21 @@ def _(t, spark):
 
     found = spatial.box_join(side("R", "l_partkey", ("i", "li", "pi"), "box"), side("A", "l_orderkey", ("j", "lj", "pj"), "other"), ["l_suppkey"])
     return found.select("l_suppkey", "i", "li", "pi", "j", "lj", "pj")
+
+
+_CHARS = "SELECT user_id AS doc, event_id // 2500 AS page, floor(value / 100)::BIGINT AS y, event_id % 100 AS x, event_id AS idx FROM events"
+
+
+def page_chain(t):
+    """Characters laid out by page; then lines, words in lines, and each word with its line's characters."""
+    chars = t("events").select(C("user_id").alias("doc"), F.expr("event_id div 2500").alias("page"), F.floor(C("value") / 100).alias("y"), (C("event_id") % 100).alias("x"), C("event_id").alias("idx"))
+    table = clustered.laid_out(chars, ["doc", "page"], ["y", "x"], buckets=8)
+    line = ["doc", "page", "y"]
+    words = sequence.gap_clusters(table, line, ["x", "idx"], C("x"), 20).groupBy(*line, "cluster").agg(F.min("x").alias("l"), F.max("x").alias("r"))
+    lines = layout.char_lines(table, ["doc", "page"], "y", ["x", "idx"], "idx")
+    return words.join(lines, line)
+
+
+@query("q181_page_chain", f"WITH c AS ({_CHARS}), g AS (SELECT *, x - lag(x) OVER w AS d FROM c WINDOW w AS (PARTITION BY doc, page, y ORDER BY x, idx)), k AS (SELECT *, sum((d IS NULL OR d >= 20)::INT) OVER (PARTITION BY doc, page, y ORDER BY x, idx ROWS UNBOUNDED PRECEDING) AS cluster FROM g), l AS (SELECT doc, page, y, string_agg(idx, ',' ORDER BY x, idx) AS ids FROM c GROUP BY ALL) SELECT doc, page, y, cluster::BIGINT AS cluster, min(x) AS l, max(x) AS r, any_value(ids) AS ids FROM k JOIN l USING (doc, page, y) GROUP BY doc, page, y, cluster")
+def _(t, spark):
+    return page_chain(t).select("doc", "page", "y", "cluster", "l", "r", F.array_join("chars", ",").alias("ids"))

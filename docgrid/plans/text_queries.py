@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import numbers, rules
+from .. import lineage
+from ..functions import numbers, rules, table_functions
 from ..operators import sequence, spatial, tree
-from ..sources import catalog, html, pdf
+from ..sources import catalog, formats, html, pdf
 from .registry import query
 
 C, L = F.col, F.lit
@@ -224,3 +225,30 @@ def _(t, spark):
     title = F.replace(F.regexp_extract("url", r"/([a-z]{2}/\d+)", 1), L("/"), L("_"))
     named = catalog.with_filename(t("pages").select("page_id", title.alias("title"), F.concat((C("page_id") % 7).cast("string"), L(".0")).alias("version")))
     return named.select("page_id", C("short_type").alias("short"), "filename")
+
+
+_TITLE = "replace(replace(replace(replace(trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query("q178_html_source", f"SELECT 'D' || page_id % 20 AS document, 'chapter ' || page_id AS chapter, {_TITLE} AS title FROM pages")
+def _(t, spark):
+    """The pages as a folder of documents, written by the data source and read by it again; only headings become rows."""
+    formats.register(spark)
+    path = lineage.new_path(spark)
+    rows = t("pages").select(F.concat(L("D"), C("page_id") % 20).alias("document"), L("1").alias("version"), F.concat(L("chapter "), "page_id").alias("chapter"), "html")
+    rows.write.format("htmlpages").mode("append").save(path)
+    return spark.read.format("htmlpages").load(path).where("kind = 'heading'").select("document", "chapter", C("text").alias("title"))
+
+
+@query("q179_rule_values", "SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS title, regexp_extract(html, '<html lang=\"(\\w+)\"', 1) AS lang FROM pages")
+def _(t, spark):
+    table_functions.register(spark)
+    return spark.sql("SELECT page_id, v.* FROM {pages}, LATERAL rule_values(html, 'title = <h1>(.*?)</h1>; lang = <html lang=\"([a-z]+)\"') v", pages=t("pages").select("page_id", "html"))
+
+
+@query("q180_grid_rows", "WITH c AS (SELECT l_orderkey AS doc, l_linenumber AS y, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_returnflag) - 1 AS x, l_returnflag AS v FROM lineitem) SELECT doc, y, max(CASE WHEN x = 0 THEN v END) AS a, max(CASE WHEN x = 1 THEN v END) AS b, max(CASE WHEN x = 2 THEN v END) AS c FROM c GROUP BY ALL")
+def _(t, spark):
+    table_functions.register(spark)
+    x = F.row_number().over(sequence.ordered(["l_orderkey", "l_linenumber"], "l_partkey", "l_suppkey", "l_returnflag")) - 1
+    cells = t("lineitem").select(C("l_orderkey").alias("doc"), C("l_linenumber").alias("y"), x.alias("x"), C("l_returnflag").alias("value"))
+    return spark.sql("SELECT doc, y, a, b, c FROM grid_rows(TABLE({cells}), 'a, b, c')", cells=cells)

@@ -34,10 +34,20 @@ def new_documents(remote_df: DataFrame, local_df: DataFrame) -> DataFrame:
     return with_filename(remote_df).dropDuplicates(["filename"]).join(with_filename(local_df).select("filename").distinct(), "filename", "left_anti")
 
 
+def version_key(version: Column) -> Column:
+    """What versions are ordered by: their parts between dots and underscores, each by its leading number and then by what
+    follows it (`1.0b` comes behind `1.0`, parts without a number before all numbers). Of two versions of which one is the
+    beginning of the other, the longer is the later: `1.0` before `1.0.0`."""
+    number = lambda x: F.coalesce(F.regexp_extract(x, r"^\d{1,18}", 0).try_cast("bigint"), F.lit(-1).cast("bigint"))
+    parts = F.split(F.regexp_replace(version, "^v", ""), r"[._]")
+    return F.transform(parts, lambda x: F.struct(number(x).alias("number"), F.regexp_replace(x, r"^\d{1,18}", "").alias("rest")))
+
+
 def latest(df: DataFrame, name: str, version: str, lexicographic: bool = False) -> DataFrame:
-    """The latest version of each document: by numbers, or by text order in the compatible form."""
-    key = F.col(version) if lexicographic else F.transform(F.split(F.regexp_replace(version, "^v", ""), r"[._]"), lambda x: x.cast("int"))
-    return best(df, [name], key.desc())
+    """The latest version of each document: by version_key(), or by text order in the compatible form; null versions come
+    first, and of equal ones the last in text order is taken."""
+    key = F.col(version) if lexicographic else version_key(F.col(version))
+    return best(df, [name], key.desc_nulls_last(), F.col(version).desc_nulls_last())
 
 
 def split_valid(df: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:

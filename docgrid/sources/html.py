@@ -6,6 +6,7 @@ after it (domains, row iteration, unpivoting) is DataFrame expressions partition
 
 from __future__ import annotations
 
+import re
 from html import escape, unescape
 from html.parser import HTMLParser
 
@@ -238,6 +239,12 @@ def unpivoted(grid: DataFrame, row_pattern: str, column_pattern: str) -> DataFra
     return met.select("doc", "tab", "row", "column", "cell", plain(F.col("html")).alias("text")).distinct()
 
 
+def plain_text(html: str) -> str:
+    """plain() for one string."""
+    text = re.sub("<[^>]*>", "", html)
+    return text.replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&")
+
+
 def heading_texts(found: DataFrame, pattern: str = "", text_pattern: str = "") -> DataFrame:
     """(doc, heading, title, texts): consecutive texts below each heading; texts above any heading stand under `-1`."""
     texts = found.where("type = 'text'").where(F.col("text").rlike(f"(?i){text_pattern}"))
