@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import lineage
 from ..functions import numbers, rules
 from ..operators import evaluate, graph, memmap, sequence, spatial
+from ..sources import ontology
 from .registry import query
 
 C, L = F.col, F.lit
@@ -364,3 +366,13 @@ def _(t, spark):
 @query("q116_xml_roundtrip", "SELECT p_partkey, p_name, p_size FROM part")
 def _(t, spark):
     return memmap.xml_round_trip(t("part").select("p_partkey", "p_name", "p_size"))
+
+
+@query("q182_ontology_round_trip", "SELECT c_name AS subject, 'livesIn' AS predicate, n_name AS object, c_mktsegment AS annotation, true AS single FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT r_name, 'hasNation', n_name, NULL, false FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(t, spark):
+    """Customers and nations as an ontology in RDF/XML, and read back; market segments are annotations of the edges."""
+    lives = t("customer").join(t("nation"), C("c_nationkey") == C("n_nationkey")).select(C("c_name").alias("subject"), L("livesIn").alias("predicate"), C("n_name").alias("object"), C("c_mktsegment").alias("annotation"))
+    has = t("nation").join(t("region"), C("n_regionkey") == C("r_regionkey")).select(C("r_name").alias("subject"), L("hasNation").alias("predicate"), C("n_name").alias("object"), L(None).cast("string").alias("annotation"))
+    path = lineage.new_path(spark)
+    ontology.save(lives.union(has), path)
+    return ontology.load(spark, path)[0]
