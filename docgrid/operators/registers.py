@@ -9,7 +9,6 @@ from ..functions.numbers import from_hex, linear_offset
 from ..lineage import written
 from .recursion import recursive, same
 from .sequence import best, running_offset
-from .spatial import ranked_join
 
 #: Substitutions that clean the cells of register tables, in the order they apply.
 OFFSET_RULES = [(r" +", ""), (r"0x000x00", "0x00"), (r"to", "-"), (r"×", "*"), (r"\(\d+\)", "")]
@@ -87,6 +86,45 @@ def caption_filters(caption: Column) -> Column:
     return F.map_from_entries(F.filter(F.array(pair("instances", instances), pair("devices", devices)), lambda e: F.size(e["value"]) > 0))
 
 
+def chapter_filters(chapter: Column, type_name: Column) -> Column:
+    """Map of filters (instances, devices) that a chapter's name and the type itself set, whatever the caption says."""
+    # The product lines that some chapters are about.
+    line = F.when(chapter.contains("connectivity line"), "STM32F10[57]").when(chapter.contains("low medium high and xl density"), "STM32F10[123]")
+    delay = F.when(type_name.startswith("DLYB"), "DLYB")
+    entry = lambda key, value: F.struct(F.lit(key).alias("key"), F.array(value).alias("value"))
+    return F.map_from_entries(F.filter(F.array(entry("instances", delay), entry("devices", line)), lambda e: F.get(e["value"], F.lit(0)).isNotNull()))
+
+
+def taken_name(caption: Column, registers: Column) -> Column:
+    """What is taken off the names of a register map's registers: the name they share, none for comparators and amplifiers."""
+    firsts = F.array_sort(F.array_distinct(F.transform(registers, lambda r: F.split_part(r, F.lit("_"), F.lit(1)))))
+    all_of = lambda p: F.forall(firsts, lambda n: n.startswith(p))
+    name = F.element_at(firsts, -1)
+    plain = F.when(all_of("COMP") | all_of("OPAMP"), "").when(name.startswith("LPTIM"), "LPTIM").otherwise(name)
+    return F.when(caption.rlike("OTG_[FH]S"), "OTG").when(caption.contains("JPEG"), "JPEG").when(caption.contains("CCU "), "FDCAN_CCU").otherwise(plain)
+
+
+def single_register(register: Column, taken: Column) -> Column:
+    """(name, instances, devices) of one register: its name without what is taken off it; a pattern of the instance that
+    stands before the name instead; and a pattern of the product line that its name ends with."""
+    core = F.when(taken == "OTG", F.regexp_extract(register, "^OTG_[FH]S", 0)).otherwise("")
+    without = lambda part: F.replace(register, F.concat(part, F.lit("_")), F.lit(""))
+    first = F.split_part(register, F.lit("_"), F.lit(1))
+    short = F.when(core != "", without(core)).otherwise(without(taken))
+    other = (taken != "") & (short == register) & register.contains("_")
+    name = F.when(taken == "", register).when(other, without(first)).otherwise(short)
+    instances = F.when(other, F.concat(first, F.lit("$"))).when(core != "", core)
+    # The ends of names that tell product lines apart.
+    ends = [("connectivitylinedevices", "STM32F10[57]"), ("low,medium,highandXLdensitydevices", "STM32F10[123]")]
+    devices = F.lit(None).cast("string")
+    for end, pattern in reversed(ends):
+        devices = F.when(name.contains(end), pattern).otherwise(devices)
+    bare = name
+    for end, _ in ends:
+        bare = F.when(F.instr(bare, end) > 0, F.substring_index(bare, end, 1)).otherwise(bare)
+    return F.struct(bare.alias("name"), instances.alias("instances"), devices.alias("devices"))
+
+
 def device_patterns(text: Column) -> Column:
     """`STM32F405/415xx` -> [STM32F405xx, STM32F415xx] with x as any character: later parts replace the end of the first's
     stem, and the letters after the last part follow each."""
@@ -98,11 +136,33 @@ def device_patterns(text: Column) -> Column:
     return F.transform(whole, lambda d: F.replace(d, F.lit("x"), F.lit(".")))
 
 
-def expanded_offsets(df: DataFrame, offset: str, name: str) -> DataFrame:
+#: Registers that stand for sequences although their offset is one number. What the peripheral's and the
+#: register's names contain, the step in bytes, and how many there are.
+SEQUENCES = [("CAN", "F1R2", 4, 51), ("GFXMMU", "LUT0L", 8, 1023), ("GFXMMU", "LUT0H", 8, 1023), ("HSEM", "R1", 4, 30)]
+
+
+def sequence_name(peripheral: Column, name: Column, index: Column) -> Column:
+    """The name of an element of a register array, by the custom of its peripheral: letters or numbers, in or behind the name."""
+    letter, text = F.char(index + 65), index.cast("string")
+    return (
+        F.when(name.rlike(r"^BKP\d+R"), F.concat(F.lit("BKP"), text, F.lit("R")))
+        .when(peripheral.contains("SAI"), F.concat(F.substring(name, F.lit(2), F.length(name)), letter))
+        .when(peripheral.contains("HRTIM"), F.replace(name, F.lit("x"), letter))
+        .when(peripheral.contains("CAN"), F.concat(F.lit("F"), F.floor((index + 3) / 2).cast("string"), F.lit("R"), ((index + 1) % 2 + 1).cast("string")))
+        .when(peripheral.contains("GFXMMU"), F.concat(F.lit("LUT"), text, F.right(name, F.lit(1))))
+        .when(peripheral.contains("HSEM"), F.concat(F.substring(name, F.lit(1), F.length(name) - 1), (index + 1).cast("string")))
+        .when(name.contains("x"), F.replace(name, F.lit("x"), text))
+        .otherwise(F.concat(name, F.lit("."), text))
+    )
+
+
+def expanded_offsets(df: DataFrame, offset: str, name: str, peripheral: str | None = None) -> DataFrame:
     """Register arrays one row an element: (..., index, byte_offset), the name's `x` replaced, or `.index` put behind.
 
     Offsets may be a number; a range `0x50-0x5C` (by 4); alternatives `0x10or0x20`; a list `0x28(x=A)0x30(x=B)`; a formula
-    with a range `0x10+4*x(x=0..3)` (or `0-3`); a formula over `channelnumber` (0 to 15). Others give no row.
+    with a range `0x10+4*x(x=0..3)` (or `0-3`); a formula over `channelnumber` (0 to 15) or over the numbers of monitor
+    units (1 to 5). Others give no row. peripheral: the column of the peripheral's name, which decides how elements are
+    called and which single registers stand for SEQUENCES.
     """
     text = F.regexp_replace(offset, r"\s+", "")
     number = r"0[xX][0-9A-Fa-f]+"
@@ -112,15 +172,23 @@ def expanded_offsets(df: DataFrame, offset: str, name: str) -> DataFrame:
     formula = F.regexp_replace(F.split(text, r"\(x=|,").getItem(0), "channelnumber", "x")
     at = lambda values: F.transform(values, lambda v, i: F.struct(i.cast("int").alias("index"), v.cast("bigint").alias("byte_offset")))
     by_x = lambda lo, hi: F.transform(F.sequence(lo, hi), lambda x: F.struct(x.cast("int").alias("index"), linear_offset(formula, x.cast("bigint")).alias("byte_offset")))
+    known = F.lit(None)
+    for part, of, step, n in SEQUENCES if peripheral else []:
+        from_ = from_hex(text)
+        known = F.when(F.col(peripheral).contains(part) & F.col(name).contains(of) & text.rlike(f"^{number}$"), at(F.sequence(from_, from_ + step * (n - 1), F.lit(step).cast("bigint")))).otherwise(known)
     rows = (
-        F.when(text.rlike(f"^{number}$"), F.array(F.struct(F.lit(None).cast("int").alias("index"), from_hex(text).alias("byte_offset"))))
+        F.when(known.isNotNull() if peripheral else F.lit(False), known)
+        .when(text.rlike(f"^{number}$"), F.array(F.struct(F.lit(None).cast("int").alias("index"), from_hex(text).alias("byte_offset"))))
         .when(text.rlike(f"^{number}-{number}$"), at(F.sequence(from_hex(F.get(spans, F.lit(0))), from_hex(F.get(spans, F.lit(1))), F.lit(4).cast("bigint"))))
         .when(text.rlike(f"^{number}(or{number})+$"), at(F.transform(F.split(text, "or"), from_hex)))
         .when(F.size(listed) > 0, at(F.transform(listed, from_hex)))
         .when(text.contains("channelnumber"), by_x(F.lit(0), F.lit(15)))
+        .when(text.contains("moni-ringunitnumber") & text.contains("(x="), by_x(F.lit(1), F.lit(5)))
         .when(bounds(1).isNotNull() & bounds(2).isNotNull(), by_x(bounds(1), bounds(2)))
     )
     out = df.withColumn("_r", F.explode(rows)).select("*", "_r.index", "_r.byte_offset").drop("_r")
+    if peripheral:
+        return out.withColumn(name, F.when(F.col("index").isNull(), F.col(name)).otherwise(sequence_name(F.col(peripheral), F.col(name), F.col("index"))))
     indexed = F.when(F.contains(name, F.lit("x")), F.replace(name, F.lit("x"), F.col("index").cast("string"))).otherwise(F.concat(name, F.lit("."), F.col("index").cast("string")))
     return out.withColumn(name, F.when(F.col("index").isNull(), F.col(name)).otherwise(indexed))
 
@@ -129,21 +197,18 @@ def linked_types(instances: DataFrame, types: DataFrame) -> DataFrame:
     """Instances (name, sections) with the types (type, section) of the first level that has any: the same name; a type
     whose name is part of the instance's; one described in a section the instance refers to; USART for UARTs; RTC for BKP.
 
-    Types are few (their size is checked before they are broadcast)."""
-    from .spatial import bounded
-
-    t = bounded(types)
-    name, kind = F.col("name"), F.col("type")
-    return ranked_join(
-        instances,
-        (t, name == kind),
-        (t, F.contains(name, kind)),
-        (t, F.array_contains("sections", F.col("section"))),
-        (t, name.startswith("UART") & (kind == "USART")),
-        (t, (name == "BKP") & (kind == "RTC")),
-        keys=["name"],
-        order=["type", "section"],
-    )
+    Every level is a join by equality: the parts of a name are listed (names are short) and looked up as names of types.
+    """
+    name, size = F.col("name"), F.length("name")
+    part = lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(name, i, n))
+    parts = F.when(size > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), part)))).otherwise(F.array().cast("array<string>"))
+    keyed = lambda level, keys: F.transform(keys, lambda k: F.struct(F.lit(level).alias("level"), k.alias("_key")))
+    only = lambda holds, key: F.when(holds, F.array(F.lit(key))).otherwise(F.array().cast("array<string>"))
+    names = F.concat(keyed(0, F.array(name)), keyed(1, F.concat(F.array(F.lit("")), parts)), keyed(3, only(name.startswith("UART"), "USART")), keyed(4, only(name == "BKP", "RTC")))
+    by_name = instances.withColumn("_k", F.explode(names)).select(*instances.columns, "_k.*").join(types, F.col("_key") == F.col("type"))
+    by_section = instances.withColumn("_key", F.explode("sections")).withColumn("level", F.lit(2)).join(types, F.col("_key") == F.col("section"))
+    found = by_name.unionByName(by_section).drop("_key")
+    return best(found, ["name"], "level", "type", "section").select(*instances.columns, *types.columns, "level")
 
 
 def instance_offsets(df: DataFrame, text: str, offset: str) -> DataFrame:

@@ -483,3 +483,40 @@ def _(t, spark):
     versions.start(versions.changes(stream, "title", C("version")), f"{root}/changes", f"{root}/state").awaitTermination()
     found = versions.current(spark.read.schema(f"{versions.CHANGES}, batch bigint").parquet(f"{root}/changes"))
     return found.select(C("doc").cast("bigint").alias("o_custkey"), F.element_at(F.split("version", r"\."), -1).cast("bigint").alias("latest"))
+
+
+_FORMS = [  # peripheral, register, offset (with the size as {x}), elements: number from index 0 or 1, name and offset of element i
+    ("HRTIM", "TIMxCR", "0x{x} or 0x1FF", 0, 2, "'TIM' || chr((65 + i)::INT) || 'CR'", "CASE i WHEN 0 THEN s ELSE 511 END"),
+    ("SAI", "xCR1", "0x{x}(x=A)0x1FF(x=B)", 0, 2, "'CR1' || chr((65 + i)::INT)", "CASE i WHEN 0 THEN s ELSE 511 END"),
+    ("FDCAN", "F1R2", "0x{x}", 0, 51, "'F' || (i + 3) // 2 || 'R' || ((i + 1) % 2 + 1)", "s + 4 * i"),
+    ("GFXMMU", "LUT0H", "0x{x}", 0, 1023, "'LUT' || i || 'H'", "s + 8 * i"),
+    ("HSEM", "C1R1", "0x{x}", 0, 30, "'C1R' || (i + 1)", "s + 4 * i"),
+    ("RTC", "BKP0R", "0x50 - 0x5C", 0, 4, "'BKP' || i || 'R'", "80 + 4 * i"),
+    ("MON", "UCFGR", "0x{x} + 0x10*x (x= moni-ring unit number)", 1, 5, "'UCFGR.' || i", "s + 16 * i"),
+    ("DMA", "CxCR", "0x{x} + 4*channel number", 0, 16, "'C' || i || 'CR'", "s + 4 * i"),
+    ("TIM", "CR1", "0x{x}", None, 1, "'CR1'", "s"),
+]
+
+
+@query("q183_register_forms", "WITH p AS (SELECT p_partkey, p_size AS s FROM part) " + " UNION ALL ".join(f"SELECT p_partkey, {n} AS name, ({o})::BIGINT AS byte_offset FROM p, generate_series({a or 0}, {(a or 0) + c - 1}) g(i) WHERE p_partkey % 27 = {k}" for k, (_, _, _, a, c, n, o) in enumerate(_FORMS)))
+def _(t, spark):
+    """Every form of a register array."""
+    k = C("p_partkey") % 27
+    of = lambda values: F.get(F.array(*values), k.cast("int"))
+    text = [F.concat(*[x for part in f[2].split("{x}") for x in (F.hex("p_size"), L(part))][1:]) for f in _FORMS]
+    rows = t("part").where(k < len(_FORMS)).select("p_partkey", of([L(f[0]) for f in _FORMS]).alias("peripheral"), of([L(f[1]) for f in _FORMS]).alias("name"), of(text).alias("offset"))
+    return registers.expanded_offsets(rows, "offset", "name", "peripheral").select("p_partkey", "name", "byte_offset")
+
+
+@query("q184_single_registers", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'G' || p_size WHEN 1 THEN 'CR' || p_size WHEN 2 THEN 'SR' || p_size WHEN 3 THEN 'MAPR' WHEN 4 THEN 'COMP1_CSR' ELSE 'M' || p_size END AS name, CASE p_partkey % 6 WHEN 0 THEN 'OTG_FS' WHEN 2 THEN 'ADC$' END AS instances, CASE p_partkey % 6 WHEN 3 THEN 'STM32F10[57]' WHEN 5 THEN 'STM32F10[123]' END AS devices, CASE p_partkey % 6 WHEN 1 THEN 'DLYB' END AS own, CASE p_partkey % 6 WHEN 5 THEN 'STM32F10[123]' WHEN 3 THEN 'STM32F10[57]' END AS line FROM part")
+def _(t, spark):
+    k = (C("p_partkey") % 6).cast("int")
+    of = lambda *values: F.get(F.array(*[v if not isinstance(v, str) else L(v) for v in values]), k)
+    number = lambda text: F.concat(L(text), "p_size")
+    register = of(number("OTG_FS_G"), number("DLYB_CR"), number("ADC_SR"), "AFIO_MAPRconnectivitylinedevices", "COMP1_CSR", F.concat(L("FLASH_M"), "p_size", L("low,medium,highandXLdensitydevices")))
+    others = of("OTG_HS_X", number("DLYB_CFG"), "ZDC_CR", "AFIO_EVCR", "COMP2_CSR", "FLASH_SR")
+    caption, chapter = of("USB OTG_FS map", "map", "map", "map", "map", "map"), of("usb", "delay", "adc", "afio connectivity line", "comp", "flash low medium high and xl density devices")
+    taken = registers.taken_name(caption, F.array(register, others))
+    filters = registers.chapter_filters(chapter, taken)
+    first = lambda key: F.get(F.element_at(filters, key), L(0))
+    return t("part").select("p_partkey", registers.single_register(register, taken).alias("r"), first("instances").alias("own"), first("devices").alias("line")).select("p_partkey", "r.*", "own", "line")
