@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import contains_each_other
+from ..functions.rules import agreeing, contains_each_other
 
 
 def by_source(df: DataFrame, keys: list[str], source: str, sources: list[str], name: str) -> DataFrame:
@@ -104,3 +104,70 @@ def driver_names(df: DataFrame, keys: list[str], driver: str, instances: str, re
     rows = rows.withColumn("driver", F.concat("_n", F.coalesce("_i", F.lit("")))).where(~F.col("driver").isin(*dropped))
     any_i2s = rows.where("driver like 'I2S%'").select(*keys).distinct().withColumn("driver", F.lit("I2S"))
     return rows.select(*keys, "driver").unionByName(any_i2s).distinct()
+
+
+def _report(devices: DataFrame, items: str) -> DataFrame:
+    """One row of totals and shares in per cent from (device, state, n, wrong, validated): states are missing, ok and wrong."""
+    state = lambda s: F.count_if(F.col("state") == s)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    found = devices.agg(
+        F.count(F.lit(1)).alias("total_devices"), state("missing").alias("missing_devices"), state("ok").alias("correct_devices"), state("wrong").alias("wrong_devices"),
+        F.count_if((F.col("state") == "ok") | ((F.col("state") == "wrong") & F.col("validated"))).alias("validated_devices"),
+        total("n").alias(f"total_{items}"), total(F.col("n") - F.col("wrong")).alias(f"correct_{items}"), total("wrong").alias(f"wrong_{items}"),
+        total(F.col("n") - F.when(F.col("validated"), 0).otherwise(F.col("wrong"))).alias(f"validated_{items}"),
+    )
+    share = lambda a, b: F.round(F.try_divide(F.col(a) * 100.0, F.col(b)), 3)
+    return found.withColumns({f"{a}_{x}_pct": share(f"{a}_{x}", f"total_{x}") for x in ("devices", items) for a in ("correct", "validated")})
+
+
+def _agreed(a: Column, b: Column) -> Column:
+    return F.contains(a, b) | F.contains(b, a)
+
+
+def package_report(ours: DataFrame, theirs: DataFrame, pads: DataFrame, pairs: DataFrame, validated: DataFrame) -> DataFrame:
+    """One row: how many devices and pins of ours (device, package, pin, name) agree with theirs (device, pin, name).
+
+    A device that they lack is missing. Pins that one side lacks are wrong unless pads (package, pin) lists them, and pins
+    of two names are unless one is part of the other or pairs (a, b) lists them. A device counts as many pins as the side
+    with more. validated (device): those whose differences have been looked into and are the other side's.
+    """
+    mine = ours.groupBy("device").agg(F.first("package").alias("package"), F.count(F.lit(1)).alias("_a"))
+    devices = mine.join(theirs.groupBy("device").agg(F.count(F.lit(1)).alias("_b")), "device", "left")
+    both = devices.where("_b is not null").select("device", "package")
+    a, b = ours.select("device", "pin", F.col("name").alias("_x")), theirs.select("device", "pin", F.col("name").alias("_y"))
+    met = a.join(b, ["device", "pin"], "full").join(both, "device").where(~F.col("_x").eqNullSafe(F.col("_y")))
+    alone = met.where("_x is null or _y is null").join(pads.select("package", "pin"), ["package", "pin"], "left_anti").select("device")
+    other = whitelisted(met.where("_x is not null and _y is not null").where(~_agreed(F.col("_x"), F.col("_y"))), pairs, "_x", "_y").select("device")
+    wrong = alone.union(other).groupBy("device").agg(F.count(F.lit(1)).alias("wrong"))
+    rows = devices.join(wrong, "device", "left").join(validated.select("device", F.lit(True).alias("validated")).distinct(), "device", "left")
+    n = F.when(F.col("_b").isNull(), 0).otherwise(F.greatest("_a", "_b"))
+    state = F.when(F.col("_b").isNull(), "missing").when(F.col("wrong") > 0, "wrong").otherwise("ok")
+    return _report(rows.select("device", state.alias("state"), n.alias("n"), F.coalesce("wrong", F.lit(0)).alias("wrong"), F.coalesce("validated", F.lit(False)).alias("validated")), "pins")
+
+
+def interrupt_report(ours: DataFrame, theirs: DataFrame, pairs: DataFrame, left_out: list[str] | None = None) -> DataFrame:
+    """One row: how many devices and vectors of ours (device, position, name) agree with theirs.
+
+    Cores of their own (`device@core`) and devices that begin with one of the patterns left_out do not count. A vector that
+    they lack is missing, one of another name is wrong, unless the names have all words of one in common or pairs (a, b)
+    lists them. A device with either is wrong.
+    """
+    kept = ~F.col("device").contains("@")
+    for pattern in left_out or []:
+        kept &= ~F.col("device").rlike(f"^(?:{pattern})")
+    mine = ours.where(kept)
+    have = theirs.select("device").distinct().withColumn("_has", F.lit(True))
+    devices = mine.groupBy("device").agg(F.count(F.lit(1)).alias("_n")).join(have, "device", "left")
+    met = mine.select("device", "position", F.col("name").alias("_x")).join(have.select("device"), "device", "left_semi").join(theirs.select("device", "position", F.col("name").alias("_y")), ["device", "position"], "left")
+    missing = met.where("_y is null").groupBy("device").agg(F.count(F.lit(1)).alias("missing"))
+    other = met.where("_y is not null").where(~agreeing(F.col("_x"), F.col("_y")))
+    wrong = whitelisted(other, pairs, "_x", "_y").groupBy("device").agg(F.count(F.lit(1)).alias("wrong"))
+    rows = devices.join(missing, "device", "left").join(wrong, "device", "left")
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    # Devices all of whose differences are listed stay with the wrong ones only if a vector is wrong or missing.
+    faulty = (F.coalesce("wrong", F.lit(0)) + F.coalesce("missing", F.lit(0))) > 0
+    found = rows.agg(
+        F.count(F.lit(1)).alias("total_devices"), F.count_if(F.col("_has").isNull()).alias("missing_devices"), F.count_if(F.col("_has") & ~faulty).alias("correct_devices"), F.count_if(F.col("_has") & faulty).alias("wrong_devices"),
+        count(F.when(F.col("_has"), F.col("_n"))).alias("total_vectors"), count("missing").alias("missing_vectors"), count("wrong").alias("wrong_vectors"),
+    ).withColumn("correct_vectors", F.expr("total_vectors - missing_vectors - wrong_vectors"))
+    return found.withColumns({f"correct_{x}_pct": F.round(F.try_divide(F.col(f"correct_{x}") * 100.0, F.col(f"total_{x}")), 1) for x in ("devices", "vectors")})

@@ -376,3 +376,28 @@ def _(t, spark):
     path = lineage.new_path(spark)
     ontology.save(lives.union(has), path)
     return ontology.load(spark, path)[0]
+
+
+_PINS = "SELECT l_orderkey AS device, 'K' || l_orderkey % 5 AS package, l_linenumber AS pin, 'P' || {0}(l_partkey % 20) AS name FROM lineitem WHERE l_returnflag <> '{1}' GROUP BY ALL"
+_PAIRS = [("P1", "P3"), ("P12", "P4"), ("P7", "P5")]
+
+
+def _pins(t, agg, flag):
+    x = t("lineitem").where(C("l_returnflag") != flag).groupBy(C("l_orderkey").alias("device"), C("l_linenumber").alias("pin")).agg(F.concat(L("P"), agg(C("l_partkey") % 20)).alias("name"))
+    return x.withColumn("package", F.concat(L("K"), C("device") % 5))
+
+
+@query("q185_package_report", f"WITH a AS ({_PINS.format('min', 'A')}), b AS ({_PINS.format('max', 'N')}), n AS (SELECT device, any_value(package) AS package, count(*) AS x, (SELECT count(*) FROM b WHERE b.device = a.device) AS y FROM a GROUP BY device), m AS (SELECT n.device, n.package, coalesce(a.pin, b.pin) AS pin, a.name AS xn, b.name AS yn FROM n JOIN (a FULL JOIN b ON a.device = b.device AND a.pin = b.pin) ON n.device = coalesce(a.device, b.device) WHERE n.y > 0), w AS (SELECT device, count(*) AS wrong FROM m WHERE CASE WHEN xn IS NULL OR yn IS NULL THEN (package, pin) NOT IN (('K1', 1), ('K2', 2)) ELSE NOT contains(xn, yn) AND NOT contains(yn, xn) AND (least(xn, yn), greatest(xn, yn)) NOT IN (('P1', 'P3'), ('P12', 'P4'), ('P5', 'P7')) END GROUP BY 1), d AS (SELECT n.*, CASE WHEN y = 0 THEN 'missing' WHEN wrong > 0 THEN 'wrong' ELSE 'ok' END AS state, CASE WHEN y = 0 THEN 0 ELSE greatest(x, y) END AS n, coalesce(wrong, 0) AS wrong, device % 7 = 0 AS valid FROM n LEFT JOIN w USING (device)), r AS (SELECT count(*) AS total_devices, count(*) FILTER (state = 'missing') AS missing_devices, count(*) FILTER (state = 'ok') AS correct_devices, count(*) FILTER (state = 'wrong') AS wrong_devices, count(*) FILTER (state = 'ok' OR (state = 'wrong' AND valid)) AS validated_devices, sum(n)::BIGINT AS total_pins, sum(n - wrong)::BIGINT AS correct_pins, sum(wrong)::BIGINT AS wrong_pins, sum(n - CASE WHEN valid THEN 0 ELSE wrong END)::BIGINT AS validated_pins FROM d) SELECT *, round(correct_devices * 100.0 / total_devices, 3)::DOUBLE AS correct_devices_pct, round(validated_devices * 100.0 / total_devices, 3)::DOUBLE AS validated_devices_pct, round(correct_pins * 100.0 / total_pins, 3)::DOUBLE AS correct_pins_pct, round(validated_pins * 100.0 / total_pins, 3)::DOUBLE AS validated_pins_pct FROM r")
+def _(t, spark):
+    ours, theirs = _pins(t, F.min, "A"), _pins(t, F.max, "N")
+    pads = spark.createDataFrame([("K1", 1), ("K2", 2)], "package string, pin int")
+    pairs = spark.createDataFrame(_PAIRS, "a string, b string")
+    return evaluate.package_report(ours, theirs, pads, pairs, t("lineitem").where(C("l_orderkey") % 7 == 0).select(C("l_orderkey").alias("device")))
+
+
+@query("q186_interrupt_report", f"WITH a AS (SELECT device::VARCHAR || CASE WHEN device % 11 = 0 THEN '@m4' ELSE '' END AS device, pin, replace(name, 'P1', 'P1_I') AS name FROM ({_PINS.format('min', 'A')})), b AS (SELECT device::VARCHAR AS device, pin, replace(name, 'P1', 'I_P1') AS name FROM ({_PINS.format('max', 'N')})), k AS (SELECT * FROM a WHERE NOT contains(device, '@') AND NOT starts_with(device, '13')), n AS (SELECT device, count(*) AS n, device IN (SELECT device FROM b) AS has FROM k GROUP BY 1), m AS (SELECT k.device, k.name AS x, b.name AS y FROM k JOIN n ON k.device = n.device AND has LEFT JOIN b ON b.device = k.device AND b.pin = k.pin), w AS (SELECT device, count(*) FILTER (y IS NULL) AS missing, count(*) FILTER (y IS NOT NULL AND NOT contains(x, y) AND NOT contains(y, x) AND len(list_filter(string_split(x, '_'), lambda v: NOT list_contains(string_split(y, '_'), v))) > 0 AND len(list_filter(string_split(y, '_'), lambda v: NOT list_contains(string_split(x, '_'), v))) > 0 AND (least(x, y), greatest(x, y)) NOT IN (('P1', 'P3'), ('P12', 'P4'), ('P5', 'P7'))) AS wrong FROM m GROUP BY 1), r AS (SELECT count(*) AS total_devices, count(*) FILTER (NOT has) AS missing_devices, count(*) FILTER (has AND coalesce(missing, 0) + coalesce(wrong, 0) = 0) AS correct_devices, count(*) FILTER (has AND coalesce(missing, 0) + coalesce(wrong, 0) > 0) AS wrong_devices, sum(CASE WHEN has THEN n END)::BIGINT AS total_vectors, sum(missing)::BIGINT AS missing_vectors, sum(wrong)::BIGINT AS wrong_vectors FROM n LEFT JOIN w USING (device)) SELECT *, total_vectors - missing_vectors - wrong_vectors AS correct_vectors, round(correct_devices * 100.0 / total_devices, 1)::DOUBLE AS correct_devices_pct, round((total_vectors - missing_vectors - wrong_vectors) * 100.0 / total_vectors, 1)::DOUBLE AS correct_vectors_pct FROM r")
+def _(t, spark):
+    named = lambda df, core, word: df.select(F.concat(C("device").cast("string"), core).alias("device"), C("pin").alias("position"), F.replace("name", L("P1"), L(word)).alias("name"))
+    ours = named(_pins(t, F.min, "A"), F.when(C("device") % 11 == 0, "@m4").otherwise(""), "P1_I")
+    theirs = named(_pins(t, F.max, "N"), L(""), "I_P1")
+    return evaluate.interrupt_report(ours, theirs, spark.createDataFrame(_PAIRS, "a string, b string"), ["13"])
