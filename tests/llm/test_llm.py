@@ -703,10 +703,14 @@ def test_pipeline_stages_by_brute_force(spark, texts):
     after = {r.doc_id: r for r in changed.collect()}
     assert changed.columns == docs.columns and len(after) == len(rows)
     for i, r in rows.items():
-        secrets = {v for _, v, b in brute_candidates(r.text) if voted(brute_features(v, b, r.source)) >= secret_scan.SECRET}
-        wanted = r.text
-        for v in sorted(secrets, key=len, reverse=True):
-            wanted = wanted.replace(v, secret_scan.MARK)
+        starts = [m.start() for m in re.finditer(secret_scan.WORD, r.text or "")]
+        found = [(starts[k] + at, v, b) for k, v, b, at in brute_candidates(r.text)]
+        wanted, end = "", 0
+        for begin, value in sorted((at, v) for at, v, b in found if voted(brute_features(v, b, r.source)) >= secret_scan.SECRET):
+            if begin >= end:
+                wanted += r.text[end:begin] + secret_scan.MARK
+            end = max(end, begin + len(value))
+        wanted = r.text if r.text is None else wanted + r.text[end:]
         assert after[i].text == wanted and after[i].n_chars == (None if wanted is None else len(wanted))
     pieces = stages["sentencepiece"](spark, docs, SF).collect()
     assert len(pieces) == len(rows) and all(r.lossless and r.lang == rows[r.doc_id].lang and (r.text_crc32 == zlib.crc32(rows[r.doc_id].text.encode()) if rows[r.doc_id].text is not None else r.text_crc32 is None) for r in pieces)
