@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import forget, mixed, pieces, written
+from ._shared import mixed, pieces, written
 
 MAX_N = 4
 MIN_COUNT = 30
