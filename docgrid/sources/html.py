@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from html import escape, unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -129,9 +130,20 @@ class _Items(HTMLParser):
             self._table(self.tables.pop())
 
 
-def parse(html: str | None) -> list[dict]:
+#: An ampersand, with the character reference that it begins if that ends with a semicolon.
+_REFERENCE = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);|([A-Za-z][A-Za-z0-9]*;))?")
+
+
+def _kept_open(html: str) -> str:
+    """html with the ampersands that begin no whole, known reference escaped, so that they are read as they stand."""
+    return _REFERENCE.sub(lambda m: m[0] if (m[1] in html5 if m[1] else len(m[0]) > 1) else f"&amp;{m[0][1:]}", html)
+
+
+def parse(html: str | None, terminated: bool = False) -> list[dict]:
+    """The items of a text. The HTML standard also reads some references without their semicolon (`&amp` at the end of a
+    text that was cut off); with terminated these stay as they stand."""
     parser = _Items()
-    parser.feed(html or "")
+    parser.feed(_kept_open(html or "") if terminated else html or "")
     parser.close()
     return parser.items
 
@@ -165,12 +177,13 @@ def _mapped(df: DataFrame, id_col: str, html_col: str, rows_of, schema: str, arr
     return df.select(F.col(id_col).cast("bigint").alias("doc"), html_col).mapInArrow(run, schema)
 
 
-def items(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(doc, item, type, html, text, heading): items of each document in order; heading is the item number of the heading above."""
+def items(df: DataFrame, id_col: str, html_col: str, terminated: bool = False) -> DataFrame:
+    """(doc, item, type, html, text, heading): items of each document in order; heading is the item number of the heading
+    above. terminated: see parse()."""
     arrow = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("type", pa.string()), ("html", pa.string()), ("heading", pa.int64())])
 
     def rows(doc, html):
-        for k, x in enumerate(parse(html)):
+        for k, x in enumerate(parse(html, terminated)):
             yield doc, k, x["type"], x["html"], x["heading"]
 
     found = _mapped(df, id_col, html_col, rows, "doc bigint, item bigint, type string, html string, heading bigint", arrow)
