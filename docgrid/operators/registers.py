@@ -295,12 +295,13 @@ def matched_fields(registers: DataFrame, macros: DataFrame, keys: list[str]) ->
     value, `_Pos` and `_Msk`.
 
     registers: (keys, register, prefix such as `ADC_CR1_`); macros: (keys, name, number). Macros are joined on the prefixes
-    up to each of their underscores, never pair by pair.
+    up to each of their underscores, never pair by pair. Registers grow with the macros and their names are computed, so the
+    optimizer's estimate falls far below their size: neither side is ever broadcast.
     """
     words = F.split("name", "_")
     starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda n: F.concat(F.array_join(F.slice(words, F.lit(1), n), "_"), F.lit("_")))
     cut = macros.select(*keys, "name", "number", F.explode(starts).alias("prefix"))
-    met = cut.join(registers.select(*keys, "register", "prefix"), [*keys, "prefix"]).withColumn("rest", F.expr("substring(name, length(prefix) + 1)"))
+    met = cut.join(registers.select(*keys, "register", "prefix").hint("merge"), [*keys, "prefix"]).withColumn("rest", F.expr("substring(name, length(prefix) + 1)"))
     part = F.when(F.col("rest").endswith("_Pos"), "pos").when(F.col("rest").endswith("_Msk"), "msk").otherwise("val")
     met = met.withColumns({"part": part, "field": F.regexp_replace("rest", "_(Pos|Msk)$", "")})
     wide = met.groupBy(*keys, "register", "field").pivot("part", ["pos", "msk", "val"]).agg(F.max(F.col("number").cast("bigint")))
