@@ -114,17 +114,21 @@ class _Parser:
 
 
 class HtmlParser(_Parser):
-    """NAME-vVERSION/CHAPTER.html; kind is heading, text, caption or table."""
+    """NAME-vVERSION/CHAPTER.html; kind is heading, text, caption or table. Option terminated: see html.parse()."""
 
     suffix, columns = ".html", "document string, version string, chapter string, item bigint, kind string, html string, text string, heading bigint"
     names = {"document", "version", "chapter"}
 
+    def __init__(self, options):
+        super().__init__(options)
+        self.terminated = str(options.get("terminated", "false")).lower() == "true"
+
     def named(self, path):
         m = re.search(r"/([^/]+)-v([^/]+)/([^/]+)\.html$", path)
         return {"document": m[1], "version": m[2], "chapter": m[3].replace("_", " ")} if m else None
 
     def rows(self, path, names, text):
-        for k, item in enumerate(parse(text)):
+        for k, item in enumerate(parse(text, self.terminated)):
             if self.asks("kind", item["type"]):
                 yield *names.values(), k, item["type"], item["html"], plain_text(item["html"]), item["heading"]
 

@@ -22,6 +22,10 @@ def test_headings_keep_open_references(spark, pages):
     assert rows(QUERIES["q01_page_headings"](spark, pages)) == [(7, "a &< b&ampx; c&amp")]
 
 
+def test_data_source_keeps_open_references(spark, pages):
+    assert rows(QUERIES["q178_html_source"](spark, pages)) == [("D7", "chapter 7", "a &< b&ampx; c&amp")]
+
+
 def test_items_read_open_references_by_default():
     assert html.parse("<p>c&amp</p>")[0]["html"] == html.parse("<p>c&amp;</p>")[0]["html"] == "c&amp;"
     assert html.parse("<p>&#65; &#x42; &eacute; &copy &</p>", terminated=True)[0]["html"] == "A B é &amp;copy &amp;"
