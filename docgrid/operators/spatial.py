@@ -10,6 +10,8 @@ from ..lineage import written
 
 #: A side is broadcast only if the optimizer's estimate of its size in bytes, which errs upwards, is no more than this.
 BROADCAST_BYTES = 64 << 20
+#: Boxes, counted by a job, that are few enough to be broadcast with their cells.
+BROADCAST_ROWS = 50_000
 #: Nested cells: the finest are so wide, those of each level STEP times as wide as those below, and the last level is one cell.
 FINEST, STEP, LEVELS = 2.0**-10, 4.0, 31
 
@@ -38,10 +40,11 @@ def _levelled(df: DataFrame, l: Column, b: Column, r: Column, t: Column, finest:
     return df.withColumn("_own", F.struct(wide(l, r).alias("x"), wide(b, t).alias("y")))
 
 
-def _levels(df: DataFrame) -> Column:
-    """The pairs of levels that occur as one array, fetched by a job: (LEVELS + 1) ** 2 at most."""
-    pairs = [F.struct(F.lit(r.x).alias("x"), F.lit(r.y).alias("y")) for r in df.select("_own.x", "_own.y").distinct().collect()]
-    return F.array(*pairs) if pairs else F.array().cast("array<struct<x:int,y:int>>")
+def _levels(df: DataFrame) -> tuple[Column, int]:
+    """The pairs of levels that occur as one array, fetched by a job: (LEVELS + 1) ** 2 at most; and the number of rows."""
+    found = df.groupBy("_own.x", "_own.y").agg(F.count(F.lit(1)).alias("n")).collect()
+    pairs = [F.struct(F.lit(r.x).alias("x"), F.lit(r.y).alias("y")) for r in found]
+    return F.array(*pairs) if pairs else F.array().cast("array<struct<x:int,y:int>>"), sum(r.n for r in found)
 
 
 def _cut(df: DataFrame, lo: Column, hi: Column, level: Column, name: str, finest: float) -> DataFrame:
@@ -72,14 +75,21 @@ def range_join(points: DataFrame, boxes: DataFrame, x: str, y: str, keys: list[s
 
     A box lies in at most four cells of its own level, whatever its width; a point probes one cell for each level that the
     boxes have. Boxes with a null corner or with l > r or b > t hold nothing. cell: the finest cells' width; most: rows of
-    a cell (of either side) above which it is dealt to several tasks.
+    a cell (of either side) above which it is dealt to several tasks. Up to BROADCAST_ROWS boxes are broadcast, so that no
+    cell gathers the points in it; more of them are never broadcast, however small the optimizer takes them to be.
     """
     keys = keys or []
     side = _levelled(boxes.where("l <= r and b <= t"), F.col("l"), F.col("b"), F.col("r"), F.col("t"), cell)
     tiled = _cut(_cut(side, F.col("l"), F.col("r"), F.col("_own.x"), "_cx", cell), F.col("b"), F.col("t"), F.col("_own.y"), "_cy", cell)
-    placed = points.withColumn("_own", F.explode(_levels(side)))
+    levels, n = _levels(side)
+    placed = points.withColumn("_own", F.explode(levels))
     placed = placed.withColumn("_cx", cell_of(F.col(x), F.col("_own.x"), cell)).withColumn("_cy", cell_of(F.col(y), F.col("_own.y"), cell))
-    placed, tiled, on = _split_heavy(placed, tiled, [*keys, "_own", "_cx", "_cy"], most)
+    on = [*keys, "_own", "_cx", "_cy"]
+    if n <= BROADCAST_ROWS:
+        tiled = F.broadcast(tiled)
+    else:
+        placed, tiled, on = _split_heavy(placed, tiled, on, most)
+        tiled = tiled.hint("merge")
     hit = F.col(x).between(F.col("l"), F.col("r")) & F.col(y).between(F.col("b"), F.col("t"))
     return placed.join(tiled, on).where(hit).drop("_own", "_cx", "_cy", "_i", "_j")
 
@@ -217,7 +227,7 @@ def box_join(left: DataFrame, right: DataFrame, keys: list[str] | None = None, c
         at = _cut(at, F.col(f"{box}.l"), F.col(f"{box}.r"), F.col("_at.x"), "_cx", cell)
         return _cut(at, F.col(f"{box}.b"), F.col(f"{box}.t"), F.col("_at.y"), "_cy", cell)
 
-    x, y, on = _split_heavy(tiled(boxes, a, _levels(others), True), tiled(others, o, _levels(boxes), False), [*keys, "_at", "_cx", "_cy"], most)
+    x, y, on = _split_heavy(tiled(boxes, a, _levels(others)[0], True), tiled(others, o, _levels(boxes)[0], False), [*keys, "_at", "_cx", "_cy"], most)
     corner = lambda k, axis: cell_of(F.greatest(F.col(f"{a}.{k}"), F.col(f"{o}.{k}")), F.col(f"_at.{axis}"), cell)
     return x.join(y, on).where(intersects(F.col(a), F.col(o)) & (corner("l", "x") == F.col("_cx")) & (corner("b", "y") == F.col("_cy"))).drop("_at", "_cx", "_cy", "_i", "_j")
 
