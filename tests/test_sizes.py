@@ -2,7 +2,7 @@
 
 from conftest import rows
 
-from docgrid.operators import registers
+from docgrid.operators import layout, registers, spatial
 
 
 def plan(df):
@@ -10,8 +10,26 @@ def plan(df):
 
 
 def test_registers_are_not_broadcast(spark):
-    own = spark.createDataFrame([(1, "CR1", "P_CR1_")], "k int, register string, prefix string")
-    macros = spark.range(3).selectExpr("1 as k", "element_at(array('P_CR1_F_Pos', 'P_CR1_F_Msk', 'P_CR1_F'), int(id) + 1) as name", "if(id = 0, 4, 48) as number")
-    found = registers.matched_fields(spark.range(1).selectExpr("1 as k", "'CR1' as register", "'P_CR1_' as prefix"), macros, ["k"])
-    assert "BroadcastHashJoin" not in plan(found)
-    assert rows(found) == rows(registers.matched_fields(own, macros, ["k"])) == [(1, "CR1", "F", 4, 2)]
+    own = spark.range(2).selectExpr("id as k", "concat('CR', id) as register", "concat('P_CR', id, '_') as prefix")
+    macros = spark.range(6).selectExpr("id div 3 as k", "concat('P_CR', id div 3, element_at(array('_F_Pos', '_F_Msk', '_F'), int(id % 3) + 1)) as name", "if(id % 3 = 0, 4, 48) as number")
+    found = registers.matched_fields(own, macros, ["k"])
+    assert "Broadcast" not in plan(found)
+    assert rows(found) == [(0, "CR0", "F", 4, 2), (1, "CR1", "F", 4, 2)]
+
+
+def test_few_boxes_are_broadcast_and_many_are_not(spark, monkeypatch):
+    points = spark.range(50).selectExpr("id", "double(id) as x", "1.0D as y")
+    boxes = spark.range(3).selectExpr("id as box", "double(id * 10) as l", "0.0D as b", "double(id * 10 + 15) as r", "2.0D as t")
+    few = spatial.range_join(points, boxes, "x", "y").select("id", "box")
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 2)
+    many = spatial.range_join(points, boxes, "x", "y").select("id", "box")
+    assert "BroadcastHashJoin" in plan(few) and "Broadcast" not in plan(many)
+    assert rows(few) == rows(many) == sorted(((p, b) for p in range(50) for b in range(3) if 10 * b <= p <= 10 * b + 15), key=repr)
+
+
+def test_literal_links_are_broadcast(spark):
+    chars = spark.range(30).selectExpr("1 as page", "id as event_id", "double(id) as x", "1.0D as y")
+    links = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 2.0, 1, 1), (1, 5.0, 0.0, 15.0, 2.0, 2, 2)], "page int, l double, b double, r double, t double, target int, ord int")
+    found = layout.object_linked(chars, links, ["page"], "event_id")
+    assert "BroadcastHashJoin" in plan(found)
+    assert rows(found) == sorted(((1, k, 1 if k < 5 else 2) for k in range(16)), key=repr)
