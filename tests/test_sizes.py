@@ -3,6 +3,7 @@
 from conftest import rows
 
 from docgrid.operators import layout, registers, spatial
+from docgrid.plans.registry import QUERIES
 
 
 def plan(df):
@@ -33,3 +34,10 @@ def test_literal_links_are_broadcast(spark):
     found = layout.object_linked(chars, links, ["page"], "event_id")
     assert "BroadcastHashJoin" in plan(found)
     assert rows(found) == sorted(((1, k, 1 if k < 5 else 2) for k in range(16)), key=repr)
+
+
+def test_border_lines_are_broadcast(spark, tmp_path):
+    spark.range(12).selectExpr("id as event_id", "double(id * 5) as value").write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["q86_border_lookup"](spark, str(tmp_path))
+    assert "BroadcastHashJoin" in plan(found)
+    assert rows(found) == sorted(((k, 1 if k < 5 else 3 if k < 9 else 2) for k in range(12)), key=repr)
