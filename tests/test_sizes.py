@@ -41,3 +41,15 @@ def test_border_lines_are_broadcast(spark, tmp_path):
     found = QUERIES["q86_border_lookup"](spark, str(tmp_path))
     assert "BroadcastHashJoin" in plan(found)
     assert rows(found) == sorted(((k, 1 if k < 5 else 3 if k < 9 else 2) for k in range(12)), key=repr)
+
+
+def test_boxes_of_small_keys_need_no_cells(spark, monkeypatch):
+    box = "named_struct('l', double(id % 7), 'b', double(id % 3), 'r', double(id % 7 + id % 4), 't', double(id % 3 + id % 2))"
+    side = lambda n, name, out: spark.range(n).selectExpr("if(id % 4 = 0, null, id % 5) as k", f"id as {name}", f"{box} as {out}")
+    left, right = side(60, "i", "box"), side(70, "j", "other")
+    found = lambda: rows(spatial.box_join(left, right, ["k"]).select("k", "i", "j"))
+    plain, text = found(), plan(spatial.box_join(left, right, ["k"]))
+    assert plain and "_cx" not in text
+    for most in (0, 9 * 10):  # all keys are crowded; some are
+        monkeypatch.setattr(spatial, "KEY_PAIRS", most)
+        assert "_cx" in plan(spatial.box_join(left, right, ["k"])) and found() == plain
