@@ -266,28 +266,57 @@ def _builtin(kind: str) -> Column:
     return F.create_map(*[F.lit(x) for pair in BUILTINS.items() for x in pair])[F.col(kind)]
 
 
+def _elements(m: DataFrame, keys: list[str]) -> DataFrame:
+    """Members of known size (_n times _each) one row an element, with its offset within its type."""
+    m = m.withColumn("_at", running_offset(F.col("_n") * F.col("_each"), Window.partitionBy(*keys, "type").orderBy("ord")))
+    each = m.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+    return each.select(*keys, "type", "ord", "name", "member_type", "_own", F.col("_i").cast("int").alias("_i"), F.when(F.col("count") > 0, F.concat("name", F.lit("."), "_i")).alias("_label"), (F.col("_at") + F.col("_i") * F.col("_each")).alias("_at"))
+
+
+#: Elements that give a row: of a built-in type, and not reserved.
+_LEAVES = "_own is not null and not startswith(upper(name), 'RESERVED')"
+
+
+def _numbered(found: DataFrame, keys: list[str], *by: str) -> DataFrame:
+    ord_ = F.row_number().over(Window.partitionBy(*keys, "type").orderBy(*by)) - 1
+    return found.withColumn("_ord", ord_).select(*keys, "type", F.col("_ord").alias("ord"), "name", "byte_offset", "size")
+
+
 def flattened(members: DataFrame, keys: list[str]) -> DataFrame:
     """Members of C structures with those of the structures within them: (keys, type, ord, name, byte_offset, size).
 
     members: (keys, type, ord, member_type, name, count; 0 for a single member). Arrays are one row an element, `name.index`;
-    reserved members take room and give no row. Unknown types raise ValueError. Offsets are prefix sums within a type;
-    what lies in the structures within it is found by a recursive query, however deep.
+    reserved members take room and give no row. Unknown types raise ValueError. Offsets are prefix sums within a type.
+    Types that hold no structure are done with that; only the others, and what they hold, enter a recursion.
     """
+    m = members.withColumns({"_n": F.greatest("count", F.lit(1)).cast("bigint"), "_own": _builtin("member_type")})
+    held = written(m.where("_own is null").select(*keys, "type", "member_type").distinct())
+    named = lambda kind: held.select(*[F.col(k).alias(f"_d{i}") for i, k in enumerate(keys)], F.col(kind).alias("_d"))
+    same_type = [*(F.col(k).eqNullSafe(F.col(f"_d{i}")) for i, k in enumerate(keys)), F.col("type").eqNullSafe(F.col("_d"))]
+    flat = held.isEmpty()
+    plain = m if flat else m.join(named("type"), same_type, "left_anti")
+    leaves = _elements(plain.withColumn("_each", F.col("_own").cast("bigint")), keys).where(_LEAVES)
+    leaves = leaves.select(*keys, "type", "ord", "_i", F.coalesce("_label", "name").alias("name"), F.col("_at").alias("byte_offset"), F.col("_own").cast("int").alias("size"))
+    out = _numbered(leaves, keys, "ord", "_i")
+    if flat:
+        return out
+    involved = members.join(named("type").union(named("member_type")), same_type, "left_semi")
+    return out.unionByName(_nested(involved, keys).join(named("type"), same_type, "left_semi"))
+
+
+def _nested(members: DataFrame, keys: list[str]) -> DataFrame:
+    """flattened() of any types: what lies in the structures within them is found by a recursive query, however deep."""
     sizes = type_sizes(members, keys).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("type").alias("_kind"), F.col("size").alias("_whole"))
     m = members.withColumns({"_n": F.greatest("count", F.lit(1)).cast("bigint"), "_own": _builtin("member_type")})
     m = m.join(sizes, [*(F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.col("member_type") == F.col("_kind")], "left").withColumn("_each", F.coalesce("_own", "_whole").cast("bigint"))
-    m = m.withColumn("_at", running_offset(F.col("_n") * F.col("_each"), Window.partitionBy(*keys, "type").orderBy("ord")))
-    each = m.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-    each = each.select(*keys, "type", "ord", "name", "member_type", "_own", F.col("_i").cast("int").alias("_i"), F.when(F.col("count") > 0, F.concat("name", F.lit("."), "_i")).alias("_label"), (F.col("_at") + F.col("_i") * F.col("_each")).alias("_at"))
-    each = written(each)
+    each = written(_elements(m, keys))
     start = each.select(*keys, F.col("type").alias("_root"), "type", F.lit(0).cast("bigint").alias("_base"), F.lit("").alias("_prefix"), F.array().cast("array<int>").alias("_place")).distinct()
     step = {"type": "e.member_type", "_base": "t._base + e._at", "_prefix": "concat(t._prefix, coalesce(concat(e._label, '.'), ''))", "_place": "concat(t._place, array(e.ord, e._i))"}
     within = recursive(start, each.where("_own is null"), f"{same(keys)} AND t.type = e.type", **step)
-    leaves = each.where("_own is not null and not startswith(upper(name), 'RESERVED')")
+    leaves = each.where(_LEAVES)
     met = within.alias("w").join(leaves.alias("l"), [F.col(f"w.{k}").eqNullSafe(F.col(f"l.{k}")) for k in [*keys, "type"]])
     found = met.select(*[F.col(f"w.{k}").alias(k) for k in keys], F.col("_root").alias("type"), F.concat("_prefix", F.coalesce("_label", "name")).alias("name"), (F.col("_base") + F.col("_at")).alias("byte_offset"), F.col("_own").cast("int").alias("size"), F.concat("_place", F.array("ord", "_i")).alias("_place"))
-    ord_ = F.row_number().over(Window.partitionBy(*keys, "type").orderBy("_place")) - 1
-    return found.withColumn("ord", ord_).select(*keys, "type", "ord", "name", "byte_offset", "size")
+    return _numbered(found, keys, "_place")
 
 
 def matched_fields(registers: DataFrame, macros: DataFrame, keys: list[str]) -> DataFrame:

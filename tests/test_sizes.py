@@ -53,3 +53,12 @@ def test_boxes_of_small_keys_need_no_cells(spark, monkeypatch):
     for most in (0, 9 * 10):  # all keys are crowded; some are
         monkeypatch.setattr(spatial, "KEY_PAIRS", most)
         assert "_cx" in plan(spatial.box_join(left, right, ["k"])) and found() == plain
+
+
+def test_types_without_structures_skip_the_recursion(spark):
+    rows_ = [("A", 0, "uint16_t", "x", 2), ("A", 1, "char", "RESERVED0", 3), ("A", 2, "uint32_t", "y", 0), ("B", 0, "A", "a", 2), ("B", 1, "uint8_t", "b", 0), ("C", 0, "uint8_t", "c", 0)]
+    members = spark.createDataFrame([(k, *r) for k in (1, 2, None) for r in rows_], "k int, type string, ord int, member_type string, name string, count int")
+    names = ["k", "type", "ord", "name", "byte_offset", "size"]
+    assert rows(registers.flattened(members, ["k"]).select(names)) == rows(registers._nested(members, ["k"]).select(names))
+    flat = registers.flattened(members.where("type <> 'B'"), ["k"])
+    assert "UnionLoop" not in plan(flat) and plan(flat).count("Exchange hashpartitioning") == 1
