@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import written
 from .sequence import ordered
-from .spatial import bounded
+from .spatial import BROADCAST_ROWS, bounded
 
 
 def char_lines(chars: DataFrame, keys: list[str], y: str, order: list[str], value: str) -> DataFrame:
@@ -258,6 +258,8 @@ def cell_borders(cells: DataFrame, lines: DataFrame, keys: list[str], cell: list
     step = F.lit(max(near, 1e-9) * 2)
     placed = sides.withColumn("_g", F.explode(F.sequence(F.floor((F.col("place") - near) / step), F.floor((F.col("place") + near) / step))))
     ruled = lines.withColumn("_g", F.floor(F.col("at") / step))
+    # Lines, counted by a job, meet the sides without moving them if they are few.
+    ruled = F.broadcast(ruled) if lines.count() <= BROADCAST_ROWS else ruled.hint("merge")
     met = placed.join(ruled, [*keys, "direction", "_g"]).where((F.abs(F.col("at") - F.col("place")) <= near) & F.col("middle").between(F.col("lo"), F.col("hi")))
     widths = met.groupBy(*keys, *cell).pivot("side", list("lbrt")).agg(F.min_by("width", "ord"))
     return cells.select(*keys, *cell).distinct().join(widths, [*keys, *cell], "left").na.fill(0, list("lbrt"))

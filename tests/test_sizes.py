@@ -62,3 +62,11 @@ def test_types_without_structures_skip_the_recursion(spark):
     assert rows(registers.flattened(members, ["k"]).select(names)) == rows(registers._nested(members, ["k"]).select(names))
     flat = registers.flattened(members.where("type <> 'B'"), ["k"])
     assert "UnionLoop" not in plan(flat) and plan(flat).count("Exchange hashpartitioning") == 1
+
+
+def test_literal_border_lines_are_broadcast(spark):
+    cells = spark.range(4).selectExpr("1 as tab", "id", "double(id * 10) as l", "0.0D as b", "double(id * 10 + 5) as r", "2.0D as t")
+    lines = spark.createDataFrame([(1, 0, "vertical", 10.5, 0.0, 4.0, 2.0), (1, 1, "vertical", 10.0, 0.0, 4.0, 3.0), (1, 2, "horizontal", 2.0, 20.0, 30.0, 1.0)], "tab int, ord int, direction string, at double, lo double, hi double, width double")
+    found = layout.cell_borders(cells, lines, ["tab"], ["id"], 1.0).select("id", "l", "b", "r", "t")
+    assert "BroadcastHashJoin" in plan(found)
+    assert rows(found) == [(0, 0.0, 0.0, 0.0, 0.0), (1, 2.0, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0, 1.0), (3, 0.0, 0.0, 0.0, 0.0)]
