@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .sequence import ordered, running_key, runs
 
+#: Rows of a batch that a fold over many tables gives, at least.
+ROWS = 10_000
 CELL = "y int, x int, rowspan int, colspan int, head boolean, text string"
 
 
@@ -34,14 +36,14 @@ def appended_below(cells: DataFrame, keys: list[str], part: str, headers: bool =
     Headers of later parts go. Parts may be cut into columns differently: the groups of columns that begin with a header
     cell are matched in order, each gets the width of the wider one, and a cell that reaches its group's end reaches the
     widened end. A part with another number of groups begins a new table. headers=False: parts are only put below.
-    One table is one group.
+    One table is held at a time; many small ones share a batch.
     """
     types = dict(cells.dtypes)
     names = [c.split(" ")[0] for c in CELL.split(", ")]
 
-    def fold(group: pa.Table) -> pa.Table:
+    def fold(group: list[dict]) -> list[dict]:
         parts: dict = {}
-        for c in sorted(group.to_pylist(), key=lambda c: (c[part], c["y"], c["x"])):
+        for c in sorted(group, key=lambda c: (c[part], c["y"], c["x"])):
             parts.setdefault(c[part], []).append(c)
         done: list[list[dict]] = []
         starts: list[int] = []
@@ -59,12 +61,28 @@ def appended_below(cells: DataFrame, keys: list[str], part: str, headers: bool =
             if one:
                 down = max(c["y"] + c["rowspan"] for c in done[-1]) - min(c["y"] for c in one)
                 done[-1] = done[-1] + [c | {"y": c["y"] + down} for c in one]
-        rows = [c | {"table": k} for k, cs in enumerate(done) for c in cs]
-        fields = [*(group.schema.field(k) for k in keys), pa.field("table", pa.int32()), *(group.schema.field(n) for n in names)]
-        return pa.Table.from_pylist([{f.name: r[f.name] for f in fields} for r in rows], schema=pa.schema(fields))
+        return [c | {"table": k} for k, cs in enumerate(done) for c in cs]
+
+    def run(batches):
+        group, at, out, schema = [], None, [], None
+        for batch in batches:
+            schema = schema or pa.schema([*(batch.schema.field(k) for k in keys), pa.field("table", pa.int32()), *(batch.schema.field(n) for n in names)])
+            for c in batch.to_pylist():
+                own = [None if c[k] is None else ("nan" if c[k] != c[k] else c[k],) for k in keys]
+                if group and own != at:
+                    out += fold(group)
+                    group = []
+                at = own
+                group.append(c)
+                if len(out) >= ROWS:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out = []
+        if group:
+            yield pa.RecordBatch.from_pylist(out + fold(group), schema=schema)
 
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "table int", CELL])
-    return cells.groupBy(*keys).applyInArrow(fold, schema)
+    wanted = cells.select(*dict.fromkeys([*keys, part, *names]))
+    return wanted.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def appended_beside(cells: DataFrame, keys: list[str], part: str) -> DataFrame:
