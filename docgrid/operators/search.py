@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import written
-from .spatial import bounded
+from .spatial import BROADCAST_ROWS
 
 #: What words are made of.
 LETTER = r"\p{L}\p{N}_"
+#: Words of the runs by which texts meet phrases, and slots of the table that keeps other runs out.
+GRAM, SLOTS = 3, 1 << 20
 
 
 def _lines(chars: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,38 +40,65 @@ def words_of(text: Column, case_sensitive: bool = True) -> Column:
     return F.regexp_extract_all(text if case_sensitive else F.lower(text), F.lit(f"[{LETTER}]+"), F.lit(0))
 
 
+def _grams(listed: DataFrame) -> DataFrame:
+    """Each phrase's runs of GRAM words, with their places in it; of a shorter phrase all its words."""
+    n = F.least(F.size("_words"), F.lit(GRAM))
+    runs = F.transform(F.sequence(F.lit(0), F.size("_words") - n), lambda i: F.slice("_words", i + 1, n))
+    cut = listed.select("_phrase", "_words", n.alias("_n"), F.posexplode(runs).alias("_at", "_gram"))
+    return cut.withColumn("_hash", _hashed(F.col("_gram"), F.lit(0), F.col("_n")))
+
+
+def _hashed(words: Column, at: Column, n: Column) -> Column:
+    """One number for n words from a place on."""
+    return F.xxhash64(F.get(words, at), *[F.when(n > k, F.get(words, at + k)) for k in range(1, GRAM)])
+
+
 def found_phrases(docs: DataFrame, phrases: DataFrame, doc: str, text: str, phrase: str, case_sensitive: bool = True) -> DataFrame:
     """(doc, phrase, word): every place of a dictionary's phrases in the texts, counted in words from 0; places may overlap.
 
     A phrase is found where its words follow one another as whole words, whatever signs and blanks stand between them.
-    Each phrase is looked up by its rarest word: the words of the texts are joined with these by equality, neighbours are
-    compared at once, and only for the places that are left are all the words of the phrase compared. So the work grows
-    with the texts and with what is found, not with the phrases times the texts, and the dictionary may have any size.
-    Null texts, and phrases without a word, are found nowhere; rows of one doc and text are told once.
+    Texts meet phrases by runs of GRAM words (of shorter phrases, all their words): a table of 64 bits in each of SLOTS
+    slots, broadcast whatever the dictionary's size, keeps nearly all other runs of the texts from becoming rows. What is
+    left is written and joined by equality with each phrase's rarest run; only for longer phrases are all words compared.
+    So the work grows with the texts and with what is found, not with the phrases times the texts, and the dictionary may
+    have any size. Null texts, and phrases without a word, are found nowhere; rows of one doc and text are told once.
     """
-    listed = phrases.select(F.col(phrase).alias("_phrase"), words_of(F.col(phrase), case_sensitive).alias("_words")).where("size(_words) > 0").distinct()
-    listed = written(listed)
+    # Written first: a filter on the words would compute the phrases twice, where they are cut from texts.
+    spelt = written(phrases.select(F.col(phrase).alias("_phrase")).distinct()).withColumn("_words", words_of(F.col("_phrase"), case_sensitive)).where("size(_words) > 0")
+    grams = written(_grams(spelt))
+    lengths = [r._n for r in grams.select("_n").distinct().collect()]  # GRAM numbers at most
+    slot, bit = F.pmod("_hash", F.lit(SLOTS)), F.expr("shiftleft(1L, cast(pmod(shiftright(_hash, 40), 64) as int))")
+    table = grams.groupBy(slot.alias("_slot")).agg(F.bit_or(bit).alias("_bits"))
+
     texts = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).where("_text is not null")
-    held = texts.select("_doc", "_text", words_of(F.col("_text"), case_sensitive).alias("_held"))
-    known = listed.select(F.explode("_words").alias("_word")).distinct()
-    often = held.select(F.explode("_held").alias("_word")).join(bounded(known), "_word", "left_semi").groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
-    places = listed.select("_phrase", "_words", F.posexplode("_words").alias("_at", "_word")).join(often, "_word")
-    # A phrase with a word that no text has is found nowhere.
-    key = places.groupBy("_phrase").agg(F.min_by(F.struct("_word", "_at", "_words"), F.struct("_n", "_at")).alias("k"), F.count(F.lit(1)).alias("_found")).where("_found = size(k._words)")
-    around = lambda words, at: [F.get(words, at - 1), F.get(words, at + 1)]
-    key = written(key.select("_phrase", "k.*").select("*", *[c.alias(n) for c, n in zip(around(F.col("_words"), F.col("_at")), ("_left", "_right"))]))
-    own = held.select("_doc", "_text", F.posexplode("_held").alias("_pos", "_word"), "_held")
-    own = own.select("_doc", F.xxhash64("_text").alias("_print"), "_pos", "_word", *[c.alias(n) for c, n in zip(around(F.col("_held"), F.col("_pos")), ("_before", "_after"))])
-    near = "(_left is null or _left <=> _before) and (_right is null or _right <=> _after)"
-    maybe = own.join(bounded(key), "_word").where(near).select("_doc", "_print", "_phrase", "_words", (F.col("_pos") - F.col("_at")).alias("word")).where("word >= 0")
-    sure = maybe.where("size(_words) <= 2").select("_doc", "_phrase", "word")
-    # The words are fetched once for each text with a place still open, and compared there.
-    texts_of = held.select("_doc", F.xxhash64("_text").alias("_print"), "_held").withColumnRenamed("_doc", "_d").withColumnRenamed("_print", "_p").distinct()
-    open_ = maybe.where("size(_words) > 2").distinct()
-    checked = open_.join(texts_of, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_print") == F.col("_p"))).where(F.slice("_held", F.col("word") + 1, F.size("_words")) == F.col("_words"))
+    held = texts.select("_doc", F.xxhash64("_text").alias("_print"), words_of(F.col("_text"), case_sensitive).alias("_held"))
+    runs = held.select("_doc", "_print", "_held", F.posexplode_outer("_held").alias("_pos", "_word"))  # the inner form filters by words that it cuts once more
+    runs = runs.withColumn("_n", F.explode(F.array(*map(F.lit, lengths))) if lengths else F.lit(0)).where("_pos + _n <= size(_held)")
+    runs = runs.withColumn("_hash", _hashed(F.col("_held"), F.col("_pos"), F.col("_n"))).withColumn("_slot", slot)
+    known = runs.join(F.broadcast(table), "_slot").where(F.col("_bits").bitwiseAND(bit) != 0)
+    places = written(known.select("_doc", "_print", "_pos", "_hash", F.slice("_held", F.col("_pos") + 1, F.col("_n")).alias("_gram")))
+
+    met = lambda keys: places.join(_few(keys), "_hash").where("_gram = _own")
+    sure = met(grams.where("size(_words) = _n").select("_phrase", F.col("_gram").alias("_own"), "_hash")).select("_doc", "_phrase", F.col("_pos").alias("word"))
+    if GRAM not in lengths:
+        return sure.distinct().select(F.col("_doc").alias(doc), F.col("_phrase").alias(phrase), "word")
+    # A phrase with a run that no text has is found nowhere.
+    long = grams.where("size(_words) > _n")
+    often = places.join(_few(long.select("_hash").distinct()), "_hash", "left_semi").groupBy("_hash").agg(F.count(F.lit(1)).alias("_often"))
+    rare = long.join(often, "_hash").groupBy("_phrase").agg(F.min_by(F.struct("_at", F.col("_gram").alias("_own"), "_hash", "_words"), F.struct("_often", "_at")).alias("k"), F.count(F.lit(1)).alias("_found"))
+    rare = written(rare.where(F.col("_found") == F.size("k._words") - GRAM + 1).select("_phrase", "k.*"))
+    # The texts with a place still open are cut into words again, and compared there.
+    open_ = written(met(rare).select(F.col("_doc").alias("_d"), F.col("_print").alias("_p"), "_phrase", "_words", (F.col("_pos") - F.col("_at")).alias("word")).where("word >= 0").distinct())
+    both = texts.withColumn("_print", F.xxhash64("_text")).join(_few(open_), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_print") == F.col("_p")))
+    checked = both.where(F.slice(words_of(F.col("_text"), case_sensitive), F.col("word") + 1, F.size("_words")) == F.col("_words"))
     return sure.unionByName(checked.select("_doc", "_phrase", "word")).distinct().select(F.col("_doc").alias(doc), F.col("_phrase").alias(phrase), "word")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, counted by a job: broadcast if its rows are few, merged if not."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
 def text_in_boxes(chars: DataFrame, boxes: DataFrame, keys: list[str], box: list[str], most: int = 100) -> DataFrame:
     """(keys, box, text): at most so many characters whose middle (x, y) lies in each box (columns l, b, r, t), in reading order.
 

@@ -446,7 +446,9 @@ _WORDS = "regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+')"
 @query("q175_found_phrases", f"WITH d AS (SELECT doc_id, {_WORDS.format('lower(text)')} AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT DISTINCT lower(text) AS phrase FROM benchmark UNION SELECT array_to_string(w[2:4], ' ') FROM d WHERE len(w) >= 4), q AS (SELECT phrase, array_to_string({_WORDS.format('phrase')}, ' ') AS f FROM p), t AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS j FROM d) SELECT doc_id, phrase, len(string_split(left(j, strpos(j, ' ' || f || ' ')), ' ')) - 2 AS word FROM t JOIN q ON contains(j, ' ' || f || ' ')")
 def _(t, spark):
     docs = t("documents").select("doc_id", F.lower("text").alias("text"))
-    openings = docs.select(search.words_of(C("text")).alias("w")).where("size(w) >= 4").select(F.array_join(F.slice("w", 2, 3), " ").alias("phrase"))
+    w, gap = f"[{search.LETTER}]++", f"[^{search.LETTER}]++"
+    opening = F.regexp_extract("text", f"^[^{search.LETTER}]*+{w}{gap}({w}{gap}{w}{gap}{w})", 1)
+    openings = docs.select(F.regexp_replace(opening, gap, " ").alias("phrase"))
     phrases = t("benchmark").select(F.lower("text").alias("phrase")).union(openings).distinct()
     return search.found_phrases(docs, phrases, "doc_id", "text", "phrase").groupBy("doc_id", "phrase").agg(F.min("word").cast("bigint").alias("word"))
 

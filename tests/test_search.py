@@ -44,3 +44,17 @@ def test_phrases_are_joined_by_words(spark):
     docs = spark.createDataFrame([(1, "a b c")], "k int, t string")
     plan = search.found_phrases(docs, docs.select(F.col("t").alias("p")), "k", "t", "p")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_phrases_meet_texts_by_runs_of_words(spark, monkeypatch):
+    """Phrases that share a word do not meet every place of that word: only the runs found are written and joined."""
+    docs = spark.range(40).selectExpr("id as k", "concat_ws(' ', transform(sequence(0, 199), i -> concat('the w', (id * 200 + i) % 997))) as t")
+    phrases = spark.range(500).selectExpr("concat('w', id, ' the w', id + if(id % 2 = 0, 1, 2)) as p")
+    tables = []
+    monkeypatch.setattr(search, "written", lambda df, w=search.written: tables.append(w(df)) or tables[-1])
+    found = search.found_phrases(docs, phrases, "k", "t", "p")
+    runs = [f"the w{(k * 200 + i) % 997}".split() for k in range(40) for i in range(200)]
+    ids = [int(r[1][1:]) for r in runs]
+    wanted = [(n // 200, f"w{a} the w{b}", 2 * (n % 200) + 1) for n, (a, b) in enumerate(zip(ids, ids[1:])) if n % 200 < 199 and b == a + 1 and a < 500 and a % 2 == 0]
+    assert rows(found) == sorted(wanted, key=repr) and len(wanted) > 1000
+    assert len(wanted) <= next(t for t in tables if "_pos" in t.columns).count() < 1.05 * len(wanted)
