@@ -1,6 +1,7 @@
 """What may be broadcast, dealt to tasks or shuffled, told by plans and by small tables with few keys."""
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from docgrid.operators import layout, registers, spatial
 from docgrid.plans.registry import QUERIES
@@ -28,6 +29,17 @@ def test_few_boxes_are_broadcast_and_many_are_not(spark, monkeypatch):
     assert rows(few) == rows(many) == sorted(((p, b) for p in range(50) for b in range(3) if 10 * b <= p <= 10 * b + 15), key=repr)
 
 
+def test_merged_boxes_are_sorted_by_numbers(spark, monkeypatch):
+    points = spark.range(50).selectExpr("id", "double(id) as x", "1.0D as y")
+    boxes = spark.range(3).selectExpr("id as box", "double(id * 10) as l", "0.0D as b", "double(id * 10 + 15) as r", "2.0D as t")
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 2)
+    text = plan(spatial.range_join(points, boxes, "x", "y"))
+    assert "SortMergeJoin [_cx" in text and "lambda" not in text
+    widths = [0.0, 2.0**-10, 0.001, 1.0, 1.5, 2.0**50, 2.0**51, float("inf"), float("nan"), None]
+    levels = [r[0] for r in spark.createDataFrame([(w,) for w in widths], "w double").coalesce(1).select(spatial.cell_level(F.col("w"), spatial.FINEST)).collect()]
+    assert levels == [0, 0, 1, 5, 6, 30, 31, 31, 31, 0]
+
+
 def test_literal_links_are_broadcast(spark):
     chars = spark.range(30).selectExpr("1 as page", "id as event_id", "double(id) as x", "1.0D as y")
     links = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 2.0, 1, 1), (1, 5.0, 0.0, 15.0, 2.0, 2, 2)], "page int, l double, b double, r double, t double, target int, ord int")
