@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as _html
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,24 +143,24 @@ def merged_areas(nodes: DataFrame, em: float) -> DataFrame:
     note; the rest below the nearest heading. The first heading becomes a child of the document and takes what follows.
     The end is the last heading, list item or note, or else the last node. One document is one group.
     """
-    columns = list(nodes.columns)
     schema = ", ".join(f"{c} {t}" for c, t in nodes.dtypes)
     marks = ("head", "list", "note")
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["area", "node"], kind="stable")
-        parent = {int(n): None if pd.isna(q) else int(q) for n, q in zip(p.node, p.parent)}
-        name, x = dict(zip(p.node.astype(int), p["name"])), dict(zip(p.node.astype(int), p.x.astype(float)))
-        italic = dict(zip(p.node.astype(int), p.italic.astype(bool)))
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("area", "ascending"), ("node", "ascending")])
+        listed = lambda c: t[c].to_pylist()
+        nodes, parents = listed("node"), listed("parent")
+        parent, name, italic = dict(zip(nodes, parents)), dict(zip(nodes, listed("name"))), dict(zip(nodes, listed("italic")))
+        x = {n: float("nan" if v is None else v) for n, v in zip(nodes, listed("x"))}
         below: dict = {}
         for n, q in parent.items():
             below.setdefault(q, []).append(n)
+        tops: dict = {}
+        for area, n, q in zip(listed("area"), nodes, parents):
+            if area is not None and q is None:
+                tops.setdefault(area, []).append(n)
 
-        def whole(n: int) -> list[int]:
-            return [n, *(m for c in below.get(n, []) if parent[c] == n for m in whole(c))]
-
-        end = None
-        tops = {area: [n for n, q in zip(g.node.astype(int), g.parent) if pd.isna(q)] for area, g in p.groupby("area", sort=True)}
+        last = marked = None  # of the nodes so far, in pre-order
 
         def ancestor(fits) -> int | None:
             n = end
@@ -167,10 +168,10 @@ def merged_areas(nodes: DataFrame, em: float) -> DataFrame:
                 n = parent[n]
             return n
 
-        seen: list[int] = []
-        for area in sorted(tops):
+        for area in tops:
             heading = None
             for n in tops[area]:
+                end = last if marked is None else marked
                 if heading is not None:
                     parent[n] = heading
                 elif name[n].startswith("head"):
@@ -181,11 +182,15 @@ def merged_areas(nodes: DataFrame, em: float) -> DataFrame:
                     parent[n] = end
                 else:
                     parent[n] = ancestor(lambda c: name[c].startswith("head"))
-                seen += whole(n)
-                end = next((m for m in reversed(seen) if name[m].startswith(marks)), seen[-1])
-        return p.assign(parent=[parent[int(n)] for n in p.node]).astype({"parent": "Int64"})[columns]
-
-    return nodes.groupBy("doc").applyInPandas(fold, schema)
+                stack = [n]
+                while stack:
+                    last = stack.pop()
+                    marked = last if name[last].startswith(marks) else marked
+                    stack += below.get(last, [])[::-1]
+        k = t.schema.get_field_index("parent")
+        return t.set_column(k, t.schema.field(k), pa.array([parent[n] for n in nodes], t.schema.field(k).type))
+
+    return nodes.groupBy("doc").applyInArrow(fold, schema)
 
 
 def printed(pathed: DataFrame) -> DataFrame:

@@ -260,7 +260,7 @@ def _(t, spark):
     area = F.coalesce(F.sum(F.when(C("event_type") == "signup", 1)).over(before), L(0)).cast("int")
     nodes = _event_nodes(t).select("doc", area.alias("area"), "ord", C("ord").cast("bigint").alias("node"), L(None).cast("bigint").alias("parent"), F.when(C("event_type") == "signup", "heading").otherwise("para").alias("name"), L(0.0).alias("x"), L(False).alias("italic"), "event_id")
     merged = tree.merged_areas(nodes, 10.0)
-    heads = merged.select("doc", C("node").alias("parent"), C("event_id").alias("head_id"))
+    heads = nodes.select("doc", C("node").alias("parent"), C("event_id").alias("head_id"))  # not from merged, which would be made twice
     return merged.join(heads, ["doc", "parent"], "left").select("doc", C("event_id").alias("node"), C("head_id").alias("parent"))
 
 

@@ -1,11 +1,12 @@
 """Tables over several parts, trees over several pages, product codes, register maps, headers and text search."""
 
 import pytest
-from conftest import rows
+from conftest import SF, rows
 from pyspark.sql import functions as F
 
 from docgrid.functions import geometry
 from docgrid.operators import evaluate, graph, layout, products, registers, search, sequence, spatial, tables, tree
+from docgrid.plans.registry import QUERIES
 from docgrid.sources import catalog, devices, headers, html
 
 C, L = F.col, F.lit
@@ -85,6 +86,12 @@ def test_areas_over_pages(spark):
     nodes = [(1, 0, 0, 0, None, "heading", 0.0, False), (1, 0, 1, 1, None, "listb", 20.0, False), (1, 1, 0, 2, None, "lists", 40.0, False), (1, 1, 1, 3, None, "para", 0.0, False), (1, 1, 2, 4, None, "note", 0.0, False), (1, 2, 0, 5, None, "para", 5.0, True), (1, 2, 1, 6, None, "heading", 0.0, False), (1, 2, 2, 7, None, "para", 0.0, False), (1, 2, 3, 8, 7, "line", 0.0, False)]
     d = spark.createDataFrame(nodes, "doc bigint, area int, ord int, node bigint, parent bigint, name string, x double, italic boolean")
     assert {r.node: r.parent for r in tree.merged_areas(d, 10.0).collect()} == {0: None, 1: 0, 2: 1, 3: 0, 4: 0, 5: 4, 6: None, 7: 6, 8: 7}
+    # Of a chain deeper than Python's stack, and of many paragraphs without a heading; the tree is made once.
+    deep = spark.range(3000).selectExpr("1L as doc", "0 as area", "0 as ord", "id as node", "if(id = 0, null, id - 1) as parent", "'para' as name", "0.0D as x", "false as italic")
+    flat = deep.selectExpr("2L as doc", "int(node) as area", "ord", "node", "cast(null as bigint) as parent", "name", "x", "italic")
+    found = rows(tree.merged_areas(deep.union(flat), 10.0).select("doc", "node", "parent"))
+    assert found == sorted([(1, k, k - 1 if k else None) for k in range(3000)] + [(2, k, None) for k in range(3000)], key=repr)
+    assert QUERIES["q149_merged_areas"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("FlatMapGroups") == 1
     x = spark.createDataFrame([("listb", 9.0, 34.7, 30.0), ("para", 50.0, 0.0, 30.0)], "name string, x double, left double, area_x double")
     assert rows(tree.relative_x(x).select("name", "x")) == [("listb", 4.0), ("para", 20.0)]
 
