@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
 
@@ -112,7 +113,8 @@ class HtmlRows:
 
 class GridRows:
     """Cells (doc, y, x, value) as rows (doc, y, and the given names for the places 0, 1, ... of a row). The function asks
-    for cells of one document together and in order, so it holds one row at a time."""
+    for cells of one document together and in order, so it holds one row at a time. Where y, x and value are arrays, as
+    gathered() makes them, each row of the table has many cells, which spares most of what it costs to hand rows over."""
 
     @staticmethod
     def analyze(cells: AnalyzeArgument, names: AnalyzeArgument) -> AnalyzeResult:
@@ -121,10 +123,17 @@ class GridRows:
         types = {f.name: f.dataType for f in cells.dataType.fields}
         if missing := [c for c in ("doc", "y", "x", "value") if c not in types]:
             raise ValueError(f"grid_rows: the table has no column {', '.join(missing)}")
+        many = [c for c in ("y", "x", "value") if isinstance(types["y"], T.ArrayType) and not isinstance(types[c], T.ArrayType)]
+        if many:
+            raise ValueError(f"grid_rows: y is an array, but {', '.join(many)} is not")
         listed = [n.strip() for n in constant(names, "grid_rows: the list of names").split(",")]
         if len(set(listed)) < len(listed) or not all(map(NAME.fullmatch, listed)) or {"doc", "y"} & set(listed):
             raise ValueError(f"grid_rows: not a list of different names: {names.value!r}")
-        schema = T.StructType([T.StructField("doc", types["doc"]), T.StructField("y", types["y"]), *(T.StructField(n, types["value"]) for n in listed)])
+        gathered_ = isinstance(types["y"], T.ArrayType)
+        y, value = (types[c].elementType if gathered_ else types[c] for c in ("y", "value"))
+        schema = T.StructType([T.StructField("doc", types["doc"]), T.StructField("y", y), *(T.StructField(n, value) for n in listed)])
+        if gathered_:
+            return AnalyzeResult(schema)
         return AnalyzeResult(schema, partitionBy=[PartitioningColumn("doc")], orderBy=[OrderingColumn("y"), OrderingColumn("x")])
 
     def __init__(self):
@@ -136,17 +145,30 @@ class GridRows:
         self.at = None
 
     def eval(self, cell, names: str):
-        at = (cell["doc"], cell["y"])
-        if self.at != at:
-            yield from self._whole()
-            self.at, self.row = at, [None] * (names.count(",") + 1)
-        if cell["x"] is not None and 0 <= cell["x"] < len(self.row):
-            self.row[cell["x"]] = cell["value"]
+        doc, size = cell["doc"], names.count(",") + 1
+        if isinstance(cell["y"], list):
+            places = zip(cell["y"], cell["x"], cell["value"])
+        else:
+            places = ((cell["y"], cell["x"], cell["value"]),)
+        for y, x, value in places:
+            if self.at != (doc, y):
+                if self.at is not None:
+                    yield (*self.at, *self.row)
+                self.at, self.row = (doc, y), [None] * size
+            if x is not None and 0 <= x < size:
+                self.row[x] = value
 
     def terminate(self):
         yield from self._whole()
 
 
+def gathered(cells: DataFrame, rows: int = 256) -> DataFrame:
+    """Cells (doc, y, x, value) for grid_rows, up to so many rows of a document as one row: (doc, arrays y, x and value)."""
+    cell = F.sort_array(F.collect_list(F.struct("y", "x", "value")))
+    blocks = cells.groupBy("doc", F.floor(F.col("y") / rows).alias("_block")).agg(cell.alias("_c"))
+    return blocks.select("doc", *(F.col(f"_c.{c}").alias(c) for c in ("y", "x", "value")))
+
+
 def register(spark: SparkSession) -> None:
     for name, function in (("rule_values", RuleValues), ("html_rows", HtmlRows), ("grid_rows", GridRows)):
         spark.udtf.register(name, udtf(function))

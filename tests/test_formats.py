@@ -95,6 +95,12 @@ def test_table_functions(spark):
     assert grid.columns == ["doc", "y", "a", "b", "c"]
     assert rows(grid) == sorted([(d, y, f"{d}{y}0", None, f"{d}{y}2") for d in (1, 2, None) for y in (0, 1)], key=repr)
     assert spark.sql("SELECT * FROM grid_rows(TABLE({c}), 'a')", c=cells.limit(0)).count() == 0
+    for n in (1, 256):
+        many = table_functions.gathered(cells, n)
+        assert many.count() == (6 if n == 1 else 3)
+        assert rows(spark.sql("SELECT * FROM grid_rows(TABLE({c}), 'a, b, c')", c=many)) == rows(grid)
+    with pytest.raises(Exception, match="y is an array, but value is not"):
+        spark.sql("SELECT * FROM grid_rows(TABLE({c}), 'a')", c=many.withColumn("value", F.lit("v")))
 
 
 @pytest.mark.parametrize(("text", "message"), [
