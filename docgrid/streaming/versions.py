@@ -17,23 +17,21 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class LatestVersions(StatefulProcessor):
-    """For each document its latest version and the number of those that came too late, in two values of the state; with
-    an event time, a timer that forgets the document `keep_ms` after its last arrival."""
+    """For each document its latest version and the number of those that came too late, in one value of the state, as each
+    access costs a call; with an event time, a timer that forgets the document `keep_ms` after its last arrival."""
 
     def __init__(self, keep_ms: int | None):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.best = handle.getValueState("best", "version string, numbers array<bigint>, rests array<string>")
-        self.late = handle.getValueState("late", "n bigint")
+        self.kept = handle.getValueState("kept", "version string, numbers array<bigint>, rests array<string>, late bigint")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         order = lambda version, numbers, rests: (list(zip(numbers, rests)), version)
-        known = self.best.get() if self.best.exists() else None
-        best = order(*known) if known else None
-        seen, arrived = best, None
-        late = self.late.get()[0] if self.late.exists() else 0
+        known = self.kept.get()  # None without one
+        best, late = (order(*known[:3]), known[3]) if known else (None, 0)
+        seen, before, arrived = best, late, None
         for row in rows:
             arrived = max(arrived or 0, row["at_ms"] or 0)
             found = order(row["version"], row["numbers"], row["rests"])
@@ -46,18 +44,17 @@ class LatestVersions(StatefulProcessor):
             if seen is not None:
                 yield Row(doc=key[0], version=seen[1], change="taken back", n=late)
             yield Row(doc=key[0], version=best[1], change="latest", n=late)
-            self.best.update((best[1], [n for n, _ in best[0]], [r for _, r in best[0]]))
-        self.late.update((late,))
+        if best != seen or late != before:
+            self.kept.update((best[1], [n for n, _ in best[0]], [r for _, r in best[0]], late))
         if self.keep_ms is not None and arrived is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(arrived + self.keep_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        if self.best.exists():
-            yield Row(doc=key[0], version=self.best.get()[0], change="forgotten", n=self.late.get()[0] if self.late.exists() else 0)
-        self.best.clear()
-        self.late.clear()
+        if known := self.kept.get():
+            yield Row(doc=key[0], version=known[0], change="forgotten", n=known[3])
+        self.kept.clear()
 
     def close(self) -> None:
         pass

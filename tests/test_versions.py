@@ -55,3 +55,29 @@ def test_documents_are_forgotten(spark, tmp_path):
     assert rows(table.where("change = 'forgotten'").select("doc", "version")) == [("old", "2.0")]
     table = run(spark, base, [("old", "1.0", day + timedelta(days=4, hours=3))], 3, **more)
     assert rows(table.where("doc = 'old'").select("version", "change")) == sorted([("2.0", "latest"), ("2.0", "forgotten"), ("1.0", "latest")], key=repr)
+
+
+def test_two_calls_to_the_state_a_document_and_batch():
+    calls, held = [], {}
+
+    class Value:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            def done(*value):
+                calls.append(call)
+                found = held.get(self.name)
+                if call == "update":
+                    held[self.name] = value[0]
+                return found is not None if call == "exists" else found
+
+            return done
+
+    handle = type("Handle", (), {"getValueState": lambda self, name, schema: Value(name)})()
+    processor = versions.LatestVersions(None)
+    processor.init(handle)
+    came = lambda *numbers: [tuple(r) for r in processor.handleInputRows(("d",), iter([{"version": str(n), "numbers": [n], "rests": [""], "at_ms": 0} for n in numbers]), None)]
+    assert came(2, 1) == [("d", "1", "dropped", 1), ("d", "2", "latest", 1)] and calls == ["get", "update"]
+    assert came(2) == [] and calls == ["get", "update", "get"]
+    assert came(1, 3) == [("d", "1", "dropped", 2), ("d", "2", "taken back", 2), ("d", "3", "latest", 2)] and len(calls) == 5
