@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from docgrid.operators import layout, registers, spatial
+from docgrid.plans import layout_queries
 from docgrid.plans.registry import QUERIES
 
 
@@ -55,6 +56,14 @@ def test_border_lines_are_broadcast(spark, tmp_path):
     assert rows(found) == sorted(((k, 1 if k < 5 else 3 if k < 9 else 2) for k in range(12)), key=repr)
 
 
+def test_border_look_up_is_summed_up_by_many_tasks(spark, tmp_path, monkeypatch):
+    spark.range(12).selectExpr("id as event_id", "double(id * 5) as value").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(layout_queries, "_TASK_ROWS", 4)
+    found = QUERIES["q86_border_lookup"](spark, str(tmp_path))
+    assert "4), REPARTITION_BY_NUM" in plan(found) and plan(found).count("Exchange hashpartitioning") == 1
+    assert rows(found) == sorted(((k, 1 if k < 5 else 3 if k < 9 else 2) for k in range(12)), key=repr)
+
+
 def test_boxes_of_small_keys_need_no_cells(spark, monkeypatch):
     box = "named_struct('l', double(id % 7), 'b', double(id % 3), 'r', double(id % 7 + id % 4), 't', double(id % 3 + id % 2))"
     side = lambda n, name, out: spark.range(n).selectExpr("if(id % 4 = 0, null, id % 5) as k", f"id as {name}", f"{box} as {out}")
