@@ -81,13 +81,27 @@ def range_join(points: DataFrame, boxes: DataFrame, x: str, y: str, keys: list[s
     A box lies in at most four cells of its own level, whatever its width; a point probes one cell for each level that the
     boxes have. Boxes with a null corner or with l > r or b > t hold nothing. cell: the finest cells' width; most: rows of
     a cell (of either side) above which it is dealt to several tasks. Up to BROADCAST_ROWS boxes are broadcast, so that no
-    cell gathers the points in it; more of them are never broadcast, however small the optimizer takes them to be.
+    cell gathers the points in it; more of them are never broadcast, however small the optimizer takes them to be. Then
+    points and boxes of a key with up to KEY_PAIRS pairs are compared as they are, without cells; sides that are already
+    partitioned by the keys alike stay where they are.
     """
     keys = keys or []
     pair = (F.col("_own.x") * (LEVELS + 1) + F.col("_own.y")).alias("_pair")
     side = _levelled(boxes.where("l <= r and b <= t"), F.col("l"), F.col("b"), F.col("r"), F.col("t"), cell).select("*", pair)
-    tiled = _cut(_cut(side, F.col("l"), F.col("r"), F.col("_own.x"), "_cx", cell), F.col("b"), F.col("t"), F.col("_own.y"), "_cy", cell)
     levels, n = _levels(side)
+    hit = F.col(x).between(F.col("l"), F.col("r")) & F.col(y).between(F.col("b"), F.col("t"))
+    alone = None
+    if keys and n > BROADCAST_ROWS:
+        crowded = _crowded(points, side, keys)
+        none = crowded.isEmpty()
+        part = lambda how: (points, side) if none else (points.join(bounded(crowded), keys, how), side.join(bounded(crowded), keys, how))
+        p, s = part("left_anti")
+        alone = p.join(s.drop("_own", "_pair").hint("merge"), keys).where(hit)
+        if none:
+            return alone
+        points, side = part("left_semi")
+        levels, _ = _levels(side)
+    tiled = _cut(_cut(side, F.col("l"), F.col("r"), F.col("_own.x"), "_cx", cell), F.col("b"), F.col("t"), F.col("_own.y"), "_cy", cell)
     placed = points.withColumn("_own", F.explode(levels)).select("*", pair)
     placed = placed.withColumn("_cx", cell_of(F.col(x), F.col("_own.x"), cell)).withColumn("_cy", cell_of(F.col(y), F.col("_own.y"), cell))
     # What merging sorts by first is a number that tells most rows apart; a struct, or a level, tells few.
@@ -97,8 +111,8 @@ def range_join(points: DataFrame, boxes: DataFrame, x: str, y: str, keys: list[s
     else:
         placed, tiled, on = _split_heavy(placed, tiled, on, most)
         tiled = tiled.hint("merge")
-    hit = F.col(x).between(F.col("l"), F.col("r")) & F.col(y).between(F.col("b"), F.col("t"))
-    return placed.join(tiled, on).where(hit).drop("_pair", "_cx", "_cy", "_i", "_j")
+    met = placed.join(tiled, on).where(hit).drop("_pair", "_cx", "_cy", "_i", "_j")
+    return met if alone is None else alone.unionByName(met)
 
 
 def outside(points: DataFrame, boxes: DataFrame, x: str, y: str, keys: list[str] | None = None, cell: float = FINEST) -> DataFrame:

@@ -30,16 +30,31 @@ def _(t, spark):
     return spatial.box_join(a, b, ["l_orderkey"], cell=8.0).select("l_orderkey", "i", "j", "li", "lj")
 
 
+#: Characters, one a row, that a task makes of names.
+_TASK_CHARS = 200_000
+
+
+def _named_parts(t):
+    """Parts and their names, moved to as many tasks as the names' characters, counted by a job, need; what is then cut,
+    met and gathered by part stays in its task."""
+    parts = t("part").select("p_partkey", "p_name")
+    return parts.repartition((parts.agg(F.sum(F.length("p_name"))).first()[0] or 0) // _TASK_CHARS + 1, "p_partkey")
+
+
+def _name_chars(parts):
+    return parts.select("p_partkey", F.posexplode(F.filter(F.split("p_name", ""), lambda c: c != "")).alias("idx", "char"))
+
+
 @query("q118_found_words", "SELECT p_partkey, CASE WHEN starts_with(p_name, 'cold ') THEN 0 ELSE strpos(p_name, ' cold') END::INT AS first FROM part WHERE regexp_matches(p_name, '\\bcold\\b')")
 def _(t, spark):
-    chars = t("part").select("p_partkey", F.posexplode(F.filter(F.split("p_name", ""), lambda c: c != "")).alias("idx", "char"))
-    return search.found_words(chars, ["p_partkey"], "cold").select("p_partkey", "first")
+    return search.found_words(_name_chars(_named_parts(t)), ["p_partkey"], "cold").select("p_partkey", "first")
 
 
 @query("q119_text_in_boxes", "SELECT p_partkey, substr(p_name, 3, 4) AS text FROM part")
 def _(t, spark):
-    chars = t("part").select("p_partkey", F.posexplode(F.filter(F.split("p_name", ""), lambda c: c != "")).alias("idx", "char")).withColumns({"x": C("idx").cast("double"), "y": L(0.5)})
-    boxes = t("part").select("p_partkey", L(2.0).alias("l"), L(0.0).alias("b"), L(5.0).alias("r"), L(1.0).alias("t"))
+    parts = _named_parts(t)
+    chars = _name_chars(parts).withColumns({"x": C("idx").cast("double"), "y": L(0.5)})
+    boxes = parts.select("p_partkey", L(2.0).alias("l"), L(0.0).alias("b"), L(5.0).alias("r"), L(1.0).alias("t"))
     return search.text_in_boxes(chars, boxes, ["p_partkey"], []).select("p_partkey", "text")
 
 

@@ -4,7 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from docgrid.operators import layout, registers, spatial
-from docgrid.plans import layout_queries
+from docgrid.plans import extraction_queries, layout_queries
 from docgrid.plans.registry import QUERIES
 
 
@@ -76,6 +76,30 @@ def test_boxes_of_small_keys_need_no_cells(spark, monkeypatch):
         assert "_cx" in plan(spatial.box_join(left, right, ["k"])) and found() == plain
 
 
+def test_points_and_boxes_of_small_keys_need_no_cells(spark, monkeypatch):
+    points = spark.range(90).selectExpr("if(id % 10 = 0, null, id % 4) as k", "id", "double(id % 13) as x", "double(id % 3) as y")
+    boxes = spark.range(30).selectExpr("if(id % 7 = 0, null, int(sqrt(id)) % 5) as k", "id as box", "double(id % 11) as l", "0.0D as b", "double(id % 11 + id % 4) as r", "double(id % 3) as t")
+    found = lambda: spatial.range_join(points, boxes, "x", "y", ["k"]).select("k", "id", "box")
+    few = rows(found())
+    assert few == rows(points.join(boxes, "k").where("x between l and r and y between b and t").select("k", "id", "box")) and few
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 2)
+    assert rows(found()) == few and "_cx" not in plan(found()) and "Broadcast" not in plan(found())
+    for most in (0, 80):  # all keys are crowded; some are
+        monkeypatch.setattr(spatial, "KEY_PAIRS", most)
+        assert "_cx" in plan(found()) and rows(found()) == few
+
+
+def test_names_are_cut_and_gathered_in_tasks_of_their_parts(spark, tmp_path, monkeypatch):
+    spark.range(12).selectExpr("id as p_partkey", "concat('a cold ', id) as p_name").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(extraction_queries, "_TASK_CHARS", 40)
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 2)
+    for name, sides, wanted in (("q118_found_words", 1, 2), ("q119_text_in_boxes", 2, "cold")):
+        found = QUERIES[name](spark, str(tmp_path))
+        # 98 characters: three tasks, to which nothing but parts and names is moved.
+        assert plan(found).count("3), REPARTITION_BY_NUM") == plan(found).count("Exchange") == sides
+        assert rows(found) == sorted(((k, wanted) for k in range(12)), key=repr)
+
+
 def test_types_without_structures_skip_the_recursion(spark):
     rows_ = [("A", 0, "uint16_t", "x", 2), ("A", 1, "char", "RESERVED0", 3), ("A", 2, "uint32_t", "y", 0), ("B", 0, "A", "a", 2), ("B", 1, "uint8_t", "b", 0), ("C", 0, "uint8_t", "c", 0)]
     members = spark.createDataFrame([(k, *r) for k in (1, 2, None) for r in rows_], "k int, type string, ord int, member_type string, name string, count int")
