@@ -226,9 +226,15 @@ def devices_of_files(devices: DataFrame, files: DataFrame, device: str, stem: st
 
 
 def _crowded(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys with more than KEY_PAIRS pairs, written: each has more than KEY_PAIRS ** 0.5 rows on one side."""
+    """The keys with more than KEY_PAIRS pairs, written: each has more than KEY_PAIRS ** 0.5 rows on one side, and only keys
+    with so many are counted on both."""
     count = lambda df, n: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
-    found = count(left, "_nl").join(count(right, "_nr").hint("merge"), keys).where(F.col("_nl") * F.col("_nr") > KEY_PAIRS)
+    often = lambda df: written(count(df, "_n").where(F.col("_n") > KEY_PAIRS**0.5).select(*keys))
+    many = often(left).unionByName(often(right))
+    if many.isEmpty():
+        return many
+    part = lambda df: df.join(bounded(many), keys, "left_semi")
+    found = count(part(left), "_nl").join(count(part(right), "_nr").hint("merge"), keys).where(F.col("_nl") * F.col("_nr") > KEY_PAIRS)
     return written(found.select(*keys))
 
 

@@ -89,6 +89,16 @@ def test_points_and_boxes_of_small_keys_need_no_cells(spark, monkeypatch):
         assert "_cx" in plan(found()) and rows(found()) == few
 
 
+def test_keys_are_counted_one_side_at_a_time(spark, monkeypatch):
+    left, right = spark.range(40).selectExpr("if(id < 30, id % 3, null) as k"), spark.range(12).selectExpr("if(id < 9, 0, id % 3) as k")
+    seen, write = [], spatial.written
+    monkeypatch.setattr(spatial, "written", lambda df: seen.append(plan(df)) or write(df))
+    assert rows(spatial._crowded(left, right, ["k"])) == [] and len(seen) == 2 and "Join" not in "".join(seen)
+    for most, wanted in ((9, [(0,), (1,), (2,)]), (10, [(0,)]), (99, [(0,)]), (100, [])):  # 10 x 10, 10 x 1 and 10 x 1 pairs
+        monkeypatch.setattr(spatial, "KEY_PAIRS", most)
+        assert rows(spatial._crowded(left, right, ["k"])) == wanted
+
+
 def test_names_are_cut_and_gathered_in_tasks_of_their_parts(spark, tmp_path, monkeypatch):
     spark.range(12).selectExpr("id as p_partkey", "concat('a cold ', id) as p_name").write.parquet(f"{tmp_path}/part.parquet")
     monkeypatch.setattr(extraction_queries, "_TASK_CHARS", 40)
