@@ -41,6 +41,29 @@ def test_merged_boxes_are_sorted_by_numbers(spark, monkeypatch):
     assert levels == [0, 0, 1, 5, 6, 30, 31, 31, 31, 0]
 
 
+def test_points_are_moved_once_where_few_boxes_are_wide(spark, monkeypatch):
+    width = "case id % 100 when 0 then 100 when 1 then 10 when 2 then 10 else 1 end"
+    points = spark.range(300).selectExpr("id", "case id when 7 then null when 8 then double('nan') when 9 then double('inf') else id * 0.37D end as x", "double(id % 5) as y")
+    boxes = spark.range(200).selectExpr("id as box", "double(id - 20) as l", "double(id % 3) as b", f"case id when 11 then double('inf') when 12 then double('nan') else double(id - 20) + {width} end as r", "double(id % 3 + id % 2) as t")
+    hit = F.expr("x between l and r and y between b and t")
+    wanted = rows(points.join(boxes, hit).select("id", "box"))
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 2)
+    for most in (None, 5):
+        assert rows(spatial.range_join(points, boxes, "x", "y", most=most).select("id", "box")) == wanted
+    plain, once = boxes.where("box not in (11, 12)"), points.where("id not in (8, 9)").withColumn("y", F.lit(1.0))
+    found = spatial.range_join(once, plain.withColumns({"b": F.lit(1.0), "t": F.lit(1.0)}), "x", "y")
+    assert "explode([[5,0]])" in plan(found).replace(" ", "") and "_nl" not in plan(found)  # three widths, one level
+    assert found.count() == once.join(plain, F.expr("x between l and r")).count() > 300
+    monkeypatch.setattr(spatial, "CUT", 4)
+    assert rows(spatial.range_join(points, boxes, "x", "y").select("id", "box")) == wanted
+
+
+def test_no_row_is_dealt_without_heavy_cells(spark):
+    side = spark.range(20).selectExpr("id % 5 as k", "id")
+    assert spatial._split_heavy(side, side, ["k"], 4) == (side, side, ["k"])
+    assert spatial._split_heavy(side, side, ["k"], 3)[2] == ["k", "_i", "_j"]
+
+
 def test_literal_links_are_broadcast(spark):
     chars = spark.range(30).selectExpr("1 as page", "id as event_id", "double(id) as x", "1.0D as y")
     links = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 2.0, 1, 1), (1, 5.0, 0.0, 15.0, 2.0, 2, 2)], "page int, l double, b double, r double, t double, target int, ord int")
